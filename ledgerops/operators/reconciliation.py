@@ -24,7 +24,8 @@ Plan shape (Spark-first instead of five separate statements):
   reduced to ``(key, date, amount) -> rows`` (map-side partial aggregation),
   matched pairs are classified on the reduced rows and weighted by
   ``rows_a * rows_b``; the missing counts come from a key-level full join of
-  per-key row counts, where every key is a single row per side.
+  per-key row counts (every key is a single row per side, so no skew there),
+  built from the same reduced rows.
 """
 
 from __future__ import annotations
@@ -220,51 +221,62 @@ class Reconciliation:
 
     # -- summary ---------------------------------------------------------
     def summary(self) -> DataFrame:
-        """One row: the five counts, totals, unclassified pairs and source sizes."""
+        """One row: the five counts, totals, unclassified pairs and source sizes.
+
+        Each side is reduced once to ``(key, date, amount) -> rows`` (partial
+        aggregation before the shuffle, so copies collapse map-side). That
+        reduction feeds both the pair join and the per-key counts, so its
+        exchange is reused. NULL keys, which never match, are counted by a
+        branch that reads only the key column.
+        """
         cfg = self.config
-        red_a = (self._side_a().groupBy("match_key", "date_a", "amount_a")
-                 .agg(F.count(F.lit(1)).alias("n_a")))
-        red_b = (self._side_b().groupBy(_KEY_B, "date_b", "amount_b")
-                 .agg(F.count(F.lit(1)).alias("n_b")))
+        side_a = self._side_a().where(F.col("match_key").isNotNull())
+        side_b = self._side_b().where(F.col(_KEY_B).isNotNull())
+        red_a = side_a.groupBy("match_key", "date_a", "amount_a").agg(F.count(F.lit(1)).alias("n_a"))
+        red_b = side_b.groupBy(_KEY_B, "date_b", "amount_b").agg(F.count(F.lit(1)).alias("n_b"))
 
+        zero = F.lit(0).cast("long")
         pair_rows = red_a.join(red_b, F.col("match_key") == F.col(_KEY_B), "inner").select(
             category(F.col("amount_a"), F.col("amount_b"), F.col("date_a"), F.col("date_b"),
                      cfg.amount_tolerance).alias("category"),
             (F.col("n_a") * F.col("n_b")).alias("n"),
-            F.lit(0).cast("long").alias("rows_a"),
-            F.lit(0).cast("long").alias("rows_b"),
+            zero.alias("rows_a"), zero.alias("rows_b"),
         )
 
         keys_a = red_a.groupBy("match_key").agg(F.sum("n_a").alias("n_a"))
         keys_b = red_b.groupBy(_KEY_B).agg(F.sum("n_b").alias("n_b"))
         per_key = keys_a.join(keys_b, F.col("match_key") == F.col(_KEY_B), "full_outer")
-        # A NULL key meets nothing in the join, so it lands on its own side.
         key_rows = per_key.select(
-            F.when(F.col(_KEY_B).isNull() & F.col("n_b").isNull(), F.lit(MISSING_IN_B))
-            .when(F.col("match_key").isNull() & F.col("n_a").isNull(), F.lit(MISSING_IN_A))
-            .otherwise(F.lit("_matched_keys")).alias("category"),
-            F.when(F.col("n_b").isNull(), F.col("n_a"))
-            .when(F.col("n_a").isNull(), F.col("n_b"))
-            .otherwise(F.lit(0)).cast("long").alias("n"),
-            F.coalesce(F.col("n_a"), F.lit(0)).cast("long").alias("rows_a"),
-            F.coalesce(F.col("n_b"), F.lit(0)).cast("long").alias("rows_b"),
-        )
-
-        rows = pair_rows.unionByName(key_rows)
+            F.when(F.col("n_b").isNull(), F.lit(MISSING_IN_B))
+            .when(F.col("n_a").isNull(), F.lit(MISSING_IN_A)).alias("category"),
+            F.coalesce(F.col("n_a"), F.col("n_b")).alias("n"),
+            F.coalesce(F.col("n_a"), zero).alias("rows_a"),
+            F.coalesce(F.col("n_b"), zero).alias("rows_b"),
+        ).where(F.col("category").isNotNull() | (F.col("rows_a") > 0))
+
+        null_a = self.a.select(self._key_a.alias("k")).where(F.col("k").isNull()).agg(
+            F.count(F.lit(1)).alias("n")).select(
+            F.lit(MISSING_IN_B).alias("category"), "n", F.col("n").alias("rows_a"), zero.alias("rows_b"))
+        null_b = self.b.select(self._key_b.alias("k")).where(F.col("k").isNull()).agg(
+            F.count(F.lit(1)).alias("n")).select(
+            F.lit(MISSING_IN_A).alias("category"), "n", zero.alias("rows_a"), F.col("n").alias("rows_b"))
+
+        rows = pair_rows.unionByName(key_rows).unionByName(null_a).unionByName(null_b)
 
         def total(cat: str | None) -> Column:
             hit = F.col("category").isNull() if cat is None else (F.col("category") == cat)
-            return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("long")
+            return F.coalesce(F.sum(F.when(hit, F.col("n"))), zero)
 
+        is_pair = F.col("rows_a") + F.col("rows_b") == 0
         counts = rows.agg(
             total(EXACT_MATCH).alias("exact_matches"),
             total(MATCH_WITH_DATE_NOTE).alias("matches_with_date_note"),
             total(AMOUNT_VARIANCE).alias("amount_variances"),
             total(MISSING_IN_B).alias("missing_in_b"),
             total(MISSING_IN_A).alias("missing_in_a"),
-            total(None).alias("unclassified"),
-            F.coalesce(F.sum("rows_a"), F.lit(0)).cast("long").alias("rows_a"),
-            F.coalesce(F.sum("rows_b"), F.lit(0)).cast("long").alias("rows_b"),
+            F.coalesce(F.sum(F.when(F.col("category").isNull() & is_pair, F.col("n"))), zero).alias("unclassified"),
+            F.coalesce(F.sum("rows_a"), zero).alias("rows_a"),
+            F.coalesce(F.sum("rows_b"), zero).alias("rows_b"),
         )
         return counts.select(
             "exact_matches", "matches_with_date_note", "amount_variances", "missing_in_b", "missing_in_a",

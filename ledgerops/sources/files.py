@@ -32,9 +32,16 @@ CSV_WRITE_OPTIONS = {
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
-             infer_schema: bool = False, sep: str = ",", header: bool = True) -> DataFrame:
-    """Read CSV file(s) with a header. Columns are text unless ``schema`` or ``infer_schema``."""
-    reader = spark.read.option("header", str(header).lower()).option("sep", sep)
+             infer_schema: bool = False, sep: str = ",", header: bool = True,
+             multi_line: bool = False) -> DataFrame:
+    """Read CSV file(s) with a header. Columns are text unless ``schema`` or ``infer_schema``.
+
+    Quotes inside quoted fields are doubled (RFC 4180). ``multi_line`` allows
+    line breaks inside quoted fields but makes each file one task, so it is
+    off by default; splittable files keep the scan parallel.
+    """
+    reader = (spark.read.option("header", str(header).lower()).option("sep", sep)
+              .option("quote", '"').option("escape", '"').option("multiLine", str(multi_line).lower()))
     if schema is not None:
         reader = reader.schema(schema)
     elif infer_schema:
