@@ -131,42 +131,56 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def _long_values(df: DataFrame, common: list[str]) -> DataFrame:
+    """Unpivot the candidate columns to ``(position, v)`` rows in one pass.
+
+    Values are compared as text so that one column of pairs can hold every
+    candidate; within a candidate both sides share the same type, so text
+    equality is value equality.
+    """
+    entries = [
+        F.struct(F.lit(pos).alias("position"), _q(name).cast("string").alias("v"))
+        for pos, name in enumerate(common)
+    ]
+    return df.select(F.explode(F.array(*entries)).alias("e")).select("e.position", "e.v")
+
+
 def key_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Columns present in both A and B (in A's order) with evidence for choosing a key:
     ``a_nulls, a_distinct, b_nulls, b_distinct, a_keys_in_b, a_key_share``.
 
-    Distinct sets are built with map-side deduplication; the semi-join of the
-    two distinct sets reuses their hash partitioning (no third shuffle).
+    One scan per side: the candidate columns are unpivoted to
+    ``(position, value)``, deduplicated map-side (a hot value is one row per
+    task), and the semi-join of the two distinct sets reuses their hash
+    partitioning. NULL counts come from the same unpivoted rows.
     """
     common = [c for c in a.columns if c in b.columns]
     if not common:
         raise ValueError("sources A and B have no column name in common")
-    parts = []
-    for pos, name in enumerate(common):
-        ta, tb = a.schema[name].dataType, b.schema[name].dataType
-        ca, cb = (_q(name), _q(name)) if ta == tb else (_q(name).cast("string"), _q(name).cast("string"))
-        da = a.select(ca.alias("v")).where(F.col("v").isNotNull()).distinct()
-        db = b.select(cb.alias("v")).where(F.col("v").isNotNull()).distinct()
-        metric = [
-            ("a_distinct", da.agg(F.count(F.lit(1)).alias("n"))),
-            ("b_distinct", db.agg(F.count(F.lit(1)).alias("n"))),
-            ("a_keys_in_b", da.join(db, "v", "left_semi").agg(F.count(F.lit(1)).alias("n"))),
-            ("a_nulls", a.agg(F.count_if(ca.isNull()).alias("n"))),
-            ("b_nulls", b.agg(F.count_if(cb.isNull()).alias("n"))),
-        ]
-        for label, frame in metric:
-            parts.append(frame.select(F.lit(pos).alias("position"), F.lit(name).alias("column"),
-                                      F.lit(label).alias("metric"), F.col("n").cast("long").alias("n")))
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
+    long_a = _long_values(a, common)
+    long_b = _long_values(b, common)
+    da = long_a.where(F.col("v").isNotNull()).distinct()
+    db = long_b.where(F.col("v").isNotNull()).distinct()
+
+    def metric(frame: DataFrame, label: str, nulls: bool = False) -> DataFrame:
+        counted = F.count_if(F.col("v").isNull()) if nulls else F.count(F.lit(1))
+        return frame.groupBy("position").agg(counted.cast("long").alias("n")).select(
+            "position", F.lit(label).alias("metric"), "n")
+
+    stacked = (metric(long_a, "a_nulls", nulls=True)
+               .unionByName(metric(long_b, "b_nulls", nulls=True))
+               .unionByName(metric(da, "a_distinct"))
+               .unionByName(metric(db, "b_distinct"))
+               .unionByName(metric(da.join(db, ["position", "v"], "left_semi"), "a_keys_in_b")))
 
     def pick(label: str) -> Column:
-        return F.max(F.when(F.col("metric") == label, F.col("n"))).alias(label)
+        return F.coalesce(F.max(F.when(F.col("metric") == label, F.col("n"))), F.lit(0).cast("long")).alias(label)
 
-    wide = stacked.groupBy("position", "column").agg(
+    names = F.array(*[F.lit(n) for n in common])
+    wide = stacked.groupBy("position").agg(
         pick("a_nulls"), pick("a_distinct"), pick("b_nulls"), pick("b_distinct"), pick("a_keys_in_b"))
     return wide.select(
-        "position", "column", "a_nulls", "a_distinct", "b_nulls", "b_distinct", "a_keys_in_b",
+        "position", F.element_at(names, F.col("position") + 1).alias("column"),
+        "a_nulls", "a_distinct", "b_nulls", "b_distinct", "a_keys_in_b",
         F.when(F.col("a_distinct") > 0, F.col("a_keys_in_b") / F.col("a_distinct")).alias("a_key_share"),
     )
