@@ -23,6 +23,7 @@ from ..operators import reconciliation as rc
 from ..sources import files as io
 from ..sources import inspect as ins
 from ..session import scratch_path
+from .. import streaming as st
 from . import inputs as I
 from . import oracle_sql as S
 
@@ -215,6 +216,12 @@ def filter_between(spark, sf_dir):
     return fl.filter_rows(o, [fl.FilterRange("amount", "o_totalprice", "100000", "200000")])
 
 
+@register("filter_equals", "SELECT * FROM orders WHERE o_orderstatus = 'F'")
+def filter_equals(spark, sf_dir):
+    o = I.table(spark, sf_dir, "orders")
+    return fl.filter_rows(o, [{"column": "o_orderstatus", "value": "F"}])
+
+
 @register("filter_date_range", "SELECT * FROM orders WHERE o_orderdate BETWEEN '1996-01-01' AND '1996-03-31'")
 def filter_date_range(spark, sf_dir):
     o = I.table(spark, sf_dir, "orders")
@@ -414,3 +421,34 @@ def csv_round_trip(spark, sf_dir):
         fc.clean_amount("c_acctbal").alias("c_acctbal"),
         "c_mktsegment",
     )
+
+
+# -- streaming -------------------------------------------------------------------------
+
+
+def _table_stream(spark, sf_dir: str, name: str) -> DataFrame:
+    """The table's file(s) as a file stream (schema from the Parquet footer)."""
+    base = sf_dir.rstrip("/")
+    schema = I.table(spark, sf_dir, name).schema
+    return st.file_stream(spark, f"{base}/{name}*.parquet", schema, fmt="parquet", base_path=base)
+
+
+@register("stream_running_totals", """
+SELECT l_returnflag, l_linestatus, count(*) AS record_count, sum(l_quantity) AS total_amount
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def stream_running_totals(spark, sf_dir):
+    """Running totals kept by Structured Streaming, run over every file available now."""
+    totals = st.running_totals(_table_stream(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"],
+                               "l_quantity")
+    out = scratch_path(spark, "stream-totals")
+    st.run_available(totals, out, output_mode="complete")
+    return spark.read.parquet(out)
+
+
+@register("stream_filter", "SELECT * FROM orders WHERE " + ORDER_FILTERS_SQL.format(op="AND"))
+def stream_filter(spark, sf_dir):
+    """The analyze filter applied to orders as they arrive (append, exactly-once file sink)."""
+    kept = st.filter_stream(_table_stream(spark, sf_dir, "orders"), ORDER_FILTERS, "AND")
+    out = scratch_path(spark, "stream-filter")
+    st.run_available(kept, out, output_mode="append")
+    return spark.read.parquet(out)
