@@ -35,7 +35,14 @@ def _col(c: ColumnOrName) -> Column:
 def _parse_number(text: Column) -> Column:
     # Keep digits, dots and minus signs (commas and every other character are
     # dropped), then parse; anything that is still not a number becomes NULL.
-    return F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
+    kept = F.regexp_replace(text, r"[^0-9.\-]", "")
+    # Over this alphabet a text parses iff it has a digit, at most one dot and
+    # a minus only in front. Checking that first (plain string functions)
+    # spares the per-row exception a failed cast costs.
+    has_digit = F.length(F.translate(kept, ".-", "")) > 0
+    one_dot = F.length(kept) - F.length(F.replace(kept, F.lit("."), F.lit(""))) <= 1
+    minus_in_front = F.instr(F.substring(kept, 2, 1 << 30), "-") == 0
+    return F.when(has_digit & one_dot & minus_in_front, kept.try_cast("double"))
 
 
 def clean_amount(c: ColumnOrName, data_type: T.DataType | None = None) -> Column:
@@ -51,8 +58,10 @@ def clean_amount(c: ColumnOrName, data_type: T.DataType | None = None) -> Column
     text = col.cast("string")
     trimmed = F.trim(text)
     in_parens = trimmed.like("(%)")
-    negated = F.lit(-1) * _parse_number(F.btrim(trimmed, F.lit("()")))
-    return F.when(in_parens, negated).otherwise(_parse_number(text))
+    # One parse per row: pick the text to parse, then apply the sign.
+    source = F.when(in_parens, F.btrim(trimmed, F.lit("()"))).otherwise(text)
+    sign = F.when(in_parens, F.lit(-1)).otherwise(F.lit(1))
+    return sign * _parse_number(source)
 
 
 def clean_date(c: ColumnOrName) -> Column:
@@ -128,6 +137,21 @@ def to_text(c: ColumnOrName, data_type: T.DataType | None = None) -> Column:
     return F.when(big, plain).otherwise(col.cast("string"))
 
 
-def safe_double(c: ColumnOrName) -> Column:
-    """Text or number -> DOUBLE, NULL where it does not parse."""
-    return _col(c).try_cast("double")
+# Text forms accepted as a number by the safe total (decimal
+# notation with an optional exponent, or infinity / not-a-number).
+NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+SPECIAL_NUMBER_TEXT = r"^\s*[+-]?(?i:inf|infinity|nan)\s*$"
+
+
+def safe_double(c: ColumnOrName, data_type: T.DataType | None = None) -> Column:
+    """Text or number -> DOUBLE, NULL where it does not parse.
+
+    Text is tested against the number pattern before casting, so a column of
+    words costs a pattern test per row instead of a failed cast.
+    """
+    col = _col(c)
+    if isinstance(data_type, T.NumericType):
+        return col.cast("double")
+    text = col.cast("string")
+    looks_numeric = text.rlike(NUMBER_TEXT) | text.rlike(SPECIAL_NUMBER_TEXT)
+    return F.when(looks_numeric, text.try_cast("double"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cleaning import safe_double
 from .filters import FilterRange, filter_rows
 
 
@@ -36,7 +37,7 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
 def safe_total(df: DataFrame, columns: list[str]) -> DataFrame:
     """``SUM(TRY_CAST(col AS DOUBLE))`` per column in one row (text that does
     not parse counts as NULL). Output column per input: ``<col>_total``."""
-    return df.agg(*[F.sum(F.col(c).try_cast("double")).alias(f"{c}_total") for c in columns])
+    return df.agg(*[F.sum(safe_double(f"`{c}`", df.schema[c].dataType)).alias(f"{c}_total") for c in columns])
 
 
 @dataclass
