@@ -12,8 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import column
+
 # Accepted boolean words, output date formats and number formats
-# (must equal the reference's for equal results).
+# (must equal the original tool's values for equal results).
 TRUE_WORDS = ("true", "yes", "y", "1", "t")
 FALSE_WORDS = ("false", "no", "n", "0", "f")
 DATE_FORMATS = {
@@ -29,7 +31,7 @@ ColumnOrName = Column | str
 
 
 def _col(c: ColumnOrName) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return column(c) if isinstance(c, str) else c
 
 
 def _parse_number(text: Column) -> Column:

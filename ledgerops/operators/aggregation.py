@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import column
+
 # Sort choices of the aggregate tool.
 SORT_BY_TOTAL = "total"
 SORT_BY_COUNT = "count"
@@ -26,13 +28,13 @@ def check_same_columns(dfs: list[DataFrame], names: list[str] | None = None) ->
     """Column *name sets* must be equal to the first table's (order and types are free)."""
     if not dfs:
         raise ValueError("no tables provided for union")
-    reference = set(dfs[0].columns)
+    first = set(dfs[0].columns)
     for i, df in enumerate(dfs[1:], start=1):
         current = set(df.columns)
-        if current != reference:
+        if current != first:
             label = names[i] if names else f"table {i}"
-            missing = sorted(reference - current)
-            extra = sorted(current - reference)
+            missing = sorted(first - current)
+            extra = sorted(current - first)
             raise ValueError(f"schema mismatch in {label}: missing={missing}, extra={extra}")
 
 
@@ -49,7 +51,7 @@ def union_all(dfs: list[DataFrame], by: str = "name", validate: bool = True,
     if validate and len(dfs) > 1:
         check_same_columns(dfs, names)
     if by == "name":
-        order = dfs[0].columns
+        order = [column(c) for c in dfs[0].columns]
         return functools.reduce(lambda x, y: x.unionByName(y.select(*order)), dfs[1:], dfs[0])
     if by == "position":
         return functools.reduce(DataFrame.union, dfs)
@@ -88,9 +90,9 @@ def order_columns(sort_by: str | list[tuple[str, str]], group_cols: list[str]) -
     out = []
     for name, direction in spec:
         if direction.lower() == "desc":
-            out.append(F.desc_nulls_last(name))
+            out.append(column(name).desc_nulls_last())
         else:
-            out.append(F.asc_nulls_last(name))
+            out.append(column(name).asc_nulls_last())
     return out
 
 
@@ -104,9 +106,9 @@ def aggregate(df: DataFrame, group_cols: list[str], sum_col: str,
     if not group_cols:
         raise ValueError("at least one group column is required")
     _require_numeric(df, sum_col)
-    grouped = df.groupBy(*group_cols).agg(
+    grouped = df.groupBy(*[column(g) for g in group_cols]).agg(
         F.count(F.lit(1)).alias("record_count"),
-        F.sum(sum_col).alias("total_amount"),
+        F.sum(column(sum_col)).alias("total_amount"),
     )
     if sort_by is None:
         return grouped
@@ -126,7 +128,7 @@ def grand_total(grouped: DataFrame) -> DataFrame:
 def input_totals(df: DataFrame, sum_col: str) -> DataFrame:
     """``COUNT(*)`` and ``SUM(sum_col)`` over the input rows themselves."""
     _require_numeric(df, sum_col)
-    return df.agg(F.count(F.lit(1)).alias("total_records"), F.sum(sum_col).alias("grand_total"))
+    return df.agg(F.count(F.lit(1)).alias("total_records"), F.sum(column(sum_col)).alias("grand_total"))
 
 
 def top_groups(grouped: DataFrame, k: int, sort_by: str | list[tuple[str, str]] = SORT_BY_TOTAL,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import safe_double
+from ..functions.names import column as col
 from .filters import FilterRange, filter_rows
 
 
@@ -24,7 +25,7 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
     dtype = df.schema[column].dataType
     if not isinstance(dtype, T.NumericType):
         raise TypeError(f"statistics need a numeric column; {column!r} is {dtype.simpleString()}")
-    c = F.col(column)
+    c = col(column)
     return df.agg(
         F.count(F.lit(1)).alias("count"),
         F.sum(c).alias("total"),
@@ -37,7 +38,7 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
 def safe_total(df: DataFrame, columns: list[str]) -> DataFrame:
     """``SUM(TRY_CAST(col AS DOUBLE))`` per column in one row (text that does
     not parse counts as NULL). Output column per input: ``<col>_total``."""
-    return df.agg(*[F.sum(safe_double(f"`{c}`", df.schema[c].dataType)).alias(f"{c}_total") for c in columns])
+    return df.agg(*[F.sum(safe_double(col(c), df.schema[c].dataType)).alias(f"{c}_total") for c in columns])
 
 
 @dataclass

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from ..functions.names import column
+
 from ..functions.cleaning import (
     clean_amount,
     clean_boolean,
@@ -55,7 +57,7 @@ def column_expression(name: str, data_type: T.DataType, kind: str, fmt: str | No
     if kind == "Boolean":
         return clean_boolean(name)
     if kind == "Text":
-        return F.col(name)
+        return column(name)
     raise ValueError(f"unknown column type {kind!r}; expected one of {tuple(DATA_TYPES)}")
 
 
@@ -78,7 +80,7 @@ def select_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}")
-    return df.select(*[F.col(c) for c in columns])
+    return df.select(*[column(c) for c in columns])
 
 
 def clean_table(df: DataFrame, specs: list[ColumnSpec | dict], on_error: str = "raise") -> DataFrame:
@@ -102,6 +104,6 @@ def clean_table(df: DataFrame, specs: list[ColumnSpec | dict], on_error: str = "
         except (ValueError, TypeError, AnalysisException):
             if on_error == "raise":
                 raise
-            expr = F.col(spec.name)
+            expr = column(spec.name)
         exprs.append(expr.alias(spec.name))
     return df.select(*exprs)

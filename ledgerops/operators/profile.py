@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import clean_amount, clean_boolean, clean_date, parse_date
+from ..functions.names import column
 from ..sources.inspect import sql_type_name
 
 # Lower-case name fragments that suggest a column's role.
@@ -82,7 +83,7 @@ def guess_type(name: str, data_type: T.DataType) -> str:
 
 
 def _q(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return column(name)
 
 
 def _share(part: str, whole: str) -> Column:

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import clean_amount, clean_date
+from ..functions.names import column
 
 # Category names, the note text and the export file names.
 EXACT_MATCH = "exact_match"
@@ -97,8 +98,8 @@ def _key_columns(a: DataFrame, b: DataFrame, key: str) -> tuple[Column, Column]:
     """Key expressions for both sides; unequal types are compared as text."""
     type_a, type_b = a.schema[key].dataType, b.schema[key].dataType
     if type_a == type_b:
-        return F.col(key), F.col(key)
-    return F.col(key).cast("string"), F.col(key).cast("string")
+        return column(key), column(key)
+    return column(key).cast("string"), column(key).cast("string")
 
 
 def exact_from(pairs: DataFrame) -> DataFrame:
@@ -145,21 +146,21 @@ class Reconciliation:
     # -- role projection -------------------------------------------------
     def _side_a(self) -> DataFrame:
         cfg = self.config
-        desc = F.col(cfg.description_col_a) if cfg.description_col_a else F.lit(None).cast("string")
+        desc = column(cfg.description_col_a) if cfg.description_col_a else F.lit(None).cast("string")
         return self.a.select(
             self._key_a.alias("match_key"),
-            F.col(cfg.date_col_a).alias("date_a"),
-            F.col(cfg.amount_col_a).alias("amount_a"),
+            column(cfg.date_col_a).alias("date_a"),
+            column(cfg.amount_col_a).alias("amount_a"),
             desc.alias("description_a"),
         )
 
     def _side_b(self) -> DataFrame:
         cfg = self.config
-        desc = F.col(cfg.description_col_b) if cfg.description_col_b else F.lit(None).cast("string")
+        desc = column(cfg.description_col_b) if cfg.description_col_b else F.lit(None).cast("string")
         return self.b.select(
             self._key_b.alias(_KEY_B),
-            F.col(cfg.date_col_b).alias("date_b"),
-            F.col(cfg.amount_col_b).alias("amount_b"),
+            column(cfg.date_col_b).alias("date_b"),
+            column(cfg.amount_col_b).alias("amount_b"),
             desc.alias("description_b"),
         )
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.cleaning import to_text
+from ..functions.names import column
 from ..operators.aggregation import union_all
 from ..operators import reconciliation as rc
 from ..operators.reconciliation import RESULT_FILE_NAMES, Reconciliation
@@ -75,9 +76,9 @@ def as_text_numbers(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(to_text(f"`{f.name}`", f.dataType).alias(f.name))
+            cols.append(to_text(column(f.name), f.dataType).alias(f.name))
         else:
-            cols.append(f"`{f.name}`")
+            cols.append(column(f.name))
     return df.select(*cols)
 
 

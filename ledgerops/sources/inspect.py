@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import column
+
 # SQL names for Spark types, as spreadsheet-side SQL prints them.
 _SQL_TYPE_NAMES = {
     T.LongType: "BIGINT",
@@ -55,7 +57,7 @@ def preview(df: DataFrame, n: int = DEFAULT_PREVIEW_ROWS, columns: list[str] | N
     Unordered, Spark stops scanning once ``n`` rows are found; ordered, it
     keeps a top-``n`` heap per task (TakeOrderedAndProject), never a full sort.
     """
-    out = df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
+    out = df.select(*[column(c) for c in columns]) if columns else df
     if order_by:
         out = out.orderBy(*order_by)
     return out.limit(n)
