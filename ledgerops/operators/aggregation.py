@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import column
+from ..session import checkpoint_dir
 
 # Sort choices of the aggregate tool.
 SORT_BY_TOTAL = "total"
@@ -148,10 +149,21 @@ class AggregateResult:
 
 def aggregate_tables(dfs: list[DataFrame], primary: str, sum_col: str,
                      extra_groups: list[str] | None = None, sort_by: str = SORT_BY_TOTAL,
-                     by: str = "name", names: list[str] | None = None) -> AggregateResult:
-    """The aggregate tool: check and stack the tables, group, sort, total (lazy)."""
+                     by: str = "name", names: list[str] | None = None,
+                     materialize: bool = False) -> AggregateResult:
+    """The aggregate tool: check and stack the tables, group, sort, total.
+
+    Lazy by default. With ``materialize=True`` the grouped rows are computed
+    once and checkpointed to the shared checkpoint folder (one pass over all
+    inputs); the sorted groups and the totals are then read from it, so asking
+    for both does not scan the inputs twice, and a lost executor does not
+    send the job back to the inputs.
+    """
     combined = union_all(dfs, by=by, names=names)
     cols = group_columns(primary, extra_groups)
-    groups = aggregate(combined, cols, sum_col, sort_by=sort_by)
-    totals = grand_total(aggregate(combined, cols, sum_col, sort_by=None))
-    return AggregateResult(combined=combined, groups=groups, totals=totals)
+    grouped = aggregate(combined, cols, sum_col, sort_by=None)
+    if materialize:
+        checkpoint_dir(grouped.sparkSession)
+        grouped = grouped.checkpoint(eager=True)
+    groups = grouped.orderBy(*order_columns(sort_by, cols))
+    return AggregateResult(combined=combined, groups=groups, totals=grand_total(grouped))

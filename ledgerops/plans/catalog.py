@@ -103,6 +103,20 @@ def recon_text_sources(spark, sf_dir):
     return recon.summary()
 
 
+@register("recon_gaps_summary", S.summary_sql(I.LEDGERS_GAPS_SQL, "gaps_a", "gaps_b", TOL))
+def recon_gaps_summary(spark, sf_dir):
+    """Sources with NULL keys, dates and amounts: unclassified pairs and NULL keys counted."""
+    recon = rc.reconcile(I.ledger_a_gaps(spark, sf_dir), I.ledger_b_gaps(spark, sf_dir), I.LEDGER_CONFIG)
+    return recon.summary()
+
+
+@register("recon_gaps_missing_in_b", f"""WITH {I.LEDGERS_GAPS_SQL}
+SELECT a.* FROM gaps_a a LEFT JOIN gaps_b b ON a.k = b.k WHERE b.k IS NULL""")
+def recon_gaps_missing_in_b(spark, sf_dir):
+    recon = rc.reconcile(I.ledger_a_gaps(spark, sf_dir), I.ledger_b_gaps(spark, sf_dir), I.LEDGER_CONFIG)
+    return recon.missing_in_b
+
+
 @register("recon_orders_vs_lines", S.summary_sql(
     I.LEDGERS_SQL.strip() + "," + I.ORDER_TOTALS_SQL, "ledger_a", "order_totals", TOL))
 def recon_orders_vs_lines(spark, sf_dir):

@@ -85,6 +85,35 @@ ledger_b AS (
 """
 
 
+def _with_gaps(df: DataFrame, key_every: int, date_every: int, amount_every: int) -> DataFrame:
+    k = F.col("k")
+    return df.select(
+        F.when(k % key_every == 0, F.lit(None)).otherwise(k).alias("k"),
+        F.when(k % date_every == 0, F.lit(None)).otherwise(F.col("d")).alias("d"),
+        F.when(k % amount_every == 0, F.lit(None)).otherwise(F.col("amt")).alias("amt"),
+        "memo",
+    )
+
+
+def ledger_a_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source A with missing keys, dates and amounts (NULL), as real exports have."""
+    return _with_gaps(ledger_a(spark, sf_dir), 23, 29, 31)
+
+
+def ledger_b_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_gaps(ledger_b(spark, sf_dir), 37, 41, 43)
+
+
+LEDGERS_GAPS_SQL = LEDGERS_SQL + """,
+gaps_a AS (
+  SELECT CASE WHEN k % 23 = 0 THEN NULL ELSE k END AS k, CASE WHEN k % 29 = 0 THEN NULL ELSE d END AS d,
+         CASE WHEN k % 31 = 0 THEN NULL ELSE amt END AS amt, memo FROM ledger_a),
+gaps_b AS (
+  SELECT CASE WHEN k % 37 = 0 THEN NULL ELSE k END AS k, CASE WHEN k % 41 = 0 THEN NULL ELSE d END AS d,
+         CASE WHEN k % 43 = 0 THEN NULL ELSE amt END AS amt, memo FROM ledger_b)
+"""
+
+
 def money_text(amount: Column) -> Column:
     """``1,234.56`` (via DECIMAL, so no float digits leak into the text)."""
     return F.format_number(amount.cast("decimal(18,2)"), 2)

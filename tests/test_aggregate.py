@@ -26,6 +26,13 @@ def test_aggregate_tool_sample(months):
     assert (t["row_count"], t["total_records"], t["grand_total"]) == (3, 166, 24450.5)
 
 
+def test_aggregate_tool_materialized(months):
+    res = agg.aggregate_tables(months, "category", "amount", materialize=True)
+    assert [r["category"] for r in res.groups.collect()] == ["Electronics", "Clothing", "Food"]
+    assert res.totals.first()["grand_total"] == 24450.5
+    assert "Union" not in res.totals._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sort_choices(months):
     combined = agg.union_all(months)
     by_count = [r[0] for r in agg.aggregate(combined, ["category"], "amount", agg.SORT_BY_COUNT).collect()]

@@ -30,8 +30,12 @@ def test_load_files_reports_schema_mismatch(spark, tmp_dir):
     io.write_csv(a, pa)
     io.write_csv(b, pb)
     io.write_csv(c, pc)
-    stacked = io.load_files(spark, [pa, pb], fmt="csv")
-    assert sorted(tuple(r) for r in stacked.collect()) == [("1", "x"), ("2", "y")]
+    pa2 = os.path.join(tmp_dir, "a2")
+    io.write_csv(a, pa2)
+    stacked = io.load_files(spark, [pa, pb, pa2], fmt="csv")
+    assert sorted(tuple(r) for r in stacked.collect()) == [("1", "x"), ("1", "x"), ("2", "y")]
+    # files with the same header are read together: two scans for three files
+    assert stacked._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
     try:
         io.load_files(spark, [pa, pc], fmt="csv")
         raise AssertionError("expected a schema error")
