@@ -133,7 +133,7 @@ def _signed(df: DataFrame) -> DataFrame:
 
 def ledger_a_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source A as text: ``dd/MM/yyyy`` dates, ``$1,234.56`` / ``($1,234.56)`` amounts."""
-    a = _signed(ledger_a(spark, sf_dir))
+    a = _signed(spread(ledger_a(spark, sf_dir)))
     amt = F.col("amt")
     text = F.when(amt < 0, F.concat(F.lit("($"), money_text(-amt), F.lit(")"))) \
         .otherwise(F.concat(F.lit("$"), money_text(amt)))
@@ -142,7 +142,7 @@ def ledger_a_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_b_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source B as text: ISO dates, ``R-1,234.56`` amounts."""
-    b = _signed(ledger_b(spark, sf_dir))
+    b = _signed(spread(ledger_b(spark, sf_dir)))
     return b.select("k", F.col("d").cast("string").alias("d"),
                     F.concat(F.lit("R"), money_text(F.col("amt"))).alias("amt"), "memo")
 
@@ -191,11 +191,17 @@ lines_b AS (
 
 
 def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source B for orders-vs-lines: per order, first ship date and exact line total."""
+    """Source B for orders-vs-lines: per order, first ship date and exact line total.
+
+    Prices have cents, so the total is summed exactly as whole cents in a long
+    (cheaper than a wide DECIMAL sum) and divided once: the same double as the
+    exact decimal total.
+    """
     li = table(spark, sf_dir, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     return li.groupBy(F.col("l_orderkey").alias("k")).agg(
         F.min(F.col("l_shipdate").cast("date")).alias("d"),
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amt"),
+        (F.sum(cents) / F.lit(100.0)).alias("amt"),
         F.count(F.lit(1)).cast("string").alias("memo"),
     )
 
@@ -213,7 +219,7 @@ order_totals AS (
 
 def amount_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem prices written eight ways (currency, parentheses, suffixes, n/a, ...)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"))
     x = F.col("l_extendedprice")
     money = money_text(x)
     kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 8
