@@ -117,6 +117,19 @@ def recon_gaps_missing_in_b(spark, sf_dir):
     return recon.missing_in_b
 
 
+@register("recon_source_totals", f"""WITH {I.LEDGERS_TEXT_SQL.strip()}
+SELECT (SELECT round(sum({S.amount_sql('amt')}), 2) FROM text_a) AS total_a,
+       (SELECT round(sum({S.amount_sql('amt')}), 2) FROM text_b) AS total_b""")
+def recon_source_totals(spark, sf_dir):
+    """Amount totals of both text sources after auto-cleaning (shown before a run)."""
+    a, b = rc.clean_sources(I.ledger_a_text(spark, sf_dir), I.ledger_b_text(spark, sf_dir), I.LEDGER_CONFIG,
+                            clean_dates=False)
+    totals = (an.safe_total(a, ["amt"]).select(F.lit(1).alias("_row"), F.round("amt_total", 2).alias("total_a"))
+              .join(an.safe_total(b, ["amt"]).select(F.lit(1).alias("_row"), F.round("amt_total", 2).alias("total_b")),
+                    "_row"))
+    return totals.drop("_row")
+
+
 @register("recon_orders_vs_lines", S.summary_sql(
     I.LEDGERS_SQL.strip() + "," + I.ORDER_TOTALS_SQL, "ledger_a", "order_totals", TOL))
 def recon_orders_vs_lines(spark, sf_dir):

@@ -81,3 +81,11 @@ def test_top_groups_tie_break(spark):
     df = spark.createDataFrame([("c", 5.0), ("a", 5.0), ("b", 5.0), ("d", 1.0)], "g string, v double")
     grouped = agg.aggregate(df, ["g"], "v", sort_by=None)
     assert [r["g"] for r in agg.top_groups(grouped, 2).collect()] == ["a", "b"]
+
+
+def test_caller_order_and_empty_totals(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 3.0), ("c", "y", 2.0)], "g string, h string, v double")
+    rows = agg.aggregate(df, ["h", "g"], "v", [("h", "desc"), ("total_amount", "asc")]).collect()
+    assert [r["g"] for r in rows] == ["c", "a", "b"]
+    empty = agg.grand_total(agg.aggregate(df.where("v > 10"), ["g"], "v", sort_by=None)).first()
+    assert (empty["row_count"], empty["total_records"], empty["grand_total"]) == (0, 0, None)
