@@ -255,12 +255,12 @@ class Reconciliation:
             F.coalesce(F.col("n_b"), zero).alias("rows_b"),
         ).where(F.col("category").isNotNull() | (F.col("rows_a") > 0))
 
-        null_a = self.a.select(self._key_a.alias("k")).where(F.col("k").isNull()).agg(
-            F.count(F.lit(1)).alias("n")).select(
-            F.lit(MISSING_IN_B).alias("category"), "n", F.col("n").alias("rows_a"), zero.alias("rows_b"))
-        null_b = self.b.select(self._key_b.alias("k")).where(F.col("k").isNull()).agg(
-            F.count(F.lit(1)).alias("n")).select(
-            F.lit(MISSING_IN_A).alias("category"), "n", zero.alias("rows_a"), F.col("n").alias("rows_b"))
+        # NULL-key rows go straight into the final (partially aggregated) sum.
+        one = F.lit(1).cast("long")
+        null_a = self.a.select(self._key_a.alias("k")).where(F.col("k").isNull()).select(
+            F.lit(MISSING_IN_B).alias("category"), one.alias("n"), one.alias("rows_a"), zero.alias("rows_b"))
+        null_b = self.b.select(self._key_b.alias("k")).where(F.col("k").isNull()).select(
+            F.lit(MISSING_IN_A).alias("category"), one.alias("n"), zero.alias("rows_a"), one.alias("rows_b"))
 
         rows = pair_rows.unionByName(key_rows).unionByName(null_a).unionByName(null_b)
 
