@@ -39,8 +39,12 @@ def spread(df: DataFrame) -> DataFrame:
     exchange. A large input already has one task per split and is returned
     unchanged, so this never adds a shuffle at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except NotImplementedError:  # Spark Connect: no split count, leave the plan as it is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 # -- reconcile sources ---------------------------------------------------------

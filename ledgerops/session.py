@@ -47,10 +47,20 @@ def build_session(
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None on a Spark Connect session (no RDD-level API there)."""
+    try:
+        return spark.sparkContext
+    except NotImplementedError:
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
@@ -58,13 +68,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     session. Only when nothing is configured (local runs and tests) a fresh
     scratch folder is created and registered.
     """
-    configured = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    configured = sc.getCheckpointDir() if sc is not None else None
     if not configured:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
             configured = tempfile.mkdtemp(prefix="ledgerops-ckpt-")
-        spark.sparkContext.setCheckpointDir(configured)
-        configured = spark.sparkContext.getCheckpointDir() or configured
+        if sc is not None:
+            sc.setCheckpointDir(configured)
+            configured = sc.getCheckpointDir() or configured
     return configured
 
 
