@@ -27,8 +27,19 @@ LEDGER_CONFIG = ReconConfig(
 SPLIT_YEARS = tuple(range(1995, 2002))
 
 
+_RELATIONS: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One given table. Each table is resolved once per session (file listing and
+    Parquet footers) and the relation is reused by every query, as a catalog
+    table would be; a DataFrame is an immutable plan, so sharing it is safe."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    cached = _RELATIONS.get((id(spark), path))
+    if cached is None or cached[0] is not spark:
+        cached = (spark, spark.read.parquet(path))
+        _RELATIONS[(id(spark), path)] = cached
+    return cached[1]
 
 
 def spread(df: DataFrame) -> DataFrame:
