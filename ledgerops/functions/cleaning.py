@@ -119,8 +119,18 @@ def precision_of(fmt: str | None) -> int:
 
 
 def format_number(c: ColumnOrName, precision: int = 2) -> Column:
-    """Round to ``precision`` digits; the result stays DOUBLE (strict cast)."""
-    return F.round(_col(c).cast("double"), precision)
+    """Round to ``precision`` digits; the result stays DOUBLE.
+
+    Computed as ``round_half_away(x * 10^p) / 10^p`` in floating point, as the
+    spreadsheet-side SQL does: ``1.005`` gives ``1.0`` and ``2.675`` gives
+    ``2.68`` at two digits (rounding the shortest decimal text instead would
+    give ``1.01``). A tie after scaling is always an exactly representable
+    ``.5``, so the integer rounding step itself is exact.
+    """
+    value = _col(c).cast("double")
+    scale = F.lit(float(10 ** precision))
+    scaled = F.round(value * scale, 0) / scale
+    return F.when(F.abs(value) < F.lit(1e300), scaled).otherwise(value)
 
 
 def to_text(c: ColumnOrName, data_type: T.DataType | None = None) -> Column:

@@ -200,6 +200,18 @@ def format_number(spark, sf_dir):
                                    for f in ("0", "0.00", "0.000", "0.0000")])
 
 
+@register("format_number_net", """
+SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 0) AS net_0,
+       round(l_extendedprice * (1 - l_discount), 1) AS net_1, round(l_extendedprice * (1 - l_discount), 2) AS net_2
+FROM lineitem""")
+def format_number_net(spark, sf_dir):
+    """Net prices have up to four decimals, so many values sit on a rounding tie."""
+    li = I.table(spark, sf_dir, "lineitem")
+    net = F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))
+    return li.select("l_orderkey", "l_linenumber",
+                     *[fc.format_number(net, p).alias(f"net_{p}") for p in (0, 1, 2)])
+
+
 MIXED_SPECS = [
     cl.ColumnSpec("id", True, "Text"),
     cl.ColumnSpec("trans_date", True, "Date", "DD-MMM-YYYY"),

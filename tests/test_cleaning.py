@@ -102,3 +102,10 @@ def test_to_text_plain_doubles(spark):
     df = spark.createDataFrame([(12345678901.5,), (12345678901.0,), (1863.84,), (None,)], "v double")
     got = [r[0] for r in df.select(fc.to_text("v", df.schema["v"].dataType)).collect()]
     assert got == ["12345678901.5", "12345678901.0", "1863.84", None]
+
+
+@pytest.mark.parametrize("value,digits,want", [(1.005, 2, 1.0), (2.675, 2, 2.68), (0.125, 2, 0.13),
+                                               (-2.5, 0, -3.0), (1.5, 0, 2.0), (1234.5678, 3, 1234.568)])
+def test_format_number_rounds_the_binary_value(spark, value, digits, want):
+    df = spark.createDataFrame([(value,)], "v double")
+    assert df.select(fc.format_number("v", digits)).first()[0] == want
