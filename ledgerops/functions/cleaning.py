@@ -93,13 +93,26 @@ def clean_boolean(c: ColumnOrName) -> Column:
     return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
 
 
+# The text shape read as a date: optional spaces, a year of any
+# length, month and day of one or two digits with the same separator twice
+# ('-', '/' or a space), optionally a valid time of day (HH:MM, seconds,
+# fraction, UTC offset) after spaces or 'T', optional trailing spaces.
+DATE_TEXT = (r"^\s*(\d+)([-/ ])(\d{1,2})\2(\d{1,2})"
+             r"(?:(?:\s+|T)(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?:[+-]\d{2}(?::?\d{2})?)?)?\s*$")
+
+
 def parse_date(c: ColumnOrName) -> Column:
-    """Text -> DATE when it starts like ``yyyy-m-d``; NULL otherwise.
+    """Text -> DATE when it has the date shape above and names a real day; else NULL.
 
-    The shape guard keeps Spark from reading ``2024`` or ``2024-01`` as a date.
+    The shape is matched first, then rebuilt as zero-padded ``yyyy-MM-dd`` and
+    cast, so a short year (``24-02-01``) is year 24 and ``2024-02-30`` is NULL.
     """
     text = _col(c).cast("string")
-    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date"))
+    iso_like = F.regexp_replace(text, DATE_TEXT, "$1-$3-$4")
+    year, month, day = (F.split_part(iso_like, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
+    year = F.when(F.length(year) < 4, F.lpad(year, 4, "0")).otherwise(year)
+    iso = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+    return F.when(text.rlike(DATE_TEXT), iso.try_cast("date"))
 
 
 def format_date(c: ColumnOrName, fmt: str = DEFAULT_DATE_FORMAT) -> Column:

@@ -48,8 +48,7 @@ def boolean_sql(x: str) -> str:
 
 
 def parse_date_sql(x: str) -> str:
-    s = f"CAST({x} AS VARCHAR)"
-    return rf"(CASE WHEN regexp_matches({s}, '^\d{{4}}-\d{{1,2}}-\d{{1,2}}') THEN TRY_CAST({s} AS DATE) END)"
+    return f"TRY_CAST(CAST({x} AS VARCHAR) AS DATE)"
 
 
 def format_date_sql(x: str, fmt: str) -> str:

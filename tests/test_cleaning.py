@@ -15,14 +15,14 @@ AMOUNTS = [
     ("(100) CR", 100.0), ("()", None), ("", None),
 ]
 
-DATES = [  # raw, cleaned, formatted DD-MMM-YYYY (Spark side)
+DATES = [  # raw, cleaned, formatted DD-MMM-YYYY (the values the ledger SQL gives)
     ("2024-01-15", "2024-01-15", "15-Jan-2024"),
     ("13/02/2024", "2024-02-13", "13-Feb-2024"),
     ("02/13/2024", "2024-02-13", "13-Feb-2024"),
     ("01/02/2024", "2024-02-01", "01-Feb-2024"),
-    ("1/2/24", "24-02-01", None),
+    ("1/2/24", "24-02-01", "01-Feb-0024"),
     ("13/25/2024", "2024-25-13", None),
-    ("2024/01/15", "15-01-20", None),
+    ("2024/01/15", "15-01-20", "20-Jan-0015"),
     ("Jan 5, 2024", "Jan 5, 2024", None),
     ("a/b/c", "c-0b-0a", None),
     ("2024-01-15 10:00:00", "2024-01-15 10:00:00", "15-Jan-2024"),
@@ -109,3 +109,21 @@ def test_to_text_plain_doubles(spark):
 def test_format_number_rounds_the_binary_value(spark, value, digits, want):
     df = spark.createDataFrame([(value,)], "v double")
     assert df.select(fc.format_number("v", digits)).first()[0] == want
+
+
+DATE_TEXTS = ["24-02-01", "15-01-20", "2024-1-5", "024-02-01", "2024-02-01 10:00:00", "2024-02-01T10:00",
+              "2024-02-01abc", "  2024-02-01", "2024-02-01  ", "2024-13-01", "2024-02-30", "1-2-3",
+              "2024/02/01", "20240201", "2024-02-01 x", "+2024-01-01", "2024-02-1", "2024 02 01",
+              "2024.02.01", "2024-02/01", "2024-02-01 10:00", "2024-02-01 10", "2024-02-01T10:00:00.123",
+              "2024-02-01 10:00:00+01", "2024-02-01 25:00:00", "2024-02-01 10:00:00.5",
+              "2024-02-01  10:00", "2024-02-01T", "2024-02-01 BC", "2024-02-01 10:61:00", "\t2024-02-01",
+              "2024-02-01\n", "Jan 5, 2024", "", "1998-10-03 00:00:00", "0024-02-29", "2023-02-29"]
+
+
+def test_format_date_matches_duckdb(spark):
+    import duckdb
+    con = duckdb.connect()
+    want = [con.execute("SELECT strftime(TRY_CAST(? AS DATE), '%d-%b-%Y')", [t]).fetchone()[0] for t in DATE_TEXTS]
+    df = _one_col(spark, DATE_TEXTS)
+    got = [r[0] for r in df.select(fc.format_date("v", "DD-MMM-YYYY")).collect()]
+    assert got == want
