@@ -66,6 +66,19 @@ def clean_amount(c: ColumnOrName, data_type: T.DataType | None = None) -> Column
     return sign * _parse_number(source)
 
 
+# Text read as a whole number when deciding day/month order
+# (sign, digits, optional fraction and exponent, surrounding spaces).
+NUMBER_PART_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+INT_MAX = 2**31 - 1
+
+
+def _whole_number(part: Column) -> Column:
+    """A date part as an INTEGER the way the ledger SQL casts it: ``12.7`` is 13
+    (half away from zero), ``1e1`` is 10, out of range or not a number is NULL."""
+    value = F.round(part.try_cast("double"), 0)
+    return F.when(part.rlike(NUMBER_PART_TEXT) & (F.abs(value) <= F.lit(INT_MAX)), value)
+
+
 def clean_date(c: ColumnOrName) -> Column:
     """Date text -> ISO-shaped text (``YYYY-MM-DD`` when the input allows).
 
@@ -80,8 +93,8 @@ def clean_date(c: ColumnOrName) -> Column:
         return F.concat(third, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
 
     slashed = (
-        F.when(first.try_cast("int") > 12, iso(first, second))
-        .when(second.try_cast("int") > 12, iso(second, first))
+        F.when(_whole_number(first) > 12, iso(first, second))
+        .when(_whole_number(second) > 12, iso(second, first))
         .otherwise(iso(first, second))
     )
     return F.when(text.like("____-__-__"), text).when(text.like("%/%/%"), slashed).otherwise(text)

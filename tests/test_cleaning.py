@@ -127,3 +127,17 @@ def test_format_date_matches_duckdb(spark):
     df = _one_col(spark, DATE_TEXTS)
     got = [r[0] for r in df.select(fc.format_date("v", "DD-MMM-YYYY")).collect()]
     assert got == want
+
+
+SLASH_TEXTS = ["12.7/13/2024", "12.4/13/2024", "13.0/1/2024", " 13/1/2024", "1e1/13/2024", "+13/02/2024",
+               "-13/02/2024", "99999999999/13/2024", "a/b/c", "1/2/24", "13/25/2024", "02/13/2024",
+               "2024/01/15", "15/01/2024 10:30", "12.5/3/2024", "1/2/3/4", "//", "5/ 13/2024"]
+
+
+def test_clean_date_matches_duckdb(spark):
+    import duckdb
+    from ledgerops.plans.oracle_sql import date_sql
+    con = duckdb.connect()
+    want = [con.execute(f"SELECT {date_sql('t')} FROM (SELECT ? AS t)", [t]).fetchone()[0] for t in SLASH_TEXTS]
+    got = [r[0] for r in _one_col(spark, SLASH_TEXTS).select(fc.clean_date("v")).collect()]
+    assert got == want
