@@ -121,11 +121,14 @@ def parse_date(c: ColumnOrName) -> Column:
     cast, so a short year (``24-02-01``) is year 24 and ``2024-02-30`` is NULL.
     """
     text = _col(c).cast("string")
+    # Fast path, no pattern matching: exactly dddd-dd-dd, as cleaned dates are.
+    plain_iso = text.like("____-__-__") & (F.translate(text, "0123456789", "") == F.lit("--"))
     iso_like = F.regexp_replace(text, DATE_TEXT, "$1-$3-$4")
     year, month, day = (F.split_part(iso_like, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
     year = F.when(F.length(year) < 4, F.lpad(year, 4, "0")).otherwise(year)
     iso = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
-    return F.when(text.rlike(DATE_TEXT), iso.try_cast("date"))
+    return (F.when(plain_iso, text.try_cast("date"))
+            .when(text.rlike(DATE_TEXT), iso.try_cast("date")))
 
 
 def format_date(c: ColumnOrName, fmt: str = DEFAULT_DATE_FORMAT) -> Column:
