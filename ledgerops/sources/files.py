@@ -32,15 +32,42 @@ CSV_WRITE_OPTIONS = {
 }
 
 
+# Delimiters recognised when a CSV's delimiter is not given.
+CSV_DELIMITERS = (",", ";", "\t", "|")
+
+
+def sniff_delimiter(spark: SparkSession, path: str | list[str]) -> str:
+    """The delimiter of a CSV input, from its first line (a one-line read).
+
+    The candidate that occurs most often outside double quotes wins; a tie or
+    an empty input gives a comma.
+    """
+    first = spark.read.text(path).limit(1).collect()
+    if not first:
+        return ","
+    line, outside, quoted = first[0][0] or "", [], False
+    for ch in line:
+        if ch == '"':
+            quoted = not quoted
+        elif not quoted:
+            outside.append(ch)
+    counts = {d: outside.count(d) for d in CSV_DELIMITERS}
+    best = max(CSV_DELIMITERS, key=lambda d: (counts[d], d == ","))
+    return best if counts[best] > 0 else ","
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
-             infer_schema: bool = False, sep: str = ",", header: bool = True,
+             infer_schema: bool = False, sep: str | None = None, header: bool = True,
              multi_line: bool = False) -> DataFrame:
     """Read CSV file(s) with a header. Columns are text unless ``schema`` or ``infer_schema``.
 
-    Quotes inside quoted fields are doubled (RFC 4180). ``multi_line`` allows
-    line breaks inside quoted fields but makes each file one task, so it is
-    off by default; splittable files keep the scan parallel.
+    ``sep=None`` detects the delimiter from the first line. Quotes inside
+    quoted fields are doubled (RFC 4180). ``multi_line`` allows line breaks
+    inside quoted fields but makes each file one task, so it is off by
+    default; splittable files keep the scan parallel.
     """
+    if sep is None:
+        sep = sniff_delimiter(spark, path)
     reader = (spark.read.option("header", str(header).lower()).option("sep", sep)
               .option("quote", '"').option("escape", '"').option("multiLine", str(multi_line).lower()))
     if schema is not None:

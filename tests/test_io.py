@@ -63,3 +63,13 @@ def test_schema_info_and_preview(spark):
     assert [r["id"] for r in ins.preview(df, 2, ["id"], order_by=["id"]).collect()] == [1, 2]
     assert ins.preview(df, 2).count() == 2
     assert ins.row_count(df) == 3 and ins.columns(df) == ["id", "s"]
+
+
+def test_delimiter_is_detected(spark, tmp_dir):
+    for sep, name in ((";", "semi"), ("\t", "tab"), ("|", "pipe"), (",", "comma")):
+        path = os.path.join(tmp_dir, name + ".csv")
+        with open(path, "w") as fh:
+            fh.write(sep.join(['"a,b"', "amount", "date"]) + "\n" + sep.join(['"x,y"', '"1,5"', "2024-01-01"]) + "\n")
+        df = io.read_csv(spark, path)
+        assert df.columns == ["a,b", "amount", "date"], name
+        assert df.first()["amount"] == "1,5"
