@@ -8,6 +8,7 @@ from .files import (
     read_csv,
     read_table,
     result_path,
+    sniff_delimiter,
     write_csv,
     write_parquet,
 )
@@ -15,6 +16,6 @@ from .inspect import columns, preview, row_count, schema_info, sql_type_name
 
 __all__ = [
     "CSV_WRITE_OPTIONS", "columns", "export_results", "export_table", "load_files", "preview",
-    "read_csv", "read_table", "result_path", "row_count", "schema_info", "sql_type_name",
+    "read_csv", "read_table", "result_path", "row_count", "schema_info", "sniff_delimiter", "sql_type_name",
     "write_csv", "write_parquet",
 ]
