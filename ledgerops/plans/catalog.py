@@ -393,6 +393,37 @@ def top_groups(spark, sf_dir):
     return top.withColumn("total_amount", F.col("total_amount").cast("double"))
 
 
+@register("events_by_type", """
+SELECT event_type, count(*) AS record_count, round(sum(value), 2) AS total_amount
+FROM events GROUP BY event_type""")
+def events_by_type(spark, sf_dir):
+    groups = agg.aggregate(I.table(spark, sf_dir, "events"), ["event_type"], "value", sort_by=agg.SORT_BY_TOTAL)
+    return groups.withColumn("total_amount", F.round("total_amount", 2))
+
+
+@register("events_window_filter", """
+SELECT * FROM events
+WHERE ts BETWEEN '2024-01-01 06:00:00' AND '2024-01-03 12:30:00' AND props LIKE '%"k": 1%'""")
+def events_window_filter(spark, sf_dir):
+    """Timestamp bounds given as text, combined with a text filter (AND)."""
+    return fl.filter_rows(I.table(spark, sf_dir, "events"), [
+        fl.FilterRange("date", "ts", "2024-01-01 06:00:00", "2024-01-03 12:30:00"),
+        fl.FilterRange("text", "props", '"k": 1'),
+    ], "AND")
+
+
+@register("events_day_totals", f"""
+SELECT {S.format_date_sql('ts', 'DD/MM/YYYY')} AS day, count(*) AS record_count,
+       round(sum(value), 2) AS total_amount
+FROM events GROUP BY 1""")
+def events_day_totals(spark, sf_dir):
+    """Timestamps formatted as days (the date cleaner), then totals per day."""
+    ev = I.table(spark, sf_dir, "events")
+    days = ev.select(fc.format_date("ts", "DD/MM/YYYY").alias("day"), "value")
+    groups = agg.aggregate(days, ["day"], "value", sort_by=agg.SORT_BY_GROUP)
+    return groups.withColumn("total_amount", F.round("total_amount", 2))
+
+
 # -- inspection, profiles, files ---------------------------------------------------------
 
 
