@@ -220,6 +220,19 @@ class Reconciliation:
             "missing_in_a": self.missing_in_a,
         }
 
+    # -- source totals ---------------------------------------------------
+    def source_totals(self) -> DataFrame:
+        """One row: ``total_a`` and ``total_b``, the sums of both amount columns.
+
+        Text that does not parse as a number counts as NULL. Both sources are
+        summed in one aggregation over their union (partial sums per task).
+        """
+        cfg = self.config
+        both = self.a.select(F.lit("a").alias("side"), column(cfg.amount_col_a).cast("double").alias("amt")) \
+            .unionByName(self.b.select(F.lit("b").alias("side"), column(cfg.amount_col_b).cast("double").alias("amt")))
+        return both.agg(*[F.sum(F.when(F.col("side") == side, F.col("amt"))).alias(f"total_{side}")
+                          for side in ("a", "b")])
+
     # -- summary ---------------------------------------------------------
     def summary(self) -> DataFrame:
         """One row: the five counts, totals, unclassified pairs and source sizes.

@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import cleaning as fc
 from ..operators import aggregation as agg
@@ -125,9 +124,8 @@ def recon_source_totals(spark, sf_dir):
     """Amount totals of both text sources after auto-cleaning (shown before a run)."""
     a, b = rc.clean_sources(I.ledger_a_text(spark, sf_dir), I.ledger_b_text(spark, sf_dir), I.LEDGER_CONFIG,
                             clean_dates=False)
-    both = a.select(F.lit("a").alias("side"), "amt").unionByName(b.select(F.lit("b").alias("side"), "amt"))
-    return both.agg(*[F.round(F.sum(F.when(F.col("side") == side, fc.safe_double(F.col("amt"), T.DoubleType()))), 2)
-                      .alias(f"total_{side}") for side in ("a", "b")])
+    totals = rc.reconcile(a, b, I.LEDGER_CONFIG).source_totals()
+    return totals.select(*[F.round(c, 2).alias(c) for c in ("total_a", "total_b")])
 
 
 @register("recon_orders_vs_lines", S.summary_sql(
