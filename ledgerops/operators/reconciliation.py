@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import clean_amount, clean_date
+from ..functions.cleaning import clean_amount, clean_date, safe_double
 from ..functions.names import column
 
 # Category names, the note text and the export file names.
@@ -222,16 +222,8 @@ class Reconciliation:
 
     # -- source totals ---------------------------------------------------
     def source_totals(self) -> DataFrame:
-        """One row: ``total_a`` and ``total_b``, the sums of both amount columns.
-
-        Text that does not parse as a number counts as NULL. Both sources are
-        summed in one aggregation over their union (partial sums per task).
-        """
-        cfg = self.config
-        both = self.a.select(F.lit("a").alias("side"), column(cfg.amount_col_a).cast("double").alias("amt")) \
-            .unionByName(self.b.select(F.lit("b").alias("side"), column(cfg.amount_col_b).cast("double").alias("amt")))
-        return both.agg(*[F.sum(F.when(F.col("side") == side, F.col("amt"))).alias(f"total_{side}")
-                          for side in ("a", "b")])
+        """Sums of both amount columns (see the module function ``source_totals``)."""
+        return source_totals(self.a, self.b, self.config)
 
     # -- summary ---------------------------------------------------------
     def summary(self) -> DataFrame:
@@ -260,13 +252,16 @@ class Reconciliation:
         keys_a = red_a.groupBy("match_key").agg(F.sum("n_a").alias("n_a"))
         keys_b = red_b.groupBy(_KEY_B).agg(F.sum("n_b").alias("n_b"))
         per_key = keys_a.join(keys_b, F.col("match_key") == F.col(_KEY_B), "full_outer")
+        # One row per key: a one-sided key counts its rows as missing; a key on
+        # both sides only contributes to the source sizes.
+        one_sided = F.col("n_a").isNull() | F.col("n_b").isNull()
         key_rows = per_key.select(
             F.when(F.col("n_b").isNull(), F.lit(MISSING_IN_B))
             .when(F.col("n_a").isNull(), F.lit(MISSING_IN_A)).alias("category"),
-            F.coalesce(F.col("n_a"), F.col("n_b")).alias("n"),
+            F.when(one_sided, F.coalesce(F.col("n_a"), F.col("n_b"))).otherwise(zero).alias("n"),
             F.coalesce(F.col("n_a"), zero).alias("rows_a"),
             F.coalesce(F.col("n_b"), zero).alias("rows_b"),
-        ).where(F.col("category").isNotNull() | (F.col("rows_a") > 0))
+        )
 
         # NULL-key rows go straight into the final (partially aggregated) sum.
         one = F.lit(1).cast("long")
@@ -281,7 +276,7 @@ class Reconciliation:
             hit = F.col("category").isNull() if cat is None else (F.col("category") == cat)
             return F.coalesce(F.sum(F.when(hit, F.col("n"))), zero)
 
-        is_pair = F.col("rows_a") + F.col("rows_b") == 0
+        is_pair = F.col("rows_a") + F.col("rows_b") == 0  # only pair rows carry no source rows
         counts = rows.agg(
             total(EXACT_MATCH).alias("exact_matches"),
             total(MATCH_WITH_DATE_NOTE).alias("matches_with_date_note"),
@@ -300,6 +295,21 @@ class Reconciliation:
         )
 
 
+def source_totals(a: DataFrame, b: DataFrame, config: ReconConfig) -> DataFrame:
+    """One row: ``total_a`` and ``total_b``, the sums of both amount columns.
+
+    Works on raw sources too: amount text that does not parse as a number
+    counts as NULL. Both sources are summed in one aggregation over their
+    union (partial sums per task, one final row).
+    """
+    amount_a = safe_double(column(config.amount_col_a), a.schema[config.amount_col_a].dataType)
+    amount_b = safe_double(column(config.amount_col_b), b.schema[config.amount_col_b].dataType)
+    both = a.select(F.lit("a").alias("side"), amount_a.alias("amt")) \
+        .unionByName(b.select(F.lit("b").alias("side"), amount_b.alias("amt")))
+    return both.agg(*[F.sum(F.when(F.col("side") == side, F.col("amt"))).alias(f"total_{side}")
+                      for side in ("a", "b")])
+
+
 def reconcile(a: DataFrame, b: DataFrame, config: ReconConfig) -> Reconciliation:
     """Plan a reconciliation of ``a`` against ``b`` (lazy)."""
     return Reconciliation(a, b, config)

@@ -106,3 +106,14 @@ def test_one_join_for_matched_sets(recon):
     plan = recon.pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1
     assert "BatchEvalPython" not in _plan(recon.summary())
+
+
+def test_source_totals_raw_and_cleaned(spark):
+    a = spark.createDataFrame([(1, "d", "10.5"), (2, "d", "$4.00"), (3, "d", None)], "k long, d string, amt string")
+    b = spark.createDataFrame([(1, "d", "(2.5)")], "k long, d string, amt string")
+    cfg = rc.ReconConfig("k", 0.0, "d", "d", "amt", "amt")
+    raw = rc.source_totals(a, b, cfg).first()
+    assert (raw["total_a"], raw["total_b"]) == (10.5, None)
+    ca, cb = rc.clean_sources(a, b, cfg)
+    cleaned = rc.reconcile(ca, cb, cfg).source_totals().first()
+    assert (cleaned["total_a"], cleaned["total_b"]) == (14.5, -2.5)
