@@ -422,6 +422,27 @@ def events_day_totals(spark, sf_dir):
     return groups.withColumn("total_amount", F.round("total_amount", 2))
 
 
+DOCUMENT_FILTERS = [fl.FilterRange("text", "text", "License"), fl.FilterRange("text", "text", "@")]
+
+
+@register("analyze_documents", """
+SELECT count(*) AS count, CAST(sum(n_chars) AS BIGINT) AS total, round(avg(n_chars), 6) AS average,
+       min(n_chars) AS minimum, max(n_chars) AS maximum
+FROM documents WHERE text LIKE '%License%' OR text LIKE '%@%'""")
+def analyze_documents(spark, sf_dir):
+    """The analyze tool on whole document texts: contains-filters (OR), then length statistics."""
+    result = an.analyze(I.table(spark, sf_dir, "documents"), DOCUMENT_FILTERS, "n_chars", "OR")
+    return result.stats.withColumn("average", F.round("average", 6))
+
+
+@register("aggregate_documents", """
+SELECT lang, source, count(*) AS record_count, CAST(sum(n_chars) AS BIGINT) AS total_amount
+FROM documents GROUP BY lang, source""")
+def aggregate_documents(spark, sf_dir):
+    cols = agg.group_columns("lang", ["source"])
+    return agg.aggregate(I.table(spark, sf_dir, "documents"), cols, "n_chars", sort_by=agg.SORT_BY_COUNT)
+
+
 # -- inspection, profiles, files ---------------------------------------------------------
 
 
