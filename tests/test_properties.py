@@ -76,3 +76,62 @@ def test_clean_amount_matches_python(spark, texts):
     got = [r[0] for r in df.select(fc.clean_amount("v")).collect()]
     for text, value in zip(texts, got):
         assert value == python_amount(text), text
+
+
+# -- filters and grouping ----------------------------------------------------------
+
+from ledgerops.operators import aggregation as agg  # noqa: E402
+from ledgerops.operators import filters as fl  # noqa: E402
+
+records = st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(["a", "b", "ab", "b_a"])),
+                             st.one_of(st.none(), st.integers(-3, 3).map(float))), max_size=25)
+conditions = st.lists(st.one_of(
+    st.tuples(st.just("between"), st.tuples(st.integers(-3, 3).map(float), st.integers(-3, 3).map(float))),
+    st.tuples(st.sampled_from(["gt", "lt", "gte", "lte", "equals"]), st.integers(-3, 3).map(float)),
+    st.tuples(st.just("contains"), st.sampled_from(["a", "b", "_", "b_"])),
+), min_size=1, max_size=3)
+
+
+def _holds(op, value, text, number):
+    """SQL truth of one condition: None (unknown) when the operand is NULL."""
+    if op == "contains":
+        if text is None:
+            return None
+        pattern = "^.*" + re.escape(value).replace("_", ".") + ".*$"  # '_' stays a one-character wildcard
+        return re.match(pattern, text, re.S) is not None
+    if number is None:
+        return None
+    if op == "between":
+        return value[0] <= number <= value[1]
+    return {"gt": number > value, "lt": number < value, "gte": number >= value,
+            "lte": number <= value, "equals": number == value}[op]
+
+
+def _combine(truths, mode):
+    if mode == "AND":
+        return False if False in truths else (None if None in truths else True)
+    return True if True in truths else (None if None in truths else False)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=records, conds=conditions, mode=st.sampled_from(["AND", "OR"]))
+def test_filter_matches_brute_force(spark, data, conds, mode):
+    df = spark.createDataFrame(data, "t string, x double")
+    specs = [{"column": "t" if op == "contains" else "x", "operator": op, "value": list(v) if op == "between" else v}
+             for op, v in conds]
+    got = sorted((r["t"] or "", r["x"] if r["x"] is not None else 99.0) for r in fl.filter_rows(df, specs, mode).collect())
+    want = sorted((t or "", x if x is not None else 99.0) for t, x in data
+                  if _combine([_holds(op, v, t, x) for op, v in conds], mode) is True)
+    assert got == want
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=records)
+def test_grouping_matches_brute_force(spark, data):
+    df = spark.createDataFrame(data, "t string, x double")
+    got = {r["t"]: (r["record_count"], r["total_amount"]) for r in agg.aggregate(df, ["t"], "x", None).collect()}
+    want = {}
+    for t, x in data:
+        count, total = want.get(t, (0, None))
+        want[t] = (count + 1, total if x is None else (x if total is None else total + x))
+    assert got == want
