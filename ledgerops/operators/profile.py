@@ -132,54 +132,67 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def _long_values(df: DataFrame, common: list[str]) -> DataFrame:
-    """Unpivot the candidate columns to ``(position, v)`` rows in one pass.
-
-    Values are compared as text so that one column of pairs can hold every
-    candidate; within a candidate both sides share the same type, so text
-    equality is value equality.
+def _value_counts(df: DataFrame, common: list[str]) -> DataFrame:
+    """``(position, is_null, v, rows)`` per distinct value of each candidate column, in one pass.
+
+    The candidate columns are unpivoted (values as text, so one column holds
+    every candidate; both sides of a candidate share a type, so text equality
+    is value equality) and counted with map-side partial aggregation. NULL is
+    its own grouping key (``is_null``) and never a NULL value, so joins on
+    these keys infer no filters and reuse this aggregation's partitioning.
     """
     entries = [
         F.struct(F.lit(pos).alias("position"), _q(name).cast("string").alias("v"))
         for pos, name in enumerate(common)
     ]
-    return df.select(F.explode(F.array(*entries)).alias("e")).select("e.position", "e.v")
+    long = df.select(F.explode(F.array(*entries)).alias("e")).select(
+        F.col("e.position").alias("position"),
+        F.col("e.v").isNull().alias("is_null"),
+        F.coalesce(F.col("e.v"), F.lit("")).alias("v"),
+    )
+    return long.groupBy("position", "is_null", "v").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def key_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Columns present in both A and B (in A's order) with evidence for choosing a key:
     ``a_nulls, a_distinct, b_nulls, b_distinct, a_keys_in_b, a_key_share``.
 
-    One scan per side: the candidate columns are unpivoted to
-    ``(position, value)``, deduplicated map-side (a hot value is one row per
-    task), and the semi-join of the two distinct sets reuses their hash
-    partitioning. NULL counts come from the same unpivoted rows.
+    One scan and one shuffle per side: the value counts of each side feed
+    both its metrics and the match with the other side's value counts (same
+    partitioning, no further shuffle; ``ReusedExchange`` in the executed
+    plan). Every metric is a conditional aggregate, so no filter splits the
+    plan into separate scans.
     """
     common = [c for c in a.columns if c in b.columns]
     if not common:
         raise ValueError("sources A and B have no column name in common")
-    long_a = _long_values(a, common)
-    long_b = _long_values(b, common)
-    da = long_a.where(F.col("v").isNotNull()).distinct()
-    db = long_b.where(F.col("v").isNotNull()).distinct()
-
-    def metric(frame: DataFrame, label: str, nulls: bool = False) -> DataFrame:
-        counted = F.count_if(F.col("v").isNull()) if nulls else F.count(F.lit(1))
-        return frame.groupBy("position").agg(counted.cast("long").alias("n")).select(
-            "position", F.lit(label).alias("metric"), "n")
-
-    stacked = (metric(long_a, "a_nulls", nulls=True)
-               .unionByName(metric(long_b, "b_nulls", nulls=True))
-               .unionByName(metric(da, "a_distinct"))
-               .unionByName(metric(db, "b_distinct"))
-               .unionByName(metric(da.join(db, ["position", "v"], "left_semi"), "a_keys_in_b")))
-
-    def pick(label: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("metric") == label, F.col("n"))), F.lit(0).cast("long")).alias(label)
+    counts_a = _value_counts(a, common)
+    counts_b = _value_counts(b, common)
+    zero = F.lit(0).cast("long")
+    not_null = ~F.col("is_null")
+
+    def side_metrics(counts: DataFrame, side: str) -> DataFrame:
+        return counts.groupBy("position").agg(
+            F.coalesce(F.sum(F.when(F.col("is_null"), F.col("rows"))), zero).alias(f"{side}_nulls"),
+            F.count_if(not_null).cast("long").alias(f"{side}_distinct"),
+            zero.alias(f"{other[side]}_nulls"), zero.alias(f"{other[side]}_distinct"),
+            zero.alias("a_keys_in_b"),
+        )
 
+    other = {"a": "b", "b": "a"}
+    # Values are unique per side, so an inner join is the semi-join; it reads
+    # both sides' full value counts, which keeps them identical to the ones
+    # the metrics use (column pruning would otherwise make two plans of each).
+    matched = counts_a.join(counts_b.withColumnRenamed("rows", "rows_b"), ["position", "is_null", "v"], "inner")
+    in_b = matched.groupBy("position").agg(
+        zero.alias("a_nulls"), zero.alias("a_distinct"), zero.alias("b_nulls"), zero.alias("b_distinct"),
+        F.count_if(not_null & (F.col("rows") > 0) & (F.col("rows_b") > 0)).cast("long").alias("a_keys_in_b"),
+    )
+    stacked = side_metrics(counts_a, "a").unionByName(side_metrics(counts_b, "b"), allowMissingColumns=False) \
+        .unionByName(in_b)
     names = F.array(*[F.lit(n) for n in common])
-    wide = stacked.groupBy("position").agg(
-        pick("a_nulls"), pick("a_distinct"), pick("b_nulls"), pick("b_distinct"), pick("a_keys_in_b"))
+    wide = stacked.groupBy("position").agg(*[F.sum(c).alias(c) for c in
+                                              ("a_nulls", "a_distinct", "b_nulls", "b_distinct", "a_keys_in_b")])
     return wide.select(
         "position", F.element_at(names, F.col("position") + 1).alias("column"),
         "a_nulls", "a_distinct", "b_nulls", "b_distinct", "a_keys_in_b",

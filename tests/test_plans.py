@@ -40,3 +40,10 @@ def test_aggregation_is_partial_before_shuffle(spark):
 def test_date_range_filter_is_pushed(spark):
     plan = E.queries()["filter_date_range"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1996-01-01T00:00)" in plan
+
+
+def test_key_candidates_scan_each_side_once(spark):
+    plan = _executed(E.queries()["key_candidates"](spark, SF_SMALL))
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") >= 2
+    assert final.count("FileScan") == 3  # A once, B (a union of two reads of orders) once
