@@ -9,6 +9,7 @@ from ledgerops.operators import reconciliation as rc
 
 SMALL_SKEW_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
     "spark.sql.adaptive.coalescePartitions.enabled": "false",
