@@ -116,21 +116,24 @@ def _read_many(spark: SparkSession, paths: list[str], fmt: str | None, **options
     return spark.read.options(**options).format(fmt).load(paths)
 
 
-def as_text_numbers(df: DataFrame) -> DataFrame:
-    """Render FLOAT/DOUBLE columns as plain decimal text for CSV output."""
+def as_csv_text(df: DataFrame) -> DataFrame:
+    """Render values whose CSV text would differ from the ledger SQL's: FLOAT and
+    DOUBLE in plain notation, local timestamps as ``yyyy-MM-dd HH:mm:ss[.f]``."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(to_text(column(f.name), f.dataType).alias(f.name))
+        elif isinstance(f.dataType, T.TimestampNTZType):
+            cols.append(column(f.name).cast("string").alias(f.name))
         else:
             cols.append(column(f.name))
     return df.select(*cols)
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite",
-              plain_numbers: bool = True) -> None:
+              plain_text: bool = True) -> None:
     """Write a table as CSV part files under ``path`` (a directory)."""
-    out = as_text_numbers(df) if plain_numbers else df
+    out = as_csv_text(df) if plain_text else df
     if single_file:
         out = out.coalesce(1)
     out.write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)

@@ -73,3 +73,12 @@ def test_delimiter_is_detected(spark, tmp_dir):
         df = io.read_csv(spark, path)
         assert df.columns == ["a,b", "amount", "date"], name
         assert df.first()["amount"] == "1,5"
+
+
+def test_csv_text_of_dates_and_timestamps(spark, tmp_dir):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:07.1' AS ts, timestamp_ntz'2024-01-01 00:00:07' AS ts0, "
+                   "DATE'2024-01-02' AS d, true AS b")
+    path = os.path.join(tmp_dir, "ts")
+    io.write_csv(df, path, single_file=True)
+    text = "".join(open(f).read() for f in glob.glob(os.path.join(path, "part-*.csv")))
+    assert text.splitlines() == ["ts,ts0,d,b", "2024-01-01 00:00:07.1,2024-01-01 00:00:07,2024-01-02,true"]
