@@ -91,6 +91,24 @@ def recon_missing_in_a(spark, sf_dir):
     return _ledgers(spark, sf_dir).missing_in_a
 
 
+@register("recon_export", f"""WITH {I.LEDGERS_SQL}
+SELECT 'exact_matches.csv' AS file, count(*) AS rows FROM ledger_a a JOIN ledger_b b ON a.k = b.k
+  WHERE a.d = b.d AND ABS(a.amt - b.amt) <= {TOL}
+UNION ALL SELECT 'matches_with_date_note.csv', count(*) FROM ledger_a a JOIN ledger_b b ON a.k = b.k
+  WHERE a.d <> b.d AND ABS(a.amt - b.amt) <= {TOL}
+UNION ALL SELECT 'amount_variances.csv', count(*) FROM ledger_a a JOIN ledger_b b ON a.k = b.k
+  WHERE ABS(a.amt - b.amt) > {TOL}
+UNION ALL SELECT 'missing_in_source_b.csv', count(*) FROM ledger_a a LEFT JOIN ledger_b b ON a.k = b.k WHERE b.k IS NULL
+UNION ALL SELECT 'missing_in_source_a.csv', count(*) FROM ledger_b b LEFT JOIN ledger_a a ON b.k = a.k WHERE a.k IS NULL""")
+def recon_export(spark, sf_dir):
+    """Export the five result sets as CSV (shared scratch folder), read them back, count rows per file."""
+    out = scratch_path(spark, "recon-export")
+    written = io.export_results(_ledgers(spark, sf_dir), out)
+    counts = [io.read_csv(spark, path, sep=",").agg(F.count(F.lit(1)).alias("rows"))
+              .select(F.lit(path.rsplit("/", 1)[-1]).alias("file"), "rows") for path in written.values()]
+    return agg.union_all(counts)
+
+
 @register("recon_text_sources", S.summary_sql(
     I.LEDGERS_TEXT_SQL.strip() + f""",
 clean_a AS (SELECT k, {S.date_sql('d')} AS d, {S.amount_sql('amt')} AS amt FROM text_a),
