@@ -108,10 +108,13 @@ def clean_boolean(c: ColumnOrName) -> Column:
 
 # The text shape read as a date: optional spaces, a year of any
 # length, month and day of one or two digits with the same separator twice
-# ('-', '/' or a space), optionally a valid time of day (HH:MM, seconds,
-# fraction, UTC offset) after spaces or 'T', optional trailing spaces.
+# ('-', '/' or a space), optionally a time of day after spaces or 'T' (hour
+# 0-23 or exactly 24:00[:00[.000]], minutes and seconds of one or two digits,
+# an optional fraction, an optional 'Z' or numeric UTC offset), optional
+# trailing spaces.
 DATE_TEXT = (r"^\s*(\d+)([-/ ])(\d{1,2})\2(\d{1,2})"
-             r"(?:(?:\s+|T)(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?:[+-]\d{2}(?::?\d{2})?)?)?\s*$")
+             r"(?:(?:\s+|T)(?:(?:[01]?\d|2[0-3]):[0-5]?\d(?::[0-5]?\d(?:\.\d*)?)?|24:00(?::00(?:\.0*)?)?)"
+             r"(?:Z|[+-]\d{2}(?::?\d{2})?)?)?\s*$")
 
 
 def parse_date(c: ColumnOrName) -> Column:
@@ -121,13 +124,26 @@ def parse_date(c: ColumnOrName) -> Column:
     cast, so a short year (``24-02-01``) is year 24 and ``2024-02-30`` is NULL.
     """
     text = _col(c).cast("string")
-    # Fast path, no pattern matching: exactly dddd-dd-dd, as cleaned dates are.
+    # Fast paths, no pattern matching: exactly dddd-dd-dd (cleaned dates), and
+    # dddd-dd-dd hh:mm:ss[.f...] with a valid time of day (timestamps as text).
     plain_iso = text.like("____-__-__") & (F.translate(text, "0123456789", "") == F.lit("--"))
+    head, rest = F.substring(text, 1, 19), F.substring(text, 20, 1 << 30)
+    fraction_ok = (rest == F.lit("")) | (
+        rest.startswith(".") & (F.translate(F.substring(rest, 2, 1 << 30), "0123456789", "") == F.lit("")))
+    plain_timestamp = (
+        text.like("____-__-__ __:__:__%")
+        & (F.translate(head, "0123456789", "") == F.lit("-- ::"))
+        & (F.substring(text, 12, 2) <= F.lit("23"))
+        & (F.substring(text, 15, 2) <= F.lit("59"))
+        & (F.substring(text, 18, 2) <= F.lit("59"))
+        & fraction_ok
+    )
     iso_like = F.regexp_replace(text, DATE_TEXT, "$1-$3-$4")
     year, month, day = (F.split_part(iso_like, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
     year = F.when(F.length(year) < 4, F.lpad(year, 4, "0")).otherwise(year)
     iso = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
     return (F.when(plain_iso, text.try_cast("date"))
+            .when(plain_timestamp, F.substring(text, 1, 10).try_cast("date"))
             .when(text.rlike(DATE_TEXT), iso.try_cast("date")))
 
 

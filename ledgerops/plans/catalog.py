@@ -103,9 +103,15 @@ UNION ALL SELECT 'missing_in_source_a.csv', count(*) FROM ledger_b b LEFT JOIN l
 def recon_export(spark, sf_dir):
     """Export the five result sets as CSV (shared scratch folder), read them back, count rows per file."""
     out = scratch_path(spark, "recon-export")
-    written = io.export_results(_ledgers(spark, sf_dir), out)
-    counts = [io.read_csv(spark, path, sep=",").agg(F.count(F.lit(1)).alias("rows"))
-              .select(F.lit(path.rsplit("/", 1)[-1]).alias("file"), "rows") for path in written.values()]
+    recon = _ledgers(spark, sf_dir)
+    written = io.export_results(recon, out)
+    columns = {name: frame.columns for name, frame in recon.tables().items()}
+    counts = []
+    for name, path in written.items():
+        text_schema = ", ".join(f"`{c}` string" for c in columns[name])  # known layout: no header pass
+        back = io.read_csv(spark, path, schema=text_schema, sep=",")
+        counts.append(back.agg(F.count(F.lit(1)).alias("rows"))
+                      .select(F.lit(path.rsplit("/", 1)[-1]).alias("file"), "rows"))
     return agg.union_all(counts)
 
 

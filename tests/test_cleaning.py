@@ -116,7 +116,12 @@ DATE_TEXTS = ["24-02-01", "15-01-20", "2024-1-5", "024-02-01", "2024-02-01 10:00
               "2024.02.01", "2024-02/01", "2024-02-01 10:00", "2024-02-01 10", "2024-02-01T10:00:00.123",
               "2024-02-01 10:00:00+01", "2024-02-01 25:00:00", "2024-02-01 10:00:00.5",
               "2024-02-01  10:00", "2024-02-01T", "2024-02-01 BC", "2024-02-01 10:61:00", "\t2024-02-01",
-              "2024-02-01\n", "Jan 5, 2024", "", "1998-10-03 00:00:00", "0024-02-29", "2023-02-29"]
+              "2024-02-01\n", "Jan 5, 2024", "", "1998-10-03 00:00:00", "0024-02-29", "2023-02-29",
+              "2024-01-01 00:00:07.179575", "2024-01-01 23:59:59.", "2024-01-01 23:59:60", "2024-01-01 24:00:00",
+              "2024-01-01 12:60:00", "2024-02-30 10:00:00", "2024-01-01 10:00:00x", "2024-01-01 10:00:00.1.2",
+              "2024-01-01 10:00:00 ", "2024-01-01 1a:00:00", "2024-01-01 10:00:00+05:30", "2024-01-01 09:05:03.000100",
+              "2024-01-01 24:00:01", "2024-01-01 24:00", "2024-01-01 12:5", "2024-01-01 12:05:7", "2024-01-01 12:00:00Z",
+              "2024-01-01 12:00:00+0530", "2024-01-01 12:00:00-08", "2024-01-01 12:00:00+5", "2024-01-01 24:00:00.1"]
 
 
 def test_format_date_matches_duckdb(spark):
