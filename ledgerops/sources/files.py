@@ -10,6 +10,8 @@ small outputs.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -175,11 +177,15 @@ def export_results(recon: Reconciliation, out_dir: str, **kwargs) -> dict[str, s
         "missing_in_b": recon.missing_in_b,
         "missing_in_a": recon.missing_in_a,
     }
+    # The five writes are independent jobs: submit them together so Spark can
+    # schedule their tasks side by side instead of one job after another.
     written = {}
-    for name, frame in tables.items():
-        try:
-            written[name] = export_table(frame, out_dir, name, **kwargs)
-        except Exception as exc:  # noqa: BLE001 - one failed table must not stop the others
-            print(f"error exporting {name}: {exc}")
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        futures = {name: pool.submit(export_table, frame, out_dir, name, **kwargs) for name, frame in tables.items()}
+        for name, future in futures.items():
+            try:
+                written[name] = future.result()
+            except Exception as exc:  # noqa: BLE001 - one failed table must not stop the others
+                print(f"error exporting {name}: {exc}")
     return written
 
