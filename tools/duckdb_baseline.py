@@ -1,6 +1,6 @@
 """Single-node reference point: the oracle SQL of every query run by DuckDB.
 
-The spreadsheet toolkit being re-built executes its SQL in an in-process
+The original tool executes its SQL in an in-process
 DuckDB database; timing the same statements here (same Parquet tables, same
 machine) gives the comparison the published documentation does not.
 Prints one JSON line like bench.py (median of 3 after one warm-up).
