@@ -4,9 +4,9 @@ Every operator takes and returns DataFrames (or Columns) and is planned by
 Catalyst; nothing runs until the caller asks for rows or writes output.
 """
 
-from . import functions, operators, sources
+from . import functions, operators, sources, streaming
 from .operators import ReconConfig, reconcile, reconcile_sources
 from .session import build_session, checkpoint_dir
 
 __all__ = ["ReconConfig", "build_session", "checkpoint_dir", "functions", "operators", "reconcile",
-           "reconcile_sources", "sources"]
+           "reconcile_sources", "sources", "streaming"]
