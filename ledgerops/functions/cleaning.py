@@ -110,11 +110,11 @@ def clean_boolean(c: ColumnOrName) -> Column:
 # length, month and day of one or two digits with the same separator twice
 # ('-', '/' or a space), optionally a time of day after spaces or 'T' (hour
 # 0-23 or exactly 24:00[:00[.000]], minutes and seconds of one or two digits,
-# an optional fraction, an optional 'Z' or numeric UTC offset), optional
-# trailing spaces.
+# an optional fraction, then an optional 'Z' or numeric UTC offset, or one
+# space and a zone name such as 'UTC'), optional trailing spaces.
 DATE_TEXT = (r"^\s*(\d+)([-/ ])(\d{1,2})\2(\d{1,2})"
              r"(?:(?:\s+|T)(?:(?:[01]?\d|2[0-3]):[0-5]?\d(?::[0-5]?\d(?:\.\d*)?)?|24:00(?::00(?:\.0*)?)?)"
-             r"(?:Z|[+-]\d{2}(?::?\d{2})?)?)?\s*$")
+             r"(?:Z|[+-]\d{2}(?::?\d{2})?| [A-Za-z0-9_/+\-:]+)?)?\s*$")
 
 
 def parse_date(c: ColumnOrName) -> Column:

@@ -121,7 +121,11 @@ DATE_TEXTS = ["24-02-01", "15-01-20", "2024-1-5", "024-02-01", "2024-02-01 10:00
               "2024-01-01 12:60:00", "2024-02-30 10:00:00", "2024-01-01 10:00:00x", "2024-01-01 10:00:00.1.2",
               "2024-01-01 10:00:00 ", "2024-01-01 1a:00:00", "2024-01-01 10:00:00+05:30", "2024-01-01 09:05:03.000100",
               "2024-01-01 24:00:01", "2024-01-01 24:00", "2024-01-01 12:5", "2024-01-01 12:05:7", "2024-01-01 12:00:00Z",
-              "2024-01-01 12:00:00+0530", "2024-01-01 12:00:00-08", "2024-01-01 12:00:00+5", "2024-01-01 24:00:00.1"]
+              "2024-01-01 12:00:00+0530", "2024-01-01 12:00:00-08", "2024-01-01 12:00:00+5", "2024-01-01 24:00:00.1",
+              "2024-01-01 12:00:00 UTC", "2024-01-01 12:00:00 America/New_York", "2024-01-01 12:00:00 Foo Bar",
+              "2024-01-01 12:00:00 Foo!", "2024-01-01 12:00:00  UTC", "2024-01-01 12:00:00\tUTC",
+              "2024-01-01 12:00:00+00 UTC", "2024-01-01 12:00:00.5 UTC", "2024-01-01 12:00 UTC", "2024-01-01 UTC",
+              "2024-01-01T12:00:00 UTC", "2024-01-01 12:00:00 (UTC)", "2024-01-01 12:00:00 UTC+1"]
 
 
 def test_format_date_matches_duckdb(spark):
