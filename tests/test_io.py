@@ -82,3 +82,11 @@ def test_csv_text_of_dates_and_timestamps(spark, tmp_dir):
     io.write_csv(df, path, single_file=True)
     text = "".join(open(f).read() for f in glob.glob(os.path.join(path, "part-*.csv")))
     assert text.splitlines() == ["ts,ts0,d,b", "2024-01-01 00:00:07.1,2024-01-01 00:00:07,2024-01-02,true"]
+
+
+def test_scratch_paths_live_in_the_configured_checkpoint_folder(spark):
+    from ledgerops.session import checkpoint_dir, scratch_path
+    configured = spark.sparkContext.getCheckpointDir()
+    assert configured and checkpoint_dir(spark) == configured
+    first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert first.startswith(configured.rstrip("/") + "/x-") and first != second
