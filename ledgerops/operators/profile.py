@@ -98,16 +98,20 @@ def column_profile(df: DataFrame) -> DataFrame:
     the per-column rows are produced by exploding that one row.
     """
     fields = df.schema.fields
+    # The cleaned date text is projected once per column, so the date parser
+    # reads a plain value instead of re-running the cleaner at every reference.
+    staged = df.select(*[_q(f.name).alias(f"_v{i}") for i, f in enumerate(fields)],
+                       *[clean_date(_q(f.name)).alias(f"_cd{i}") for i, f in enumerate(fields)])
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
-        c = _q(f.name)
+        c = F.col(f"_v{i}")
         aggs += [
             F.count(c).alias(f"_nn{i}"),
             F.count(clean_amount(c, f.dataType)).alias(f"_num{i}"),
-            F.count(parse_date(clean_date(c))).alias(f"_date{i}"),
+            F.count(parse_date(F.col(f"_cd{i}"))).alias(f"_date{i}"),
             F.count(clean_boolean(c)).alias(f"_bool{i}"),
         ]
-    one_row = df.agg(*aggs)
+    one_row = staged.agg(*aggs)
     entries = [
         F.struct(
             F.lit(i).alias("position"),
