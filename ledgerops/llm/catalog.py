@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .sharding import op7_histogram_sharding
 from .simhash import op10_simhash_near_dedup
 
 LLM_QUERIES = {
+    "op7_histogram_sharding": op7_histogram_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
