@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe_encode_decode
 from .sharding import op7_histogram_sharding
 from .simhash import op10_simhash_near_dedup
 
 LLM_QUERIES = {
+    "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op7_histogram_sharding": op7_histogram_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
