@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe_encode_decode
+from .decontamination import op2_benchmark_decontamination
 from .sharding import op7_histogram_sharding
 from .simhash import op10_simhash_near_dedup
 
 LLM_QUERIES = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op7_histogram_sharding": op7_histogram_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
