@@ -6,8 +6,10 @@ from .bpe import op5_bpe_encode_decode
 from .decontamination import op2_benchmark_decontamination
 from .sharding import op7_histogram_sharding
 from .simhash import op10_simhash_near_dedup
+from .toxicity import op6_toxicity_severity
 
 LLM_QUERIES = {
+    "op6_toxicity_severity": op6_toxicity_severity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op7_histogram_sharding": op7_histogram_sharding,
