@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op5_bpe_encode_decode
 from .decontamination import op2_benchmark_decontamination
+from .lines import OP3_SQL, op3_line_dedup
 from .sharding import op7_histogram_sharding
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op6_toxicity_severity
 
 LLM_QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op6_toxicity_severity": op6_toxicity_severity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
@@ -16,4 +18,6 @@ LLM_QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+}
