@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op5_bpe_encode_decode
 from .decontamination import op2_benchmark_decontamination
+from .licenses import OP4_SQL, op4_license_scan
 from .lines import OP3_SQL, op3_line_dedup
 from .sharding import op7_histogram_sharding
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op6_toxicity_severity
 
 LLM_QUERIES = {
+    "op4_license_scan": op4_license_scan,
     "op3_line_dedup": op3_line_dedup,
     "op6_toxicity_severity": op6_toxicity_severity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -20,4 +22,5 @@ LLM_QUERIES = {
 
 LLM_ORACLE: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
+    "op4_license_scan": OP4_SQL,
 }
