@@ -18,7 +18,8 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from hashlib import sha256
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import read_table, worker_cache
+from .common import read_table, worker_cache, written
 
 LEXICON_WORDS = 32768
-CACHE_PIECES = 1_000_000
-OUT_BYTES = 16 << 20
+CACHE_PIECES = 600_000
+LONG_WORD = 64
+PART_BYTES = 2 << 20
 # Fixed value: the pre-tokenizer pattern of byte-level BPE vocabularies.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NOT_FINAL = 0xFFFFFFFF
@@ -248,19 +250,73 @@ class Lexicon:
 
 # -- texts -----------------------------------------------------------------------
 
-class Pieces(dict):
-    """Ids (as int32 bytes) of a space and a piece between single spaces, worked out once per worker; bounded."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(" " + piece)
-        if len(piece) <= 64:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+def merge_tables(merge: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted pair keys, their ranks, and the merged token of each rank."""
+    keys = np.fromiter((a << TOKEN_BITS | b for a, b in merge), np.int64, len(merge))
+    packed = np.fromiter(merge.values(), np.int64, len(merge))
+    order = np.argsort(keys)
+    ranks = packed[order] >> TOKEN_BITS
+    merged = np.zeros(int(ranks.max(initial=0)) + 1, np.int64)
+    merged[ranks] = packed[order] & TOKEN
+    return keys[order], ranks, merged
+
+
+def merge_words(words: list[bytes], byte: np.ndarray, tables: tuple) -> list[bytes]:
+    """Token ids (int32 bytes) of many words at once, by the merges of ``merge_word``.
+
+    In every round each unfinished word merges all places of its lowest-ranked
+    pair; only the pairs beside a merge are looked up again."""
+    keys, ranks, merged = tables
+
+    def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a << TOKEN_BITS | b
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        return np.where(keys[at] == pair, ranks[at], NO_MERGE)
+
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ids = byte[np.frombuffer(b"".join(words), np.uint8)]
+    word = np.repeat(np.arange(len(words)), sizes)
+    rank = np.full(len(ids), NO_MERGE)
+    inside = np.flatnonzero(word[1:] == word[:-1])
+    rank[inside] = rank_of(ids[inside], ids[inside + 1])
+    done_ids, done_word = [], []
+    while len(ids):
+        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        length = np.diff(np.concatenate([starts, [len(ids)]]))
+        best = np.repeat(np.minimum.reduceat(rank, starts), length)
+        over = best == NO_MERGE
+        if over.any():
+            done_ids.append(ids[over])
+            done_word.append(word[over])
+            ids, word, rank, best = (x[~over] for x in (ids, word, rank, best))
+            if not len(ids):
+                break
+        take = rank == best
+        twice = np.flatnonzero(take[1:] & take[:-1])  # the same pair may overlap itself: every second place of a run
+        if len(twice):
+            place = np.arange(len(take))
+            run = np.maximum.accumulate(np.where(take & ~np.concatenate([[False], take[:-1]]), place, 0))
+            take &= (place - run) % 2 == 0
+        at = np.flatnonzero(take)
+        ids[at] = merged[rank[at]]
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        stale = np.zeros(len(ids), bool)
+        stale[at] = True
+        ids, word, stale, rank = ids[keep], word[keep], stale[keep], rank[keep]
+        stale[:-1] |= stale[1:]
+        again = np.flatnonzero(stale)
+        rank[again] = NO_MERGE
+        again = again[(again + 1 < len(ids))]
+        again = again[word[again] == word[again + 1]]
+        rank[again] = rank_of(ids[again], ids[again + 1])
+    if not words:
+        return []
+    ids, word = np.concatenate(done_ids), np.concatenate(done_word)
+    order = np.argsort(word, kind="stable")
+    data = ids[order].astype(np.int32).tobytes()
+    ends = np.cumsum(np.bincount(word, minlength=len(words))) * 4
+    return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 def word_splitter(stand_in: dict[int, str]):
@@ -278,39 +334,83 @@ def word_splitter(stand_in: dict[int, str]):
 
 
 class Encoder:
-    """Encodes texts as the tokenizers library does (special tokens in a text become their ids)."""
+    """Encodes texts as the tokenizers library does (special tokens in a text become their ids).
+
+    Pieces between single spaces are encoded once and kept, up to a bound, for
+    the worker's later texts."""
 
     def __init__(self, vocabulary: dict, lexicon: Lexicon | None):
         self.byte, self.merge, self.added = vocabulary["byte"], vocabulary["merge"], vocabulary["added"]
+        self.byte_ids, self.tables = np.array(self.byte, np.int64), merge_tables(self.merge)
         self.lexicon = lexicon
         self.words = word_splitter(vocabulary["stand_in"])
-        self.inner = Pieces(self.encode_words)
+        self.spaced: dict[str, bytes] = {}  # ids of a space and the piece
+        self.exact: dict[str, bytes] = {}   # ids of the text itself
+        self.long: tuple[list[str], list[str]] = ([], [])  # long pieces are not kept
         self.space_run = re.compile(r" \s").search
         special = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
-    def encode_words(self, text: str) -> bytes:
-        out: list[int] = []
-        for word in (text,) if text.isascii() and text[1:].isalpha() and text[0] == " " else self.words(text):
-            raw = word.encode()
-            ids = self.lexicon.lookup(raw) if self.lexicon else None
-            out.extend(merge_word(raw, self.byte, self.merge) if ids is None else ids)
-        return array("i", out).tobytes()
-
-    def encode_plain(self, text: str) -> bytes:
+    def _learn(self, cache: dict[str, bytes], texts: set[str], prefix: str) -> None:
+        if len(cache) > CACHE_PIECES:  # the older half makes room
+            for key in list(islice(cache, len(cache) // 2)):
+                del cache[key]
+        texts = list(texts.difference(cache))
+        words, counts = [], []
+        for t in texts:
+            split = [prefix + t] if prefix and t.isascii() and t.isalpha() else self.words(prefix + t)
+            words.extend(split)
+            counts.append(len(split))
+        words = [w.encode() for w in words]
+        found: list = [self.lexicon.lookup(w) if self.lexicon else None for w in words]
+        unseen = []
+        for i, ids in enumerate(found):
+            if ids is not None:
+                found[i] = array("i", ids).tobytes()
+            elif len(words[i]) > LONG_WORD:
+                found[i] = array("i", merge_word(words[i], self.byte, self.merge)).tobytes()
+            else:
+                unseen.append(i)
+        for i, ids in zip(unseen, merge_words([words[i] for i in unseen], self.byte_ids, self.tables)):
+            found[i] = ids
+        at = 0
+        for t, n in zip(texts, counts):
+            cache[t] = found[at] if n == 1 else b"".join(found[at:at + n])
+            at += n
+            if len(t) > LONG_WORD:
+                self.long[cache is self.spaced].append(t)
+
+    def _plan(self, text: str) -> list[tuple[list[str], list[str]]]:
+        """Parts of the text: exact pieces, then pieces that a single space precedes."""
         # A single space between two words always starts a word, so the pieces between such spaces can be
-        # encoded apart; texts with a space before white space (runs belong together) are taken whole.
+        # encoded apart; texts with a space before white space (runs belong together) are split whole.
         if text[-1:] == " " or self.space_run(text):
-            return self.encode_words(text)
+            return [(self.words(text), [])]
         first, *rest = text.split(" ")
-        return self.encode_words(first) + b"".join(map(self.inner.__getitem__, rest))
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.special is None or not self.special.search(text):
-            return np.frombuffer(self.encode_plain(text), np.int32)
-        parts = self.special.split(text)
-        return np.frombuffer(b"".join(array("i", [self.added[p]]).tobytes() if i % 2 else self.encode_plain(p)
-                                      for i, p in enumerate(parts)), np.int32)
+        return [([first], rest)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plans = []
+        for text in texts:
+            if self.special is None or not self.special.search(text):
+                plans.append(self._plan(text))
+            else:
+                plans.append(list(chain.from_iterable(
+                    [([p], None)] if i % 2 else self._plan(p) for i, p in enumerate(self.special.split(text)))))
+        parts = [p for plan in plans for p in plan]
+        self._learn(self.exact, set(chain.from_iterable(e for e, r in parts if r is not None)), "")
+        self._learn(self.spaced, set(chain.from_iterable(r for _, r in parts if r)), " ")
+        exact, spaced = self.exact.__getitem__, self.spaced.__getitem__
+        out = []
+        for plan in plans:
+            out.append(np.frombuffer(b"".join(chain.from_iterable(
+                [array("i", [self.added[e[0]]]).tobytes()] if r is None else chain(map(exact, e), map(spaced, r))
+                for e, r in plan)), np.int32))
+        for cache, long in zip((self.exact, self.spaced), self.long):
+            for key in long:
+                cache.pop(key, None)
+            long.clear()
+        return out
 
 
 def _texts(column: pa.Array) -> Iterator[str]:
@@ -318,38 +418,52 @@ def _texts(column: pa.Array) -> Iterator[str]:
         yield (b.as_py() or b"").decode("utf-8", "replace")
 
 
-def word_counts(docs: DataFrame, vocabulary: dict) -> DataFrame:
-    """(word, n): how often each pre-token occurs in all texts, combined per batch before the shuffle."""
-    stand_in = vocabulary["stand_in"]
+def _parts(column: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs of about PART_BYTES characters."""
+    part, size = [], 0
+    for text in _texts(column):
+        part.append(text)
+        size += len(text)
+        if size > PART_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
 
+def piece_counts(docs: DataFrame) -> DataFrame:
+    """(piece, n): how often each piece between spaces occurs in all texts, combined per batch before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, space_run = word_splitter(stand_in), re.compile(r" \s").search
         for batch in batches:
-            pieces: Counter = Counter()
             found: Counter = Counter()
             for text in _texts(batch.column(0)):
-                if text[-1:] == " " or space_run(text):
-                    found.update(words(text))
-                else:
-                    first, *rest = text.split(" ")
-                    found.update(words(first))
-                    pieces.update(rest)
-            for piece, n in pieces.items():
-                for word in words(" " + piece):
-                    found[word] += n
+                found.update(text.split(" "))
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())],
-                                             names=["word", "n"])
+                                             names=["piece", "n"])
 
-    return (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
-            .groupBy("word").agg(F.sum("n").alias("n")))
+    return (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "piece string, n long")
+            .groupBy("piece").agg(F.sum("n").alias("n")))
+
+
+def frequent_pieces(docs: DataFrame, size: int) -> list[str]:
+    """The most frequent pieces, at most ``size``: all that occur more often than the smallest count for which
+    they are no more than that. Only a histogram of counts and these pieces reach the driver."""
+    counts = written(piece_counts(docs).where("length(piece) between 1 and 64 and n > 1"), "bpe-pieces")
+    # counts in steps of about 1/16, so the histogram has a few hundred rows whatever the corpus
+    step = F.floor(F.log2("n") * 16)
+    room, least = size, None
+    for r in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["s"]
+    return [] if least is None else [r[0] for r in counts.where(step >= least).select("piece").collect()]
 
 
 def publish_lexicon(spark: SparkSession, docs: DataFrame, vocabulary: dict, size: int = LEXICON_WORDS) -> str:
-    """Compile the ``size`` most frequent words of ``docs`` into a file in the shared folder and register it
+    """Compile the words of the frequent pieces of ``docs`` into a file in the shared folder and register it
     with ``addFile``; returns its name. ``size`` bounds what reaches the driver and changes no result."""
-    top = (word_counts(docs, vocabulary).where("length(word) <= 64 and n > 1").orderBy(F.desc("n"), "word").limit(size)
-           .select("word").collect())
-    words = sorted(r[0].encode() for r in top)
+    split = word_splitter(vocabulary["stand_in"])
+    words = sorted({w.encode() for p in frequent_pieces(docs, size) for w in split(" " + p)})
     data = compile_lexicon([(w, tuple(merge_word(w, vocabulary["byte"], vocabulary["merge"]))) for w in words])
     path = scratch_path(spark, "lexicon") + ".bin"
     jvm = spark.sparkContext._jvm
@@ -366,61 +480,86 @@ def open_lexicon(name: str) -> Lexicon:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
+def _encoder(shared, name: str) -> Encoder:
+    """The worker's encoder for this lexicon."""
+    cache = worker_cache("bpe")
+    if cache.get("name") != name:
+        cache.update(name=name, encoder=Encoder(shared.value, open_lexicon(name)))
+    return cache["encoder"]
+
+
+def _prepared(docs: DataFrame, vocabulary: dict, lexicon_words: int):
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    name = publish_lexicon(docs.sparkSession, rows, vocabulary, lexicon_words)
+    return rows, docs.sparkSession.sparkContext.broadcast(vocabulary), name
+
+
 def encode_documents(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """(doc_id, ids array<int>) of every row of ``docs``; whole texts, a null text is empty, rows stay as they are
     (null or repeated doc_ids included). An empty table gives no rows."""
-    spark = docs.sparkSession
-    vocabulary = read_vocabulary(vocabulary_path)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    name = publish_lexicon(spark, rows, vocabulary, lexicon_words)
-    shared = spark.sparkContext.broadcast({k: vocabulary[k] for k in ("stand_in", "byte", "merge", "added")})
+    rows, shared, name = _prepared(docs, read_vocabulary(vocabulary_path), lexicon_words)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache("bpe")
-        if cache.get("name") != name:
-            cache.update(name=name, encoder=Encoder(shared.value, open_lexicon(name)))
-        encode = cache["encoder"].encode
+        encode = _encoder(shared, name).encode
         for batch in batches:
-            start, found, size = 0, [], 0
-            for i, text in enumerate(chain(_texts(batch.column(1)), [None])):
-                if text is None or size > OUT_BYTES:
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                    values = np.concatenate(found) if found else np.array([], np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, i - start),
-                                                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                                                     schema=schema)
-                    start, found, size = i, [], 0
-                if text is not None:
-                    found.append(encode(text))
-                    size += 4 * len(found[-1])
+            start = 0
+            for part in _parts(batch.column(1)):
+                found = encode(part)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.ListArray.from_arrays(
+                    pa.array(offsets), pa.array(np.concatenate(found)))], schema=schema)
+                start += len(part)
 
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def decode_ids(ids: list[int], tokens: list[bytes]) -> str:
+    """The text of an id list, special tokens included; bytes that are no UTF-8 become U+FFFD."""
+    return b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace")
+
+
 def decode_documents(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """(doc_id, ids, text): the text of each id list, as decode(ids, skip_special_tokens=False) gives it.
-    A null list is empty; bytes that are no UTF-8 become U+FFFD."""
+    """(doc_id, ids, text): the text of each id list, as decode(ids, skip_special_tokens=False) gives it. A null
+    list is empty."""
     shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path)["tokens"])
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
+        tokens = shared.value
         for batch in batches:
-            texts = [b"".join(map(token, ids.as_py() or ())).decode("utf-8", "replace") for ids in batch.column(1)]
+            texts = [decode_ids(ids.as_py() or [], tokens) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                              schema=schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
+def round_trip_digests(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: texts are encoded and their ids decoded again in
+    the same task, so that neither ids nor texts travel between processes. Nulls as in ``encode_documents``."""
+    rows, shared, name = _prepared(docs, read_vocabulary(vocabulary_path), lexicon_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, tokens = _encoder(shared, name).encode, shared.value["tokens"]
+        digits = [str(i) for i in range(len(tokens))]
+        for batch in batches:
+            counts, encoded, decoded = [], [], []
+            for part in _parts(batch.column(1)):
+                for ids in encode(part):
+                    ids = ids.tolist()
+                    counts.append(len(ids))
+                    encoded.append(sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                    decoded.append(sha256(decode_ids(ids, tokens).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()),
+                                              pa.array(decoded, pa.string())],
+                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op5_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every document."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = encode_documents(read_table(spark, sf_dir, "documents"), path)
-    return decode_documents(encoded, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
