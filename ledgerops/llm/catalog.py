@@ -8,9 +8,11 @@ from .licenses import OP4_SQL, op4_license_scan
 from .lines import OP3_SQL, op3_line_dedup
 from .sharding import op7_histogram_sharding
 from .simhash import op10_simhash_near_dedup
+from .substrings import op1_suffix_array_dedup
 from .toxicity import op6_toxicity_severity
 
 LLM_QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op4_license_scan": op4_license_scan,
     "op3_line_dedup": op3_line_dedup,
     "op6_toxicity_severity": op6_toxicity_severity,
