@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe_encode_decode
 from .decontamination import op2_benchmark_decontamination
+from .embeddings import op9_embedding_near_dedup
 from .licenses import OP4_SQL, op4_license_scan
 from .lines import OP3_SQL, op3_line_dedup
 from .sharding import op7_histogram_sharding
@@ -12,6 +13,7 @@ from .substrings import op1_suffix_array_dedup
 from .toxicity import op6_toxicity_severity
 
 LLM_QUERIES = {
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op4_license_scan": op4_license_scan,
     "op3_line_dedup": op3_line_dedup,
