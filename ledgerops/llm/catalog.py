@@ -7,12 +7,14 @@ from .decontamination import op2_benchmark_decontamination
 from .embeddings import op9_embedding_near_dedup
 from .licenses import OP4_SQL, op4_license_scan
 from .lines import OP3_SQL, op3_line_dedup
+from .lm import op8_pitman_yor_scores
 from .sharding import op7_histogram_sharding
 from .simhash import op10_simhash_near_dedup
 from .substrings import op1_suffix_array_dedup
 from .toxicity import op6_toxicity_severity
 
 LLM_QUERIES = {
+    "op8_pitman_yor_scores": op8_pitman_yor_scores,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op4_license_scan": op4_license_scan,
