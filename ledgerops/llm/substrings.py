@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import read_table, text_bytes, written
 
 LENGTH = 100
-GRAM = 32                # bytes of an anchor, a power of two
+GRAM = 32                # most bytes of an anchor, a power of two
 SEGMENT = 1 << 17        # window starts handled at once
 PLACE_BITS = 18
 BATCH_BYTES = 8 << 20    # anchors of so much text are combined before the shuffle
@@ -49,12 +49,17 @@ ROW = np.dtype([("hash", "<u8"), ("bytes", "<u8"), ("key", "<i8"), ("start", "<i
 
 # -- anchors ---------------------------------------------------------------------
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from every place on."""
+def gram_size(length: int) -> int:
+    """Bytes of an anchor: GRAM, or for short strings the largest power of two up to half their length."""
+    return min(GRAM, 1 << (max(length, 2) // 2).bit_length() - 1)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` bytes (a power of two) from every place on."""
     h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     factor, size = 0xD6E8FEB86659FD93, 1
-    while size < GRAM:
+    while size < gram:
         h = h[:-size] * np.uint64(factor) + h[size:]
         factor, size = factor * factor % (1 << 64), 2 * size
     h ^= h >> np.uint64(32)
@@ -75,6 +80,7 @@ def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
 
 def anchors_of(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first window start, further starts, hash) of every anchor of the texts."""
+    gram = gram_size(length)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -90,9 +96,9 @@ def anchors_of(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
         ok = valid[at:at + len(part) - length + 1]
         if not ok.any():
             continue
-        hashes = gram_hashes(part)
+        hashes = gram_hashes(part, gram)
         place = np.arange(len(hashes), dtype=np.uint64)
-        least = sliding_least((hashes & ~low) | place, length - GRAM + 1) & low
+        least = sliding_least((hashes & ~low) | place, length - gram + 1) & low
         new = ok.copy()
         new[1:] &= (least[1:] != least[:-1]) | ~ok[:-1]
         start = np.flatnonzero(new)
