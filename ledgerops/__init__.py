@@ -5,8 +5,8 @@ Catalyst; nothing runs until the caller asks for rows or writes output.
 """
 
 from . import functions, operators, sources, streaming
-from .operators import ReconConfig, reconcile, reconcile_sources
+from .operators import ReconConfig, Roles, reconcile, reconcile_sources
 from .session import build_session, checkpoint_dir
 
-__all__ = ["ReconConfig", "build_session", "checkpoint_dir", "functions", "operators", "reconcile",
+__all__ = ["ReconConfig", "Roles", "build_session", "checkpoint_dir", "functions", "operators", "reconcile",
            "reconcile_sources", "sources", "streaming"]

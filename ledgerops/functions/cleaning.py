@@ -34,17 +34,26 @@ def _col(c: ColumnOrName) -> Column:
     return column(c) if isinstance(c, str) else c
 
 
-def _parse_number(text: Column) -> Column:
-    # Keep digits, dots and minus signs (commas and every other character are
-    # dropped), then parse; anything that is still not a number becomes NULL.
-    kept = F.regexp_replace(text, r"[^0-9.\-]", "")
-    # Over this alphabet a text parses iff it has a digit, at most one dot and
-    # a minus only in front. Checking that first (plain string functions)
-    # spares the per-row exception a failed cast costs.
+def amount_parts(c: ColumnOrName) -> tuple[Column, Column]:
+    """Amount text -> its digits, dots and minus signs (everything else is dropped), and the sign of ``(x)``."""
+    text = _col(c).cast("string")
+    trimmed = F.trim(text)
+    in_parens = trimmed.like("(%)")
+    source = F.when(in_parens, F.btrim(trimmed, F.lit("()"))).otherwise(text)
+    return F.regexp_replace(source, r"[^0-9.\-]", ""), F.when(in_parens, F.lit(-1)).otherwise(F.lit(1))
+
+
+def parse_amount(kept: ColumnOrName, sign: ColumnOrName) -> Column:
+    """The number that ``amount_parts`` stand for; NULL if they are none.
+
+    Over this alphabet a text parses iff it has a digit, at most one dot and a
+    minus only in front. Checking that first (plain string functions) spares the
+    per-row exception a failed cast costs."""
+    kept, sign = _col(kept), _col(sign)
     has_digit = F.length(F.translate(kept, ".-", "")) > 0
     one_dot = F.length(kept) - F.length(F.replace(kept, F.lit("."), F.lit(""))) <= 1
     minus_in_front = F.instr(F.substring(kept, 2, 1 << 30), "-") == 0
-    return F.when(has_digit & one_dot & minus_in_front, kept.try_cast("double"))
+    return sign * F.when(has_digit & one_dot & minus_in_front, kept.try_cast("double"))
 
 
 def clean_amount(c: ColumnOrName, data_type: T.DataType | None = None) -> Column:
@@ -52,18 +61,19 @@ def clean_amount(c: ColumnOrName, data_type: T.DataType | None = None) -> Column
 
     ``(x)`` (after trimming spaces) means minus x. Currency symbols, letters
     and thousands separators are removed; a comma is never a decimal mark.
-    A column that is already numeric is returned unchanged.
+    A column that is already numeric keeps its value: unchanged if its type is
+    given, else as DOUBLE (the expression itself asks for the type, so numbers
+    never take the detour through text).
     """
     col = _col(c)
     if isinstance(data_type, T.NumericType):
         return col
-    text = col.cast("string")
-    trimmed = F.trim(text)
-    in_parens = trimmed.like("(%)")
-    # One parse per row: pick the text to parse, then apply the sign.
-    source = F.when(in_parens, F.btrim(trimmed, F.lit("()"))).otherwise(text)
-    sign = F.when(in_parens, F.lit(-1)).otherwise(F.lit(1))
-    return sign * _parse_number(source)
+    parsed = parse_amount(*amount_parts(col))
+    if data_type is not None:
+        return parsed
+    kind = F.typeof(col)  # a constant of the plan
+    numeric = kind.isin("tinyint", "smallint", "int", "bigint", "float", "double") | kind.startswith("decimal")
+    return F.when(numeric, col.cast("string").try_cast("double")).otherwise(parsed)
 
 
 # Text read as a whole number when deciding day/month order
@@ -117,12 +127,15 @@ DATE_TEXT = (r"^\s*(\d+)([-/ ])(\d{1,2})\2(\d{1,2})"
              r"(?:Z|[+-]\d{2}(?::?\d{2})?| [A-Za-z0-9_/+\-:]+)?)?\s*$")
 
 
-def parse_date(c: ColumnOrName) -> Column:
+def parse_date(c: ColumnOrName, data_type: T.DataType | None = None) -> Column:
     """Text -> DATE when it has the date shape above and names a real day; else NULL.
 
     The shape is matched first, then rebuilt as zero-padded ``yyyy-MM-dd`` and
     cast, so a short year (``24-02-01``) is year 24 and ``2024-02-30`` is NULL.
+    A DATE or timestamp column (by ``data_type``) is cast directly.
     """
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return _col(c).cast("date")
     text = _col(c).cast("string")
     # Fast path, no pattern matching: exactly dddd-dd-dd, as cleaned dates are.
     plain_iso = text.like("____-__-__") & (F.translate(text, "0123456789", "") == F.lit("--"))
@@ -134,13 +147,19 @@ def parse_date(c: ColumnOrName) -> Column:
             .when(text.rlike(DATE_TEXT), iso.try_cast("date")))
 
 
-def format_date(c: ColumnOrName, fmt: str = DEFAULT_DATE_FORMAT) -> Column:
-    """Date (or ISO text) -> text in one of the four menu formats.
+def date_pattern(fmt: str = DEFAULT_DATE_FORMAT) -> str:
+    """The Spark pattern of a menu format; an unknown format falls back to ``YYYY-MM-DD``."""
+    return DATE_FORMATS.get(fmt, DATE_FORMATS[DEFAULT_DATE_FORMAT])
 
-    An unknown format falls back to ``YYYY-MM-DD``; an unparsable value is NULL.
+
+def format_date(c: ColumnOrName, fmt: str = DEFAULT_DATE_FORMAT, data_type: T.DataType | None = None) -> Column:
+    """Date (or ISO text) -> text in one of the four menu formats; an unparsable value is NULL.
+
+    Give ``data_type`` for a DATE or timestamp column: it is then formatted as it
+    is. To format one text several ways, parse it once in an own projection
+    (``parse_date``) and format the result.
     """
-    pattern = DATE_FORMATS.get(fmt, DATE_FORMATS[DEFAULT_DATE_FORMAT])
-    return F.date_format(parse_date(c), pattern)
+    return F.date_format(parse_date(c, data_type), date_pattern(fmt))
 
 
 def precision_of(fmt: str | None) -> int:
@@ -168,17 +187,31 @@ def format_number(c: ColumnOrName, precision: int = 2) -> Column:
 def to_text(c: ColumnOrName, data_type: T.DataType | None = None) -> Column:
     """Any value -> text.
 
-    Floating point values between 1e7 and 1e16 are written in plain notation
-    (``12345678901.5``), as the SQL engines of the spreadsheet world do,
-    instead of Spark's ``1.23456789015E10``.
+    Floating point values are written as the ledger SQL writes them, from the
+    same digits as Spark's: plain from 1e-4 up to 1e16 (``0.00012``,
+    ``12345678901.5``), with a two-digit exponent outside (``1e+16``,
+    ``1.5e-07``), and ``nan``, ``inf``, ``-inf``.
     """
     col = _col(c)
     if not isinstance(data_type, (T.DoubleType, T.FloatType)):
         return col.cast("string")
+    text = col.cast("string")
+    mantissa, exponent = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2))
+    short = F.regexp_replace(mantissa, r"\.0$", "")
+    sign = F.when(exponent.startswith("-"), F.lit("e-")).otherwise(F.lit("e+"))
+    digits = F.replace(exponent, F.lit("-"), F.lit(""))
+    scientific = F.concat(short, sign, F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
     plain = F.regexp_replace(col.cast("decimal(38,10)").cast("string"), r"0+$", "")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    big = (F.abs(col) >= F.lit(1e7)) & (F.abs(col) < F.lit(1e16))
-    return F.when(big, plain).otherwise(col.cast("string"))
+    minus = F.when(col < 0, F.lit("-")).otherwise(F.lit(""))
+    small = F.concat(minus, F.lit("0.000"), F.translate(short, "-.", ""))
+    size = F.abs(col)
+    return (F.when(F.isnan(col), F.lit("nan"))
+            .when(size == float("inf"), F.concat(minus, F.lit("inf")))
+            .when(~text.contains("E"), text)
+            .when((size >= 1e7) & (size < 1e16), plain)
+            .when((size >= 1e-4) & (size < 1e-3), small)
+            .otherwise(scientific))
 
 
 # Text forms accepted as a number by the safe total (decimal

@@ -14,3 +14,13 @@ from pyspark.sql import functions as F
 def column(name: str) -> Column:
     """The top-level column called exactly ``name``."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def resolve(names: list[str], name: str | None) -> str | None:
+    """The table's own spelling of ``name``: exact if there is one, else the only name equal but for case.
+
+    None when no name, or more than one, fits (SQL identifiers ignore case)."""
+    if name is None or name in names:
+        return name
+    fits = [n for n in names if n.lower() == name.lower()]
+    return fits[0] if len(fits) == 1 else None

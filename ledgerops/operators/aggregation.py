@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import column
+from ..functions.names import column, resolve
 from ..session import checkpoint_dir
 
 # Sort choices of the aggregate tool.
@@ -28,15 +28,13 @@ SORT_CHOICES = (SORT_BY_TOTAL, SORT_BY_COUNT, SORT_BY_GROUP)
 def check_same_columns(dfs: list[DataFrame], names: list[str] | None = None) -> None:
     """Column *name sets* must be equal to the first table's (order and types are free)."""
     if not dfs:
-        raise ValueError("no tables provided for union")
-    first = set(dfs[0].columns)
+        raise ValueError("there is nothing to stack: no tables given")
+    wanted = {c.lower() for c in dfs[0].columns}
     for i, df in enumerate(dfs[1:], start=1):
-        current = set(df.columns)
-        if current != first:
-            label = names[i] if names else f"table {i}"
-            missing = sorted(first - current)
-            extra = sorted(current - first)
-            raise ValueError(f"schema mismatch in {label}: missing={missing}, extra={extra}")
+        have = {c.lower() for c in df.columns}
+        if have != wanted:
+            raise ValueError(f"{names[i] if names else f'table {i + 1}'} does not have the first table's columns: "
+                             f"missing={sorted(wanted - have)}, extra={sorted(have - wanted)}")
 
 
 def union_all(dfs: list[DataFrame], by: str = "name", validate: bool = True,
@@ -48,7 +46,7 @@ def union_all(dfs: list[DataFrame], by: str = "name", validate: bool = True,
     Duplicates are kept. No job runs; the union is a narrow plan node.
     """
     if not dfs:
-        raise ValueError("no tables provided for union")
+        raise ValueError("there is nothing to stack: no tables given")
     if validate and len(dfs) > 1:
         check_same_columns(dfs, names)
     if by == "name":
@@ -64,13 +62,16 @@ def group_columns(primary: str, extra: list[str] | None = None) -> list[str]:
     return list(dict.fromkeys([primary, *(extra or [])]))
 
 
-def _require_numeric(df: DataFrame, column: str) -> None:
-    if column not in df.columns:
-        raise ValueError(f"column {column!r} not found: {df.columns}")
-    dtype = df.schema[column].dataType
+def require_numeric(df: DataFrame, name: str) -> str:
+    """The table's own name of a numeric column; anything else is an error."""
+    found = resolve(df.columns, name)
+    if found is None:
+        raise ValueError(f"column {name!r} not found: {df.columns}")
+    dtype = df.schema[found].dataType
     if not isinstance(dtype, T.NumericType):
-        raise TypeError(f"column {column!r} is {dtype.simpleString()}, not a number; "
+        raise TypeError(f"column {name!r} is {dtype.simpleString()}, not a number; "
                         "clean it first (clean_amount)")
+    return found
 
 
 def order_columns(sort_by: str | list[tuple[str, str]], group_cols: list[str]) -> list[Column]:
@@ -106,7 +107,7 @@ def aggregate(df: DataFrame, group_cols: list[str], sum_col: str,
     """
     if not group_cols:
         raise ValueError("at least one group column is required")
-    _require_numeric(df, sum_col)
+    sum_col = require_numeric(df, sum_col)
     grouped = df.groupBy(*[column(g) for g in group_cols]).agg(
         F.count(F.lit(1)).alias("record_count"),
         F.sum(column(sum_col)).alias("total_amount"),
@@ -128,7 +129,7 @@ def grand_total(grouped: DataFrame) -> DataFrame:
 
 def input_totals(df: DataFrame, sum_col: str) -> DataFrame:
     """``COUNT(*)`` and ``SUM(sum_col)`` over the input rows themselves."""
-    _require_numeric(df, sum_col)
+    sum_col = require_numeric(df, sum_col)
     return df.agg(F.count(F.lit(1)).alias("total_records"), F.sum(column(sum_col)).alias("grand_total"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions.cleaning import safe_double
 from ..functions.names import column as col
+from ..functions.names import resolve
+from .aggregation import require_numeric
 from .filters import FilterRange, filter_rows
 
 
@@ -20,12 +22,7 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
     Only numeric columns are accepted (text would be summed after a silent cast).
     One pass with partial aggregation; the result is a single row.
     """
-    if column not in df.columns:
-        raise ValueError(f"column {column!r} not found: {df.columns}")
-    dtype = df.schema[column].dataType
-    if not isinstance(dtype, T.NumericType):
-        raise TypeError(f"statistics need a numeric column; {column!r} is {dtype.simpleString()}")
-    c = col(column)
+    c = col(require_numeric(df, column))
     return df.agg(
         F.count(F.lit(1)).alias("count"),
         F.sum(c).alias("total"),
@@ -55,6 +52,7 @@ def analyze(df: DataFrame, filters: list[dict | FilterRange], amount_col: str |
     """
     filtered = filter_rows(df, filters, combine_mode)
     stats = None
+    amount_col = resolve(df.columns, amount_col)
     if amount_col and isinstance(df.schema[amount_col].dataType, T.NumericType):
         stats = column_stats(filtered, amount_col)
     return Analysis(filtered=filtered, stats=stats)

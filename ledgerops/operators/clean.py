@@ -1,9 +1,9 @@
 """Clean pipeline: per-column type rules, output formats and column selection.
 
-The whole spec becomes ONE projection: every included column is replaced by
-its composed cleaning expression and excluded columns are dropped, so Spark
-reads only the included columns from the scan and runs the row logic inside a
-single whole-stage-codegen stage with no shuffle.
+The spec becomes projections in one stage, with no shuffle: every included
+column is cleaned and excluded columns are dropped (Spark reads only the
+included ones from the scan); columns with a date format are then parsed once
+and formatted in projections of their own.
 """
 
 from __future__ import annotations
@@ -11,17 +11,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from ..functions.names import column
+from ..functions.names import column, resolve
 
 from ..functions.cleaning import (
     clean_amount,
     clean_boolean,
     clean_date,
-    format_date,
+    date_pattern,
     format_number,
+    parse_date,
     precision_of,
     to_text,
 )
@@ -45,14 +47,12 @@ class ColumnSpec:
     format: str | None = None
 
 
-def column_expression(name: str, data_type: T.DataType, kind: str, fmt: str | None) -> Column:
-    """The cleaning expression of one column (before aliasing)."""
+def column_expression(name: str, data_type: T.DataType, kind: str) -> Column:
+    """The cleaning expression of one column, before any output format."""
     if kind == "Number":
-        expr = clean_amount(name, data_type)
-        return format_number(expr, precision_of(fmt)) if fmt else expr
+        return clean_amount(name, data_type)
     if kind == "Date":
-        expr = clean_date(name)
-        return format_date(expr, fmt) if fmt else expr
+        return clean_date(name)
     if kind == "Boolean":
         return clean_boolean(name)
     if kind == "Text":
@@ -60,26 +60,51 @@ def column_expression(name: str, data_type: T.DataType, kind: str, fmt: str | No
     raise ValueError(f"unknown column type {kind!r}; expected one of {tuple(DATA_TYPES)}")
 
 
+def formatted(df: DataFrame, formats: dict[str, tuple[str, str, T.DataType]]) -> DataFrame:
+    """Output formats of already cleaned columns: name -> (kind, format, type of the source column).
+
+    A date is parsed once, in a projection of its own, and then formatted: the
+    parser names its text many times, and cleaning it at each place would repeat
+    the whole cleaner."""
+    parse = {n: parse_date(n, t) for n, (kind, _, t) in formats.items() if kind == "Date"}
+    parsed = df.withColumns(parse) if parse else df
+    out = {n: F.date_format(column(n), date_pattern(fmt)) if kind == "Date" else format_number(n, precision_of(fmt))
+           for n, (kind, fmt, _) in formats.items()}
+    return parsed.withColumns(out) if out else parsed
+
+
 def transform_column(df: DataFrame, column: str, target_type: str) -> DataFrame:
     """Change one column in place: ``number``, ``date``, ``boolean`` or ``text``.
 
     An unknown target type leaves the table unchanged.
     """
+    column = resolve(df.columns, column) or column
     dtype = df.schema[column].dataType
     kinds = {"number": "Number", "date": "Date", "boolean": "Boolean"}
     if target_type == "text":
         return df.withColumn(column, to_text(column, dtype))
     if target_type not in kinds:
         return df
-    return df.withColumn(column, column_expression(column, dtype, kinds[target_type], None))
+    return df.withColumn(column, column_expression(column, dtype, kinds[target_type]))
 
 
 def select_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Keep the named columns in the given order."""
-    missing = [c for c in columns if c not in df.columns]
+    found = [resolve(df.columns, c) for c in columns]
+    missing = [c for c, f in zip(columns, found) if f is None]
     if missing:
         raise ValueError(f"columns not found: {missing}")
-    return df.select(*[column(c) for c in columns])
+    return df.select(*[column(c) for c in found])
+
+
+def dedupe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row of each group equal in ``columns`` (all columns by default); NULL equals NULL.
+
+    Which of the rows stays is not fixed when other columns differ. Copies are
+    combined map-side, so a group of any size is one row per task in the shuffle."""
+    if columns is None:
+        return df.dropDuplicates()
+    return df.dropDuplicates(select_columns(df, columns).columns)
 
 
 def clean_table(df: DataFrame, specs: list[ColumnSpec | dict], on_error: str = "raise") -> DataFrame:
@@ -93,16 +118,23 @@ def clean_table(df: DataFrame, specs: list[ColumnSpec | dict], on_error: str = "
     included = [s for s in specs if s.include]
     if not included:
         raise ValueError("at least one column must be included")
-    exprs = []
+    cleaned, formats = [], {}
     for spec in included:
-        if spec.name not in df.columns:
+        name = resolve(df.columns, spec.name)
+        if name is None:
             raise ValueError(f"column {spec.name!r} not found: {df.columns}")
+        dtype = df.schema[name].dataType
+        typed_date = spec.type == "Date" and spec.format and not isinstance(dtype, T.StringType)
         try:
-            expr = column_expression(spec.name, df.schema[spec.name].dataType, spec.type, spec.format)
-            df.select(expr).schema  # resolve now: analysis errors surface here, no job runs
+            # a DATE or timestamp column that gets a format needs no text in between
+            expr = column(name) if typed_date else column_expression(name, dtype, spec.type)
+            wanted = (spec.type, spec.format, dtype) if spec.format and spec.type in ("Number", "Date") else None
+            formatted(df.select(expr.alias(name)), {name: wanted} if wanted else {}).schema  # analysis errors surface here
         except (ValueError, TypeError, AnalysisException):
             if on_error == "raise":
                 raise
-            expr = column(spec.name)
-        exprs.append(expr.alias(spec.name))
-    return df.select(*exprs)
+            expr, wanted = column(name), None
+        cleaned.append(expr.alias(name))
+        if wanted:
+            formats[name] = wanted
+    return formatted(df.select(*cleaned), formats)

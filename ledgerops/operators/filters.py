@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
+from ..functions.names import resolve
 from ..functions.predicates import combine, condition
 
 # Filter kinds of the analyze tool.
@@ -44,9 +45,9 @@ class FilterRange:
 
 
 def _check_types(df: DataFrame, cond: dict) -> None:
-    column = cond["column"]
-    if column not in df.columns:
-        raise ValueError(f"filter column {column!r} not found: {df.columns}")
+    column = resolve(df.columns, cond["column"])
+    if column is None:
+        raise ValueError(f"filter column {cond['column']!r} not found: {df.columns}")
     dtype = df.schema[column].dataType
     op = cond.get("operator") or "equals"
     value = cond.get("value")
@@ -64,7 +65,7 @@ def predicate(df: DataFrame, conditions: list[dict], combine_mode: str = "OR") -
         return None
     for cond in conditions:
         _check_types(df, cond)
-    preds = [condition(c["column"], c.get("operator"), c.get("value")) for c in conditions]
+    preds = [condition(resolve(df.columns, c["column"]), c.get("operator"), c.get("value")) for c in conditions]
     return combine(preds, combine_mode)
 
 

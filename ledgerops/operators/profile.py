@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import clean_amount, clean_boolean, clean_date, parse_date
-from ..functions.names import column
+from ..functions.names import column, resolve
 from ..sources.inspect import sql_type_name
+from .reconciliation import comparable
 
 # Lower-case name fragments that suggest a column's role.
 # General tools (clean, aggregate, analyze):
@@ -82,6 +83,10 @@ def guess_type(name: str, data_type: T.DataType) -> str:
     return "Text"
 
 
+def _is_time(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def _q(name: str) -> Column:
     return column(name)
 
@@ -108,7 +113,7 @@ def column_profile(df: DataFrame) -> DataFrame:
         aggs += [
             F.count(c).alias(f"_nn{i}"),
             F.count(clean_amount(c, f.dataType)).alias(f"_num{i}"),
-            F.count(parse_date(F.col(f"_cd{i}"))).alias(f"_date{i}"),
+            F.count(parse_date(c, f.dataType) if _is_time(f.dataType) else parse_date(F.col(f"_cd{i}"))).alias(f"_date{i}"),
             F.count(clean_boolean(c)).alias(f"_bool{i}"),
         ]
     one_row = staged.agg(*aggs)
@@ -136,19 +141,16 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def _value_counts(df: DataFrame, common: list[str]) -> DataFrame:
+def _value_counts(df: DataFrame, values: list[Column]) -> DataFrame:
     """``(position, is_null, v, rows)`` per distinct value of each candidate column, in one pass.
 
-    The candidate columns are unpivoted (values as text, so one column holds
-    every candidate; both sides of a candidate share a type, so text equality
-    is value equality) and counted with map-side partial aggregation. NULL is
-    its own grouping key (``is_null``) and never a NULL value, so joins on
-    these keys infer no filters and reuse this aggregation's partitioning.
+    The candidate columns are unpivoted (as text of a type that both sides of a
+    candidate share, so text equality is value equality) and counted with
+    map-side partial aggregation. NULL is its own grouping key (``is_null``) and
+    never a NULL value, so joins on these keys infer no filters and reuse this
+    aggregation's partitioning.
     """
-    entries = [
-        F.struct(F.lit(pos).alias("position"), _q(name).cast("string").alias("v"))
-        for pos, name in enumerate(common)
-    ]
+    entries = [F.struct(F.lit(pos).alias("position"), value.cast("string").alias("v")) for pos, value in enumerate(values)]
     long = df.select(F.explode(F.array(*entries)).alias("e")).select(
         F.col("e.position").alias("position"),
         F.col("e.v").isNull().alias("is_null"),
@@ -157,21 +159,29 @@ def _value_counts(df: DataFrame, common: list[str]) -> DataFrame:
     return long.groupBy("position", "is_null", "v").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def key_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+def key_candidates(a: DataFrame, b: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Columns present in both A and B (in A's order) with evidence for choosing a key:
     ``a_nulls, a_distinct, b_nulls, b_distinct, a_keys_in_b, a_key_share``.
 
+    Unlike types are compared as the reconcile tool compares keys (see
+    ``reconciliation.comparable``); a value that the common type cannot hold
+    counts as NULL. ``columns`` leaves out columns that no key can be (floating
+    amounts, long texts), whose every value would be shuffled.
+
     One scan and one shuffle per side: the value counts of each side feed
     both its metrics and the match with the other side's value counts (same
     partitioning, no further shuffle; ``ReusedExchange`` in the executed
     plan). Every metric is a conditional aggregate, so no filter splits the
     plan into separate scans.
     """
-    common = [c for c in a.columns if c in b.columns]
-    if not common:
+    wanted = a.columns if columns is None else [c for c in a.columns if c.lower() in {n.lower() for n in columns}]
+    pairs = [(c, other) for c in wanted if (other := resolve(b.columns, c)) is not None]
+    if not pairs:
         raise ValueError("sources A and B have no column name in common")
-    counts_a = _value_counts(a, common)
-    counts_b = _value_counts(b, common)
+    common = [c for c, _ in pairs]
+    values = [comparable(_q(x), a.schema[x].dataType, _q(y), b.schema[y].dataType) for x, y in pairs]
+    counts_a = _value_counts(a, [x for x, _ in values])
+    counts_b = _value_counts(b, [y for _, y in values])
     zero = F.lit(0).cast("long")
     not_null = ~F.col("is_null")
 

@@ -20,16 +20,19 @@ Plan shape (Spark-first instead of five separate statements):
 * the missing sets are anti-joins against the *distinct* keys of the other
   side, so the right side of the anti-join is deduplicated map-side and a hot
   key there is one row;
-* the summary never materialises the row pairs of copies: both sides are first
-  reduced to ``(key, date, amount) -> rows`` (map-side partial aggregation),
-  matched pairs are classified on the reduced rows and weighted by
-  ``rows_a * rows_b``; the missing counts come from a key-level full join of
-  per-key row counts (every key is a single row per side, so no skew there),
-  built from the same reduced rows.
+* rows with a NULL key skip the anti-join (they are missing by definition), so
+  they never meet in one partition;
+* the summary counts pairs without forming them: both sides are stacked and
+  reduced once to ``(key, date, amount) -> rows of A, rows of B``; a roll-up by
+  key gives sizes, missing rows and the number of pairs as products. Only *near*
+  pairs (amounts within the tolerance) are joined, on the key and an amount
+  bucket wider than the tolerance, so a hot key is spread by its amounts.
+  Variances and unclassified pairs follow by subtraction.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -37,8 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import clean_amount, clean_date, safe_double
-from ..functions.names import column
+from ..functions.cleaning import NUMBER_TEXT, amount_parts, clean_date, parse_amount, parse_date, safe_double
+from ..functions.names import column, resolve
 
 # Category names, the note text and the export file names.
 EXACT_MATCH = "exact_match"
@@ -57,21 +60,30 @@ RESULT_FILE_NAMES = {
 }
 
 PAIR_COLUMNS = ("match_key", "date_a", "date_b", "amount_a", "amount_b", "description_a", "description_b")
-_KEY_B = "_match_key_b"
+_KEY = {"A": "_key_a", "B": "_key_b"}
+
+
+@dataclass(frozen=True)
+class Roles:
+    """Which columns of one source hold the date, the amount and (optionally) the description."""
+
+    date: str = "date"
+    amount: str = "amount"
+    description: str | None = None
 
 
 @dataclass(frozen=True)
 class ReconConfig:
-    """Column roles for one reconcile run. Tolerance is absolute."""
+    """The key that both sources share, the roles of each source's columns, and the absolute tolerance."""
 
     match_key: str
+    a: Roles = Roles()
+    b: Roles = Roles()
     amount_tolerance: float = 0.0
-    date_col_a: str = "date"
-    date_col_b: str = "date"
-    amount_col_a: str = "amount"
-    amount_col_b: str = "amount"
-    description_col_a: str | None = None
-    description_col_b: str | None = None
+
+    def __post_init__(self) -> None:
+        if not math.isfinite(self.amount_tolerance):
+            raise ValueError("the tolerance must be a finite number")
 
 
 def category(amount_a: Column, amount_b: Column, date_a: Column, date_b: Column, tolerance: float) -> Column:
@@ -89,17 +101,49 @@ def category(amount_a: Column, amount_b: Column, date_a: Column, date_b: Column,
     )
 
 
-def _require(df: DataFrame, column: str | None, side: str) -> None:
-    if column is not None and column not in df.columns:
-        raise ValueError(f"column {column!r} not found in source {side}: {df.columns}")
+def _found(df: DataFrame, name: str, side: str) -> str:
+    found = resolve(df.columns, name)
+    if found is None:
+        raise ValueError(f"column {name!r} not found in source {side}: {df.columns}")
+    return found
+
+
+def _is_time(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
 
+def comparable(a: Column, type_a: T.DataType, b: Column, type_b: T.DataType) -> tuple[Column, Column]:
+    """Both sides of an equality in one type, as the ledger SQL compares them.
 
-def _key_columns(a: DataFrame, b: DataFrame, key: str) -> tuple[Column, Column]:
-    """Key expressions for both sides; unequal types are compared as text."""
-    type_a, type_b = a.schema[key].dataType, b.schema[key].dataType
+    Numbers meet in their common numeric type (whole numbers and decimals
+    exactly, DOUBLE if either side is floating). Text against a number is read
+    as a number (``'01'`` equals 1), text against a date as a date; text that is
+    neither equals nothing. A date against a timestamp counts as its midnight.
+    Any other pair of types is compared as text."""
+    text = T.StringType()
     if type_a == type_b:
-        return column(key), column(key)
-    return column(key).cast("string"), column(key).cast("string")
+        return a, b
+    if isinstance(type_a, T.NumericType) and isinstance(type_b, T.NumericType):
+        floating = isinstance(type_a, (T.FloatType, T.DoubleType)) or isinstance(type_b, (T.FloatType, T.DoubleType))
+        whole = isinstance(type_a, T.IntegralType) and isinstance(type_b, T.IntegralType)
+        kind = "double" if floating else "bigint" if whole else "decimal(38,10)"
+        return a.cast(kind), b.cast(kind)
+    if type_b == text and type_a != text:
+        right, left = comparable(b, type_b, a, type_a)
+        return left, right
+    if type_a == text and isinstance(type_b, (T.FloatType, T.DoubleType)):
+        return safe_double(a), b.cast("double")
+    if type_a == text and isinstance(type_b, T.NumericType):
+        exact = T.DecimalType(38, 10)
+        return F.when(a.rlike(NUMBER_TEXT), a.try_cast(exact)), b.cast(exact)
+    if type_a == text and isinstance(type_b, T.DateType):
+        return parse_date(a), b
+    if type_a == text and _is_time(type_b):
+        return a.try_cast(type_b), b
+    if _is_time(type_a) and _is_time(type_b):
+        kind = T.TimestampNTZType()
+        return a.cast(kind), b.cast(kind)
+    return a.cast(text), b.cast(text)
 
 
 def exact_from(pairs: DataFrame) -> DataFrame:
@@ -127,48 +171,39 @@ class Reconciliation:
     def __init__(self, a: DataFrame, b: DataFrame, config: ReconConfig):
         if a is None or b is None:
             raise ValueError("both sources must be given before reconciliation")
-        cfg = config
-        for df, side, cols in (
-            (a, "A", (cfg.match_key, cfg.date_col_a, cfg.amount_col_a, cfg.description_col_a)),
-            (b, "B", (cfg.match_key, cfg.date_col_b, cfg.amount_col_b, cfg.description_col_b)),
-        ):
-            for col in cols:
-                _require(df, col, side)
-        for df, col, side in ((a, cfg.amount_col_a, "A"), (b, cfg.amount_col_b, "B")):
-            if not isinstance(df.schema[col].dataType, T.NumericType):
-                raise TypeError(
-                    f"amount column {col!r} of source {side} is {df.schema[col].dataType.simpleString()}; "
-                    "clean it to a number first (clean_amount)"
-                )
-        self.a, self.b, self.config = a, b, cfg
-        self._key_a, self._key_b = _key_columns(a, b, cfg.match_key)
+        self.a, self.b, self.config = a, b, config
+        self._roles = {}
+        for df, side, roles in ((a, "A", config.a), (b, "B", config.b)):
+            found = Roles(_found(df, roles.date, side), _found(df, roles.amount, side),
+                          _found(df, roles.description, side) if roles.description else None)
+            kind = df.schema[found.amount].dataType
+            if not isinstance(kind, T.NumericType):
+                raise TypeError(f"amount column {found.amount!r} of source {side} is {kind.simpleString()}; "
+                                "clean it to a number first (clean_amount)")
+            self._roles[side] = found
+        name_a, name_b = _found(a, config.match_key, "A"), _found(b, config.match_key, "B")
+        self._match_key = column(name_a)
+        self._key_a, self._key_b = comparable(column(name_a), a.schema[name_a].dataType,
+                                              column(name_b), b.schema[name_b].dataType)
 
     # -- role projection -------------------------------------------------
-    def _side_a(self) -> DataFrame:
-        cfg = self.config
-        desc = column(cfg.description_col_a) if cfg.description_col_a else F.lit(None).cast("string")
-        return self.a.select(
-            self._key_a.alias("match_key"),
-            column(cfg.date_col_a).alias("date_a"),
-            column(cfg.amount_col_a).alias("amount_a"),
-            desc.alias("description_a"),
-        )
-
-    def _side_b(self) -> DataFrame:
-        cfg = self.config
-        desc = column(cfg.description_col_b) if cfg.description_col_b else F.lit(None).cast("string")
-        return self.b.select(
-            self._key_b.alias(_KEY_B),
-            column(cfg.date_col_b).alias("date_b"),
-            column(cfg.amount_col_b).alias("amount_b"),
-            desc.alias("description_b"),
+    def _side(self, side: str) -> DataFrame:
+        df, key = (self.a, self._key_a) if side == "A" else (self.b, self._key_b)
+        roles, suffix = self._roles[side], side.lower()
+        description = column(roles.description) if roles.description else F.lit(None).cast("string")
+        return df.select(
+            *([self._match_key.alias("match_key")] if side == "A" else []),
+            key.alias(_KEY[side]),
+            column(roles.date).alias(f"date_{suffix}"),
+            column(roles.amount).alias(f"amount_{suffix}"),
+            description.alias(f"description_{suffix}"),
         )
 
     # -- matched pairs (one join for three result sets) -------------------
     @cached_property
     def pairs(self) -> DataFrame:
         """All key-matched pairs with ``variance`` and ``category`` (NULL = unclassified)."""
-        joined = self._side_a().join(self._side_b(), F.col("match_key") == F.col(_KEY_B), "inner")
+        joined = self._side("A").join(self._side("B"), F.col(_KEY["A"]) == F.col(_KEY["B"]), "inner")
         cat = category(F.col("amount_a"), F.col("amount_b"), F.col("date_a"), F.col("date_b"),
                        self.config.amount_tolerance)
         return joined.select(
@@ -196,20 +231,20 @@ class Reconciliation:
 
     # -- one-sided rows --------------------------------------------------
     @staticmethod
-    def _distinct_keys(df: DataFrame, key: Column) -> DataFrame:
-        return df.select(key.alias(_KEY_B)).where(F.col(_KEY_B).isNotNull()).distinct()
+    def _missing(df: DataFrame, key: Column, other: DataFrame, other_key: Column) -> DataFrame:
+        keys = other.select(other_key.alias("_other_key")).where(F.col("_other_key").isNotNull()).distinct()
+        keyed = df.where(key.isNotNull()).join(keys, key == F.col("_other_key"), "left_anti")
+        return keyed.unionAll(df.where(key.isNull()))
 
     @property
     def missing_in_b(self) -> DataFrame:
         """Rows of A (all columns, A's order) whose key is absent from B."""
-        keys_b = self._distinct_keys(self.b, self._key_b)
-        return self.a.join(keys_b, self._key_a == F.col(_KEY_B), "left_anti")
+        return self._missing(self.a, self._key_a, self.b, self._key_b)
 
     @property
     def missing_in_a(self) -> DataFrame:
         """Rows of B (all columns, B's order) whose key is absent from A."""
-        keys_a = self._distinct_keys(self.a, self._key_a)
-        return self.b.join(keys_a, self._key_b == F.col(_KEY_B), "left_anti")
+        return self._missing(self.b, self._key_b, self.a, self._key_a)
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -226,73 +261,89 @@ class Reconciliation:
         return source_totals(self.a, self.b, self.config)
 
     # -- summary ---------------------------------------------------------
+    def _stacked(self) -> DataFrame:
+        """Both sides as (k, d, amt, n_a, n_b), reduced to one row per distinct (key, date, amount)."""
+        roles_a, roles_b = self._roles["A"], self._roles["B"]
+        dates = comparable(column(roles_a.date), self.a.schema[roles_a.date].dataType,
+                           column(roles_b.date), self.b.schema[roles_b.date].dataType)
+        amounts = comparable(column(roles_a.amount), self.a.schema[roles_a.amount].dataType,
+                             column(roles_b.amount), self.b.schema[roles_b.amount].dataType)
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        rows = [df.select(key.alias("k"), d.alias("d"), x.alias("amt"), in_a.alias("in_a"), in_b.alias("in_b"))
+                for df, key, d, x, in_a, in_b in ((self.a, self._key_a, dates[0], amounts[0], one, none),
+                                                  (self.b, self._key_b, dates[1], amounts[1], none, one))]
+        reduced = rows[0].unionByName(rows[1]).groupBy("k", "d", "amt").agg(
+            F.sum("in_a").alias("n_a"), F.sum("in_b").alias("n_b"))
+        # Named through the counts, so that conditions on key and amount stay above the reduction: it is computed
+        # once for both of its uses, and a cleaner below it is not repeated inside a pushed-down condition.
+        there = F.col("n_a") + F.col("n_b") > 0
+        return reduced.select(F.when(there, F.col("k")).alias("k"), "d", F.when(there, F.col("amt")).alias("amt"), "n_a", "n_b")
+
+    def _near_pairs(self, reduced: DataFrame) -> DataFrame:
+        """(same_date, n): numbers of pairs with amounts within the tolerance, by distinct row pairs.
+
+        A pair within the tolerance lies in one bucket of twice that width or in
+        neighbouring ones. Only finite amounts can be near: a difference with an
+        infinite or NaN amount is never within a finite tolerance."""
+        tol = float(self.config.amount_tolerance)
+        amount = F.col("amt").cast("double")
+        finite = reduced.where(F.col("k").isNotNull() & (F.abs(amount) < float("inf")))
+        if tol > 0:
+            bucket = _floor(amount / F.lit(2 * tol))
+            # far from zero the neighbours of a bucket may be the bucket itself
+            buckets = F.array_distinct(F.array(bucket - 1, bucket, bucket + 1))
+        else:
+            bucket, buckets = amount, F.array(amount)
+        left = finite.where("n_a > 0").select(F.col("k").alias("ka"), bucket.alias("bucket_a"), F.col("d").alias("da"),
+                                              F.col("amt").alias("xa"), "n_a")
+        right = finite.where("n_b > 0").select(F.col("k").alias("kb"), F.explode(buckets).alias("bucket_b"),
+                                               F.col("d").alias("db"), F.col("amt").alias("xb"), "n_b")
+        same = (F.col("ka") == F.col("kb")) & (F.col("bucket_a") == F.col("bucket_b"))
+        return left.join(right, same).where(F.abs(F.col("xa") - F.col("xb")) <= F.lit(tol)).select(
+            (F.col("da") == F.col("db")).alias("same_date"), (F.col("n_a") * F.col("n_b")).alias("n"))
+
     def summary(self) -> DataFrame:
         """One row: the five counts, totals, unclassified pairs and source sizes.
 
-        Each side is reduced once to ``(key, date, amount) -> rows`` (partial
-        aggregation before the shuffle, so copies collapse map-side). That
-        reduction feeds both the pair join and the per-key counts, so its
-        exchange is reused. NULL keys, which never match, are counted by a
-        branch that reads only the key column.
-        """
-        cfg = self.config
-        side_a = self._side_a().where(F.col("match_key").isNotNull())
-        side_b = self._side_b().where(F.col(_KEY_B).isNotNull())
-        red_a = side_a.groupBy("match_key", "date_a", "amount_a").agg(F.count(F.lit(1)).alias("n_a"))
-        red_b = side_b.groupBy(_KEY_B, "date_b", "amount_b").agg(F.count(F.lit(1)).alias("n_b"))
-
+        Pairs are counted, not formed: per key as products of row counts, and
+        near pairs (see ``_near_pairs``) from the distinct rows of a key whose
+        amounts are close. The rest of the pairs with both amounts are variances."""
+        reduced = self._stacked()
         zero = F.lit(0).cast("long")
-        pair_rows = red_a.join(red_b, F.col("match_key") == F.col(_KEY_B), "inner").select(
-            category(F.col("amount_a"), F.col("amount_b"), F.col("date_a"), F.col("date_b"),
-                     cfg.amount_tolerance).alias("category"),
-            (F.col("n_a") * F.col("n_b")).alias("n"),
-            zero.alias("rows_a"), zero.alias("rows_b"),
+        has_amount = F.col("amt").isNotNull()
+        per_key = reduced.groupBy("k").agg(
+            F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"),
+            F.coalesce(F.sum(F.when(has_amount, F.col("n_a"))), zero).alias("x_a"),
+            F.coalesce(F.sum(F.when(has_amount, F.col("n_b"))), zero).alias("x_b"))
+        matched = F.col("k").isNotNull() & (F.col("n_a") > 0) & (F.col("n_b") > 0)
+        names = ("rows_a", "rows_b", "missing_in_b", "missing_in_a", "pairs", "amount_pairs", "exact", "note", "near")
+
+        def row(**values: Column):
+            return [values.get(n, zero).alias(n) for n in names]
+
+        by_key = per_key.select(*row(
+            rows_a=F.col("n_a"), rows_b=F.col("n_b"),
+            missing_in_b=F.when(matched, zero).otherwise(F.col("n_a")),
+            missing_in_a=F.when(matched, zero).otherwise(F.col("n_b")),
+            pairs=F.when(matched, F.col("n_a") * F.col("n_b")).otherwise(zero),
+            amount_pairs=F.when(matched, F.col("x_a") * F.col("x_b")).otherwise(zero)))
+        n, same = F.col("n"), F.col("same_date")
+        near = self._near_pairs(reduced).select(*row(
+            exact=F.when(same, n).otherwise(zero), note=F.when(~same, n).otherwise(zero), near=n))
+        total = by_key.unionByName(near).agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in names])
+        variance = F.col("amount_pairs") - F.col("near")
+        return total.select(
+            F.col("exact").alias("exact_matches"), F.col("note").alias("matches_with_date_note"),
+            variance.alias("amount_variances"), "missing_in_b", "missing_in_a",
+            (F.col("exact") + F.col("note")).alias("total_matched"),
+            (variance + F.col("missing_in_b") + F.col("missing_in_a")).alias("total_unmatched"),
+            (F.col("pairs") - F.col("exact") - F.col("note") - variance).alias("unclassified"), "rows_a", "rows_b",
         )
 
-        keys_a = red_a.groupBy("match_key").agg(F.sum("n_a").alias("n_a"))
-        keys_b = red_b.groupBy(_KEY_B).agg(F.sum("n_b").alias("n_b"))
-        per_key = keys_a.join(keys_b, F.col("match_key") == F.col(_KEY_B), "full_outer")
-        # One row per key: a one-sided key counts its rows as missing; a key on
-        # both sides only contributes to the source sizes.
-        one_sided = F.col("n_a").isNull() | F.col("n_b").isNull()
-        key_rows = per_key.select(
-            F.when(F.col("n_b").isNull(), F.lit(MISSING_IN_B))
-            .when(F.col("n_a").isNull(), F.lit(MISSING_IN_A)).alias("category"),
-            F.when(one_sided, F.coalesce(F.col("n_a"), F.col("n_b"))).otherwise(zero).alias("n"),
-            F.coalesce(F.col("n_a"), zero).alias("rows_a"),
-            F.coalesce(F.col("n_b"), zero).alias("rows_b"),
-        )
 
-        # NULL-key rows go straight into the final (partially aggregated) sum.
-        one = F.lit(1).cast("long")
-        null_a = self.a.select(self._key_a.alias("k")).where(F.col("k").isNull()).select(
-            F.lit(MISSING_IN_B).alias("category"), one.alias("n"), one.alias("rows_a"), zero.alias("rows_b"))
-        null_b = self.b.select(self._key_b.alias("k")).where(F.col("k").isNull()).select(
-            F.lit(MISSING_IN_A).alias("category"), one.alias("n"), zero.alias("rows_a"), one.alias("rows_b"))
-
-        rows = pair_rows.unionByName(key_rows).unionByName(null_a).unionByName(null_b)
-
-        def total(cat: str | None) -> Column:
-            hit = F.col("category").isNull() if cat is None else (F.col("category") == cat)
-            return F.coalesce(F.sum(F.when(hit, F.col("n"))), zero)
-
-        is_pair = F.col("rows_a") + F.col("rows_b") == 0  # only pair rows carry no source rows
-        counts = rows.agg(
-            total(EXACT_MATCH).alias("exact_matches"),
-            total(MATCH_WITH_DATE_NOTE).alias("matches_with_date_note"),
-            total(AMOUNT_VARIANCE).alias("amount_variances"),
-            total(MISSING_IN_B).alias("missing_in_b"),
-            total(MISSING_IN_A).alias("missing_in_a"),
-            F.coalesce(F.sum(F.when(F.col("category").isNull() & is_pair, F.col("n"))), zero).alias("unclassified"),
-            F.coalesce(F.sum("rows_a"), zero).alias("rows_a"),
-            F.coalesce(F.sum("rows_b"), zero).alias("rows_b"),
-        )
-        return counts.select(
-            "exact_matches", "matches_with_date_note", "amount_variances", "missing_in_b", "missing_in_a",
-            (F.col("exact_matches") + F.col("matches_with_date_note")).alias("total_matched"),
-            (F.col("amount_variances") + F.col("missing_in_b") + F.col("missing_in_a")).alias("total_unmatched"),
-            "unclassified", "rows_a", "rows_b",
-        )
+def _floor(value: Column) -> Column:
+    """Largest whole number not above ``value``, as DOUBLE (no overflow for large values)."""
+    return F.rint(value) - F.when(F.rint(value) > value, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def source_totals(a: DataFrame, b: DataFrame, config: ReconConfig) -> DataFrame:
@@ -302,8 +353,9 @@ def source_totals(a: DataFrame, b: DataFrame, config: ReconConfig) -> DataFrame:
     counts as NULL. Both sources are summed in one aggregation over their
     union (partial sums per task, one final row).
     """
-    amount_a = safe_double(column(config.amount_col_a), a.schema[config.amount_col_a].dataType)
-    amount_b = safe_double(column(config.amount_col_b), b.schema[config.amount_col_b].dataType)
+    name_a, name_b = _found(a, config.a.amount, "A"), _found(b, config.b.amount, "B")
+    amount_a = safe_double(column(name_a), a.schema[name_a].dataType)
+    amount_b = safe_double(column(name_b), b.schema[name_b].dataType)
     both = a.select(F.lit("a").alias("side"), amount_a.alias("amt")) \
         .unionByName(b.select(F.lit("b").alias("side"), amount_b.alias("amt")))
     return both.agg(*[F.sum(F.when(F.col("side") == side, F.col("amt"))).alias(f"total_{side}")
@@ -321,14 +373,17 @@ def clean_sources(a: DataFrame, b: DataFrame, config: ReconConfig,
 
     Column order is kept; the cleaned column replaces the original one.
     """
-    def prepare(df: DataFrame, amount_col: str, date_col: str) -> DataFrame:
-        replace = {amount_col: clean_amount(amount_col, df.schema[amount_col].dataType)}
-        if clean_dates and date_col in df.columns:
-            replace[date_col] = clean_date(date_col)
-        return df.withColumns(replace)
-
-    return (prepare(a, config.amount_col_a, config.date_col_a),
-            prepare(b, config.amount_col_b, config.date_col_b))
+    def prepare(df: DataFrame, roles: Roles, side: str) -> DataFrame:
+        amount, date = _found(df, roles.amount, side), resolve(df.columns, roles.date)
+        cleaned = {date: clean_date(date)} if clean_dates and date is not None else {}
+        if isinstance(df.schema[amount].dataType, T.NumericType):
+            return df.withColumns(cleaned) if cleaned else df
+        # the digits in a projection of their own: the parser names them many times
+        kept, sign = amount_parts(amount)
+        return (df.withColumns({**cleaned, "_amount_kept": kept, "_amount_sign": sign})
+                .withColumns({amount: parse_amount("_amount_kept", "_amount_sign")}).drop("_amount_kept", "_amount_sign"))
+
+    return prepare(a, config.a, "A"), prepare(b, config.b, "B")
 
 
 def reconcile_sources(a: DataFrame, b: DataFrame, config: ReconConfig,
