@@ -24,8 +24,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # The only broadcasts are AQE's, decided on the measured size of a side
-    # after its shuffle map stage; this is that size bound.
-    "spark.sql.autoBroadcastJoinThreshold": "10m",
+    # after its shuffle map stage; this is that size bound. Estimated sizes
+    # decide nothing.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -69,14 +70,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; it is read from the
-    session. Only when nothing is configured (local runs and tests) a fresh
-    scratch folder is created and registered.
+    session. Only a local run (``local*`` master) may go without: a scratch
+    folder is created and registered for it. On a cluster each executor would
+    see its own disk there, so a missing setting is an error.
     """
     sc = _context(spark)
     configured = sc.getCheckpointDir() if sc is not None else None
     if not configured:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
+            if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             configured = tempfile.mkdtemp(prefix="ledgerops-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(configured)

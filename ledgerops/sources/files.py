@@ -3,6 +3,12 @@
 Reading is string-first: every CSV column is text unless a schema is given or
 inference is asked for, and the cleaners turn text into numbers, dates and
 booleans by an explicit spec (no per-file guessing that differs by file).
+
+The layout (delimiter, header, column order, line breaks inside quotes) is found
+for each file on its own; files of one layout are read together. A record whose
+number of fields differs from its file's header is an error, or is kept visible,
+but never cut or padded silently.
+
 Writers produce one directory of part files per table (parallel, one file per
 task); ``single_file=True`` funnels the table through one task and is only for
 small outputs.
@@ -10,20 +16,23 @@ small outputs.
 
 from __future__ import annotations
 
+import csv
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import to_text
+from ..functions.cleaning import NUMBER_TEXT, parse_date, to_text
 from ..functions.names import column
-from ..operators.aggregation import union_all
 from ..operators import reconciliation as rc
+from ..operators.aggregation import check_same_columns, union_all
 from ..operators.reconciliation import RESULT_FILE_NAMES, Reconciliation
 from ..session import checkpoint_dir
 
 # CSV text conventions of the written files (header, comma,
-# NULL as an empty field, an empty string as "", quotes doubled).
+# NULL as an empty field, an empty string as "", quotes doubled, blanks kept).
 CSV_WRITE_OPTIONS = {
     "header": "true",
     "sep": ",",
@@ -31,24 +40,34 @@ CSV_WRITE_OPTIONS = {
     "escape": '"',
     "nullValue": "",
     "emptyValue": '""',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
 }
 
 
 # Delimiters recognised when a CSV's delimiter is not given.
 CSV_DELIMITERS = (",", ";", "\t", "|")
+HEAD_LINES = 32        # a first record that is longer than this is an error
+LAYOUT_THREADS = 32    # first records that are read at the same time
+REJECTED = "_rejected"
+# Stands for an empty unquoted field (NULL) while reading, so that a quoted empty field stays empty text.
+NO_VALUE = "\ue000NULL\ue000"
 
 
-def sniff_delimiter(spark: SparkSession, path: str | list[str]) -> str:
-    """The delimiter of a CSV input, from its first line (a one-line read).
+@dataclass(frozen=True)
+class Layout:
+    """How one CSV file is written."""
 
-    The candidate that occurs most often outside double quotes wins; a tie or
-    an empty input gives a comma.
-    """
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return ","
-    line, outside, quoted = first[0][0] or "", [], False
-    for ch in line:
+    sep: str
+    header: bool
+    names: tuple[str, ...]
+    multi_line: bool
+
+
+def delimiter_of(record: str) -> str:
+    """The delimiter of a record: the candidate that occurs most often outside double quotes (a tie: the comma)."""
+    outside, quoted = [], False
+    for ch in record:
         if ch == '"':
             quoted = not quoted
         elif not quoted:
@@ -58,30 +77,130 @@ def sniff_delimiter(spark: SparkSession, path: str | list[str]) -> str:
     return best if counts[best] > 0 else ","
 
 
+def _first_record(spark: SparkSession, path: str) -> str | None:
+    """The first record of a file (a read of its first lines only); None when the file is empty."""
+    lines = [r[0] or "" for r in spark.read.text(path).limit(HEAD_LINES).collect()]
+    if not lines:
+        return None
+    record = lines[0]
+    for line in lines[1:]:
+        if record.count('"') % 2 == 0:
+            break
+        record += "\n" + line
+    if record.count('"') % 2:
+        raise ValueError(f"{path}: the quote opened in the first record is not closed within {HEAD_LINES} lines")
+    return record.removeprefix("\ufeff")
+
+
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
+    """The delimiter of one CSV file, from its first record."""
+    record = _first_record(spark, path)
+    return "," if record is None else delimiter_of(record)
+
+
+def _looks_like_values(spark: SparkSession, fields: list[str]) -> bool:
+    """Whether a first record holds values: an empty field, a repeated one, a number or a date is no column name."""
+    if len(set(f.lower() for f in fields)) < len(fields) or any(not f.strip() for f in fields):
+        return True
+    row = spark.range(1).select(*[(F.lit(f).rlike(NUMBER_TEXT) | parse_date(F.lit(f)).isNotNull()).alias(f"c{i}")
+                                  for i, f in enumerate(fields)]).first()
+    return any(row)
+
+
+def _files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The data files of paths, folders and globs, in the order given (a listing on the driver, no job)."""
+    return [f for p in paths for f in sorted(spark.read.text(p).inputFiles())]
+
+
+def csv_layouts(spark: SparkSession, paths: list[str], sep: str | None = None, header: bool | None = None,
+                multi_line: bool | None = None) -> dict[str, Layout]:
+    """The layout of every file that has a record.
+
+    First records are read side by side. Whether a quoted field runs over a line
+    break is found by one distributed pass: such a file has a line with an odd
+    number of quotes."""
+    files = _files(spark, paths)
+    with ThreadPoolExecutor(max_workers=LAYOUT_THREADS) as pool:
+        records = dict(zip(files, pool.map(lambda f: _first_record(spark, f), files)))
+    files = [f for f in files if records[f] is not None]
+    broken: set[str] = set()
+    if files and multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        broken = {r[0] for r in spark.read.text(files).where(quotes % 2 == 1)
+                  .select(F.input_file_name().alias("f")).distinct().collect()}
+        broken = {f for f in files if f in broken or _plain(f) in {_plain(b) for b in broken}}
+    out = {}
+    for f in files:
+        own = sep or delimiter_of(records[f])
+        fields = next(csv.reader([records[f]], delimiter=own)) if "\n" not in records[f] else next(
+            csv.reader(records[f].splitlines(keepends=True), delimiter=own))
+        has_names = header if header is not None else not _looks_like_values(spark, fields)
+        names = tuple(fields) if has_names else tuple(f"column{i}" for i in range(len(fields)))
+        out[f] = Layout(own, has_names, names, f in broken if multi_line is None else multi_line)
+    return out
+
+
+def _plain(uri: str) -> str:
+    """A file's URI without the differences in how Spark prints it."""
+    return uri.replace("file:///", "file:/").replace("%20", " ")
+
+
+def _read_layout(spark: SparkSession, files: list[str], layout: Layout, schema, infer_schema: bool, keep_rejected: bool) -> DataFrame:
+    reader = (spark.read.option("header", str(layout.header).lower()).option("sep", layout.sep)
+              .option("quote", '"').option("escape", '"').option("multiLine", str(layout.multi_line).lower())
+              .option("enforceSchema", "false").option("columnPruning", "false").option("nullValue", NO_VALUE))
+    if infer_schema:
+        kinds = reader.option("inferSchema", "true").csv(files).schema
+        fields = [T.StructField(n, k.dataType) for n, k in zip(layout.names, kinds.fields)]
+    elif schema is not None:
+        given = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        by_name = {f.name.lower(): f for f in given.fields}
+        if layout.header and {n.lower() for n in layout.names} != set(by_name):
+            raise ValueError(f"{files[0]} has the columns {list(layout.names)}, not {[f.name for f in given.fields]}")
+        fields = [by_name[n.lower()] for n in layout.names] if layout.header else given.fields
+    else:
+        fields = [T.StructField(n, T.StringType()) for n in layout.names]
+    if keep_rejected:
+        out = reader.schema(T.StructType([*fields, T.StructField(REJECTED, T.StringType())])).option(
+            "columnNameOfCorruptRecord", REJECTED).option("mode", "PERMISSIVE").csv(files)
+    else:
+        out = reader.schema(T.StructType(fields)).option("mode", "FAILFAST").csv(files)
+    return out
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
-             infer_schema: bool = False, sep: str | None = None, header: bool = True,
-             multi_line: bool = False) -> DataFrame:
-    """Read CSV file(s) with a header. Columns are text unless ``schema`` or ``infer_schema``.
-
-    ``sep=None`` detects the delimiter from the first line. Quotes inside
-    quoted fields are doubled (RFC 4180). ``multi_line`` allows line breaks
-    inside quoted fields but makes each file one task, so it is off by
-    default; splittable files keep the scan parallel.
+             infer_schema: bool = False, sep: str | None = None, header: bool | None = None,
+             multi_line: bool | None = None, keep_rejected: bool = False) -> DataFrame:
+    """Read CSV file(s), folders or globs. Columns are text unless ``schema`` or ``infer_schema``.
+
+    Delimiter, header and line breaks inside quotes are found per file unless
+    given; a file without a header gets the names column0, column1, ... Files
+    may list the same columns in different orders (the first file's order is
+    kept); other columns are an error that names the file. Quotes inside quoted
+    fields are doubled (RFC 4180). A file with line breaks inside quotes is one
+    task; the others stay splittable.
+
+    A record with more or fewer fields than its file's header stops the read,
+    with the record in the message. With ``keep_rejected`` it is kept instead,
+    its text in the column ``_rejected`` (NULL in good rows).
     """
-    if sep is None:
-        sep = sniff_delimiter(spark, path)
-    reader = (spark.read.option("header", str(header).lower()).option("sep", sep)
-              .option("quote", '"').option("escape", '"').option("multiLine", str(multi_line).lower()))
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif infer_schema:
-        reader = reader.option("inferSchema", "true")
-    return reader.csv(path)
-
-
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
+    paths = [path] if isinstance(path, str) else list(path)
+    layouts = csv_layouts(spark, paths, sep, header, multi_line)
+    if not layouts:
+        given = T.StructType() if schema is None else schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        return spark.createDataFrame([], given)
+    groups: dict[Layout, list[str]] = {}
+    for f, layout in layouts.items():
+        groups.setdefault(layout, []).append(f)
+    frames = [_read_layout(spark, files, layout, schema, infer_schema, keep_rejected) for layout, files in groups.items()]
+    check_same_columns(frames, [files[0] for files in groups.values()])
+    return union_all(frames, validate=False)
+
+
+def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = None, **options) -> DataFrame:
     """Read CSV or Parquet (by ``fmt`` or by the path's extension)."""
-    fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
+    first = path if isinstance(path, str) else path[0]
+    fmt = fmt or ("csv" if first.lower().endswith(".csv") else "parquet")
     if fmt == "csv":
         return read_csv(spark, path, **options)
     return spark.read.options(**options).format(fmt).load(path)
@@ -91,31 +210,23 @@ def load_files(spark: SparkSession, paths: list[str], fmt: str | None = None, by
                **options) -> DataFrame:
     """Load several same-schema files and stack them (first file fixes the column order).
 
-    Every file's columns are checked against the first file's before any job
-    runs, and a mismatch names the file. Files that share the same header are
-    then read together by one multi-path read, so a thousand monthly files
-    with one layout give a one-branch plan instead of a thousand-way union.
+    Every file's columns are checked against the first file's before rows are
+    read, and a mismatch names the file. Files of one layout are then read
+    together by one multi-path read, so a thousand monthly files with one layout
+    give a one-branch plan instead of a thousand-way union.
     """
     if not paths:
         raise ValueError("no files given")
-    headers = [tuple(read_table(spark, p, fmt, **options).columns) for p in paths]
-    first = set(headers[0])
-    for path, header in zip(paths[1:], headers[1:]):
-        if set(header) != first:
-            raise ValueError(f"schema mismatch in {path}: missing={sorted(first - set(header))}, "
-                             f"extra={sorted(set(header) - first)}")
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in zip(paths, headers):
-        groups.setdefault(header, []).append(path)
-    frames = [_read_many(spark, group, fmt, **options) for group in groups.values()]
-    return union_all(frames, by=by, validate=False)
-
-
-def _read_many(spark: SparkSession, paths: list[str], fmt: str | None, **options) -> DataFrame:
-    fmt = fmt or ("csv" if paths[0].lower().endswith(".csv") else "parquet")
-    if fmt == "csv":
+    kind = fmt or ("csv" if paths[0].lower().endswith(".csv") else "parquet")
+    if kind == "csv" and by == "name":
         return read_csv(spark, paths, **options)
-    return spark.read.options(**options).format(fmt).load(paths)
+    with ThreadPoolExecutor(max_workers=LAYOUT_THREADS) as pool:  # one small read of columns each
+        frames = list(pool.map(lambda p: read_table(spark, p, kind, **options), paths))
+    check_same_columns(frames, paths)
+    groups: dict[tuple, list[str]] = {}
+    for p, df in zip(paths, frames):
+        groups.setdefault(tuple(df.dtypes), []).append(p)
+    return union_all([read_table(spark, group, kind, **options) for group in groups.values()], by=by, validate=False)
 
 
 def as_csv_text(df: DataFrame) -> DataFrame:
@@ -133,12 +244,15 @@ def as_csv_text(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite",
-              plain_text: bool = True) -> None:
-    """Write a table as CSV part files under ``path`` (a directory)."""
+              plain_text: bool = True, sep: str = ",") -> int:
+    """Write a table as CSV part files under ``path`` (a directory); returns the number of rows written,
+    which the write itself counts."""
     out = as_csv_text(df) if plain_text else df
     if single_file:
         out = out.coalesce(1)
-    out.write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)
+    written = Observation()
+    out.observe(written, F.count(F.lit(1)).alias("rows")).write.mode(mode).options(**{**CSV_WRITE_OPTIONS, "sep": sep}).csv(path)
+    return written.get["rows"]
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
@@ -154,15 +268,24 @@ def result_path(out_dir: str, table: str) -> str:
     return f"{out_dir.rstrip('/')}/{RESULT_FILE_NAMES.get(table, f'{table}.csv')}"
 
 
-def export_table(df: DataFrame, out_dir: str, table: str, **kwargs) -> str:
+class ExportError(RuntimeError):
+    """Some result sets could not be written; ``failed`` has the cause of each, ``written`` the others' paths."""
+
+    def __init__(self, failed: dict[str, Exception], written: dict[str, str]):
+        super().__init__("not exported: " + "; ".join(f"{name} ({cause})" for name, cause in failed.items()))
+        self.failed, self.written = failed, written
+
+
+def export_table(df: DataFrame, out_dir: str, table: str, **kwargs) -> tuple[str, int]:
+    """Write one named result; returns its path and its number of rows."""
     path = result_path(out_dir, table)
-    write_csv(df, path, **kwargs)
-    return path
+    return path, write_csv(df, path, **kwargs)
 
 
-def export_results(recon: Reconciliation, out_dir: str, **kwargs) -> dict[str, str]:
-    """Write all five result sets; a set that fails is reported and skipped.
+def export_results(recon: Reconciliation, out_dir: str, **kwargs) -> dict[str, tuple[str, int]]:
+    """Write all five result sets; returns path and row count of each.
 
+    All sets are tried; if any fails, one ``ExportError`` names them at the end.
     The matched pairs are checkpointed once (to the shared checkpoint folder,
     see ``session.checkpoint_dir``) so the three matched sets are written
     without running the join again, and a lost executor does not force the
@@ -177,15 +300,15 @@ def export_results(recon: Reconciliation, out_dir: str, **kwargs) -> dict[str, s
         "missing_in_b": recon.missing_in_b,
         "missing_in_a": recon.missing_in_a,
     }
-    # The five writes are independent jobs: submit them together so Spark can
-    # schedule their tasks side by side instead of one job after another.
-    written = {}
+    written, failed = {}, {}
+    # The five writes are independent jobs: their tasks run side by side.
     with ThreadPoolExecutor(max_workers=len(tables)) as pool:
         futures = {name: pool.submit(export_table, frame, out_dir, name, **kwargs) for name, frame in tables.items()}
         for name, future in futures.items():
-            try:
+            if (cause := future.exception()) is not None:
+                failed[name] = cause
+            else:
                 written[name] = future.result()
-            except Exception as exc:  # noqa: BLE001 - one failed table must not stop the others
-                print(f"error exporting {name}: {exc}")
+    if failed:
+        raise ExportError(failed, {name: path for name, (path, _) in written.items()})
     return written
-

@@ -11,10 +11,10 @@ folder, resumes exactly where it stopped after a failure.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.aggregation import aggregate
 from ..operators.clean import ColumnSpec, clean_table
 from ..operators.filters import FilterRange, filter_rows
 from ..session import scratch_path
@@ -54,10 +54,7 @@ def running_totals(df: DataFrame, group_cols: list[str], sum_col: str) -> DataFr
     Partial aggregation happens per micro-batch before the shuffle; the state
     holds one row per group. Sorting is left to the reader of the result.
     """
-    return df.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("record_count"),
-        F.sum(sum_col).alias("total_amount"),
-    )
+    return aggregate(df, group_cols, sum_col, sort_by=None)
 
 
 def run_available(df: DataFrame, output_path: str, output_mode: str = "append",
