@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as fc
@@ -91,28 +91,76 @@ def recon_missing_in_a(spark, sf_dir):
     return _ledgers(spark, sf_dir).missing_in_a
 
 
-@register("recon_export", f"""WITH {I.LEDGERS_SQL}
-SELECT 'exact_matches.csv' AS file, count(*) AS rows FROM ledger_a a JOIN ledger_b b ON a.k = b.k
-  WHERE a.d = b.d AND ABS(a.amt - b.amt) <= {TOL}
-UNION ALL SELECT 'matches_with_date_note.csv', count(*) FROM ledger_a a JOIN ledger_b b ON a.k = b.k
-  WHERE a.d <> b.d AND ABS(a.amt - b.amt) <= {TOL}
-UNION ALL SELECT 'amount_variances.csv', count(*) FROM ledger_a a JOIN ledger_b b ON a.k = b.k
-  WHERE ABS(a.amt - b.amt) > {TOL}
-UNION ALL SELECT 'missing_in_source_b.csv', count(*) FROM ledger_a a LEFT JOIN ledger_b b ON a.k = b.k WHERE b.k IS NULL
-UNION ALL SELECT 'missing_in_source_a.csv', count(*) FROM ledger_b b LEFT JOIN ledger_a a ON b.k = a.k WHERE a.k IS NULL""")
+EXPORT_SELECT = """SELECT '{file}' AS file, CAST({k} AS VARCHAR) AS match_key, {da} AS date_a, {db} AS date_b,
+  {xa} AS amount_a, {xb} AS amount_b, {note} AS note, count(*) AS copies"""
+
+
+def _export_sql() -> str:
+    pair = dict(k="a.k", da="CAST(a.d AS VARCHAR)", db="CAST(b.d AS VARCHAR)", xa="a.amt", xb="b.amt")
+    one = {"a": dict(k="a.k", da="CAST(a.d AS VARCHAR)", db="NULL", xa="a.amt", xb="NULL"),
+           "b": dict(k="b.k", da="NULL", db="CAST(b.d AS VARCHAR)", xa="NULL", xb="b.amt")}
+    joined = " FROM ledger_a a JOIN ledger_b b ON a.k = b.k WHERE "
+    parts = [
+        EXPORT_SELECT.format(file="exact_matches.csv", note="a.memo", **pair) + joined + f"a.d = b.d AND ABS(a.amt - b.amt) <= {TOL}",
+        EXPORT_SELECT.format(file="matches_with_date_note.csv", note="'Date mismatch'", **pair) + joined
+        + f"a.d <> b.d AND ABS(a.amt - b.amt) <= {TOL}",
+        EXPORT_SELECT.format(file="amount_variances.csv", note="b.memo", **pair) + joined + f"ABS(a.amt - b.amt) > {TOL}",
+        EXPORT_SELECT.format(file="missing_in_source_b.csv", note="a.memo", **one["a"])
+        + " FROM ledger_a a LEFT JOIN ledger_b b ON a.k = b.k WHERE b.k IS NULL",
+        EXPORT_SELECT.format(file="missing_in_source_a.csv", note="b.memo", **one["b"])
+        + " FROM ledger_b b LEFT JOIN ledger_a a ON b.k = a.k WHERE a.k IS NULL",
+    ]
+    return f"WITH {I.LEDGERS_SQL}" + " UNION ALL ".join(p + " GROUP BY ALL" for p in parts)
+
+
+@register("recon_export", _export_sql())
 def recon_export(spark, sf_dir):
-    """Export the five result sets as CSV (shared scratch folder), read them back, count rows per file."""
-    out = scratch_path(spark, "recon-export")
+    """Export the five result sets as CSV (shared scratch folder) and read every value back."""
     recon = _ledgers(spark, sf_dir)
-    written = io.export_results(recon, out)
-    columns = {name: frame.columns for name, frame in recon.tables().items()}
-    counts = []
-    for name, path in written.items():
-        text_schema = ", ".join(f"`{c}` string" for c in columns[name])  # known layout: no header pass
-        back = io.read_csv(spark, path, schema=text_schema, sep=",")
-        counts.append(back.agg(F.count(F.lit(1)).alias("rows"))
-                      .select(F.lit(path.rsplit("/", 1)[-1]).alias("file"), "rows"))
-    return agg.union_all(counts)
+    written = io.export_results(recon, scratch_path(spark, "recon-export"))
+    layout = {  # columns of each file: key, dates, amounts, note
+        "exact_matches": ("match_key", "date_a", "date_b", "amount_a", "amount_b", "description_a"),
+        "matches_with_date_note": ("match_key", "date_a", "date_b", "amount_a", "amount_b", "note"),
+        "amount_variances": ("match_key", "date_a", "date_b", "amount_a", "amount_b", "description_b"),
+        "missing_in_b": ("k", "d", None, "amt", None, "memo"),
+        "missing_in_a": ("k", None, "d", None, "amt", "memo"),
+    }
+    names = ("match_key", "date_a", "date_b", "amount_a", "amount_b", "note")
+    kinds = ("string", "string", "string", "double", "double", "string")
+    parts = []
+    for name, (path, _) in written.items():
+        back = io.read_csv(spark, path, header=True, multi_line=False)
+        cols = [(F.col(c) if c else F.lit(None)).cast(kind).alias(n) for c, n, kind in zip(layout[name], names, kinds)]
+        parts.append(back.select(F.lit(path.rsplit("/", 1)[-1]).alias("file"), *cols))
+    return agg.union_all(parts).groupBy("file", *names).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _mixed_keys_sql() -> str:
+    cases = {"whole and floating": ("ledger_a", "float_b"), "whole and text": ("ledger_a", "text_b"),
+             "date and timestamp": ("day_a", "day_b")}
+    return " UNION ALL ".join(f"SELECT '{c}' AS keys, * FROM ({S.summary_sql(I.MIXED_KEYS_SQL, a, b, TOL)})"
+                              for c, (a, b) in cases.items())
+
+
+@register("recon_mixed_keys", _mixed_keys_sql())
+def recon_mixed_keys(spark, sf_dir):
+    """Sources whose keys have unlike types."""
+    cases = [rc.reconcile(a, b, I.LEDGER_CONFIG).summary().select(F.lit(name).alias("keys"), "*")
+             for name, (a, b) in I.mixed_key_sources(spark, sf_dir).items()]
+    return agg.union_all(cases)
+
+
+@register("key_candidates_mixed", f"""WITH {I.MIXED_KEYS_SQL}
+SELECT 0 AS position, 'k' AS "column", (SELECT count(*) FILTER (WHERE k IS NULL) FROM ledger_a) AS a_nulls,
+  (SELECT count(DISTINCT k) FROM ledger_a) AS a_distinct,
+  (SELECT count(*) FILTER (WHERE k IS NULL) FROM text_b) AS b_nulls, (SELECT count(DISTINCT k) FROM text_b) AS b_distinct,
+  (SELECT count(DISTINCT k) FROM ledger_a WHERE k IN (SELECT k FROM text_b)) AS a_keys_in_b,
+  (SELECT count(DISTINCT k) FROM ledger_a WHERE k IN (SELECT k FROM text_b))
+    / (SELECT count(DISTINCT k) FROM ledger_a) AS a_key_share""")
+def key_candidates_mixed(spark, sf_dir):
+    """Key candidates where one side has the key as zero-padded text."""
+    a, b = I.mixed_key_sources(spark, sf_dir)["whole and text"]
+    return pr.key_candidates(a, b, columns=["K"])
 
 
 @register("recon_text_sources", S.summary_sql(
@@ -202,14 +250,23 @@ SELECT o_orderkey,
 FROM date_texts""")
 def format_date(spark, sf_dir):
     t = I.date_texts(spark, sf_dir)
-    cleaned = fc.clean_date("raw")
-    return t.select(
-        "o_orderkey",
-        fc.format_date(cleaned, "YYYY-MM-DD").alias("iso"),
-        fc.format_date(cleaned, "DD/MM/YYYY").alias("day_first"),
-        fc.format_date(cleaned, "MM/DD/YYYY").alias("month_first"),
-        fc.format_date(cleaned, "DD-MMM-YYYY").alias("day_month_name"),
-    )
+    # cleaned once, parsed once, then written four ways
+    days = t.select("o_orderkey", fc.clean_date("raw").alias("raw")).select("o_orderkey", fc.parse_date("raw").alias("day"))
+    formats = {"iso": "YYYY-MM-DD", "day_first": "DD/MM/YYYY", "month_first": "MM/DD/YYYY", "day_month_name": "DD-MMM-YYYY"}
+    return days.select("o_orderkey", *[fc.format_date("day", f, days.schema["day"].dataType).alias(n) for n, f in formats.items()])
+
+
+@register("clean_amount_numeric", """
+SELECT l_orderkey, l_linenumber, l_extendedprice AS price, l_extendedprice * 1e12 AS huge, l_discount / 1e5 AS tiny,
+       CAST(l_orderkey AS DOUBLE) AS whole, CAST(CAST(l_quantity AS DECIMAL(12,2)) AS DOUBLE) AS exact
+FROM lineitem""")
+def clean_amount_numeric(spark, sf_dir):
+    """The amount cleaner on columns that are numbers already, by name alone."""
+    li = I.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"),
+        (F.col("l_extendedprice") * 1e12).alias("huge"), (F.col("l_discount") / 1e5).alias("tiny"),
+        F.col("l_orderkey").alias("whole"), F.col("l_quantity").cast("decimal(12,2)").alias("exact"))
+    return li.select("l_orderkey", "l_linenumber", *[fc.clean_amount(c).alias(c) for c in ("price", "huge", "tiny", "whole", "exact")])
 
 
 @register("format_number", """
@@ -263,6 +320,37 @@ def cast_text(spark, sf_dir):
     return df
 
 
+@register("cast_text_magnitudes", """
+SELECT l_orderkey, l_linenumber, CAST(l_quantity / 1e5 AS VARCHAR) AS small, CAST(l_quantity / 1e8 AS VARCHAR) AS tiny,
+       CAST(-l_quantity * 1e9 AS VARCHAR) AS large, CAST(l_quantity * 1e15 AS VARCHAR) AS huge,
+       CAST(l_quantity * 1e300 AS VARCHAR) AS vast
+FROM lineitem""")
+def cast_text_magnitudes(spark, sf_dir):
+    """Numbers of all magnitudes as text."""
+    q = F.col("l_quantity")
+    df = I.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (q / 1e5).alias("small"), (q / 1e8).alias("tiny"), (-q * 1e9).alias("large"),
+        (q * 1e15).alias("huge"), (q * 1e300).alias("vast"))
+    for name in ("small", "tiny", "large", "huge", "vast"):
+        df = cl.transform_column(df, name, "text")
+    return df
+
+
+@register("clean_skip_errors", """
+SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderstatus FROM orders""")
+def clean_skip_errors(spark, sf_dir):
+    """A column that cannot be cleaned (an unknown type) stays as it is when errors are skipped."""
+    return cl.clean_table(I.table(spark, sf_dir, "orders"), [
+        cl.ColumnSpec("o_orderkey"), cl.ColumnSpec("O_TOTALPRICE", True, "Number"),
+        cl.ColumnSpec("o_orderstatus", True, "Money")], on_error="skip")
+
+
+@register("dedupe", "SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus FROM lineitem")
+def dedupe(spark, sf_dir):
+    li = cl.select_columns(I.table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag", "l_linestatus"])
+    return cl.dedupe(li, ["L_SUPPKEY", "l_returnflag", "l_linestatus"])
+
+
 @register("select_columns", "SELECT c_mktsegment, c_name, c_custkey FROM customer")
 def select_columns(spark, sf_dir):
     return cl.select_columns(I.table(spark, sf_dir, "customer"), ["c_mktsegment", "c_name", "c_custkey"])
@@ -358,40 +446,93 @@ def safe_total(spark, sf_dir):
 # -- stacking and aggregation ------------------------------------------------------
 
 
-def _stacked(spark, sf_dir) -> DataFrame:
-    frames, names = I.lineitem_splits(spark, sf_dir)
-    return agg.union_all(frames, names=names)
+def _parts(spark, sf_dir) -> list[DataFrame]:
+    """One table per year folder; the second lists its columns in another order."""
+    frames = [io.read_table(spark, p, "parquet") for p in I.lineitem_parts(spark, sf_dir)]
+    frames[1] = frames[1].select(*reversed(frames[1].columns))
+    return frames
+
+
+def _ranked(groups: DataFrame) -> DataFrame:
+    """Sorted groups with their place, which makes the order part of the compared values."""
+    placed = groups.withColumn("_place", F.monotonically_increasing_id())
+    return placed.withColumn("place", F.row_number().over(Window.orderBy("_place"))).drop("_place")
 
 
 @register("union_all", "SELECT * FROM lineitem")
 def union_all(spark, sf_dir):
-    return _stacked(spark, sf_dir)
+    return agg.union_all(_parts(spark, sf_dir))
+
+
+@register("load_files", "SELECT * FROM lineitem")
+def load_files(spark, sf_dir):
+    """The year folders loaded as one table."""
+    return io.load_files(spark, I.lineitem_parts(spark, sf_dir), fmt="parquet")
+
+
+@register("load_files_mixed", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, CAST(l_shipdate AS DATE) AS l_shipdate
+FROM lineitem""")
+def load_files_mixed(spark, sf_dir):
+    """CSV files with two delimiters and two column orders, loaded as one table."""
+    wanted = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
+    paths = I.lineitem_parts(spark, sf_dir)
+    out = []
+    for i, (sep, order) in enumerate(((",", wanted), (";", wanted[::-1]))):
+        out.append(scratch_path(spark, f"lineitem-csv-{i}"))
+        io.write_csv(io.load_files(spark, paths[i::2], fmt="parquet").select(*order), out[-1], sep=sep)
+    back = io.load_files(spark, out, fmt="csv")
+    kinds = ("bigint", "int", "double", "double", "string", "timestamp_ntz")
+    typed = back.select(*[F.col(c).cast(kind).alias(c) for c, kind in zip(wanted, kinds)])
+    return typed.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
 
 
 @register("aggregate_by_total", """
-SELECT l_returnflag, l_linestatus, count(*) AS record_count, sum(l_quantity) AS total_amount
-FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+SELECT *, row_number() OVER (ORDER BY total_amount DESC NULLS LAST, l_returnflag NULLS LAST, l_linestatus NULLS LAST)::INTEGER AS place
+FROM (SELECT l_returnflag, l_linestatus, count(*) AS record_count, sum(l_quantity) AS total_amount
+      FROM lineitem GROUP BY l_returnflag, l_linestatus)""")
 def aggregate_by_total(spark, sf_dir):
-    frames, names = I.lineitem_splits(spark, sf_dir)
-    result = agg.aggregate_tables(frames, "l_returnflag", "l_quantity", ["l_linestatus"],
-                                  sort_by=agg.SORT_BY_TOTAL, names=names)
-    return result.groups
+    result = agg.aggregate_tables(_parts(spark, sf_dir), "l_returnflag", "l_quantity", ["l_linestatus"],
+                                  sort_by=agg.SORT_BY_TOTAL)
+    return _ranked(result.groups)
 
 
 @register("aggregate_by_count", """
-SELECT l_suppkey, count(*) AS record_count, round(sum(l_extendedprice), 2) AS total_amount
-FROM lineitem GROUP BY l_suppkey""")
+SELECT *, row_number() OVER (ORDER BY record_count DESC, l_linenumber NULLS LAST, l_returnflag NULLS LAST)::INTEGER AS place
+FROM (SELECT l_linenumber, l_returnflag, count(*) AS record_count, round(sum(l_extendedprice), 2) AS total_amount
+      FROM lineitem GROUP BY l_linenumber, l_returnflag)""")
 def aggregate_by_count(spark, sf_dir):
-    groups = agg.aggregate(_stacked(spark, sf_dir), ["l_suppkey"], "l_extendedprice", sort_by=agg.SORT_BY_COUNT)
-    return groups.withColumn("total_amount", F.round("total_amount", 2))
+    li = io.load_files(spark, I.lineitem_parts(spark, sf_dir), fmt="parquet")
+    groups = agg.aggregate(li, ["l_linenumber", "l_returnflag"], "l_extendedprice", sort_by=agg.SORT_BY_COUNT)
+    return _ranked(groups.withColumn("total_amount", F.round("total_amount", 2)))
 
 
 @register("aggregate_by_group", """
-SELECT l_linenumber, l_returnflag, count(*) AS record_count, sum(l_quantity) AS total_amount
-FROM lineitem GROUP BY l_linenumber, l_returnflag""")
+SELECT *, row_number() OVER (ORDER BY l_linenumber NULLS LAST, l_returnflag NULLS LAST)::INTEGER AS place
+FROM (SELECT l_linenumber, l_returnflag, count(*) AS record_count, sum(l_quantity) AS total_amount
+      FROM lineitem GROUP BY l_linenumber, l_returnflag)""")
 def aggregate_by_group(spark, sf_dir):
     cols = agg.group_columns("l_linenumber", ["l_returnflag", "l_linenumber"])
-    return agg.aggregate(_stacked(spark, sf_dir), cols, "l_quantity", sort_by=agg.SORT_BY_GROUP)
+    li = io.load_files(spark, I.lineitem_parts(spark, sf_dir), fmt="parquet")
+    return _ranked(agg.aggregate(li, cols, "l_quantity", sort_by=agg.SORT_BY_GROUP))
+
+
+@register("aggregate_caller_order", """
+SELECT *, row_number() OVER (ORDER BY l_returnflag DESC NULLS LAST, record_count NULLS LAST, l_linenumber NULLS LAST)::INTEGER AS place
+FROM (SELECT l_linenumber, l_returnflag, count(*) AS record_count, sum(l_quantity) AS total_amount
+      FROM lineitem GROUP BY l_linenumber, l_returnflag)""")
+def aggregate_caller_order(spark, sf_dir):
+    """The caller's own order: one column down, another up, ties by the group columns."""
+    return _ranked(agg.aggregate(I.table(spark, sf_dir, "lineitem"), ["l_linenumber", "l_returnflag"], "L_QUANTITY",
+                                 sort_by=[("l_returnflag", "desc"), ("record_count", "asc")]))
+
+
+@register("aggregate_by_supplier", """
+SELECT l_suppkey, count(*) AS record_count, round(sum(l_extendedprice), 2) AS total_amount
+FROM lineitem GROUP BY l_suppkey""")
+def aggregate_by_supplier(spark, sf_dir):
+    groups = agg.aggregate(I.table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", sort_by=agg.SORT_BY_COUNT)
+    return groups.withColumn("total_amount", F.round("total_amount", 2))
 
 
 @register("grand_total", """
@@ -441,7 +582,7 @@ FROM events GROUP BY 1""")
 def events_day_totals(spark, sf_dir):
     """Timestamps formatted as days (the date cleaner), then totals per day."""
     ev = I.table(spark, sf_dir, "events")
-    days = ev.select(fc.format_date("ts", "DD/MM/YYYY").alias("day"), "value")
+    days = ev.select(fc.format_date("ts", "DD/MM/YYYY", ev.schema["ts"].dataType).alias("day"), "value")
     groups = agg.aggregate(days, ["day"], "value", sort_by=agg.SORT_BY_GROUP)
     return groups.withColumn("total_amount", F.round("total_amount", 2))
 
@@ -519,6 +660,48 @@ def preview_ordered(spark, sf_dir):
     return ins.preview(o, 10, ["o_orderkey", "o_totalprice", "o_orderpriority"], order_by=["o_orderkey"])
 
 
+@register("preview_count", "SELECT count(*) AS rows FROM (SELECT * FROM orders LIMIT 1000)")
+def preview_count(spark, sf_dir):
+    """The unordered preview: any rows, but exactly as many as asked for."""
+    return ins.preview(I.table(spark, sf_dir, "orders")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("schema_info", """
+SELECT (row_number() OVER () - 1)::INTEGER AS position, column_name AS name, column_type AS type, "null" = 'YES' AS nullable
+FROM (DESCRIBE SELECT * FROM lineitem)""")
+def schema_info(spark, sf_dir):
+    return ins.schema_info(spark, I.table(spark, sf_dir, "lineitem"))
+
+
+COUNTED = ("nation", "customer", "orders", "lineitem", "events")
+
+
+@register("row_counts", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, count(*) AS rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {t})) AS columns FROM {t}" for t in COUNTED))
+def row_counts(spark, sf_dir):
+    """Rows and columns of several tables."""
+    found = {t: I.table(spark, sf_dir, t) for t in COUNTED}
+    return spark.createDataFrame([(t, ins.row_count(df), len(ins.columns(df))) for t, df in found.items()],
+                                 "name string, rows long, columns long")
+
+
+@register("csv_messy_round_trip", """
+SELECT doc_id, '  ' || text || ' "quoted, ' || source || '" ' AS body, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang END AS lang,
+       CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS source, n_chars
+FROM documents""")
+def csv_messy_round_trip(spark, sf_dir):
+    """Whole texts with line breaks, quotes, delimiters and padding, empty texts and NULLs, written and read back."""
+    d = I.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("  "), "text", F.lit(' "quoted, '), "source", F.lit('" ')).alias("body"),
+        F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.col("lang")).alias("lang"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"), "n_chars")
+    path = scratch_path(spark, "csv-messy")
+    io.write_csv(d, path)
+    back = io.read_csv(spark, path)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "body", "lang", "source",
+                       F.col("n_chars").cast("bigint").alias("n_chars"))
+
+
 @register("csv_round_trip", """
 SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def csv_round_trip(spark, sf_dir):
@@ -543,7 +726,8 @@ def _table_stream(spark, sf_dir: str, name: str) -> DataFrame:
     """The table's file(s) as a file stream (schema from the Parquet footer)."""
     base = sf_dir.rstrip("/")
     schema = I.table(spark, sf_dir, name).schema
-    return st.file_stream(spark, f"{base}/{name}*.parquet", schema, fmt="parquet", base_path=base)
+    # a glob that only the exact name fits: a file stream takes folders and globs, not single files
+    return st.file_stream(spark, f"{base}/{name}.parque[t]", schema, fmt="parquet", base_path=base)
 
 
 @register("stream_running_totals", """

@@ -16,14 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.reconciliation import ReconConfig
+from ..operators.reconciliation import ReconConfig, Roles
+from ..session import scratch_path
 
 TOLERANCE = 0.01
-LEDGER_CONFIG = ReconConfig(
-    match_key="k", amount_tolerance=TOLERANCE,
-    date_col_a="d", date_col_b="d", amount_col_a="amt", amount_col_b="amt",
-    description_col_a="memo", description_col_b="memo",
-)
+LEDGER_CONFIG = ReconConfig("k", a=Roles("d", "amt", "memo"), b=Roles("d", "amt", "memo"), amount_tolerance=TOLERANCE)
 SPLIT_YEARS = tuple(range(1995, 2002))
 
 
@@ -42,22 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return cached[1]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give text-heavy narrow work every core when the input arrives in fewer
-    splits than there are cores (a small file with one Parquet row group).
-
-    Filters and column pruning still reach the scan below the round-robin
-    exchange. A large input already has one task per split and is returned
-    unchanged, so this never adds a shuffle at scale.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except NotImplementedError:  # Spark Connect: no split count, leave the plan as it is
-        return df
-    return df.repartition(cores) if splits < cores else df
-
-
 # -- reconcile sources ---------------------------------------------------------
 
 def ledger_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +129,7 @@ def _signed(df: DataFrame) -> DataFrame:
 
 def ledger_a_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source A as text: ``dd/MM/yyyy`` dates, ``$1,234.56`` / ``($1,234.56)`` amounts."""
-    a = _signed(spread(ledger_a(spark, sf_dir)))
+    a = _signed(ledger_a(spark, sf_dir))
     amt = F.col("amt")
     text = F.when(amt < 0, F.concat(F.lit("($"), money_text(-amt), F.lit(")"))) \
         .otherwise(F.concat(F.lit("$"), money_text(amt)))
@@ -157,7 +138,7 @@ def ledger_a_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_b_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source B as text: ISO dates, ``R-1,234.56`` amounts."""
-    b = _signed(spread(ledger_b(spark, sf_dir)))
+    b = _signed(ledger_b(spark, sf_dir))
     return b.select("k", F.col("d").cast("string").alias("d"),
                     F.concat(F.lit("R"), money_text(F.col("amt"))).alias("amt"), "memo")
 
@@ -234,7 +215,7 @@ order_totals AS (
 
 def amount_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem prices written eight ways (currency, parentheses, suffixes, n/a, ...)."""
-    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     x = F.col("l_extendedprice")
     money = money_text(x)
     kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 8
@@ -271,7 +252,7 @@ amount_texts AS (
 
 def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates written six ways (ISO, day first, month first, short, words, timestamp)."""
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     d = F.col("o_orderdate")
     kind = F.col("o_orderkey") % 6
     raw = (
@@ -332,7 +313,7 @@ flag_texts AS (
 
 def mixed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw export-like table: ``id, trans_date, amount, active, memo`` (all text but id)."""
-    o = spread(table(spark, sf_dir, "orders"))
+    o = table(spark, sf_dir, "orders")
     d = F.col("o_orderdate")
     date = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(d, "MM/dd/yyyy")) \
         .otherwise(F.date_format(d, "dd/MM/yyyy"))
@@ -359,22 +340,38 @@ mixed AS (
 """.format(m=money_sql("o_totalprice"))
 
 
-def lineitem_splits(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], list[str]]:
-    """lineitem cut by ship year (plus one split for every other row), as if
-    each year came in its own file; the second split lists its columns in
-    another order. Range predicates on the date are pushed into the scan."""
+def lineitem_parts(spark: SparkSession, sf_dir: str) -> list[str]:
+    """lineitem written once by ship year, a folder per year, as if each year came in its own file; the
+    folders' paths. lineitem is scanned once; each folder holds only its own rows."""
+    path = scratch_path(spark, "lineitem-years")
     li = table(spark, sf_dir, "lineitem")
-    ship = F.col("l_shipdate")
-    frames, names = [], []
-    for year in SPLIT_YEARS:
-        part = li.where((ship >= F.lit(f"{year}-01-01").cast("timestamp_ntz"))
-                        & (ship < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")))
-        frames.append(part)
-        names.append(f"lineitem_{year}")
-    rest = li.where(ship.isNull()
-                    | (ship < F.lit(f"{SPLIT_YEARS[0]}-01-01").cast("timestamp_ntz"))
-                    | (ship >= F.lit(f"{SPLIT_YEARS[-1] + 1}-01-01").cast("timestamp_ntz")))
-    frames.append(rest)
-    names.append("lineitem_other")
-    frames[1] = frames[1].select(*reversed(frames[1].columns))
-    return frames, names
+    year = F.year("l_shipdate")
+    kept = F.when(year.between(SPLIT_YEARS[0], SPLIT_YEARS[-1]), year.cast("string")).otherwise(F.lit("other"))
+    li.withColumn("part", kept).write.partitionBy("part").parquet(path)
+    return sorted({f.rsplit("/", 1)[0] for f in spark.read.parquet(path).inputFiles()})
+
+
+def mixed_key_sources(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """The two ledgers with unlike key types: whole numbers against floating ones, against zero-padded text
+    (and texts that are no number), and dates against timestamps."""
+    a, b = ledger_a(spark, sf_dir), ledger_b(spark, sf_dir)
+    k = F.col("k")
+    padded = F.when(k % 13 == 0, F.concat(F.lit("no "), k.cast("string"))).when(k < 0, k.cast("string")) \
+        .otherwise(F.lpad(k.cast("string"), 10, "0"))
+    day = lambda df: df.groupBy("d").agg(F.min("k").cast("double").alias("amt"))  # noqa: E731 - one row per day
+    return {
+        "whole and floating": (a, b.withColumn("k", k.cast("double"))),
+        "whole and text": (a, b.withColumn("k", padded)),
+        "date and timestamp": (day(a).select(F.col("d").alias("k"), "d", "amt", F.lit("x").alias("memo")),
+                               day(b).select(F.col("d").cast("timestamp_ntz").alias("k"), "d", "amt", F.lit("x").alias("memo"))),
+    }
+
+
+MIXED_KEYS_SQL = LEDGERS_SQL.strip() + """,
+float_b AS (SELECT CAST(k AS DOUBLE) AS k, d, amt FROM ledger_b),
+text_b AS (
+  SELECT TRY_CAST(CASE WHEN k % 13 = 0 THEN 'no ' || k WHEN k < 0 THEN CAST(k AS VARCHAR)
+                  ELSE lpad(CAST(k AS VARCHAR), 10, '0') END AS BIGINT) AS k, d, amt FROM ledger_b),
+day_a AS (SELECT d AS k, d, CAST(min(k) AS DOUBLE) AS amt FROM ledger_a GROUP BY d),
+day_b AS (SELECT CAST(d AS TIMESTAMP) AS k, d, CAST(min(k) AS DOUBLE) AS amt FROM ledger_b GROUP BY d)
+"""

@@ -7,6 +7,7 @@ CASE expressions for the cleaners), not used by the library itself.
 
 from __future__ import annotations
 
+# Characters kept in amounts, boolean words and date formats (equal to the library's).
 AMOUNT_KEEP = r"'[^0-9.\-]'"
 BOOLEAN_TRUE = "('true', 'yes', 'y', '1', 't')"
 BOOLEAN_FALSE = "('false', 'no', 'n', '0', 'f')"

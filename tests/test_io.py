@@ -3,6 +3,8 @@
 import glob
 import os
 
+from pyspark.sql import functions as F
+
 from ledgerops.operators import reconciliation as rc
 from ledgerops.sources import files as io
 from ledgerops.sources import inspect as ins
@@ -47,12 +49,12 @@ def test_export_results(spark, tmp_dir):
     schema = "k long, d string, amt double"
     a = spark.createDataFrame([(1, "x", 1.0), (2, "x", 1.0), (3, "x", 9.0), (4, "x", 1.0)], schema)
     b = spark.createDataFrame([(1, "x", 1.0), (2, "y", 1.0), (3, "x", 1.0), (5, "x", 1.0)], schema)
-    r = rc.reconcile(a, b, rc.ReconConfig("k", 0.01, "d", "d", "amt", "amt"))
+    r = rc.reconcile(a, b, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.01))
     written = io.export_results(r, tmp_dir)
-    assert sorted(os.path.basename(p) for p in written.values()) == sorted(rc.RESULT_FILE_NAMES.values())
-    for name, path in written.items():
-        back = io.read_csv(spark, path)
-        assert back.count() == 1, name
+    assert sorted(os.path.basename(p) for p, _ in written.values()) == sorted(rc.RESULT_FILE_NAMES.values())
+    for name, (path, rows) in written.items():
+        back = io.read_csv(spark, path, header=True)
+        assert back.count() == rows == 1, name
     assert io.result_path(tmp_dir, "other").endswith("/other.csv")
 
 
@@ -90,3 +92,60 @@ def test_scratch_paths_live_in_the_configured_checkpoint_folder(spark):
     assert configured and checkpoint_dir(spark) == configured
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first.startswith(configured.rstrip("/") + "/x-") and first != second
+
+
+def _write(path, text):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", newline="") as fh:
+        fh.write(text)
+    return path
+
+
+def test_line_breaks_padding_and_empty_texts_survive(spark, tmp_dir):
+    rows = [(1, "line1\nline2", "  padded "), (2, "", None), (3, 'a "q", b\r\n;', "\t"), (4, None, "")]
+    path = os.path.join(tmp_dir, "t")
+    assert io.write_csv(spark.createDataFrame(rows, "id long, a string, b string"), path) == 4
+    back = io.read_csv(spark, path)
+    assert sorted((int(r["id"]), r["a"], r["b"]) for r in back.collect()) == rows
+
+
+def test_ragged_rows_stop_the_read_or_stay_visible(spark, tmp_dir):
+    path = _write(os.path.join(tmp_dir, "r", "ragged.csv"), "ref,amount\n1,10\n2,20,EXTRA\n3\n")
+    try:
+        io.read_csv(spark, path).select("ref").collect()
+        raise AssertionError("expected an error")
+    except Exception as exc:  # noqa: BLE001 - Spark's own error class differs by version
+        assert "MALFORMED" in str(exc).upper()
+    rows = {r["ref"]: r for r in io.read_csv(spark, path, keep_rejected=True).collect()}
+    assert rows["1"]["_rejected"] is None and rows["2"]["_rejected"] == "2,20,EXTRA" and rows["3"]["_rejected"] == "3"
+
+
+def test_each_file_has_its_own_layout(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "mixed")
+    _write(os.path.join(d, "a.csv"), "ref,amount\n1,10\n")
+    _write(os.path.join(d, "b.csv"), "ref;amount\n3;30\n")
+    _write(os.path.join(d, "c.csv"), "amount,ref\n20,2\n")
+    _write(os.path.join(d, "d.csv"), "amount|ref\n'x'|\"4\n4\"\n")
+    for df in (io.read_csv(spark, os.path.join(d, "*.csv")), io.read_csv(spark, d),
+               io.load_files(spark, [os.path.join(d, f"{x}.csv") for x in "abcd"])):
+        assert df.columns == ["ref", "amount"]
+        assert sorted(map(tuple, df.collect())) == [("1", "10"), ("2", "20"), ("3", "30"), ("4\n4", "'x'")]
+
+
+def test_a_file_without_a_header_keeps_its_first_row(spark, tmp_dir):
+    path = _write(os.path.join(tmp_dir, "h", "none.csv"), "1,2024-01-01,rent\n2,2024-01-02,fee\n")
+    df = io.read_csv(spark, path)
+    assert df.columns == ["column0", "column1", "column2"] and df.count() == 2
+    assert io.read_csv(spark, path, header=True).count() == 1
+
+
+def test_a_failed_set_is_an_error_that_names_it(spark, tmp_dir):
+    schema = "k long, d string, amt double"
+    a = spark.createDataFrame([(1, "x", 1.0), (4, "x", 1.0)], schema)
+    r = rc.reconcile(a.withColumn("bad", F.array("k")), a,
+                     rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt")))
+    try:  # CSV cannot hold an array column, and that set has all of A's columns
+        io.export_results(r, tmp_dir)
+        raise AssertionError("expected an error")
+    except io.ExportError as exc:
+        assert set(exc.failed) == {"missing_in_b"} and len(exc.written) == 4 and "missing_in_b" in str(exc)

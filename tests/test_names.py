@@ -18,7 +18,7 @@ B = [(1, "2024-02-01", "$10.00", "x"), (2, "2024-02-02", "-5", "y")]
 
 def test_reconcile_with_odd_names(spark):
     a, b = spark.createDataFrame(A, SCHEMA), spark.createDataFrame(B, SCHEMA)
-    cfg = rc.ReconConfig("ref no", 0.01, "trans.date", "trans.date", "amount usd", "amount usd", "memo.txt", "memo.txt")
+    cfg = rc.ReconConfig("ref no", rc.Roles("trans.date", "amount usd", "memo.txt"), rc.Roles("trans.date", "amount usd", "memo.txt"), 0.01)
     s = rc.reconcile_sources(a, b, cfg).summary().first()
     assert (s["exact_matches"], s["matches_with_date_note"], s["missing_in_b"]) == (1, 1, 1)
     assert rc.reconcile_sources(a, b, cfg).missing_in_b.columns == ["ref no", "trans.date", "amount usd", "memo.txt"]

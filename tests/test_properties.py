@@ -43,7 +43,7 @@ def brute_force(a, b):
 def test_summary_matches_brute_force(spark, a, b):
     schema = "k long, d date, amt double"
     recon = rc.reconcile(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema),
-                         rc.ReconConfig("k", TOL, "d", "d", "amt", "amt"))
+                         rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), TOL))
     got = recon.summary().first().asDict()
     want = brute_force(a, b)
     for name, value in want.items():

@@ -11,7 +11,7 @@ from ledgerops.plans import inputs as I
 D = dt.date(2024, 1, 1)
 A_ROWS = [(1, D, 10.0), (2, None, 10.0), (3, D, None), (4, None, 10.0), (None, D, 10.0), (5, D, 1.0), (5, D, 2.0)]
 B_ROWS = [(1, D, 10.0), (2, D, 10.0), (3, D, 10.0), (4, D, 20.0), (None, D, 10.0), (5, D, 1.0), (5, D, 2.0)]
-CFG = rc.ReconConfig("k", 0.01, "d", "d", "amt", "amt")
+CFG = rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.01)
 
 
 @pytest.fixture()
@@ -56,7 +56,7 @@ def test_layouts(recon):
 def test_date_note_and_description(spark):
     a = spark.createDataFrame([(1, "2024-01-01", 5.0, "x")], "id long, when string, amount double, memo string")
     b = spark.createDataFrame([(1, "2024-01-02", 5.004, "y")], "id long, when string, amount double, memo string")
-    cfg = rc.ReconConfig("id", 0.01, "when", "when", "amount", "amount", "memo", None)
+    cfg = rc.ReconConfig("id", rc.Roles("when", "amount", "memo"), rc.Roles("when", "amount"), 0.01)
     r = rc.reconcile(a, b, cfg)
     row = r.matches_with_date_note.first()
     assert row["note"] == "Date mismatch" and row["description_a"] == "x" and row["description_b"] is None
@@ -65,16 +65,40 @@ def test_date_note_and_description(spark):
 def test_text_amounts_are_refused_until_cleaned(spark):
     a = spark.createDataFrame([(1, "2024-01-01", "$5.00")], "k long, d string, amt string")
     with pytest.raises(TypeError):
-        rc.reconcile(a, a, rc.ReconConfig("k", 0.0, "d", "d", "amt", "amt"))
-    r = rc.reconcile_sources(a, a, rc.ReconConfig("k", 0.0, "d", "d", "amt", "amt"))
+        rc.reconcile(a, a, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.0))
+    r = rc.reconcile_sources(a, a, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.0))
     assert r.summary().first()["exact_matches"] == 1
 
 
-def test_key_types_compared_as_text(spark):
-    a = spark.createDataFrame([(1, "d", 1.0)], "k long, d string, amt double")
-    b = spark.createDataFrame([("1", "d", 1.0)], "k string, d string, amt double")
-    r = rc.reconcile(a, b, rc.ReconConfig("k", 0.0, "d", "d", "amt", "amt"))
-    assert r.summary().first()["exact_matches"] == 1
+@pytest.mark.parametrize("kind, keys", [
+    ("double", [1.0, 2.5, 3.0]), ("string", ["01", " 2.5", "3.0"]), ("decimal(10,1)", [1, 2.5, 3]), ("string", ["1", "x", "+3"])])
+def test_unlike_key_types_meet(spark, kind, keys):
+    a = spark.createDataFrame([(k, "d", 1.0) for k in (1, 2, 3)], "k long, d string, amt double")
+    b = spark.createDataFrame([(str(k), "d", 1.0) for k in keys], "k string, d string, amt double").withColumn(
+        "k", F.col("k").cast(kind))
+    r = rc.reconcile(a, b, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt")))
+    s = r.summary().first()
+    assert (s["exact_matches"], s["missing_in_b"], s["missing_in_a"]) == (2, 1, 1)
+    assert sorted(x["match_key"] for x in r.exact_matches.collect()) == [1, 3]
+    back = rc.reconcile(b, a, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt")))
+    assert back.summary().first()["exact_matches"] == 2 and back.exact_matches.schema["match_key"].dataType == b.schema["k"].dataType
+
+
+def test_column_names_in_another_case(spark, recon):
+    cfg = rc.ReconConfig("K", rc.Roles("D", "Amt"), rc.Roles("d", "AMT"), 0.01)
+    assert rc.reconcile(recon.a, recon.b, cfg).summary().first() == recon.summary().first()
+
+
+def test_summary_of_odd_amounts_equals_the_sets(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [0.0, -0.0, 0.01, 0.010000001, 1e300, 1e300, inf, -inf, nan, None, 1e18, 1e18 + 128, 5.0, 5.009999]
+    a = spark.createDataFrame([(1, "x" if i % 2 else None, v) for i, v in enumerate(odd)], "k long, d string, amt double")
+    b = spark.createDataFrame([(1, "x", v) for v in reversed(odd)], "k long, d string, amt double")
+    for tol in (0.0, 0.01, 100.0, 1e-300, -1.0):
+        r = rc.reconcile(a, b, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), tol))
+        s = r.summary().first()
+        assert (s["exact_matches"], s["matches_with_date_note"], s["amount_variances"], s["unclassified"]) == tuple(
+            x.count() for x in (r.exact_matches, r.matches_with_date_note, r.amount_variances, r.unclassified)), tol
 
 
 def test_invariants_on_ledgers(spark):
@@ -94,7 +118,7 @@ def test_copies_are_counted_without_pairs(spark):
     """Many identical rows of one key: counted exactly as the product."""
     a = spark.range(300).select(F.lit(7).cast("long").alias("k"), F.lit("x").alias("d"), F.lit(1.0).alias("amt"))
     b = spark.range(200).select(F.lit(7).cast("long").alias("k"), F.lit("x").alias("d"), F.lit(1.0).alias("amt"))
-    s = rc.reconcile(a, b, rc.ReconConfig("k", 0.0, "d", "d", "amt", "amt")).summary().first()
+    s = rc.reconcile(a, b, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.0)).summary().first()
     assert s["exact_matches"] == 300 * 200
 
 
@@ -111,7 +135,7 @@ def test_one_join_for_matched_sets(recon):
 def test_source_totals_raw_and_cleaned(spark):
     a = spark.createDataFrame([(1, "d", "10.5"), (2, "d", "$4.00"), (3, "d", None)], "k long, d string, amt string")
     b = spark.createDataFrame([(1, "d", "(2.5)")], "k long, d string, amt string")
-    cfg = rc.ReconConfig("k", 0.0, "d", "d", "amt", "amt")
+    cfg = rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.0)
     raw = rc.source_totals(a, b, cfg).first()
     assert (raw["total_a"], raw["total_b"]) == (10.5, None)
     ca, cb = rc.clean_sources(a, b, cfg)

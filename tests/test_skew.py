@@ -46,7 +46,7 @@ def _side(spark, n, hot_rows_cap=None):
 def test_hot_key_is_split(spark):
     with conf(spark, SMALL_SKEW_CONF):
         a, b = _side(spark, 90000), _side(spark, 90000, hot_rows_cap=3000)
-        pairs = rc.reconcile(a, b, rc.ReconConfig("k", 0.01, "d", "d", "amt", "amt")).exact_matches
+        pairs = rc.reconcile(a, b, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.01)).exact_matches
         assert pairs.count() == 60000 + 1000
         pairs.collect()
         plan = pairs._jdf.queryExecution().executedPlan().toString()
@@ -59,8 +59,29 @@ def test_copies_collapse_before_the_shuffle(spark):
                                   F.lit("x").alias("d"),
                                   F.when(F.col("id") % 3 == 0, F.lit(1.0)).otherwise(F.col("id") * 1.0).alias("amt"))
     b = spark.createDataFrame([(HOT, "x", 1.0), (HOT, "x", 1.0), (1, "x", 1.0)], "k long, d string, amt double")
-    summary = rc.reconcile(a, b, rc.ReconConfig("k", 0.0, "d", "d", "amt", "amt")).summary()
+    summary = rc.reconcile(a, b, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.0)).summary()
     row = summary.first()
     assert row["exact_matches"] == 10000 * 2 + 1
     plan = summary._jdf.queryExecution().executedPlan().toString()
-    assert "partial_count" in plan
+    assert "partial_sum" in plan
+
+
+def test_hot_key_with_many_distinct_rows_is_counted_without_pairs(spark):
+    """One key with 100,000 distinct rows on either side has ten billion pairs; only near ones are formed."""
+    n = 100_000
+    a = spark.range(n).select(F.lit(HOT).alias("k"), F.col("id").cast("string").alias("d"), (F.col("id") * 1.0).alias("amt"))
+    b = a.withColumn("amt", F.when(F.col("amt") % 2 == 0, F.col("amt")).otherwise(F.col("amt") + 0.5))
+    s = rc.reconcile(a, b, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.01)).summary().first()
+    assert (s["exact_matches"], s["matches_with_date_note"], s["unclassified"]) == (n // 2, 0, 0)
+    assert s["amount_variances"] == n * n - n // 2 and s["rows_a"] == s["rows_b"] == n
+
+
+def test_null_keys_do_not_meet_in_one_partition(spark):
+    a = spark.range(30000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("k"), F.lit("x").alias("d"), F.lit(1.0).alias("amt"))
+    b = spark.createDataFrame([(1, "x", 1.0)], "k long, d string, amt double")
+    with conf(spark, SMALL_SKEW_CONF):
+        missing = rc.reconcile(a, b, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"))).missing_in_b
+        assert missing.count() == 29999 and missing.where("k is null").count() == 10000
+        plan = missing._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.split("LeftAnti", 1)[1].split("Filter isnull")[0]
+    assert "isnotnull(k" in joined or "NOT (id" in joined
