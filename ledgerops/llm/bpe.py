@@ -35,6 +35,7 @@ LEXICON_WORDS = 32768
 CACHE_PIECES = 600_000
 LONG_WORD = 64
 PART_BYTES = 2 << 20
+MET_MASK = (1 << 22) - 1
 # Fixed value: the pre-tokenizer pattern of byte-level BPE vocabularies.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NOT_FINAL = 0xFFFFFFFF
@@ -231,6 +232,32 @@ class Lexicon:
         self.arc_start, self.final_size, self.final_at, self.target, self.out_at, self.pool = parts
         self.labels, self.outputs, self.root = at, outputs, states - 1
 
+        # arcs by (state, byte), for walking many words at once
+        state = np.repeat(np.arange(states), np.diff(np.asarray(self.arc_start).astype(np.int64)))
+        self.arc_keys = state << 8 | np.frombuffer(view, np.uint8, arcs, at)
+        self.targets, self.finals = np.asarray(self.target), np.asarray(self.final_size)
+
+    def known(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of the words that the lexicon holds; all words walk the automaton in step."""
+        if not len(self.arc_keys) or not words:
+            return np.array([], np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        text = np.frombuffer(b"".join(words), np.uint8)
+        walking = np.flatnonzero(sizes > 0)
+        state = np.full(len(walking), self.root, np.int64)
+        found, depth = [], 0
+        while len(walking):
+            key = state << 8 | text[starts[walking] + depth]
+            arc = np.minimum(np.searchsorted(self.arc_keys, key), len(self.arc_keys) - 1)
+            on = self.arc_keys[arc] == key
+            walking, state = walking[on], self.targets[arc[on]].astype(np.int64)
+            depth += 1
+            end = sizes[walking] == depth
+            found.append(walking[end & (self.finals[state] != NOT_FINAL)])
+            walking, state = walking[~end], state[~end]
+        return np.concatenate(found)
+
     def lookup(self, word: bytes) -> list[int] | None:
         state, out, find, one = self.root, [], self.buffer.find, self.ONE
         for b in word:
@@ -346,39 +373,54 @@ class Encoder:
         self.words = word_splitter(vocabulary["stand_in"])
         self.spaced: dict[str, bytes] = {}  # ids of a space and the piece
         self.exact: dict[str, bytes] = {}   # ids of the text itself
-        self.long: tuple[list[str], list[str]] = ([], [])  # long pieces are not kept
+        self.met = bytearray(MET_MASK + 1)  # which pieces came before, by hash
         self.space_run = re.compile(r" \s").search
         special = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
-    def _learn(self, cache: dict[str, bytes], texts: set[str], prefix: str) -> None:
+    def _learn(self, cache: dict[str, bytes], texts: set[str], prefix: str) -> list[str]:
+        """Put the ids of ``texts`` into the cache; returns those to forget after this part: long ones, and those
+        that the worker has not met before (most never come again)."""
         if len(cache) > CACHE_PIECES:  # the older half makes room
             for key in list(islice(cache, len(cache) // 2)):
                 del cache[key]
-        texts = list(texts.difference(cache))
-        words, counts = [], []
+        texts = texts.difference(cache)
+        plain = [t for t in texts if prefix and t.isascii() and t.isalpha()]
+        other = list(texts.difference(plain))
+        split = [self.words(prefix + t) for t in other]
+        words = [(prefix + t).encode() for t in plain]
+        words += [w.encode() for w in chain.from_iterable(split)]
+        found = self._word_ids(words)
+        cache.update(zip(plain, found))
+        at = len(plain)
+        for t, parts in zip(other, split):
+            n = len(parts)
+            cache[t] = found[at] if n == 1 else b"".join(found[at:at + n])
+            at += n
+        met, passing = self.met, []
         for t in texts:
-            split = [prefix + t] if prefix and t.isascii() and t.isalpha() else self.words(prefix + t)
-            words.extend(split)
-            counts.append(len(split))
-        words = [w.encode() for w in words]
-        found: list = [self.lexicon.lookup(w) if self.lexicon else None for w in words]
+            place = hash(t) & MET_MASK
+            if not met[place] or len(t) > LONG_WORD:
+                met[place] = 1
+                passing.append(t)
+        return passing
+
+    def _word_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: from the lexicon, else by merging."""
+        found: list = [None] * len(words)
+        if self.lexicon:
+            for i in self.lexicon.known(words).tolist():
+                found[i] = array("i", self.lexicon.lookup(words[i])).tobytes()
         unseen = []
         for i, ids in enumerate(found):
-            if ids is not None:
-                found[i] = array("i", ids).tobytes()
-            elif len(words[i]) > LONG_WORD:
-                found[i] = array("i", merge_word(words[i], self.byte, self.merge)).tobytes()
-            else:
-                unseen.append(i)
+            if ids is None:
+                if len(words[i]) > LONG_WORD:
+                    found[i] = array("i", merge_word(words[i], self.byte, self.merge)).tobytes()
+                else:
+                    unseen.append(i)
         for i, ids in zip(unseen, merge_words([words[i] for i in unseen], self.byte_ids, self.tables)):
             found[i] = ids
-        at = 0
-        for t, n in zip(texts, counts):
-            cache[t] = found[at] if n == 1 else b"".join(found[at:at + n])
-            at += n
-            if len(t) > LONG_WORD:
-                self.long[cache is self.spaced].append(t)
+        return found
 
     def _plan(self, text: str) -> list[tuple[list[str], list[str]]]:
         """Parts of the text: exact pieces, then pieces that a single space precedes."""
@@ -398,18 +440,17 @@ class Encoder:
                 plans.append(list(chain.from_iterable(
                     [([p], None)] if i % 2 else self._plan(p) for i, p in enumerate(self.special.split(text)))))
         parts = [p for plan in plans for p in plan]
-        self._learn(self.exact, set(chain.from_iterable(e for e, r in parts if r is not None)), "")
-        self._learn(self.spaced, set(chain.from_iterable(r for _, r in parts if r)), " ")
+        passing = (self._learn(self.exact, set(chain.from_iterable(e for e, r in parts if r is not None)), ""),
+                   self._learn(self.spaced, set(chain.from_iterable(r for _, r in parts if r)), " "))
         exact, spaced = self.exact.__getitem__, self.spaced.__getitem__
         out = []
         for plan in plans:
             out.append(np.frombuffer(b"".join(chain.from_iterable(
                 [array("i", [self.added[e[0]]]).tobytes()] if r is None else chain(map(exact, e), map(spaced, r))
                 for e, r in plan)), np.int32))
-        for cache, long in zip((self.exact, self.spaced), self.long):
-            for key in long:
-                cache.pop(key, None)
-            long.clear()
+        for cache, keys in zip((self.exact, self.spaced), passing):
+            for key in keys:
+                del cache[key]
         return out
 
 
