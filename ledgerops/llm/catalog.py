@@ -1,4 +1,9 @@
-"""Registered queries of the training-data operators and their DuckDB SQL, by query name."""
+"""Registered queries of the training-data operators and their DuckDB SQL, by query name.
+
+Operators without SQL here can't be expressed in it, or only by a join of all
+pairs; tests/llm compares them with brute force or with the library whose
+results they must equal.
+"""
 
 from __future__ import annotations
 
@@ -14,15 +19,15 @@ from .substrings import op1_suffix_array_dedup
 from .toxicity import op6_toxicity_severity
 
 LLM_QUERIES = {
-    "op8_pitman_yor_scores": op8_pitman_yor_scores,
-    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
-    "op4_license_scan": op4_license_scan,
-    "op3_line_dedup": op3_line_dedup,
-    "op6_toxicity_severity": op6_toxicity_severity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
+    "op6_toxicity_severity": op6_toxicity_severity,
     "op7_histogram_sharding": op7_histogram_sharding,
+    "op8_pitman_yor_scores": op8_pitman_yor_scores,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
