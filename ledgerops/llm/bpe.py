@@ -34,6 +34,7 @@ from .common import read_table, worker_cache, written
 LEXICON_WORDS = 32768
 CACHE_PIECES = 600_000
 LONG_WORD = 64
+MARKS = ".,;:!?"  # marks that are a word of their own after letters
 PART_BYTES = 2 << 20
 MET_MASK = (1 << 22) - 1
 # Fixed value: the pre-tokenizer pattern of byte-level BPE vocabularies.
@@ -374,6 +375,11 @@ class Encoder:
         self.spaced: dict[str, bytes] = {}  # ids of a space and the piece
         self.exact: dict[str, bytes] = {}   # ids of the text itself
         self.met = bytearray(MET_MASK + 1)  # which pieces came before, by hash
+        self.held: dict[bytes, bytes] = {}  # ids of the lexicon's words met so far
+        odd = frozenset(map(chr, vocabulary["stand_in"]))
+        # letters only, of code points whose class is not in doubt
+        self.all_letters = lambda t: t.isalpha() and (t.isascii() or odd.isdisjoint(t))
+        self.mark_ids = {m: array("i", merge_word(m.encode(), self.byte, self.merge)).tobytes() for m in MARKS}
         self.space_run = re.compile(r" \s").search
         special = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
@@ -385,18 +391,34 @@ class Encoder:
             for key in list(islice(cache, len(cache) // 2)):
                 del cache[key]
         texts = texts.difference(cache)
-        plain = [t for t in texts if prefix and t.isascii() and t.isalpha()]
-        other = list(texts.difference(plain))
+        letters = self.all_letters
+        # a space and letters are one word; a mark at the end is a word of its own and the rest may be known already
+        plain, marked, other = set(), [], []
+        for t in texts:
+            if not prefix:
+                other.append(t)
+            elif letters(t):
+                plain.add(t)
+            elif t[-1:] in MARKS and letters(t[:-1]):
+                marked.append(t)
+                plain.add(t[:-1])
+            else:
+                other.append(t)
+        fresh = list(plain.difference(cache))
         split = [self.words(prefix + t) for t in other]
-        words = [(prefix + t).encode() for t in plain]
+        words = [(prefix + t).encode() for t in fresh]
         words += [w.encode() for w in chain.from_iterable(split)]
         found = self._word_ids(words)
-        cache.update(zip(plain, found))
-        at = len(plain)
+        cache.update(zip(fresh, found))
+        mark = self.mark_ids
+        for t in marked:
+            cache[t] = cache[t[:-1]] + mark[t[-1]]
+        at = len(fresh)
         for t, parts in zip(other, split):
             n = len(parts)
             cache[t] = found[at] if n == 1 else b"".join(found[at:at + n])
             at += n
+        texts = texts.union(fresh)
         met, passing = self.met, []
         for t in texts:
             place = hash(t) & MET_MASK
@@ -409,8 +431,12 @@ class Encoder:
         """Ids of each word: from the lexicon, else by merging."""
         found: list = [None] * len(words)
         if self.lexicon:
+            held = self.held  # no more entries than the lexicon has words
             for i in self.lexicon.known(words).tolist():
-                found[i] = array("i", self.lexicon.lookup(words[i])).tobytes()
+                ids = held.get(words[i])
+                if ids is None:
+                    ids = held[words[i]] = array("i", self.lexicon.lookup(words[i])).tobytes()
+                found[i] = ids
         unseen = []
         for i, ids in enumerate(found):
             if ids is None:
