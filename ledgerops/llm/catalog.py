@@ -1,21 +1,20 @@
 """Registered queries of the training-data operators and their DuckDB SQL, by query name.
 
-Operators without SQL here can't be expressed in it, or only by a join of all
-pairs; tests/llm compares them with brute force or with the library whose
-results they must equal.
+Operators without SQL here can't be expressed in it; tests/llm compares them
+with brute force or with the library whose results they must equal.
 """
 
 from __future__ import annotations
 
 from .bpe import op5_bpe_encode_decode
-from .decontamination import op2_benchmark_decontamination
-from .embeddings import op9_embedding_near_dedup
+from .decontamination import OP2_SQL, op2_benchmark_decontamination
+from .embeddings import OP9_SQL, op9_embedding_near_dedup
 from .licenses import OP4_SQL, op4_license_scan
 from .lines import OP3_SQL, op3_line_dedup
 from .lm import op8_pitman_yor_scores
 from .sharding import op7_histogram_sharding
 from .simhash import op10_simhash_near_dedup
-from .substrings import op1_suffix_array_dedup
+from .substrings import OP1_SQL, op1_suffix_array_dedup
 from .toxicity import op6_toxicity_severity
 
 LLM_QUERIES = {
@@ -32,6 +31,9 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLE: dict[str, str] = {
+    "op1_suffix_array_dedup": OP1_SQL,
+    "op2_benchmark_decontamination": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op4_license_scan": OP4_SQL,
+    "op9_embedding_near_dedup": OP9_SQL,
 }

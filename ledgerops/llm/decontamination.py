@@ -254,3 +254,26 @@ def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _sql_words(text: str) -> str:
+    lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+OP2_SQL = f"""
+WITH docs AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_sql_words("text")} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least({WINDOW}, len(w)) AS n, array_to_string(w[j:j + {WINDOW - 1}], ' ') AS body
+  FROM items, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS t(j) WHERE len(w) > 0),
+places AS (
+  SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS body
+  FROM docs, (SELECT DISTINCT n FROM windows) AS sizes, unnest(range(1, len(w) - n + 2)) AS t(p)),
+hits AS (SELECT doc_id, p, n, item FROM places JOIN windows USING (n, body)),
+words AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS i FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
+"""

@@ -518,3 +518,31 @@ def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# The same by all windows of every text, as hexadecimal text (two digits a byte).
+OP1_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(substr(h, 2 * s + 1, {2 * LENGTH})) AS w FROM texts, unnest(range(n - {LENGTH - 1})) AS t(s)),
+repeats AS (
+  SELECT doc_id, s FROM (
+    SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS nth FROM windows) WHERE nth > 1),
+marked AS (
+  SELECT doc_id, s, coalesce(s > lag(s) OVER d + {LENGTH}, true) AS head
+  FROM repeats WINDOW d AS (PARTITION BY doc_id ORDER BY s)),
+numbered AS (
+  SELECT doc_id, s, count(*) FILTER (WHERE head) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
+runs AS (
+  SELECT doc_id, run, min(s) AS a, max(s) + {LENGTH} AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+cut AS (
+  SELECT g.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM gaps g JOIN texts USING (doc_id) GROUP BY g.doc_id)
+SELECT t.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM texts t LEFT JOIN cut c ON t.doc_id = c.doc_id
+"""
