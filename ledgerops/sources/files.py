@@ -78,8 +78,8 @@ def delimiter_of(record: str) -> str:
 
 
 def _first_record(spark: SparkSession, path: str) -> str | None:
-    """The first record of a file (a read of its first lines only); None when the file is empty."""
-    lines = [r[0] or "" for r in spark.read.text(path).limit(HEAD_LINES).collect()]
+    """The first record of a file (a read of its first lines only); None when the file has none but blank lines."""
+    lines = [r[0] or "" for r in spark.read.text(path).where("trim(value) <> ''").limit(HEAD_LINES).collect()]
     if not lines:
         return None
     record = lines[0]
@@ -98,7 +98,7 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return "," if record is None else delimiter_of(record)
 
 
-def _looks_like_values(spark: SparkSession, fields: list[str]) -> bool:
+def _looks_like_values(spark: SparkSession, fields: tuple[str, ...]) -> bool:
     """Whether a first record holds values: an empty field, a repeated one, a number or a date is no column name."""
     if len(set(f.lower() for f in fields)) < len(fields) or any(not f.strip() for f in fields):
         return True
@@ -129,13 +129,14 @@ def csv_layouts(spark: SparkSession, paths: list[str], sep: str | None = None, h
         broken = {r[0] for r in spark.read.text(files).where(quotes % 2 == 1)
                   .select(F.input_file_name().alias("f")).distinct().collect()}
         broken = {f for f in files if f in broken or _plain(f) in {_plain(b) for b in broken}}
-    out = {}
+    out, named = {}, {}
     for f in files:
         own = sep or delimiter_of(records[f])
-        fields = next(csv.reader([records[f]], delimiter=own)) if "\n" not in records[f] else next(
-            csv.reader(records[f].splitlines(keepends=True), delimiter=own))
-        has_names = header if header is not None else not _looks_like_values(spark, fields)
-        names = tuple(fields) if has_names else tuple(f"column{i}" for i in range(len(fields)))
+        fields = tuple(next(csv.reader(records[f].splitlines(keepends=True), delimiter=own)))
+        if fields not in named:  # files mostly share one first record
+            named[fields] = header if header is not None else not _looks_like_values(spark, fields)
+        has_names = named[fields]
+        names = fields if has_names else tuple(f"column{i}" for i in range(len(fields)))
         out[f] = Layout(own, has_names, names, f in broken if multi_line is None else multi_line)
     return out
 

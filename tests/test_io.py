@@ -149,3 +149,12 @@ def test_a_failed_set_is_an_error_that_names_it(spark, tmp_dir):
         raise AssertionError("expected an error")
     except io.ExportError as exc:
         assert set(exc.failed) == {"missing_in_b"} and len(exc.written) == 4 and "missing_in_b" in str(exc)
+
+
+def test_blank_lines_before_the_header_and_empty_files(spark, tmp_dir):
+    path = _write(os.path.join(tmp_dir, "b", "blank.csv"), "\n\nref,amount\n\n1,10\n")
+    _write(os.path.join(tmp_dir, "b", "empty.csv"), "")
+    df = io.read_csv(spark, os.path.dirname(path))
+    assert df.columns == ["ref", "amount"] and [tuple(r) for r in df.collect()] == [("1", "10")]
+    none = io.read_csv(spark, os.path.join(tmp_dir, "b", "empty.csv"), schema="a string, b string")
+    assert none.columns == ["a", "b"] and none.count() == 0
