@@ -41,11 +41,13 @@ def fingerprint_rows(docs: DataFrame, size: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """(_doc, _text, runs): per document with repeats, its later repeated runs [a, b) of line numbers, in order."""
     rows = written(fingerprint_rows(docs, size), "line-fp")
-    shared = rows.groupBy("fp").count().where("count > 1").select("fp")
+    # Written, so that both sides of the joins below are plain shuffles: AQE can then split a line or a window
+    # that stands in a large part of all documents.
+    shared = written(rows.groupBy("fp").count().where("count > 1").select("fp"), "line-shared")
     near = rows.join(shared, "fp").select("_doc", "_text", F.explode("windows").alias("w")).select(
         "_doc", "_text", "w.start", "w.d1", "w.d2")
-    first = (near.groupBy("d1", "d2").agg(F.min(F.struct("_doc", "_text", "start")).alias("first"),
-                                          F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    first = written(near.groupBy("d1", "d2").agg(F.min(F.struct("_doc", "_text", "start")).alias("first"),
+                                                 F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-first")
     # a row that is repeated in the table is the same document, not an earlier one
     later = (near.join(first, ["d1", "d2"]).where(~F.struct("_doc", "_text", "start").eqNullSafe(F.col("first")))
              .select("_doc", "_text", "start").distinct())

@@ -436,8 +436,10 @@ def single_spans(texts: DataFrame, length: int) -> DataFrame:
                      pa.array(np.full(len(at), key, np.int64)), pa.array(np.array(at, np.int32))], names=["d1", "d2", "key", "start"])
 
     windows = written(texts.mapInArrow(digests, "d1 long, d2 long, key long, start int"), "substring-windows")
-    first = windows.groupBy("d1", "d2").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = windows.join(first.where("n > 1"), ["d1", "d2"]).where(F.struct("key", "start") > F.col("first"))
+    # written, so that AQE can split a window that very many documents share
+    first = written(windows.groupBy("d1", "d2").agg(F.min(F.struct("key", "start")).alias("first"),
+                                                    F.count(F.lit(1)).alias("n")).where("n > 1"), "substring-first")
+    later = windows.join(first, ["d1", "d2"]).where(F.struct("key", "start") > F.col("first"))
     return later.select(F.lit(REMOVE).alias("kind"), "key", "start", (F.col("start") + length).cast("int").alias("stop"),
                         F.lit(0).cast("long").alias("hash"))
 
