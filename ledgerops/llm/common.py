@@ -18,14 +18,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, row_group_bytes: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder (``spark.checkpoint.dir``) and read back.
 
+    ``row_group_bytes`` keeps the row groups of tables with large binary values
+    small, since the reader takes thousands of rows of a row group at once.
     Cuts the lineage with a table every executor can read, so a lost executor
     costs a task retry and later jobs do not repeat the work."""
     path = scratch_path(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    writer = df.write
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -74,16 +79,18 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     Alternates large-star and small-star steps until the links no longer change
     (about log n rounds). Each round is joins and aggregations on the node, with
-    map-side combine and one written table; nothing is collected but two numbers."""
+    map-side combine; the smallest neighbours are a written table of their own, so
+    that both sides of a join are plain shuffles and AQE can split a hub that
+    holds a large part of all links. Nothing is collected but two numbers."""
     current = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                       .distinct(), name)
     state = _fingerprint(current)
     while state[0]:
         both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-low")
+        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                        .where("a <> b").distinct(), f"{name}-large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-low")
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         current = written(small, name)
