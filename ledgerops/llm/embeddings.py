@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import component_labels, connected_components, empty_batch, read_table, written
 
 THRESHOLD = 0.98
-SHARD_ROWS = 400          # nodes per centroid
-MAX_BLOCK = 1024          # nodes of one task; larger shards are split into pairs of half as large blocks
+SHARD_ROWS = 256          # nodes per centroid; a shard holds about OVERLAP times as many
+MAX_BLOCK = 1536          # nodes of one task; larger shards are split into pairs of half as large blocks
 MAX_CENTROIDS = 1024      # per label, so that what is broadcast stays bounded
 SAMPLE_ROWS = 20_000      # nodes that the centroids are fitted on
 OVERLAP = 3               # nearest centroids of a node
