@@ -29,6 +29,7 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,8 +39,9 @@ from .common import read_table, text_bytes, written
 
 LOW_BITS = 3
 CONTEXTS, PARENTS = 256 << LOW_BITS, 256
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20  # text per bucket of words
+ROW_GROUP_BYTES = 4 << 20
 BURN_IN, SAMPLES = 2, 2
 STRENGTH = 1.0
 END = b""                # the end of a text; no word is empty
@@ -85,14 +87,15 @@ def count_batches(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = count(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            sizes = pc.binary_length(texts).fill_null(0).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(sizes):
                 stop, size = at, 0
-                while stop < len(texts) and size < BATCH_BYTES:
-                    size += len(texts[stop])
+                while stop < len(sizes) and size < BATCH_BYTES:
+                    size += sizes[stop]
                     stop += 1
-                yield count_texts(next(number), ids[at:stop], texts[at:stop])
+                yield count_texts(next(number), ids[at:stop], text_bytes(texts.slice(at, stop - at)))
                 at = stop
 
     def count_texts(batch: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
@@ -102,9 +105,10 @@ def count_batches(docs: DataFrame, buckets: int) -> DataFrame:
         for i in range(len(texts)):
             words = texts[i].lower().split()
             texts[i] = b""
-            parts.append(np.fromiter(chain(map(vocabulary.__getitem__, words), (end,)), np.int64, len(words) + 1))
+            parts.append(np.fromiter(chain(map(vocabulary.__getitem__, words), (end,)), np.int32, len(words) + 1))
             sizes.append(len(words) + 1)
         token, sizes = np.concatenate(parts), np.array(sizes, np.int64)
+        del parts
         words = list(vocabulary)
         digest = xxhash.xxh3_64_intdigest
         hashes = np.fromiter(map(digest, words), np.uint64, len(words))
@@ -114,9 +118,12 @@ def count_batches(docs: DataFrame, buckets: int) -> DataFrame:
         order = np.lexsort((hashes, bucket))
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
-        before = np.concatenate([[end], token[:-1]])
+        before = np.empty_like(token)
+        before[0], before[1:] = end, token[:-1]
         before[np.cumsum(sizes)[:-1]] = end
         cells, cell = np.unique(rank[token] * CONTEXTS + context[before], return_inverse=True)
+        del token, before
+        cell = cell.astype(np.int32)
         held = np.array([is_held_out(i) for i in ids])
         counts = np.bincount(cell, np.repeat(~held, sizes), len(cells)).astype(np.int64)
         word = cells // CONTEXTS
@@ -129,7 +136,7 @@ def count_batches(docs: DataFrame, buckets: int) -> DataFrame:
             rows.append((REQUEST, b, pack(hashes[order][w], per_word[w].astype(np.int32),
                                           (cells[c] % CONTEXTS).astype(np.uint16), counts[c])))
         rows.append((TEXTS, -1, pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]).astype(np.uint8),
-                                     held.astype(np.uint8), sizes, cell.astype(np.int32))))
+                                     held.astype(np.uint8), sizes, cell)))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()),
              pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
@@ -321,32 +328,31 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def add_up(answered: DataFrame, texts: DataFrame, model: Model) -> DataFrame:
-    """The documents' scores from their batch's answers."""
+    """The documents' scores from their batch's answers; a group is one batch, of bounded size."""
     tokens, words = model.tokens, int(model.words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for kind, bucket, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                parts = unpack(payload.as_py())
-                if kind == ANSWER:
-                    held.append((bucket, parts))
-                    continue
-                held.sort(key=lambda h: h[0])
-                count = np.concatenate([np.repeat(p[0], p[1]) for _, p in held])
-                log_p = np.concatenate([p[2] for _, p in held]).astype(np.float64)
-                held = []
-                ids, null, out, sizes, cell = parts
-                first = np.cumsum(sizes) - sizes
-                base = np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=null.astype(bool)), pa.array(out.astype(bool)), pa.array(sizes),
-                     pa.array(np.add.reduceat((count > 0)[cell].astype(np.int64), first)), pa.array(np.full(len(ids), tokens)),
-                     pa.array(np.add.reduceat(base[cell], first)), pa.array(np.add.reduceat(log_p[cell], first))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    both = answered.unionByName(texts)
-    return both.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, SCORES)
+    names = [part.split()[0] for part in SCORES.split(", ")]
+
+    def run(group: pa.Table) -> pa.Table:
+        answers, body = [], None
+        for kind, bucket, payload in zip(group.column("kind").to_pylist(), group.column("bucket").to_pylist(),
+                                         group.column("payload")):
+            if kind == ANSWER:
+                answers.append((bucket, unpack(payload.as_py())))
+            else:
+                body = unpack(payload.as_py())
+        answers.sort(key=lambda a: a[0])
+        count = np.concatenate([np.repeat(p[0], p[1]) for _, p in answers])
+        log_p = np.concatenate([p[2] for _, p in answers])
+        ids, null, held, sizes, cell = body
+        first = np.cumsum(sizes) - sizes
+        base = np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))
+        return pa.table([
+            pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(sizes),
+            pa.array(np.add.reduceat((count > 0)[cell], first, dtype=np.int64)), pa.array(np.full(len(ids), tokens)),
+            pa.array(np.add.reduceat(base[cell], first)), pa.array(np.add.reduceat(log_p[cell], first, dtype=np.float64))],
+            names=names)
+
+    return answered.unionByName(texts).groupBy("batch").applyInArrow(run, SCORES)
 
 
 def score_documents(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
@@ -357,9 +363,9 @@ def score_documents(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMP
     Repeated rows are learned and scored each on its own. Without training rows
     all words are unknown."""
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    counted = written(count_batches(docs, max(8, -(-total // BUCKET_BYTES))), "lm-batches")
+    counted = written(count_batches(docs, max(8, -(-total // BUCKET_BYTES))), "lm-batches", ROW_GROUP_BYTES)
     requests, texts = counted.where(f"kind = {REQUEST}"), counted.where(f"kind = {TEXTS}")
-    words = written(word_cells(requests), "lm-words")
+    words = written(word_cells(requests), "lm-words", ROW_GROUP_BYTES)
     models = [Model(sweep_totals(words, []))]
     for _ in range(burn_in + samples):
         models.append(Model(sweep_totals(words, models), models[0].discount))
