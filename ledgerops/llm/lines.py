@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import read_table, written
 
 WINDOW = 3
+RUNS = "_repeated_line_runs"
 
 
 def fingerprint_rows(docs: DataFrame, size: int) -> DataFrame:
@@ -59,13 +60,13 @@ def repeated_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def with_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` with _runs (empty where nothing repeats). The small side is joined by doc_id and text hash."""
+    """``docs`` with its runs in the column RUNS (empty where nothing repeats). The small side is joined by doc_id and text hash."""
     runs = repeated_runs(docs, size)
     same = (docs["doc_id"].cast("long").eqNullSafe(runs["_doc"])
             & (F.xxhash64(docs["text"].cast("string")) == runs["_text"]))
     return docs.join(runs, same, "left").select(
         *[docs[f"`{c}`"] for c in docs.columns],
-        F.coalesce("runs", F.array().cast("array<struct<a:int,b:int>>")).alias("_runs"))
+        F.coalesce(runs["runs"], F.array().cast("array<struct<a:int,b:int>>")).alias(RUNS))
 
 
 def _kept_lines(lines, runs):
@@ -83,7 +84,7 @@ def drop_repeated_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     are equal in doc_id and text count as one document and get equal results."""
     body = F.col("text").cast("string")
     out = with_runs(docs, size)
-    kept = F.when(F.size("_runs") == 0, body).otherwise(F.array_join(_kept_lines(F.split(body, "\n"), F.col("_runs")), "\n"))
+    kept = F.when(F.size(RUNS) == 0, body).otherwise(F.array_join(_kept_lines(F.split(body, "\n"), F.col(RUNS)), "\n"))
     return out.select(*[(kept.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
 
 
@@ -91,12 +92,12 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines, deleted lines, runs and the digest of the remaining text of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.split("text", "\n")
-    kept = F.array_join(_kept_lines(lines, F.col("_runs")), "\n")
+    kept = F.array_join(_kept_lines(lines, F.col(RUNS)), "\n")
     return with_runs(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.aggregate("_runs", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"]).alias("n_removed"),
-        F.size("_runs").cast("long").alias("n_runs"),
+        F.aggregate(RUNS, F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"]).alias("n_removed"),
+        F.size(RUNS).cast("long").alias("n_runs"),
         F.sha2(F.coalesce(kept, F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -17,7 +17,7 @@ ODD_DOCS = [
     (7, "x" * 50_000, "en", "a", 50_000),
     (8, "word " * 30_000, "en", "a", 150_000),
 ]
-EXTRA = ["shard", "slot", "size", "fp", "key", "ids", "matches", "_runs2", "component_id", "h", "w", "count"]
+EXTRA = ["shard", "slot", "size", "fp", "key", "ids", "matches", "_runs", "runs", "_text", "_doc", "component_id", "h", "w", "count"]
 
 
 @pytest.fixture()
