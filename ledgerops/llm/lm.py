@@ -1,19 +1,21 @@
-"""Language-model scores by a hierarchical Pitman-Yor model.
-
-The probability of a word depends on the one before it through that word's
-ending: a restaurant for its last byte and three bits of the byte before it
-(2048 contexts), whose parent is the restaurant of the last byte (256), whose
-parent is the one without a context; the base is uniform over the known words
-and one unknown word. Customers are seated by the Chinese-restaurant process:
-in each sweep the customers of every (context, word) cell are reseated given the
-parents and the totals of the last sweep (blocked Gibbs sampling; long rows of
-customers in blocks of a sixteenth). Probabilities are averaged over the sweeps
-after the burn-in.
-
-Only endings serve as contexts because whole preceding words would make a
-(word, word) table of the corpus's own size. All cells of a word lie together,
-so a sweep needs no shuffle: tasks recompute it from the written counts, the
-seeds and the restaurants' totals, and only those 2305 totals are summed.
+"""Language-model scores by a hierarchical Pitman-Yor model over word pairs.
+
+The probability of a word depends on the whole word before it: a restaurant for
+every preceding word (known by its ending and 52 bits of its hash), whose parent is
+the restaurant of that word's ending (its last byte and three bits of the byte
+before, 2048), whose parent is the one without a context; the base is uniform over
+the known words and one unknown word. Customers are seated by the
+Chinese-restaurant process: in each sweep the customers of every (context, word)
+cell are reseated given the parents and the totals of the last sweep (blocked Gibbs
+sampling; long rows of customers in blocks of a sixteenth). Probabilities are
+averaged over the sweeps after the burn-in.
+
+All cells of a word lie in one bucket, so parents and root need no exchange. The
+totals of the word restaurants grow with the vocabulary and are a distributed
+table: after a sweep every bucket sends its tables per context, summed, to the
+context's bucket, which answers with the totals. A sweep reads the cells with their
+contexts numbered within the bucket, the last seating and these totals. Only the
+4096 totals of the endings and a few figures reach the driver.
 
 Texts are counted in batches. A batch sends, per bucket of word hashes, its
 distinct words and cells; the bucket answers with counts and probabilities, and
@@ -37,15 +39,17 @@ from pyspark.sql import functions as F
 
 from .common import read_table, text_bytes, written
 
-LOW_BITS = 3
-CONTEXTS, PARENTS = 256 << LOW_BITS, 256
+ENDING_BITS = 3
+PARENTS = 256 << ENDING_BITS
+LOW_BITS = 52           # bits of a word's hash in its context, below its ending
 BATCH_BYTES = 6 << 20
-BUCKET_BYTES = 16 << 20  # text per bucket of words
+BUCKET_BYTES = 4 << 20  # text per bucket of words
 ROW_GROUP_BYTES = 4 << 20
 BURN_IN, SAMPLES = 2, 2
 STRENGTH = 1.0
 END = b""                # the end of a text; no word is empty
-REQUEST, TEXTS, WORDS, ANSWER = 1, 2, 0, 0
+WORDS, ANSWER, CELLS, LINK, PART, CUSTOMERS, SEATS, TOTALS, DENSE = 0, 0, 0, 1, 2, 3, 4, 5, 6
+REQUEST, TEXTS = 1000, 1001
 ROWS = "kind int, batch long, bucket int, payload binary"
 
 
@@ -71,10 +75,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def context_of(word: bytes) -> int:
-    """Context of whatever follows ``word`` (0: nothing precedes)."""
+    """Context of whatever follows ``word`` (0: nothing precedes): its ending, then bits of its hash."""
     if not word:
         return 0
-    return word[-1] << LOW_BITS | (word[-2] if len(word) > 1 else 0) & ((1 << LOW_BITS) - 1)
+    ending = word[-1] << ENDING_BITS | (word[-2] if len(word) > 1 else 0) & ((1 << ENDING_BITS) - 1)
+    return ending << LOW_BITS | xxhash.xxh3_64_intdigest(word) >> (64 - LOW_BITS)
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -113,6 +118,9 @@ def count_batches(docs: DataFrame, buckets: int) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         hashes = np.fromiter(map(digest, words), np.uint64, len(words))
         context = np.fromiter(map(context_of, words), np.int64, len(words))
+        by_context = np.argsort(context, kind="stable")
+        context_rank = np.empty(len(words), np.int64)
+        context_rank[by_context] = np.arange(len(words))
         # words in the order of (bucket, hash), so that a bucket's cells are one range
         bucket = (hashes >> np.uint64(8)) % np.uint64(buckets)
         order = np.lexsort((hashes, bucket))
@@ -121,12 +129,12 @@ def count_batches(docs: DataFrame, buckets: int) -> DataFrame:
         before = np.empty_like(token)
         before[0], before[1:] = end, token[:-1]
         before[np.cumsum(sizes)[:-1]] = end
-        cells, cell = np.unique(rank[token] * CONTEXTS + context[before], return_inverse=True)
+        cells, cell = np.unique(rank[token] * len(words) + context_rank[before], return_inverse=True)
         del token, before
         cell = cell.astype(np.int32)
         held = np.array([is_held_out(i) for i in ids])
         counts = np.bincount(cell, np.repeat(~held, sizes), len(cells)).astype(np.int64)
-        word = cells // CONTEXTS
+        word, contexts = cells // len(words), context[by_context][cells % len(words)]
         per_word = np.bincount(word, minlength=len(words))
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
         cell_edges = np.searchsorted(word, edges)
@@ -134,7 +142,7 @@ def count_batches(docs: DataFrame, buckets: int) -> DataFrame:
         for b in np.flatnonzero(np.diff(edges)).tolist():
             w, c = slice(edges[b], edges[b + 1]), slice(cell_edges[b], cell_edges[b + 1])
             rows.append((REQUEST, b, pack(hashes[order][w], per_word[w].astype(np.int32),
-                                          (cells[c] % CONTEXTS).astype(np.uint16), counts[c])))
+                                          contexts[c], counts[c])))
         rows.append((TEXTS, -1, pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]).astype(np.uint8),
                                      held.astype(np.uint8), sizes, cell)))
         return pa.RecordBatch.from_arrays(
@@ -149,14 +157,18 @@ def count_batches(docs: DataFrame, buckets: int) -> DataFrame:
 class Cells:
     """The words and cells of one bucket with their training counts, and their seating."""
 
-    def __init__(self, bucket: int, hashes: np.ndarray, per_word: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
-        self.bucket, self.hashes, self.per_word, self.context, self.count = bucket, hashes, per_word, contexts, counts
+    def __init__(self, bucket: int, hashes: np.ndarray, per_word: np.ndarray, contexts: np.ndarray, counts: np.ndarray,
+                 context_keys: np.ndarray | None = None):
+        self.bucket, self.hashes, self.per_word, self.count = bucket, hashes, per_word, counts
         self.word = np.repeat(np.arange(len(hashes)), per_word)
-        self.key = self.word * CONTEXTS + contexts
-        group = self.key >> LOW_BITS  # (word, parent context)
+        self.contexts, self.context = np.unique(contexts, return_inverse=True)  # and every cell's place among them
+        group = self.word * PARENTS + (contexts >> LOW_BITS)  # (word, parent context)
         self.first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.array([], np.int64)
         self.group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if len(group) else group
-        self.parent = self.context[self.first] >> LOW_BITS
+        self.parent = contexts[self.first] >> LOW_BITS
+        # draws depend on these, so that they are the same in any number of buckets
+        self.word_key = hashes.astype(np.uint64) & np.uint64(0xFFFF)
+        self.context_key = (self.contexts & 0xFFFF if context_keys is None else context_keys).astype(np.uint64)
         self.group_word = self.word[self.first]
         self.word_first = np.searchsorted(self.group_word, np.arange(len(hashes)))
         self.word_count = np.add.reduceat(counts, np.cumsum(per_word) - per_word) if len(hashes) else counts
@@ -164,22 +176,40 @@ class Cells:
         self.tables = (counts > 0).astype(np.int64)
         self._seat_parents(lambda c: (c > 0).astype(np.int64), lambda c: (c > 0).astype(np.int64))
 
+    def places(self, word: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The cells of given words and contexts."""
+        n = len(self.contexts)
+        return np.searchsorted(self.word * n + self.context, word * n + np.searchsorted(self.contexts, contexts))
+
+    def seating(self) -> list[np.ndarray]:
+        return [t.astype(np.uint32 if t.max(initial=0) < 1 << 32 else np.int64) for t in (self.tables, self.tables1, self.tables0)]
+
+    def take_seats(self, tables: np.ndarray, tables1: np.ndarray, tables0: np.ndarray) -> None:
+        self.tables = tables.astype(np.int64)
+        self._seat_parents(lambda c: tables1.astype(np.int64), lambda c: tables0.astype(np.int64))
+
     def _seat_parents(self, seat1, seat0) -> None:
         self.count1 = np.add.reduceat(self.tables, self.first) if len(self.first) else self.first
         self.tables1 = seat1(self.count1)
         self.count0 = np.add.reduceat(self.tables1, self.word_first) if len(self.word_first) else self.word_first
         self.tables0 = seat0(self.count0)
 
-    def totals(self) -> np.ndarray:
-        """Customers and tables of every restaurant, and occupancy figures for the discounts."""
-        def by(index, value, n):
-            return np.bincount(index, value, n)
+    def per_context(self, value: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, value, len(self.contexts)).astype(np.int64)
+
+    def dense(self) -> np.ndarray:
+        """Customers and tables of the endings' restaurants, those of the root, known words and tokens, and occupancy
+        figures for the discounts."""
+        def by(value):
+            return np.bincount(self.parent, value, PARENTS)
         figures = [f(c) for c in (self.count, self.count1, self.count0)
                    for f in (lambda c: (c == 1).sum(), lambda c: (c == 2).sum())]
-        return np.concatenate([
-            by(self.context, self.count, CONTEXTS), by(self.context, self.tables, CONTEXTS),
-            by(self.parent, self.count1, PARENTS), by(self.parent, self.tables1, PARENTS),
-            [self.count0.sum(), self.tables0.sum(), (self.word_count > 0).sum(), *figures]])
+        return np.concatenate([by(self.count1), by(self.tables1), [
+            self.count0.sum(), self.tables0.sum(), (self.word_count > 0).sum(), self.count.sum(), *figures]])
+
+    def totals(self) -> tuple[np.ndarray, ...]:
+        """Contexts, their customers and tables, and the dense totals."""
+        return self.contexts, self.per_context(self.count), self.per_context(self.tables), self.dense()
 
     def sweep(self, model: Model, number: int) -> None:
         rng = np.random.default_rng((self.bucket, number))
@@ -188,33 +218,50 @@ class Cells:
         # the parent without the cell's own tables
         rest = self.count1[g] - self.tables
         p1 = model.middle(rest, np.minimum(self.tables1[g], rest), self.parent[g], p0[self.word])
-        self.tables = seat(self.count, model.open2[self.context] * p1, model.discount[0], rng)
-        self._seat_parents(lambda c: seat(c, model.open1[self.parent] * p0[self.group_word], model.discount[1], rng),
-                           lambda c: seat(c, np.full(len(c), model.open0 * model.base), model.discount[2], rng))
+        # a cell's own tables count as they are set up, those of the last sweep do not
+        discount2, discount1, discount0 = model.discount
+        key2 = self.word_key[self.word] << np.uint64(16) | self.context_key[self.context]
+        key1 = self.word_key[self.group_word] << np.uint64(16) | self.parent.astype(np.uint64)
+        self.tables = seat(self.count, (model.open2.values[self.context] - discount2 * self.tables) * p1, discount2, rng,
+                           discount2 * p1, draws(key2, number, 2))
+        mass1 = (model.open1[self.parent] - discount1 * self.tables1) * p0[self.group_word]
+        self._seat_parents(
+            lambda c: seat(c, mass1, discount1, rng, discount1 * p0[self.group_word], draws(key1, number, 1)),
+            lambda c: seat(c, np.full(len(c), model.open0 * model.base), discount0, rng, None, draws(self.word_key, number, 0)))
 
     def probabilities(self, model: Model) -> np.ndarray:
         p0 = model.root(self.count0, self.tables0)
         p1 = model.middle(self.count1, self.tables1, self.parent, p0[self.group_word])
-        return ((self.count - model.discount[0] * self.tables + model.open2[self.context] * p1[self.group])
-                / (STRENGTH + model.total2[self.context]))
+        return ((self.count - model.discount[0] * self.tables + model.open2.values[self.context] * p1[self.group])
+                / (STRENGTH + model.total2.values[self.context]))
+
+
+class PerContext:
+    """Numbers by context; ``values`` in the order of the contexts."""
+
+    def __init__(self, contexts: np.ndarray, values: np.ndarray):
+        self.contexts, self.values = contexts, values
+
+    def __getitem__(self, context):
+        return self.values[np.searchsorted(self.contexts, context)]
 
 
 class Model:
-    """Discounts and restaurant totals after a sweep."""
+    """Discounts and restaurant totals after a sweep; those of the words' restaurants for one bucket's contexts."""
 
-    def __init__(self, totals: np.ndarray, discount: tuple[float, float, float] | None = None):
-        at = np.cumsum([CONTEXTS, CONTEXTS, PARENTS, PARENTS])
-        self.total2, tables2, self.total1, tables1, rest = np.split(totals, at)
-        self.total0, tables0, self.words = rest[:3]
+    def __init__(self, totals: tuple[np.ndarray, ...], discount: tuple[float, float, float] | None = None):
+        contexts, customers2, tables2, dense = totals
+        self.total1, tables1, rest = np.split(dense, [PARENTS, 2 * PARENTS])
+        self.total0, tables0, self.words, self.tokens = rest[:4]
         if discount is None:  # from the shares of cells with one and two customers
             discount = tuple(min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
-                             for one, two in rest[3:].reshape(3, 2).tolist())
+                             for one, two in rest[4:].reshape(3, 2).tolist())
         self.discount = discount
-        self.open2 = STRENGTH + discount[0] * tables2
+        self.total2 = PerContext(contexts, customers2)
+        self.open2 = PerContext(contexts, STRENGTH + discount[0] * tables2)
         self.open1 = STRENGTH + discount[1] * tables1
         self.open0 = STRENGTH + discount[2] * tables0
         self.base = 1 / (self.words + 1)
-        self.tokens = int(self.total2.sum())
 
     def root(self, customers, tables):
         return (customers - self.discount[2] * tables + self.open0 * self.base) / (STRENGTH + self.total0)
@@ -223,16 +270,29 @@ class Model:
         return (customers - self.discount[1] * tables + self.open1[parent] * p0) / (STRENGTH + self.total1[parent])
 
 
-def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables of every cell after its customers sat down one by one; ``mass`` is the weight of a new table."""
+def draws(keys: np.ndarray, number: int, level: int):
+    """Uniform numbers by key, sweep, level and customer."""
+    def single(active: np.ndarray, seated: int) -> np.ndarray:
+        x = keys[active] + np.uint64(((number * 3 + level << 20) + seated) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ x >> np.uint64(31)) >> np.uint64(11)) * 2.0 ** -53
+
+    return single
+
+
+def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng, growth: np.ndarray | None = None, single=None) -> np.ndarray:
+    """Tables of every cell after its customers sat down one by one; ``mass`` is the weight of a new table, which every
+    table of the cell raises by ``growth``. ``single`` draws for single customers in place of ``rng``."""
     tables = (customers > 0).astype(np.int64)
     seated = 1
     active = np.flatnonzero(customers > 1)
     while len(active):
         block = max(1, seated // 16)
-        chance = mass[active] / (mass[active] + seated - discount * tables[active])
+        opening = mass[active] if growth is None else mass[active] + growth[active] * tables[active]
+        chance = opening / (opening + seated - discount * tables[active])
         if block == 1:
-            tables[active] += rng.random(len(active)) < chance
+            tables[active] += (rng.random(len(active)) if single is None else single(active, seated)) < chance
         else:
             tables[active] += rng.binomial(np.minimum(block, customers[active] - seated), chance)
         seated += block
@@ -243,11 +303,12 @@ def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng) -> np.nd
 def _merged(bucket: int, parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Word hashes, cells per word, contexts and counts of several requests as one."""
     hashes = np.unique(np.concatenate([p[0] for p in parts]))
-    key = np.concatenate([np.repeat(np.searchsorted(hashes, p[0]), p[1]) * CONTEXTS + p[2] for p in parts])
-    cells, place = np.unique(key, return_inverse=True)
+    contexts, at = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+    word = np.concatenate([np.repeat(np.searchsorted(hashes, p[0]), p[1]) for p in parts])
+    cells, place = np.unique(word * len(contexts) + at, return_inverse=True)
     counts = np.bincount(place, np.concatenate([p[3] for p in parts]), len(cells)).astype(np.int64)
-    return [hashes, np.bincount(cells // CONTEXTS, minlength=len(hashes)).astype(np.int32),
-            (cells % CONTEXTS).astype(np.uint16), counts]
+    return [hashes, np.bincount(cells // len(contexts), minlength=len(hashes)).astype(np.int32),
+            contexts[cells % len(contexts)], counts]
 
 
 def _rows(kind: int, batch: int, bucket: int, payload: bytes) -> pa.RecordBatch:
@@ -268,9 +329,9 @@ def word_cells(requests: DataFrame) -> DataFrame:
                 current = bucket
                 parts.append(unpack(payload.as_py()))
                 size += len(parts[-1][3])
-                if size > 1 << 21 and len(parts) > 1:  # requests of many batches shrink as they come
+                if size > 1 << 19 and len(parts) > 1:  # requests of many batches shrink as they come
                     parts = [_merged(bucket, parts)]
-                    size = 0
+                    size = -len(parts[0][3])  # the next merge when as many have come again
         if parts:
             yield _rows(WORDS, -1, current, pack(*_merged(current, parts)))
 
@@ -282,46 +343,167 @@ def _cells(bucket: int, payload: bytes) -> Cells:
     return Cells(bucket, hashes, per_word.astype(np.int64), contexts.astype(np.int64), counts)
 
 
-def sweep_totals(words: DataFrame, models: list[Model]) -> np.ndarray:
-    """Restaurant totals after ``len(models)`` sweeps, each under the totals before it."""
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, list[np.ndarray]]]]]:
+    """The rows of one bucket after the other: (kind, batch, arrays)."""
+    current, rows = None, []
+    for batch in batches:
+        for kind, number, bucket, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+            if bucket != current and rows:
+                yield current, rows
+                rows = []
+            current = bucket
+            rows.append((kind, number, unpack(payload.as_py())))
+    if rows:
+        yield current, rows
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "batch")
+
+
+def _context_buckets(contexts: np.ndarray, buckets: int) -> np.ndarray:
+    return ((contexts & ((1 << LOW_BITS) - 1)) % buckets).astype(np.int32)
+
+
+def _sent(bucket: int, homes: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows PART with numbers per context, one for each bucket of contexts."""
+    order = np.argsort(homes, kind="stable")
+    found, start = np.unique(homes[order], return_index=True)
+    for home, at in zip(found.tolist(), np.split(order, start[1:])):
+        yield _rows(PART, bucket, home, pack(*(v[at] for v in values)))
+
+
+def _received(homes: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    """Numbers per context from the answers of the buckets of contexts, in order."""
+    out = np.empty(len(homes), np.int64)
+    out[np.argsort(homes, kind="stable")] = np.concatenate(parts)
+    return out
+
+
+def first_seating(words: DataFrame, buckets: int) -> DataFrame:
+    """Rows CELLS (contexts as numbers within the bucket, without hashes), PART (contexts, customers, tables), DENSE."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
         for batch in batches:
             for bucket, payload in zip(batch.column(2).to_pylist(), batch.column(3)):
                 cells = _cells(bucket, payload.as_py())
-                for number, model in enumerate(models):
-                    cells.sweep(model, number)
-                total = cells.totals() if total is None else total + cells.totals()
+                homes = _context_buckets(cells.contexts, buckets)
+                yield _rows(CELLS, -1, bucket, pack(
+                    cells.per_word.astype(np.int32), np.diff(cells.context, prepend=0).astype(np.int32),
+                    (cells.contexts >> LOW_BITS).astype(np.uint16), homes, cells.count,
+                    cells.word_key.astype(np.uint16), cells.context_key.astype(np.uint16)))
+                yield from _sent(bucket, homes, *cells.totals()[:3])
+                yield _rows(DENSE, -1, bucket, pack(cells.dense()))
+
+    return words.mapInArrow(run, ROWS)
+
+
+def first_totals(parts: DataFrame) -> DataFrame:
+    """Rows CUSTOMERS and TOTALS for the buckets that sent a PART, and LINK: the places of its contexts here."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, rows in _by_bucket(batches):
+            contexts, at = np.unique(np.concatenate([r[2][0] for r in rows]), return_inverse=True)
+            customers, tables = (np.bincount(at, np.concatenate([r[2][i] for r in rows])).astype(np.int64) for i in (1, 2))
+            edges = np.cumsum([len(r[2][0]) for r in rows])[:-1]
+            for (_, bucket, _), place in zip(rows, np.split(at, edges)):
+                yield _rows(LINK, bucket, home, pack(np.diff(place, prepend=0).astype(np.int32)))
+                yield _rows(CUSTOMERS, home, bucket, pack(customers[place]))
+                yield _rows(TOTALS, home, bucket, pack(tables[place]))
+
+    return _in_order(parts).mapInArrow(run, ROWS)
+
+
+def next_totals(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows TOTALS for the buckets that sent a PART of tables."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, rows in _by_bucket(batches):
+            places = {bucket: np.cumsum(arrays[0]) for kind, bucket, arrays in rows if kind == LINK}
+            tables = np.zeros(max(int(p[-1]) for p in places.values()) + 1, np.int64)
+            for kind, bucket, arrays in rows:
+                if kind == PART:
+                    tables[places[bucket]] += arrays[0]
+            for bucket, place in places.items():
+                yield _rows(TOTALS, home, bucket, pack(tables[place]))
+
+    return _in_order(parts.unionByName(links)).mapInArrow(run, ROWS)
+
+
+def next_seating(rows: DataFrame, dense: np.ndarray, discount: tuple[float, float, float], number: int) -> DataFrame:
+    """Rows SEATS, PART (tables) and DENSE after a sweep over CELLS under the TOTALS, from the SEATS before (none: the first)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, found in _by_bucket(batches):
+            per_word, steps, endings, homes, counts, word_key, context_key = found[0][2]
+            context = np.cumsum(steps, dtype=np.int64)
+            cells = Cells(bucket, word_key, per_word.astype(np.int64), endings.astype(np.int64)[context] << LOW_BITS | context,
+                          counts, context_key)
+            for kind, _, arrays in found[1:]:
+                if kind == SEATS:
+                    cells.take_seats(*arrays)
+            totals = _received(homes, [arrays[0] for kind, _, arrays in found if kind == TOTALS])
+            cells.sweep(Model((cells.contexts, totals, totals, dense), discount), number)
+            yield _rows(SEATS, -1, bucket, pack(*cells.seating()))
+            yield from _sent(bucket, homes, cells.per_context(cells.tables))
+            yield _rows(DENSE, -1, bucket, pack(cells.dense()))
+
+    return _in_order(rows).mapInArrow(run, ROWS)
+
+
+def dense_totals(rows: DataFrame) -> np.ndarray:
+    """The sum of the rows DENSE."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for payload in batch.column(3):
+                one = unpack(payload.as_py())[0]
+                total = one if total is None else total + one
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "value"])
 
-    out = np.zeros(2 * CONTEXTS + 2 * PARENTS + 9)
-    for r in words.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+    out = np.zeros(2 * PARENTS + 10)
+    found = rows.where(f"kind = {DENSE}").mapInArrow(run, "at long, value double")
+    for r in found.groupBy("at").agg(F.sum("value").alias("value")).collect():
         out[r["at"]] = r["value"]
     return out
 
 
-def answers(words: DataFrame, requests: DataFrame, models: list[Model], burn_in: int) -> DataFrame:
-    """For every request: training count per word, cells per word, and log10 of each cell's averaged probability."""
+def answers(words: DataFrame, requests: DataFrame, customers: DataFrame, samples: list[tuple[DataFrame, DataFrame, np.ndarray]],
+            discount: tuple[float, float, float], buckets: int) -> DataFrame:
+    """For every request: training count per word, cells per word, and log10 of each cell's probability, averaged over
+    the samples' seatings (rows SEATS) under the totals they led to (rows TOTALS, dense totals)."""
+    n = len(samples)
+    dense = [d for _, _, d in samples]
+    both = words.unionByName(requests).unionByName(customers.withColumn("kind", F.lit(1)))
+    for i, (seats, totals, _) in enumerate(samples):  # kinds 2, 4, .. seats and 3, 5, .. totals
+        both = both.unionByName(seats.withColumn("kind", F.lit(2 + 2 * i))).unionByName(totals.withColumn("kind", F.lit(3 + 2 * i)))
+
+    def average(bucket: int, cells: Cells, given: dict[int, list]) -> np.ndarray:
+        homes = _context_buckets(cells.contexts, buckets)
+        per_context = _received(homes, [p[0] for p in given[1]])
+        mean = 0
+        for i in range(n):
+            cells.take_seats(*given[2 + 2 * i][0])
+            totals = _received(homes, [p[0] for p in given[3 + 2 * i]])
+            mean = mean + cells.probabilities(Model((cells.contexts, per_context, totals, dense[i]), discount))
+        return mean / n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = mean = None
+        given: dict[int, list] = {}
         for batch in batches:
             for kind, number, bucket, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 if kind == WORDS:
-                    cells, mean = _cells(bucket, payload.as_py()), 0
-                    for sweep, model in enumerate(models[:-1]):
-                        cells.sweep(model, sweep)
-                        if sweep >= burn_in:  # under the totals that this sweep led to
-                            mean = mean + cells.probabilities(models[sweep + 1])
-                    mean = mean / (len(models) - 1 - burn_in)
+                    cells, mean, given = _cells(bucket, payload.as_py()), None, defaultdict(list)
+                    continue
+                if kind != REQUEST:
+                    given[kind].append(unpack(payload.as_py()))
                     continue
+                if mean is None:
+                    mean, given = average(bucket, cells, given), {}
                 hashes, per_word, contexts, _ = unpack(payload.as_py())
                 word = np.searchsorted(cells.hashes, hashes)
-                at = np.searchsorted(cells.key, np.repeat(word, per_word) * CONTEXTS + contexts)
+                at = cells.places(np.repeat(word, per_word), contexts)
                 yield _rows(ANSWER, number, bucket, pack(cells.word_count[word], per_word, np.log10(mean[at]).astype(np.float32)))
 
-    both = words.unionByName(requests)
-    return both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, ROWS)
+    return _in_order(both).mapInArrow(run, ROWS)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -329,7 +511,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def add_up(answered: DataFrame, texts: DataFrame, model: Model) -> DataFrame:
     """The documents' scores from their batch's answers; a group is one batch, of bounded size."""
-    tokens, words = model.tokens, int(model.words)
+    tokens, words = int(model.tokens), int(model.words)
     names = [part.split()[0] for part in SCORES.split(", ")]
 
     def run(group: pa.Table) -> pa.Table:
@@ -363,13 +545,26 @@ def score_documents(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMP
     Repeated rows are learned and scored each on its own. Without training rows
     all words are unknown."""
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    counted = written(count_batches(docs, max(8, -(-total // BUCKET_BYTES))), "lm-batches", ROW_GROUP_BYTES)
+    buckets = max(8, -(-total // BUCKET_BYTES))
+    counted = written(count_batches(docs, buckets), "lm-batches", ROW_GROUP_BYTES)
     requests, texts = counted.where(f"kind = {REQUEST}"), counted.where(f"kind = {TEXTS}")
     words = written(word_cells(requests), "lm-words", ROW_GROUP_BYTES)
-    models = [Model(sweep_totals(words, []))]
-    for _ in range(burn_in + samples):
-        models.append(Model(sweep_totals(words, models), models[0].discount))
-    return add_up(answers(words, requests, models, burn_in), texts, models[0])
+    first = written(first_seating(words, buckets), "lm-cells", ROW_GROUP_BYTES)
+    met = written(first_totals(first.where(f"kind = {PART}")), "lm-links", ROW_GROUP_BYTES)
+    cells, links = first.where(f"kind = {CELLS}"), met.where(f"kind = {LINK}")
+    totals, dense = met.where(f"kind = {TOTALS}"), dense_totals(first)
+    nothing = np.array([], np.int64)
+    model = Model((nothing, nothing, nothing, dense))
+    kept, before = [], cells
+    for number in range(burn_in + samples):
+        swept = written(next_seating(before.unionByName(totals), dense, model.discount, number), "lm-seats", ROW_GROUP_BYTES)
+        totals = written(next_totals(swept.where(f"kind = {PART}"), links), "lm-totals", ROW_GROUP_BYTES)
+        seats, dense = swept.where(f"kind = {SEATS}"), dense_totals(swept)
+        before = cells.unionByName(seats)
+        if number >= burn_in:
+            kept.append((seats, totals, dense))
+    answered = answers(words, requests, met.where(f"kind = {CUSTOMERS}"), kept, model.discount, buckets)
+    return add_up(answered, texts, model)
 
 
 def op8_pitman_yor_scores(spark, sf_dir: str) -> DataFrame:

@@ -98,3 +98,16 @@ def test_odd_rows(odd_docs, no_docs):
     nothing = M.score_documents(odd_docs.where("doc_id is null")).collect()
     assert nothing[0]["train_tokens"] == 0 and nothing[0]["n_known"] == 0
     assert M.score_documents(no_docs).collect() == []
+
+
+def test_whole_preceding_word_is_the_context(spark):
+    """Words of one ending are contexts of their own, so what follows each is learned."""
+    assert len({M.context_of(w) for w in (b"nation", b"station", b"million", b"on")}) == 4
+    ids = [i for i in range(400) if not M.is_held_out(i)][:200]
+    rows = [(i, "nation red " * 3 + "station blue " * 3) for i in ids]
+    held = [i for i in range(400) if M.is_held_out(i)][:2]
+    docs = spark.createDataFrame([*rows, (held[0], "nation red station blue"), (held[1], "nation blue station red")],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: r for r in M.score_documents(docs).collect()}
+    assert abs(got[held[0]]["base_score"] - got[held[1]]["base_score"]) < 1e-9
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 2
