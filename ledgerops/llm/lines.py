@@ -7,6 +7,11 @@ join on the fingerprints that occur more than once; from each such position the
 match extends both ways to the windows around it, whose contents decide. A
 window that also starts earlier (smaller doc_id, or earlier in the same text)
 is a repeat; overlapping repeats join to runs, and the runs' lines are deleted.
+
+With ``long_words``, runs of fewer than ``size`` lines count too when they hold
+more words than that: their digests are grouped directly. The registered query
+and the pipeline go without it, since the query's SQL and the pipeline's test say
+windows of three lines.
 """
 
 from __future__ import annotations
@@ -39,7 +44,26 @@ def fingerprint_rows(docs: DataFrame, size: int) -> DataFrame:
         x["start"].alias("start"), x["d1"].alias("d1"), x["d2"].alias("d2"))).alias("windows"))
 
 
-def repeated_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def long_spans(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """(_doc, _text, start, d1, d2, end) of every run of fewer than ``size`` lines that holds more than ``words`` words."""
+    body = F.col("text").cast("string")
+    lines = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(body).alias("_text"),
+                        F.transform(F.split(body, "\n"), lambda x: F.struct(
+                            F.xxhash64(x).alias("h"), F.size(F.regexp_extract_all(x, F.lit("\\S+"), F.lit(0))).alias("n"))).alias("l"))
+
+    def runs_of(k: int):
+        runs = F.transform(F.sequence(F.lit(0), F.size("l") - k), lambda i: F.struct(i.alias("i"), F.slice("l", i + 1, k).alias("s")))
+        long = F.filter(runs, lambda x: F.aggregate(x["s"], F.lit(0).cast("long"), lambda n, y: n + y["n"]) > words)
+        return F.transform(long, lambda x: F.struct(
+            x["i"].alias("start"), F.xxhash64(x["s"]["h"]).alias("d1"),
+            F.xxhash64(F.lit(k), F.reverse(x["s"]["h"])).alias("d2"), (x["i"] + k).alias("end")))
+
+    none = F.slice(runs_of(1), 1, 0)
+    parts = [F.when(F.size("l") >= k, runs_of(k)).otherwise(none) for k in range(1, size)]
+    return lines.where("l IS NOT NULL").select("_doc", "_text", F.explode(F.concat(*parts)).alias("r")).select("_doc", "_text", "r.*")
+
+
+def repeated_runs(docs: DataFrame, size: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """(_doc, _text, runs): per document with repeats, its later repeated runs [a, b) of line numbers, in order."""
     rows = written(fingerprint_rows(docs, size), "line-fp")
     # Written, so that both sides of the joins below are plain shuffles: AQE can then split a line or a window
@@ -52,16 +76,25 @@ def repeated_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     # a row that is repeated in the table is the same document, not an earlier one
     later = (near.join(first, ["d1", "d2"]).where(~F.struct("_doc", "_text", "start").eqNullSafe(F.col("first")))
              .select("_doc", "_text", "start").distinct())
-    order = Window.partitionBy("_doc", "_text").orderBy("start")
-    runs = (later.withColumn("gap", F.coalesce(F.col("start") > F.lag("start").over(order) + size, F.lit(True)).cast("int"))
-            .withColumn("run", F.sum("gap").over(order))
-            .groupBy("_doc", "_text", "run").agg(F.min("start").alias("a"), (F.max("start") + size).alias("b")))
+    later = later.withColumn("end", F.col("start") + size)
+    if long_words is not None and size > 1:
+        spans = written(long_spans(docs, size, long_words), "line-spans")
+        begun = written(spans.groupBy("d1", "d2").agg(F.min(F.struct("_doc", "_text", "start")).alias("first"),
+                                                      F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-first")
+        later = later.unionByName(spans.join(begun, ["d1", "d2"])
+                                  .where(~F.struct("_doc", "_text", "start").eqNullSafe(F.col("first")))
+                                  .select("_doc", "_text", "start", "end").distinct())
+    order = Window.partitionBy("_doc", "_text").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = (later.withColumn("gap", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+            .withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("_doc", "_text", "run").agg(F.min("start").alias("a"), F.max("end").alias("b")))
     return runs.groupBy("_doc", "_text").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
 
-def with_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def with_runs(docs: DataFrame, size: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """``docs`` with its runs in the column RUNS (empty where nothing repeats). The small side is joined by doc_id and text hash."""
-    runs = repeated_runs(docs, size)
+    runs = repeated_runs(docs, size, long_words)
     same = (docs["doc_id"].cast("long").eqNullSafe(runs["_doc"])
             & (F.xxhash64(docs["text"].cast("string")) == runs["_text"]))
     return docs.join(runs, same, "left").select(
@@ -76,14 +109,15 @@ def _kept_lines(lines, runs):
     return F.flatten(F.zip_with(begin, end, lambda b, e: F.slice(lines, b + 1, e - b)))
 
 
-def drop_repeated_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, size: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """``docs`` with the later repeated runs of ``size`` or more lines cut out of ``text``; all rows and columns stay.
+    With ``long_words`` shorter runs of more than that many words go too.
 
     Null texts stay null and empty ones empty; a text all of whose lines repeat
     becomes empty. Order is doc_id (null first), then text hash, so rows that
     are equal in doc_id and text count as one document and get equal results."""
     body = F.col("text").cast("string")
-    out = with_runs(docs, size)
+    out = with_runs(docs, size, long_words)
     kept = F.when(F.size(RUNS) == 0, body).otherwise(F.array_join(_kept_lines(F.split(body, "\n"), F.col(RUNS)), "\n"))
     return out.select(*[(kept.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
 

@@ -65,3 +65,17 @@ def test_odd_rows(odd_docs, no_docs):
     assert sorted(text[4]) == ["", "", "another text under the same id"]
     assert text[2] == [None] and text[3] == [""] and text[5] == ["   \n\t "]
     assert L.drop_repeated_lines(no_docs).collect() == []
+
+
+def test_long_passages_of_fewer_than_three_lines(spark):
+    """With ``long_words``, long single lines, line pairs and copies of short documents go; short common lines stay."""
+    long = " ".join(f"w{i}" for i in range(60))
+    half = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    docs = [long, f"x\n{long}\ny", long, "short", "short", f"{half[0]}\n{half[1]}", f"p\n{half[0]}\n{half[1]}\nq\n{half[0]}",
+            "1\n2\n3", f"0\n1\n2\n3\n{long}\n4"]
+    df = spark.createDataFrame([*enumerate(docs), (99, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in L.drop_repeated_lines(df, long_words=50).collect()}
+    assert [got[i] for i in range(len(docs))] == [long, "x\ny", "", "short", "short", docs[5], f"p\nq\n{half[0]}", docs[7], "0\n4"]
+    assert got[99] is None
+    as_before = {r["doc_id"]: r["text"] for r in L.drop_repeated_lines(df).collect()}
+    assert [as_before[i] for i in range(len(docs))] == brute(docs, 3)
