@@ -7,6 +7,7 @@ with brute force or with the library whose results they must equal.
 from __future__ import annotations
 
 from .bpe import op5_bpe_encode_decode
+from .conversations import op13_conversation_repair
 from .decontamination import OP2_SQL, op2_benchmark_decontamination
 from .embeddings import OP9_SQL, op9_embedding_near_dedup
 from .licenses import OP4_SQL, op4_license_scan
@@ -28,6 +29,7 @@ LLM_QUERIES = {
     "op8_pitman_yor_scores": op8_pitman_yor_scores,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 LLM_ORACLE: dict[str, str] = {
