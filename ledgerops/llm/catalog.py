@@ -13,6 +13,7 @@ from .embeddings import OP9_SQL, op9_embedding_near_dedup
 from .licenses import OP4_SQL, op4_license_scan
 from .lines import OP3_SQL, op3_line_dedup
 from .lm import op8_pitman_yor_scores
+from .secrets import OP12_SQL, op12_secret_scan
 from .sharding import op7_histogram_sharding
 from .simhash import op10_simhash_near_dedup
 from .substrings import OP1_SQL, op1_suffix_array_dedup
@@ -29,6 +30,7 @@ LLM_QUERIES = {
     "op8_pitman_yor_scores": op8_pitman_yor_scores,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_secret_scan": op12_secret_scan,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -38,4 +40,5 @@ LLM_ORACLE: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_license_scan": OP4_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
+    "op12_secret_scan": OP12_SQL,
 }
