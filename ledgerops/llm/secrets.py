@@ -37,20 +37,19 @@ ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 LIVE_CHARS, LIVE_DISTINCT = 16, 10
 EXAMPLE_OWNERS = 3  # a value that so many owners hold is an example
 BLOCK = 512
-SPAN = "array<struct<start:int,end:int>>"
+SPANS = "array<struct<start:int,end:int,m:string>>"
+PLACES = "array<struct<start:int,k:int,end:int>>"
 
 
-def _value(kind: str, match: Column) -> Column:
-    return F.regexp_replace(match, "^" + BEFORE_VALUE, "") if kind == "assign" else match
+def _of_kind(k: Column, kind: str) -> Column:
+    return k == KINDS.index(kind)
 
 
-def _kept(kind: str, match: Column) -> Column:
+def _kept(k: Column, match: Column, value: Column) -> Column:
     """Whether a match counts; bare runs must look like a live value to be candidates at all."""
-    if kind == "assign":
-        return F.length(_value(kind, match)) >= ASSIGN_CHARS
-    if kind == "access":
-        return F.length(match) >= ACCESS_CHARS
-    return live_looking(match) if kind == "bare" else F.lit(True)
+    return (F.when(_of_kind(k, "assign"), F.length(value) >= ASSIGN_CHARS)
+            .when(_of_kind(k, "access"), F.length(match) >= ACCESS_CHARS)
+            .when(_of_kind(k, "bare"), live_looking(value)).otherwise(F.lit(True)))
 
 
 def live_looking(value: Column) -> Column:
@@ -58,68 +57,63 @@ def live_looking(value: Column) -> Column:
             & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_DISTINCT))
 
 
-def _spans(text: Column, pattern: str, matches: Column) -> Column:
-    """[start, end) of every match, in code points. Places add up block by block, so long lists take linear time."""
-    lengths = F.zip_with(F.split(text, pattern), matches, lambda gap, m: F.struct(
-        F.length(gap).alias("gap"), F.length(m).alias("m")))
-    lengths = F.filter(lengths, lambda x: x["m"].isNotNull())
-    none = F.array().cast(SPAN)
+def _spans(gaps: Column, matches: Column) -> Column:
+    """[(start, end, m)] of the matches, in code points, from the texts between them. Places add up block by block,
+    so long lists take linear time."""
+    lengths = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda gap, m: F.struct(
+        F.length(gap).alias("gap"), m.alias("m")))
+    none = F.array().cast(SPANS)
 
     def after(spans: Column, otherwise: Column) -> Column:
         return F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], otherwise)
 
     def block_spans(block: Column, offset: Column) -> Column:
         return F.aggregate(block, none, lambda s, x: F.concat(s, F.array(F.struct(
-            (after(s, offset) + x["gap"]).alias("start"), (after(s, offset) + x["gap"] + x["m"]).alias("end")))))
+            (after(s, offset) + x["gap"]).alias("start"), (after(s, offset) + x["gap"] + F.length(x["m"])).alias("end"),
+            x["m"].alias("m")))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")),
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")),
                          lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-    return F.flatten(F.aggregate(blocks, F.array().cast(f"array<{SPAN}>"), lambda s, b: F.concat(s, F.array(
+    return F.flatten(F.aggregate(blocks, F.array().cast(f"array<{SPANS}>"), lambda s, b: F.concat(s, F.array(
         block_spans(b, after(F.coalesce(F.try_element_at(s, F.lit(-1)), none), F.lit(0)))))))
 
 
-def _candidates(kind: str) -> Column:
-    """[(k, start, end, key, live)] of one kind in the column ``_body``; ``k`` is the kind's place in KINDS."""
-    matches, body = F.col(f"_{kind}"), F.col("_body")
-    zipped = F.zip_with(_spans(body, PATTERNS[kind], matches), matches, lambda s, m: F.struct(
-        F.lit(KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"), m.alias("m")))
-    found = F.transform(F.filter(zipped, lambda x: _kept(kind, x["m"])), lambda x: F.struct(
-        x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"),
-        F.unhex(F.sha2(_value(kind, x["m"]).cast("binary"), 256)).alias("key"), live_looking(_value(kind, x["m"])).alias("live")))
-    return F.when(F.size(matches) > 0, found)
+def _candidates(lists: Column) -> Column:
+    """[(start, k, end, key, live)] of lists of (k, m, gaps); ``k`` is the kind's place in KINDS."""
+
+    def of_list(x: Column) -> Column:
+        valued = F.transform(_spans(x["gaps"], x["m"]), lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"),
+            F.when(_of_kind(x["k"], "assign"), F.regexp_replace(s["m"], "^" + BEFORE_VALUE, "")).otherwise(s["m"]).alias("value")))
+        return F.transform(F.filter(valued, lambda s: _kept(x["k"], s["m"], s["value"])), lambda s: F.struct(
+            s["start"].alias("start"), x["k"].alias("k"), s["end"].alias("end"),
+            F.unhex(F.sha2(s["value"].cast("binary"), 256)).alias("key"), live_looking(s["value"]).alias("live")))
+
+    return F.array_sort(F.flatten(F.transform(F.filter(lists, lambda x: F.size(x["m"]) > 0), of_list)))
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, _row, _repository, _owner, base, bare): the candidates of every row of ``docs``, written once."""
+    """(doc_id, _row, _repository, _owner, found): the candidates of every row of ``docs`` in order of start, then
+    kind, written once."""
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_body"),
                        source.alias("_repository"), F.substring_index(source, "/", 1).alias("_owner"),
                        F.monotonically_increasing_id().alias("_row"))
-    none = F.array().cast("array<string>")
-
-    def matches(kind: str, may: Column) -> Column:
-        return F.when(may, F.regexp_extract_all("_body", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none).alias(f"_{kind}")
-
-    body = F.col("_body")
+    none, body = F.array().cast("array<string>"), F.col("_body")
     # a text without the letters that a match must hold needs no search
-    found = rows.select("*", matches("assign", body.contains("=") | body.contains(":")), matches("access", body.contains("AKIA")),
-                        matches("hex", F.lit(True)), matches("bare", F.lit(True)))
-    empty = F.array().cast("array<struct<k:int,start:int,end:int,key:binary,live:boolean>>")
-    lists = {kind: F.coalesce(_candidates(kind), empty) for kind in KINDS}
-    return written(found.select("doc_id", "_row", "_repository", "_owner",
-                                F.array_sort(F.concat(*(lists[k] for k in BASE)), _by_place).alias("base"),
-                                lists["bare"].alias("bare")), "secret-candidates")
-
-
-def _by_place(a: Column, b: Column) -> Column:
-    key = [F.struct(x["start"], x["k"]) for x in (a, b)]
-    return F.when(key[0] < key[1], -1).when(key[0] > key[1], 1).otherwise(0)
+    may = {"assign": body.contains("=") | body.contains(":"), "access": body.contains("AKIA")}
+    matched = rows.select("*", *[F.when(may.get(k, F.lit(True)), F.regexp_extract_all("_body", F.lit(PATTERNS[k]), F.lit(0)))
+                                 .otherwise(none).alias(f"_{k}") for k in KINDS])
+    lists = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"_{k}").alias("m"),
+                               F.when(F.size(f"_{k}") > 0, F.split("_body", PATTERNS[k])).otherwise(none).alias("gaps"))
+                      for i, k in enumerate(KINDS)])
+    return written(matched.select("doc_id", "_row", "_repository", "_owner", _candidates(lists).alias("found")), "secret-candidates")
 
 
 def candidate_places(rows: DataFrame) -> DataFrame:
     """A row per candidate of ``find_candidates``; bare runs that touch a base span of their text are left out."""
-    places = rows.where("size(base) + size(bare) > 0").select(
-        "_row", "_repository", "_owner", F.explode(F.concat("base", "bare")).alias("c")).select("_row", "_repository", "_owner", "c.*")
+    places = rows.where("size(found) > 0").select(
+        "_row", "_repository", "_owner", F.explode("found").alias("c")).select("_row", "_repository", "_owner", "c.*")
     order = Window.partitionBy("_row").orderBy("start", "k")
     is_base = F.col("k") < len(BASE)
     # sorted by start, a run touches a base span if one before reaches into it or the next one begins inside
@@ -147,7 +141,7 @@ def ownership(places: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFr
 def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """(doc_id, spans, n_live, n_example) of every row of ``docs``.
 
-    spans: (k, start, end) in order of start, then kind, with every base span and the
+    spans: (start, k, end) in order of start, then kind, with every base span and the
     bare runs whose verdict is ``live``; ``k`` is the place of the kind in KINDS, places
     are code points. n_live and n_example count the spans of those verdicts, bare runs
     that are examples included. A null text is empty and has no spans; texts of any
@@ -160,14 +154,14 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataF
     places = written(candidate_places(rows), "secret-places")
     weighed = written(ownership(places, example_owners).select(F.col("key").alias("_key"), "verdict"), "secret-owners")
     judged = places.join(weighed, F.col("key") == F.col("_key"))
-    is_bare = F.col("k") == KINDS.index("bare")
+    is_bare = _of_kind(F.col("k"), "bare")
     found = judged.groupBy(F.col("_row").alias("_r")).agg(
-        F.collect_list(F.when(is_bare & (F.col("verdict") == "live"), F.struct("k", "start", "end"))).alias("added"),
+        F.collect_list(F.when(is_bare & (F.col("verdict") == "live"), F.struct("start", "k", "end"))).alias("added"),
         F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if(F.col("verdict") == "example").alias("n_example"))
-    slim = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end")))
-    added = F.coalesce("added", F.array().cast("array<struct<k:int,start:int,end:int>>"))
-    return rows.select("doc_id", "_row", slim.alias("base")).join(found, F.col("_row") == F.col("_r"), "left").select(
-        "doc_id", F.array_sort(F.concat("base", added), _by_place).alias("spans"),
+    base = F.transform(F.filter("found", lambda x: x["k"] < len(BASE)), lambda x: F.struct(
+        x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))
+    return rows.select("doc_id", "_row", base.alias("_base")).join(found, F.col("_row") == F.col("_r"), "left").select(
+        "doc_id", F.array_sort(F.concat("_base", F.coalesce("added", F.array().cast(PLACES)))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"))
 
