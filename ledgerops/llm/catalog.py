@@ -18,6 +18,7 @@ from .sharding import op7_histogram_sharding
 from .simhash import op10_simhash_near_dedup
 from .substrings import OP1_SQL, op1_suffix_array_dedup
 from .toxicity import op6_toxicity_severity
+from .vector_codes import OP11_SQL, op11_vector_codes
 
 LLM_QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -30,6 +31,7 @@ LLM_QUERIES = {
     "op8_pitman_yor_scores": op8_pitman_yor_scores,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_vector_codes": op11_vector_codes,
     "op12_secret_scan": op12_secret_scan,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -40,5 +42,6 @@ LLM_ORACLE: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_license_scan": OP4_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
+    "op11_vector_codes": OP11_SQL,
     "op12_secret_scan": OP12_SQL,
 }
