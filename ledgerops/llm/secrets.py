@@ -114,11 +114,12 @@ def candidate_places(rows: DataFrame) -> DataFrame:
     """A row per candidate of ``find_candidates``; bare runs that touch a base span of their text are left out."""
     places = rows.where("size(found) > 0").select(
         "_row", "_repository", "_owner", F.explode("found").alias("c")).select("_row", "_repository", "_owner", "c.*")
-    order = Window.partitionBy("_row").orderBy("start", "k")
+    before = Window.partitionBy("_row").orderBy("start", "k").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     is_base = F.col("k") < len(BASE)
     # sorted by start, a run touches a base span if one before reaches into it or the next one begins inside
-    reached = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    following = F.first(F.when(is_base, F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    reached = F.max(F.when(is_base, F.col("end"))).over(before)
+    following = F.last(F.when(is_base, F.col("start")), ignorenulls=True).over(behind)
     free = ~(F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(following < F.col("end"), F.lit(False)))
     return places.withColumn("_free", free).where(is_base | F.col("_free")).drop("_free")
 
