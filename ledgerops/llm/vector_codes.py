@@ -8,6 +8,8 @@ written beside its integers. In a round only the distances of pivots and entries
 are new: their differences are lower bounds of the distances of parts and entries,
 by which entries are tried in order and left out once the bound exceeds the best
 exact distance found. Exact distances are integers, so ties are exact as well.
+Vectors without structure give weak bounds; where these leave a part most of its
+entries, it is cheaper to evaluate all of them in one product, also exactly.
 
 Vectors never move: a round is one pass over the written table that sends one row
 of sums per task and entry; the codebooks (at most 256 entries) are all that the
@@ -28,11 +30,12 @@ from .common import read_table, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 PIVOTS = 8
-FIRST_TRIED, MORE = 4, 4    # entries tried first by their bounds, and times as many in each later turn
-BLOCK_ROWS = 2048           # rows whose bounds are held at once
+FIRST_TRIED = 4             # entries tried first, by their bounds
+FEW = 24                    # entries left by the bounds that are evaluated one by one
+BLOCK_ROWS = 512            # rows whose bounds are held at once
 BLOCK_NUMBERS = 1 << 20     # components of (part, entry) pairs evaluated at once
-# Rounding of the stored 32-bit distances and of square roots, relative to the distances.
-SLACK = 4e-7
+# Rounding of 32-bit distances, their differences and square roots, relative to the distances.
+SLACK = 1e-6
 
 
 def largest_component(dim: int) -> int:
@@ -64,7 +67,7 @@ def distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
-def _exact(points: np.ndarray, book: np.ndarray, row: np.ndarray, entry: np.ndarray) -> np.ndarray:
+def _pair_distances(points: np.ndarray, book: np.ndarray, row: np.ndarray, entry: np.ndarray) -> np.ndarray:
     """Squared distances of the pairs (row, entry)."""
     out, step = np.empty(len(row), np.int64), max(1, BLOCK_NUMBERS // max(1, book.shape[1]))
     for i in range(0, len(row), step):
@@ -73,39 +76,52 @@ def _exact(points: np.ndarray, book: np.ndarray, row: np.ndarray, entry: np.ndar
     return out
 
 
+def _all_distances(points: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Squared distances of all points and entries; products go through doubles where these hold them exactly."""
+    if len(points) and book.shape[1] * int(np.abs(points).max()) * int(np.abs(book).max()) < 2**53:
+        cross = (points.astype(np.float64) @ book.T.astype(np.float64)).astype(np.int64)
+        return (points**2).sum(axis=1)[:, None] + (book**2).sum(axis=1)[None, :] - 2 * cross
+    row, entry = np.indices((len(points), len(book))).reshape(2, -1)
+    return _pair_distances(points, book, row, entry).reshape(len(points), len(book))
+
+
 def nearest(points: np.ndarray, to_pivots: np.ndarray, book: np.ndarray, book_to_pivots: np.ndarray):
-    """(entry, squared distance, pairs evaluated) of every point: the nearest entry of ``book``, ties to the lower index."""
+    """(entry, squared distance, evaluated pairs) of every point: the nearest entry of ``book``, ties to the lower index.
+
+    The entries with the least bounds are evaluated first; after that only those
+    whose bound does not exceed the best distance. Where the bounds leave a point
+    more than FEW entries, all of its entries are evaluated in one product."""
     n, k = len(points), len(book)
-    bounds = np.zeros((n, k))
-    for j in range(to_pivots.shape[1]):
-        np.maximum(bounds, np.abs(to_pivots[:, j, None] - book_to_pivots[None, :, j]), out=bounds)
-    bounds -= SLACK * (to_pivots.max(axis=1)[:, None] + book_to_pivots.max())
-    best = np.full(n, np.iinfo(np.int64).max)
-    code, active, tried, pairs = np.zeros(n, np.int64), np.arange(n), FIRST_TRIED, 0
-    while len(active):
-        left = bounds[active]
-        if tried < k:
-            entry = np.argpartition(left, tried - 1, axis=1)[:, :tried]
-            row = np.repeat(np.arange(len(active)), entry.shape[1])
-            entry = entry.ravel()
-            # a bound equal to the best distance may still be a tie
-            open_pairs = left[row, entry] <= np.sqrt(best[active[row]].astype(np.float64)) * (1 + SLACK)
-            row, entry = row[open_pairs], entry[open_pairs]
-        else:
-            row, entry = np.nonzero(left <= (np.sqrt(best[active].astype(np.float64)) * (1 + SLACK))[:, None])
-        found = _exact(points, book, active[row], entry)
+    away, book_away = to_pivots.astype(np.float32), book_to_pivots.astype(np.float32)
+    bounds, gap = np.zeros((n, k), np.float32), np.empty((n, k), np.float32)
+    for j in range(away.shape[1]):
+        np.subtract(away[:, j, None], book_away[None, :, j], out=gap)
+        np.maximum(bounds, np.abs(gap, out=gap), out=bounds)
+    bounds -= np.float32(SLACK) * (away.max(axis=1)[:, None] + book_away.max())
+    first = np.argpartition(bounds, FIRST_TRIED - 1, axis=1)[:, :FIRST_TRIED] if k > FIRST_TRIED else np.tile(np.arange(k), (n, 1))
+    first.sort(axis=1)  # the leftmost of equal distances is then the lowest entry
+    found = _pair_distances(points, book, np.repeat(np.arange(n), first.shape[1]), first.ravel()).reshape(first.shape)
+    at = found.argmin(axis=1)
+    code, best = first[np.arange(n), at], found[np.arange(n), at]
+    np.put_along_axis(bounds, first, np.inf, axis=1)
+    # a bound equal to the best distance may still be a tie
+    left = bounds <= (np.sqrt(best.astype(np.float64)) * (1 + SLACK)).astype(np.float32)[:, None] * np.float32(1 + SLACK)
+    open_entries = left.sum(axis=1)
+    dense, sparse = np.flatnonzero(open_entries > FEW), np.flatnonzero((open_entries > 0) & (open_entries <= FEW))
+    if len(dense):
+        found = _all_distances(points[dense], book)
+        code[dense] = found.argmin(axis=1)
+        best[dense] = found[np.arange(len(dense)), code[dense]]
+    pairs = first.size + len(dense) * k
+    if len(sparse):
+        row, entry = np.nonzero(left[sparse])
+        found = _pair_distances(points, book, sparse[row], entry)
+        heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        low = np.minimum.reduceat(found, heads)
+        lowest = np.minimum.reduceat(np.where(found == np.repeat(low, np.diff([*heads, len(row)])), entry, k), heads)
+        better = (low < best[sparse]) | ((low == best[sparse]) & (lowest < code[sparse]))
+        code[sparse[better]], best[sparse[better]] = lowest[better], low[better]
         pairs += len(found)
-        order = np.lexsort((entry, found, row))
-        row, entry, found = row[order], entry[order], found[order]
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.array([], int)
-        at, value, index = active[row[first]], found[first], entry[first]
-        better = (value < best[at]) | ((value == best[at]) & (index < code[at]))
-        best[at[better]], code[at[better]] = value[better], index[better]
-        if tried >= k:
-            break
-        bounds[active[row], entry] = np.inf
-        active = active[bounds[active].min(axis=1) <= np.sqrt(best[active].astype(np.float64)) * (1 + SLACK)]
-        tried *= MORE
     return code, best, pairs
 
 
@@ -114,7 +130,7 @@ def _blocks(batch: pa.RecordBatch, dim: int, n_pivots: int):
     ints = np.frombuffer(b"".join(batch.column("ints").to_pylist()), np.int32).reshape(-1, PARTS, dim // PARTS)
     away = np.frombuffer(b"".join(batch.column("away").to_pylist()), np.float32).reshape(-1, PARTS, n_pivots)
     for i in range(0, len(ints), BLOCK_ROWS):
-        yield i, ints[i:i + BLOCK_ROWS].astype(np.int64), away[i:i + BLOCK_ROWS].astype(np.float64)
+        yield i, ints[i:i + BLOCK_ROWS].astype(np.int64), away[i:i + BLOCK_ROWS]
 
 
 def _assigned(batch: pa.RecordBatch, books: np.ndarray, pivots: np.ndarray, books_away: list[np.ndarray]):
