@@ -561,24 +561,28 @@ def _prepared(docs: DataFrame, vocabulary: dict, lexicon_words: int):
     return rows, docs.sparkSession.sparkContext.broadcast(vocabulary), name
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS, decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of every row of ``docs``; whole texts, a null text is empty, rows stay as they are
-    (null or repeated doc_ids included). An empty table gives no rows."""
+    (null or repeated doc_ids included). An empty table gives no rows. With ``decoded`` the ids are decoded again in
+    the same task, and ``decoded_sha256`` is the digest of that text."""
     rows, shared, name = _prepared(docs, read_vocabulary(vocabulary_path), lexicon_words)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *[("decoded_sha256", pa.string())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared, name).encode
+        encode, tokens = _encoder(shared, name).encode, shared.value["tokens"]
         for batch in batches:
             start = 0
             for part in _parts(batch.column(1)):
                 found = encode(part)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(np.concatenate(found)))], schema=schema)
+                columns = [batch.column(0).slice(start, len(part)),
+                           pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))]
+                if decoded:
+                    columns.append(pa.array([sha256(decode_ids(x.tolist(), tokens).encode()).hexdigest() for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 start += len(part)
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded_sha256 string" * decoded)
 
 
 def decode_ids(ids: list[int], tokens: list[bytes]) -> str:

@@ -9,9 +9,8 @@ window that also starts earlier (smaller doc_id, or earlier in the same text)
 is a repeat; overlapping repeats join to runs, and the runs' lines are deleted.
 
 With ``long_words``, runs of fewer than ``size`` lines count too when they hold
-more words than that: their digests are grouped directly. The registered query
-and the pipeline go without it, since the query's SQL and the pipeline's test say
-windows of three lines.
+more words than that: their digests are grouped directly. So do the registered
+query and the pipeline: three lines, or more than LONG_WORDS words.
 """
 
 from __future__ import annotations
@@ -22,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import read_table, written
 
 WINDOW = 3
+LONG_WORDS = 50
+WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 RUNS = "_repeated_line_runs"
 
 
@@ -49,7 +50,7 @@ def long_spans(docs: DataFrame, size: int, words: int) -> DataFrame:
     body = F.col("text").cast("string")
     lines = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(body).alias("_text"),
                         F.transform(F.split(body, "\n"), lambda x: F.struct(
-                            F.xxhash64(x).alias("h"), F.size(F.regexp_extract_all(x, F.lit("\\S+"), F.lit(0))).alias("n"))).alias("l"))
+                            F.xxhash64(x).alias("h"), F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).alias("n"))).alias("l"))
 
     def runs_of(k: int):
         runs = F.transform(F.sequence(F.lit(0), F.size("l") - k), lambda i: F.struct(i.alias("i"), F.slice("l", i + 1, k).alias("s")))
@@ -127,7 +128,7 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.split("text", "\n")
     kept = F.array_join(_kept_lines(lines, F.col(RUNS)), "\n")
-    return with_runs(docs).select(
+    return with_runs(docs, long_words=LONG_WORDS).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.aggregate(RUNS, F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"]).alias("n_removed"),
@@ -135,19 +136,26 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce(kept, F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-OP3_SQL = """
+OP3_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM documents WHERE text IS NOT NULL),
 windows AS (
-  SELECT doc_id, pos, line, lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3
-  FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+  SELECT doc_id, pos, line, lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3, n, lead(n, 1) OVER d AS n2
+  FROM (SELECT *, len(regexp_extract_all(line, '{WORD}')) AS n FROM lines)
+  WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 repeats AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, pos) AS nth
-  FROM windows WHERE l3 IS NOT NULL),
+  SELECT doc_id, pos, 3 AS size, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, pos) AS nth
+  FROM windows WHERE l3 IS NOT NULL
+  UNION ALL
+  SELECT doc_id, pos, 2, row_number() OVER (PARTITION BY line, l2 ORDER BY doc_id, pos)
+  FROM windows WHERE l2 IS NOT NULL AND n + n2 > {LONG_WORDS}
+  UNION ALL
+  SELECT doc_id, pos, 1, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos)
+  FROM windows WHERE n > {LONG_WORDS}),
 gone AS (
-  SELECT DISTINCT doc_id, pos + o AS pos FROM repeats, (VALUES (0), (1), (2)) AS t(o) WHERE nth > 1),
+  SELECT DISTINCT doc_id, pos + o AS pos FROM repeats, (VALUES (0), (1), (2)) AS t(o) WHERE nth > 1 AND o < size),
 marked AS (
   SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS cut,
          g.pos IS NOT NULL AND NOT coalesce(lag(g.pos IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.pos), false) AS head

@@ -137,15 +137,23 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int((over.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a signed long. A null text has no words."""
+def _with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs`` with ``text``, its last column, replaced by ``fp``: the fingerprint's 64 bits as a signed long."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]) + ", fp long"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(batch.num_columns - 1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))],
+                                             names=[*batch.schema.names[:-1], "fp"])
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-                       ).mapInArrow(run, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a signed long. A null text has no words."""
+    return _with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
+                              shingle)
 
 
 def fingerprint_links(distinct: DataFrame, max_bits: int) -> DataFrame:
@@ -183,6 +191,14 @@ def fingerprint_links(distinct: DataFrame, max_bits: int) -> DataFrame:
     return distinct.select("fp").mapInArrow(keys, "key long, fp long").repartition("key").mapInArrow(join, "a long, b long")
 
 
+def _components_of(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, low, root) of every distinct fingerprint of rows (doc_id, fp): its smallest doc_id and its component."""
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = connected_components(fingerprint_links(distinct, max_bits), "simhash-links")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "low", F.coalesce("component", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``; component_id is the smallest doc_id reachable by links.
 
@@ -191,20 +207,46 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) ->
     doc_id is kept as a row and takes part in links, and component_id is null
     only where every reachable doc_id is null. Repeated rows stay repeated."""
     rows = written(fingerprints(docs, shingle), "simhash-fp")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = connected_components(fingerprint_links(distinct, max_bits), "simhash-links")
-    node = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("root"))
+    node = _components_of(rows, max_bits)
     low = node.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = node.join(low, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest (rows with a null doc_id stay)."""
-    gone = (simhash_components(docs, shingle, max_bits).where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Exactly one row of ``docs`` for each component: the one with the smallest doc_id (null last), then text hash.
+
+    Rows are told apart by doc_id and text, so a doc_id with two texts loses only
+    the text that is a copy, and null doc_ids are rows like any other. Of rows equal
+    in doc_id and text one stays, with its other columns. A null text has no words
+    and counts with all texts without words; very long texts are hashed whole; an
+    empty table gives no rows. Columns keep their names, order and types."""
+    body = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("t1"),
+                      F.xxhash64(F.lit(1), body).alias("t2"), body.alias("text"))
+    rows = written(_with_fingerprints(own, shingle).groupBy("doc_id", "t1", "t2", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
+    by_fp = rows.join(_components_of(rows, max_bits), "fp")
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t1", "t2")
+    ranked = written(by_fp.select("root", key.alias("key"), "n"), "simhash-ranked")
+    # combined map-side: a component that holds a large part of all rows is one row per task
+    first = ranked.groupBy("root").agg(F.min("key").alias("first"))
+    again = written(ranked.join(first, "root").where("key <> first OR n > 1").select(
+        F.col("key.doc_id").alias("_id"), F.col("key.t1").alias("_t1"), F.col("key.t2").alias("_t2"), (F.col("key") == F.col("first")).alias("_stays")),
+        "simhash-again")
+
+    def same(marks: DataFrame):
+        text = docs["text"].cast("string")
+        return (docs["doc_id"].cast("long").eqNullSafe(marks["_id"]) & (F.xxhash64(text) == marks["_t1"])
+                & (F.xxhash64(F.lit(1), text) == marks["_t2"]))
+
+    kept = docs.join(again, same(again), "left_anti")
+    repeated = again.where("_stays")
+    if repeated.isEmpty():
+        return kept
+    # equal rows of a kept document: one of them, whichever
+    copies = docs.join(repeated, same(repeated)).groupBy(*[repeated[c] for c in ("_id", "_t1", "_t2")]).agg(
+        F.first(F.struct(*[docs[f"`{c}`"] for c in docs.columns])).alias("_row"))
+    return kept.unionByName(copies.select("_row.*"))
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

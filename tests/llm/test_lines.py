@@ -8,16 +8,20 @@ import ledgerops.llm.lines as L
 from odd_rows import no_docs, odd_docs  # noqa: F401
 
 
-def brute(docs, size):
+def brute(docs, size, long_words=None):
+    """``docs`` without later windows of ``size`` lines, or of fewer lines with more than ``long_words`` words."""
     seen, out = set(), []
     for text in docs:
         lines = text.split("\n")
         gone = [False] * len(lines)
-        for i in range(len(lines) - size + 1):
-            w = tuple(lines[i:i + size])
-            if w in seen:
-                gone[i:i + size] = [True] * size
-            seen.add(w)
+        for i in range(len(lines)):
+            for k in range(1, size + 1):
+                w = tuple(lines[i:i + k])
+                if len(w) < k or k < size and (long_words is None or sum(len(x.split()) for x in w) <= long_words):
+                    continue
+                if w in seen:
+                    gone[i:i + k] = [True] * k
+                seen.add(w)
         out.append("\n".join(x for x, g in zip(lines, gone) if not g))
     return out
 
@@ -77,5 +81,22 @@ def test_long_passages_of_fewer_than_three_lines(spark):
     got = {r["doc_id"]: r["text"] for r in L.drop_repeated_lines(df, long_words=50).collect()}
     assert [got[i] for i in range(len(docs))] == [long, "x\ny", "", "short", "short", docs[5], f"p\nq\n{half[0]}", docs[7], "0\n4"]
     assert got[99] is None
+    assert [got[i] for i in range(len(docs))] == brute(docs, 3, 50)
     as_before = {r["doc_id"]: r["text"] for r in L.drop_repeated_lines(df).collect()}
     assert [as_before[i] for i in range(len(docs))] == brute(docs, 3)
+
+
+def test_random_long_lines_match_brute_force(spark):
+    rng = random.Random(21)
+    pool = [" ".join(f"{c}{j}" for j in range(n)) for c in "abcdef" for n in (0, 3, 20, 30, 49, 50, 51, 70)]
+    docs = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 5))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in L.drop_repeated_lines(df, long_words=50).collect()}
+    assert [got[i] for i in range(len(docs))] == brute(docs, 3, 50)
+
+
+def test_no_long_line_stands_twice_in_what_is_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    left = L.drop_repeated_lines(docs, long_words=L.LONG_WORDS).selectExpr("explode(split(text, '\n')) AS line")
+    again = left.groupBy("line").count().where("count > 1 AND size(split(trim(line), ' +')) > 50")
+    assert again.count() == 0

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force on their own input, and the registered queries."""
 
+import hashlib
 import sys
 
 import duckdb
@@ -22,7 +23,7 @@ SF = "/root/testdata/sf0.01"
 def test_every_query_is_registered():
     names = set(entry.queries())
     assert set(LLM_QUERIES) <= names and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in LLM_QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in LLM_QUERIES} == set(range(1, 14))
     assert set(LLM_ORACLE) <= set(entry.oracle_sql())
 
 
@@ -54,7 +55,7 @@ def test_stages_one_after_the_other(spark):
             toxic = [r["doc_id"] for r in before if labels.get(r["doc_id"]) == 1]
             assert sum(i not in after for i in toxic) / len(toxic) > 0.7
         elif name == "line_dedup":
-            assert [after[r["doc_id"]]["text"] for r in before] == brute_lines([r["text"] for r in before], 3)
+            assert [after[r["doc_id"]]["text"] for r in before] == brute_lines([r["text"] for r in before], 3, 50)
             assert all(r["n_chars"] == len(r["text"]) for r in after.values())
         elif name == "simhash_near_dedup":
             ids = [r["doc_id"] for r in before]
@@ -67,12 +68,14 @@ def test_stages_one_after_the_other(spark):
             for r in before:
                 ids = library.encode(r["text"], add_special_tokens=False).ids
                 assert after[r["doc_id"]]["ids"] == ids and after[r["doc_id"]]["n_tokens"] == len(ids)
+                text = library.decode(ids, skip_special_tokens=False)
+                assert after[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         docs = after_df
 
 
 def test_run_applies_all_stages(spark):
     out = P.run(spark, SF_SMALL)
-    assert out.columns == ["doc_id", "n_tokens", "ids"] and 0 < out.count() < 200
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and 0 < out.count() < 200
     assert out.agg({"n_tokens": "sum"}).first()[0] > 0
 
 

@@ -120,6 +120,26 @@ def test_odd_rows(odd_docs, no_docs):
     assert {c for _, c in of[None]} == {1} and len(of[4]) == 2
     kept = H.keep_one_per_component(odd_docs)
     assert kept.columns == odd_docs.columns
-    # doc_id 4 goes with all its rows: one of its texts is a copy of document 1
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 6, 7, 8]
+    # the copies of document 1 under doc_id 4 and under no doc_id go, the other text of doc_id 4 stays
+    assert sorted((r["doc_id"], r["text"][:7] if r["text"] else r["text"]) for r in kept.collect()) == [
+        (1, "the qui"), (2, None), (4, "another"), (6, "naïve c"), (7, "xxxxxxx"), (8, "word wo")]
     assert H.simhash_components(no_docs).collect() == [] and H.keep_one_per_component(no_docs).collect() == []
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated and null doc_ids: nothing clean is lost, and of a group of copies exactly one row stays."""
+    x, y, clean = ("some words that stand in more than one row of this table " * 3 + w for w in ("x", "y", "different one here"))
+    rows = [(1, x, 0), (2, x, 1), (2, clean, 2), (None, x, 3), (None, x, 4), (5, clean + " z q", 5), (6, y + " other", 6), (6, y + " other", 7),
+            (6, y + " other", 8), (None, "alone without an id at all", 9), (None, "alone without an id at all", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_t1` int")
+    fps = [brute_fingerprint(t) for _, t, _ in rows]
+    group = brute_components(list(range(len(rows))), fps, 2)
+    kept = H.keep_one_per_component(df)
+    got = kept.collect()
+    assert kept.schema == df.schema and len(got) == len(set(group))
+    of_text = {t: g for (_, t, _), g in zip(rows, group)}
+    by_group = {of_text[r["text"]]: r for r in got}
+    assert len(by_group) == len(got)
+    for g in set(group):
+        ids = [i for (i, _, _), h in zip(rows, group) if h == g]
+        assert by_group[g]["doc_id"] == min((i for i in ids if i is not None), default=None)
