@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerops.llm.bpe import encode_documents
 from ledgerops.llm.common import read_table, written
 from ledgerops.llm.decontamination import remove_contaminated
-from ledgerops.llm.lines import drop_repeated_lines
+from ledgerops.llm.lines import LONG_WORDS, drop_repeated_lines
 from ledgerops.llm.simhash import keep_one_per_component
 from ledgerops.llm.toxicity import keep_accepted
 
@@ -27,15 +27,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of three or more lines are cut out of the texts; every row stays."""
-    kept = drop_repeated_lines(docs)
+    """Later repeated runs of three or more lines, or of more than LONG_WORDS words, are cut out of the texts; every
+    row stays. Null texts stay null, texts all of whose lines repeat become empty."""
+    kept = drop_repeated_lines(docs, long_words=LONG_WORDS)
     if "n_chars" in kept.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast("long"))
     return kept
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    """One row of each group of near-duplicates stays: the one with the smallest doc_id (null last). Rows are told
+    apart by doc_id and text, so another text under the same doc_id stays."""
     return keep_one_per_component(docs, shingle=3, max_bits=2)
 
 
@@ -45,9 +47,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of the documents that are left."""
-    encoded = encode_documents(docs, public_tokenizers.path(TOKENIZER))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row that is left: the ids, and the digest of the text that they
+    decode to. Null texts are empty."""
+    encoded = encode_documents(docs, public_tokenizers.path(TOKENIZER), decoded=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
