@@ -23,11 +23,11 @@ Plan shape (Spark-first instead of five separate statements):
 * rows with a NULL key skip the anti-join (they are missing by definition), so
   they never meet in one partition;
 * the summary counts pairs without forming them: both sides are stacked and
-  reduced once to ``(key, date, amount) -> rows of A, rows of B``; a roll-up by
-  key gives sizes, missing rows and the number of pairs as products. Only *near*
-  pairs (amounts within the tolerance) are joined, on the key and an amount
-  bucket wider than the tolerance, so a hot key is spread by its amounts.
-  Variances and unclassified pairs follow by subtraction.
+  reduced once to ``(key, date, amount) -> rows of A, rows of B``; sizes, missing
+  rows and the number of pairs are sums and products by key, and *near* pairs
+  (amounts within the tolerance) are differences of running totals over the sorted
+  amounts, in range partitions that cut a hot key by its amounts. Variances and
+  unclassified pairs follow by subtraction.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 
 from ..functions.cleaning import NUMBER_TEXT, amount_parts, clean_date, parse_amount, parse_date, safe_double
 from ..functions.names import column, resolve
+from .nearness import near_counts, reach_of
 
 # Category names, the note text and the export file names.
 EXACT_MATCH = "exact_match"
@@ -279,73 +280,41 @@ class Reconciliation:
         there = F.col("n_a") + F.col("n_b") > 0
         return reduced.select(F.when(there, F.col("k")).alias("k"), "d", F.when(there, F.col("amt")).alias("amt"), "n_a", "n_b")
 
-    def _near_pairs(self, reduced: DataFrame) -> DataFrame:
-        """(same_date, n): numbers of pairs with amounts within the tolerance, by distinct row pairs.
-
-        A pair within the tolerance lies in one bucket of twice that width or in
-        neighbouring ones. Only finite amounts can be near: a difference with an
-        infinite or NaN amount is never within a finite tolerance."""
-        tol = float(self.config.amount_tolerance)
-        amount = F.col("amt").cast("double")
-        finite = reduced.where(F.col("k").isNotNull() & (F.abs(amount) < float("inf")))
-        if tol > 0:
-            bucket = _floor(amount / F.lit(2 * tol))
-            # far from zero the neighbours of a bucket may be the bucket itself
-            buckets = F.array_distinct(F.array(bucket - 1, bucket, bucket + 1))
-        else:
-            bucket, buckets = amount, F.array(amount)
-        left = finite.where("n_a > 0").select(F.col("k").alias("ka"), bucket.alias("bucket_a"), F.col("d").alias("da"),
-                                              F.col("amt").alias("xa"), "n_a")
-        right = finite.where("n_b > 0").select(F.col("k").alias("kb"), F.explode(buckets).alias("bucket_b"),
-                                               F.col("d").alias("db"), F.col("amt").alias("xb"), "n_b")
-        same = (F.col("ka") == F.col("kb")) & (F.col("bucket_a") == F.col("bucket_b"))
-        return left.join(right, same).where(F.abs(F.col("xa") - F.col("xb")) <= F.lit(tol)).select(
-            (F.col("da") == F.col("db")).alias("same_date"), (F.col("n_a") * F.col("n_b")).alias("n"))
-
     def summary(self) -> DataFrame:
         """One row: the five counts, totals, unclassified pairs and source sizes.
 
-        Pairs are counted, not formed: per key as products of row counts, and
-        near pairs (see ``_near_pairs``) from the distinct rows of a key whose
-        amounts are close. The rest of the pairs with both amounts are variances."""
+        Pairs are counted, not formed: per key as products of row counts, and pairs
+        within the tolerance by running totals over the sorted amounts (see
+        ``nearness``). The rest of the pairs with both amounts are variances."""
         reduced = self._stacked()
+        kind = reduced.schema["amt"].dataType
+        keys = near_counts(reduced, reach_of(float(self.config.amount_tolerance), kind))
         zero = F.lit(0).cast("long")
-        has_amount = F.col("amt").isNotNull()
-        per_key = reduced.groupBy("k").agg(
-            F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"),
-            F.coalesce(F.sum(F.when(has_amount, F.col("n_a"))), zero).alias("x_a"),
-            F.coalesce(F.sum(F.when(has_amount, F.col("n_b"))), zero).alias("x_b"))
-        matched = F.col("k").isNotNull() & (F.col("n_a") > 0) & (F.col("n_b") > 0)
-        names = ("rows_a", "rows_b", "missing_in_b", "missing_in_a", "pairs", "amount_pairs", "exact", "note", "near")
-
-        def row(**values: Column):
-            return [values.get(n, zero).alias(n) for n in names]
-
-        by_key = per_key.select(*row(
-            rows_a=F.col("n_a"), rows_b=F.col("n_b"),
-            missing_in_b=F.when(matched, zero).otherwise(F.col("n_a")),
-            missing_in_a=F.when(matched, zero).otherwise(F.col("n_b")),
-            pairs=F.when(matched, F.col("n_a") * F.col("n_b")).otherwise(zero),
-            amount_pairs=F.when(matched, F.col("x_a") * F.col("x_b")).otherwise(zero)))
-        n, same = F.col("n"), F.col("same_date")
-        near = self._near_pairs(reduced).select(*row(
-            exact=F.when(same, n).otherwise(zero), note=F.when(~same, n).otherwise(zero), near=n))
-        total = by_key.unionByName(near).agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in names])
+        of_key, of_date = ~F.col("of_date"), F.col("of_date")
+        both = F.col("k").isNotNull() & (F.col("rows_a") > 0) & (F.col("rows_b") > 0)
+        matched = of_key & both
+
+        def total(value: Column, condition: Column, name: str) -> Column:
+            return F.coalesce(F.sum(F.when(condition, value)), zero).alias(name)
+
+        near = of_key & F.col("k").isNotNull()
+        sums = keys.agg(
+            total(F.col("rows_a"), of_key, "rows_a"), total(F.col("rows_b"), of_key, "rows_b"),
+            total(F.col("rows_a"), of_key & ~both, "missing_in_b"), total(F.col("rows_b"), of_key & ~both, "missing_in_a"),
+            total(F.col("rows_a") * F.col("rows_b"), matched, "pairs"),
+            total(F.col("known_a") * F.col("known_b"), matched, "amount_pairs"),
+            total(F.col("near"), near, "near"), total(F.col("near_dated"), near, "near_dated"),
+            total(F.col("near"), of_date & F.col("k").isNotNull(), "exact"))
         variance = F.col("amount_pairs") - F.col("near")
-        return total.select(
-            F.col("exact").alias("exact_matches"), F.col("note").alias("matches_with_date_note"),
+        return sums.select(
+            F.col("exact").alias("exact_matches"), (F.col("near_dated") - F.col("exact")).alias("matches_with_date_note"),
             variance.alias("amount_variances"), "missing_in_b", "missing_in_a",
-            (F.col("exact") + F.col("note")).alias("total_matched"),
+            F.col("near_dated").alias("total_matched"),
             (variance + F.col("missing_in_b") + F.col("missing_in_a")).alias("total_unmatched"),
-            (F.col("pairs") - F.col("exact") - F.col("note") - variance).alias("unclassified"), "rows_a", "rows_b",
+            (F.col("pairs") - F.col("near_dated") - variance).alias("unclassified"), "rows_a", "rows_b",
         )
 
 
-def _floor(value: Column) -> Column:
-    """Largest whole number not above ``value``, as DOUBLE (no overflow for large values)."""
-    return F.rint(value) - F.when(F.rint(value) > value, F.lit(1.0)).otherwise(F.lit(0.0))
-
-
 def source_totals(a: DataFrame, b: DataFrame, config: ReconConfig) -> DataFrame:
     """One row: ``total_a`` and ``total_b``, the sums of both amount columns.
 

@@ -17,10 +17,13 @@ small outputs.
 from __future__ import annotations
 
 import csv
+import io
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,8 +50,7 @@ CSV_WRITE_OPTIONS = {
 
 # Delimiters recognised when a CSV's delimiter is not given.
 CSV_DELIMITERS = (",", ";", "\t", "|")
-HEAD_LINES = 32        # a first record that is longer than this is an error
-LAYOUT_THREADS = 32    # first records that are read at the same time
+READ_THREADS = 32    # columns of Parquet files that are read at the same time
 REJECTED = "_rejected"
 # Stands for an empty unquoted field (NULL) while reading, so that a quoted empty field stays empty text.
 NO_VALUE = "\ue000NULL\ue000"
@@ -77,81 +79,139 @@ def delimiter_of(record: str) -> str:
     return best if counts[best] > 0 else ","
 
 
-def _first_record(spark: SparkSession, path: str) -> str | None:
-    """The first record of a file (a read of its first lines only); None when the file has none but blank lines."""
-    lines = [r[0] or "" for r in spark.read.text(path).where("trim(value) <> ''").limit(HEAD_LINES).collect()]
-    if not lines:
-        return None
-    record = lines[0]
-    for line in lines[1:]:
-        if record.count('"') % 2 == 0:
-            break
-        record += "\n" + line
-    if record.count('"') % 2:
-        raise ValueError(f"{path}: the quote opened in the first record is not closed within {HEAD_LINES} lines")
-    return record.removeprefix("\ufeff")
+def _data_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The data files of paths, folders and globs, in the order given (a listing on the driver, no job)."""
+    return [_path(f) for p in paths for f in sorted(spark.read.text(p).inputFiles())]
+
+
+def _path(uri: str) -> str:
+    """The plain path of a file's URI: blanks and signs that a URI encodes stand for themselves in it."""
+    return unquote(uri).replace("file:///", "file:/")
+
+
+def _literal(paths: list[str]) -> list[str]:
+    """Paths whose signs are not read as a glob."""
+    return [re.sub(r"([{}\[\]*?\\])", r"\\\1", p) for p in paths]
+
+
+def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, block, id, value, quotes): the lines of the files; (block, id) is their order within a file.
+
+    Lines end at a line feed; a carriage return before it stays part of the line."""
+    return spark.read.option("lineSep", "\n").text(_literal(files)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), "value",
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
+
+
+def _first_records(spark: SparkSession, files: list[str]) -> dict[str, tuple[str, bool]]:
+    """The first record of every file that has one, and whether any of its quotes runs over a line break.
+
+    One pass over all files finds the first lines that are not blank and the files
+    that have a line with an odd number of quotes. Where the first line leaves a quote
+    open, the record goes on to the next such line: two more passes for those files."""
+    if not files:
+        return {}
+    at, odd, filled = F.struct("block", "id"), F.col("quotes") % 2 == 1, F.trim(F.translate("value", "\ufeff\r\t", "")) != ""
+    lines = _lines(spark, files)
+    heads = lines.where(filled).groupBy("file").agg(F.min(F.struct(at.alias("at"), "value", odd.alias("open"))).alias("head"),
+                                                    F.bool_or(odd).alias("broken"))
+    out, open_heads = {}, []
+    for file, head, broken in heads.collect():  # one row per file, as in the listing
+        out[_path(file)] = (head["value"], broken)
+        if head["open"]:
+            open_heads.append((file, head["at"]["block"], head["at"]["id"]))
+    if open_heads:
+        begun = spark.createDataFrame(open_heads, "f string, b long, i long")
+        later = _lines(spark, [_path(f) for f, _, _ in open_heads]).join(begun, F.col("file") == F.col("f")).where(at >= F.struct("b", "i"))
+        ends = later.where(odd & (at > F.struct("b", "i"))).groupBy(F.col("file").alias("g")).agg(F.min(at).alias("end"))
+        whole = later.join(ends, F.col("file") == F.col("g")).where(at <= F.col("end")).groupBy("file").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", "value"))), lambda x: x["value"]), "\n"))
+        closed = {_path(f): record for f, record in whole.collect()}
+        for file, _, _ in open_heads:
+            if _path(file) not in closed:
+                raise ValueError(f"{_path(file)}: the quote opened in the first record is not closed")
+            out[_path(file)] = (closed[_path(file)], True)
+    return {f: (record.removeprefix("\ufeff").removesuffix("\r"), broken) for f, (record, broken) in out.items()}
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """The delimiter of one CSV file, from its first record."""
-    record = _first_record(spark, path)
-    return "," if record is None else delimiter_of(record)
-
+    records = _first_records(spark, _data_files(spark, [path]))
+    return delimiter_of(next(iter(records.values()))[0]) if records else ","
 
-def _looks_like_values(spark: SparkSession, fields: tuple[str, ...]) -> bool:
-    """Whether a first record holds values: an empty field, a repeated one, a number or a date is no column name."""
-    if len(set(f.lower() for f in fields)) < len(fields) or any(not f.strip() for f in fields):
-        return True
-    row = spark.range(1).select(*[(F.lit(f).rlike(NUMBER_TEXT) | parse_date(F.lit(f)).isNotNull()).alias(f"c{i}")
-                                  for i, f in enumerate(fields)]).first()
-    return any(row)
 
-
-def _files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The data files of paths, folders and globs, in the order given (a listing on the driver, no job)."""
-    return [f for p in paths for f in sorted(spark.read.text(p).inputFiles())]
+def _value_records(spark: SparkSession, records: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Those of the first records that hold values: an empty field, a repeated one, a number or a date is no column
+    name. All fields are tried in one job."""
+    found = {r for r in records if len({f.lower() for f in r}) < len(r) or any(not f.strip() for f in r)}
+    rest = sorted(records - found)
+    if rest:
+        fields = spark.createDataFrame([(i, f) for i, r in enumerate(rest) for f in r], "i int, f string")
+        # one branch of the expression for all fields, as the cleaners parse them
+        values = fields.where(F.col("f").rlike(NUMBER_TEXT) | parse_date(F.col("f")).isNotNull()).select("i").distinct()
+        found |= {rest[r[0]] for r in values.collect()}
+    return found
 
 
 def csv_layouts(spark: SparkSession, paths: list[str], sep: str | None = None, header: bool | None = None,
                 multi_line: bool | None = None) -> dict[str, Layout]:
-    """The layout of every file that has a record.
-
-    First records are read side by side. Whether a quoted field runs over a line
-    break is found by one distributed pass: such a file has a line with an odd
-    number of quotes."""
-    files = _files(spark, paths)
-    with ThreadPoolExecutor(max_workers=LAYOUT_THREADS) as pool:
-        records = dict(zip(files, pool.map(lambda f: _first_record(spark, f), files)))
-    files = [f for f in files if records[f] is not None]
-    broken: set[str] = set()
-    if files and multi_line is None:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        broken = {r[0] for r in spark.read.text(files).where(quotes % 2 == 1)
-                  .select(F.input_file_name().alias("f")).distinct().collect()}
-        broken = {f for f in files if f in broken or _plain(f) in {_plain(b) for b in broken}}
-    out, named = {}, {}
-    for f in files:
-        own = sep or delimiter_of(records[f])
-        fields = tuple(next(csv.reader(records[f].splitlines(keepends=True), delimiter=own)))
-        if fields not in named:  # files mostly share one first record
-            named[fields] = header if header is not None else not _looks_like_values(spark, fields)
-        has_names = named[fields]
-        names = fields if has_names else tuple(f"column{i}" for i in range(len(fields)))
-        out[f] = Layout(own, has_names, names, f in broken if multi_line is None else multi_line)
-    return out
-
-
-def _plain(uri: str) -> str:
-    """A file's URI without the differences in how Spark prints it."""
-    return uri.replace("file:///", "file:/").replace("%20", " ")
+    """The layout of every file that has a record, by its plain path.
+
+    A fixed number of jobs, however many files there are: one pass over the text
+    for first records and quotes that run over a line break, two more where a first
+    record does so itself, and one that tells column names from values."""
+    files = _data_files(spark, paths)
+    records = _first_records(spark, list(dict.fromkeys(files)))
+    seps = {f: sep or delimiter_of(records[f][0]) for f in files if f in records}
+    fields = {f: tuple(next(csv.reader(io.StringIO(records[f][0], newline=""), delimiter=seps[f]))) for f in seps}
+    values = _value_records(spark, set(fields.values())) if header is None else set() if header else set(fields.values())
+    return {f: Layout(seps[f], fields[f] not in values,
+                      tuple(f"column{i}" for i in range(len(fields[f]))) if fields[f] in values else fields[f],
+                      records[f][1] if multi_line is None else multi_line) for f in seps}
+
+
+def _records(spark: SparkSession, files: list[str], header: bool) -> DataFrame:
+    """(value): the records of files whose quoted fields run over line breaks, without their headers.
+
+    Blocks of a file are read side by side. Sums of quotes per block, added up over a
+    file's blocks, tell each block whether it begins inside a quote; within a block
+    running sums do the same for each line. Only the lines of records that run over a
+    line break are brought together."""
+    lines = _lines(spark, files)
+    totals = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"))
+    blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("quotes").over(blocks), F.lit(0)).alias("before"))
+    earlier = Window.partitionBy("file", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.join(carried, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).withColumn(
+        "inside", (F.col("before") + F.coalesce(F.sum("quotes").over(earlier), F.lit(0))) % 2 == 1)
+    whole = ~F.col("inside") & (F.col("quotes") % 2 == 0)
+    # a record of several lines opens with a line that is not inside and ends with the next odd one
+    opens = F.when(~F.col("inside") & (F.col("quotes") % 2 == 1), F.struct("block", "id"))
+    up_to = Window.partitionBy("file", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    opened = placed.where(~whole).withColumn("start", F.last(opens, ignorenulls=True).over(up_to))
+    last = opened.groupBy("file", "block").agg(F.max("start").alias("start"))
+    begun = last.select(F.col("file").alias("_f"), F.col("block").alias("_b"), F.last("start", ignorenulls=True).over(blocks).alias("_start"))
+    joined = opened.join(begun, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b"))).select(
+        "file", F.coalesce("start", "_start").alias("at"), F.struct("block", "id", "value").alias("line"))
+    long = joined.groupBy("file", "at").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["value"]), "\n").alias("value"))
+    short = placed.where(whole).select("file", F.struct("block", "id").alias("at"), "value")
+    blank = F.trim(F.translate("value", "\ufeff\r", "")) == ""
+    records = short.unionByName(long).where(~blank)
+    if header:
+        first = records.groupBy(F.col("file").alias("f")).agg(F.min("at").alias("first"))
+        records = records.join(first, F.col("file") == F.col("f")).where(F.col("at") != F.col("first"))
+    return records.select(F.regexp_replace(F.ltrim(F.col("value"), F.lit("\ufeff")), "\r$", "").alias("value"))
 
 
 def _read_layout(spark: SparkSession, files: list[str], layout: Layout, schema, infer_schema: bool, keep_rejected: bool) -> DataFrame:
-    reader = (spark.read.option("header", str(layout.header).lower()).option("sep", layout.sep)
-              .option("quote", '"').option("escape", '"').option("multiLine", str(layout.multi_line).lower())
-              .option("enforceSchema", "false").option("columnPruning", "false").option("nullValue", NO_VALUE))
+    options = {"sep": layout.sep, "quote": '"', "escape": '"', "nullValue": NO_VALUE}
+    paths = _literal(files)
+    reader = (spark.read.options(**options).option("header", str(layout.header).lower())
+              .option("multiLine", str(layout.multi_line).lower()).option("enforceSchema", "false").option("columnPruning", "false"))
     if infer_schema:
-        kinds = reader.option("inferSchema", "true").csv(files).schema
+        kinds = reader.option("inferSchema", "true").csv(paths).schema
         fields = [T.StructField(n, k.dataType) for n, k in zip(layout.names, kinds.fields)]
     elif schema is not None:
         given = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
@@ -161,12 +221,17 @@ def _read_layout(spark: SparkSession, files: list[str], layout: Layout, schema,
         fields = [by_name[n.lower()] for n in layout.names] if layout.header else given.fields
     else:
         fields = [T.StructField(n, T.StringType()) for n in layout.names]
-    if keep_rejected:
-        out = reader.schema(T.StructType([*fields, T.StructField(REJECTED, T.StringType())])).option(
-            "columnNameOfCorruptRecord", REJECTED).option("mode", "PERMISSIVE").csv(files)
-    else:
-        out = reader.schema(T.StructType(fields)).option("mode", "FAILFAST").csv(files)
-    return out
+    kind = T.StructType([*fields, T.StructField(REJECTED, T.StringType())] if keep_rejected else fields)
+    mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECTED} if keep_rejected else {"mode": "FAILFAST"}
+    if layout.multi_line:
+        parsed = _records(spark, files, layout.header).select(F.from_csv("value", _ddl(kind), {**options, **mode}).alias("r"))
+        return parsed.select(*[F.col("r").getField(f.name).alias(f.name) for f in kind.fields])
+    return reader.schema(kind).options(**mode).csv(paths)
+
+
+def _ddl(kind: T.StructType) -> str:
+    """A schema as DDL text."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kind.fields)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
@@ -178,8 +243,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     given; a file without a header gets the names column0, column1, ... Files
     may list the same columns in different orders (the first file's order is
     kept); other columns are an error that names the file. Quotes inside quoted
-    fields are doubled (RFC 4180). A file with line breaks inside quotes is one
-    task; the others stay splittable.
+    fields are doubled (RFC 4180). Files are read in blocks, also those with line
+    breaks inside quotes. Any path will do: blanks, ``%``, ``#`` and the signs of
+    globs in the names of files found are taken as they are.
 
     A record with more or fewer fields than its file's header stops the read,
     with the record in the message. With ``keep_rejected`` it is kept instead,
@@ -221,7 +287,7 @@ def load_files(spark: SparkSession, paths: list[str], fmt: str | None = None, by
     kind = fmt or ("csv" if paths[0].lower().endswith(".csv") else "parquet")
     if kind == "csv" and by == "name":
         return read_csv(spark, paths, **options)
-    with ThreadPoolExecutor(max_workers=LAYOUT_THREADS) as pool:  # one small read of columns each
+    with ThreadPoolExecutor(max_workers=READ_THREADS) as pool:  # one small read of columns each
         frames = list(pool.map(lambda p: read_table(spark, p, kind, **options), paths))
     check_same_columns(frames, paths)
     groups: dict[tuple, list[str]] = {}
