@@ -31,8 +31,10 @@ MAX_CENTROIDS = 1024      # per label, so that what is broadcast stays bounded
 SAMPLE_ROWS = 20_000      # nodes that the centroids are fitted on
 OVERLAP = 3               # nearest centroids of a node
 AUDIT_ROWS = 256
-RECALL = 0.97
+RECALL = 0.97             # the overlap is doubled until the audit reaches it
+MAX_OVERLAP, LEAST_RECALL = 12, 0.9  # the last overlap, and the recall below which it is an error
 CANDIDATES, BEAM, STEP, ALPHA = 48, 16, 6, 1.2
+SPREAD = 1 << 20          # neighbours of expanded nodes that a search marks at once
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -78,7 +80,7 @@ def range_search(x: np.ndarray, lists: np.ndarray, begin: np.ndarray, entries: n
     everything in range are expanded."""
     n = len(x)
     cosine = np.full((n, n), -np.inf)
-    expanded = np.zeros((n, n), bool)
+    expanded, wanted = np.zeros((n, n), bool), np.zeros((n, n), bool)
     cosine[:, entries] = x @ x[entries].T
     np.fill_diagonal(cosine, 1.0)  # the query's own list is in range from the start
     beam = min(BEAM, n)
@@ -101,13 +103,16 @@ def range_search(x: np.ndarray, lists: np.ndarray, begin: np.ndarray, entries: n
             break
         query = rows[at]
         expanded[query, node] = True
-        size = begin[node + 1] - begin[node]
-        ends = np.cumsum(size)
-        spread = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[node] - (ends - size), size)
-        pair = np.unique(np.repeat(query, size) * n + lists[spread])
-        q, v = pair // n, pair % n
-        new = cosine[q, v] == -np.inf
-        q, v = q[new], v[new]
+        wanted[:] = False
+        size = np.cumsum(begin[node + 1] - begin[node])
+        lo = 0
+        while lo < len(node):  # so many neighbours at once, whatever the lists' lengths
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SPREAD, side="right")))
+            length = begin[node[lo:hi] + 1] - begin[node[lo:hi]]
+            spread = np.arange(length.sum()) + np.repeat(begin[node[lo:hi]] - (np.cumsum(length) - length), length)
+            wanted[np.repeat(query[lo:hi], length), lists[spread]] = True
+            lo = hi
+        q, v = np.nonzero(wanted & (cosine == -np.inf))
         for lo in range(0, len(q), 1 << 18):
             a, b = q[lo:lo + (1 << 18)], v[lo:lo + (1 << 18)]
             cosine[a, b] = np.einsum("ij,ij->i", x[a], x[b])
@@ -348,8 +353,11 @@ def link_components(embeddings: DataFrame, threshold: float = THRESHOLD, overlap
         copies = nodes.select(F.col("node").alias("_n"), "copies")
         ready = tasks.join(lists, "node").join(copies, F.col("node") == F.col("_n"))
         found = written(search_tasks(ready, threshold), "embedding-links")
-        if overlap >= 12 or audit(nodes, found, threshold) >= recall:
+        reached = audit(nodes, found, threshold)
+        if reached >= recall or overlap >= MAX_OVERLAP and reached >= LEAST_RECALL:
             break
+        if overlap >= MAX_OVERLAP:
+            raise RuntimeError(f"recall {reached:.3f} is below {LEAST_RECALL} at overlap {overlap}: give a larger one to begin with")
         overlap *= 2
     parts = connected_components(found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")),
                                  "embedding-components")
