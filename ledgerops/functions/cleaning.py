@@ -190,23 +190,30 @@ def to_text(c: ColumnOrName, data_type: T.DataType | None = None) -> Column:
     Floating point values are written as the ledger SQL writes them, from the
     same digits as Spark's: plain from 1e-4 up to 1e16 (``0.00012``,
     ``12345678901.5``), with a two-digit exponent outside (``1e+16``,
-    ``1.5e-07``), and ``nan``, ``inf``, ``-inf``.
+    ``1.5e-07``), and ``nan``, ``inf``, ``-inf``. The value's text is named many
+    times: for whole columns give it in a projection of its own (``plain_text``).
     """
     col = _col(c)
     if not isinstance(data_type, (T.DoubleType, T.FloatType)):
         return col.cast("string")
-    text = col.cast("string")
+    return plain_text(col, col.cast("string"))
+
+
+def plain_text(value: Column, text: Column) -> Column:
+    """A floating point value's text as the ledger SQL writes it, from Spark's own ``text`` of it."""
     mantissa, exponent = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2))
-    short = F.regexp_replace(mantissa, r"\.0$", "")
-    sign = F.when(exponent.startswith("-"), F.lit("e-")).otherwise(F.lit("e+"))
-    digits = F.replace(exponent, F.lit("-"), F.lit(""))
-    scientific = F.concat(short, sign, F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
-    plain = F.regexp_replace(col.cast("decimal(38,10)").cast("string"), r"0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    minus = F.when(col < 0, F.lit("-")).otherwise(F.lit(""))
-    small = F.concat(minus, F.lit("0.000"), F.translate(short, "-.", ""))
-    size = F.abs(col)
-    return (F.when(F.isnan(col), F.lit("nan"))
+    short = F.when(mantissa.endswith(".0"), F.left(mantissa, F.length(mantissa) - 2)).otherwise(mantissa)
+    minus = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    size, digits = F.abs(value), F.translate(short, "-.", "")
+    places = F.translate(exponent, "-", "")
+    scientific = F.concat(short, F.when(exponent.startswith("-"), "e-").otherwise("e+"),
+                          F.when(F.length(places) < 2, F.concat(F.lit("0"), places)).otherwise(places))
+    before = exponent.try_cast("int") + 1  # digits before the point
+    behind = F.substr(digits, before + 1)
+    plain = F.concat(minus, F.rpad(F.left(digits, before), before, F.lit("0")), F.lit("."),
+                     F.when(behind == "", "0").otherwise(behind))
+    small = F.concat(minus, F.lit("0.000"), digits)
+    return (F.when(F.isnan(value), F.lit("nan"))
             .when(size == float("inf"), F.concat(minus, F.lit("inf")))
             .when(~text.contains("E"), text)
             .when((size >= 1e7) & (size < 1e16), plain)

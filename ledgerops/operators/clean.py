@@ -18,12 +18,15 @@ from pyspark.errors import AnalysisException
 from ..functions.names import column, resolve
 
 from ..functions.cleaning import (
+    amount_parts,
     clean_amount,
     clean_boolean,
     clean_date,
     date_pattern,
     format_number,
+    parse_amount,
     parse_date,
+    plain_text,
     precision_of,
     to_text,
 )
@@ -82,12 +85,28 @@ def transform_column(df: DataFrame, column: str, target_type: str) -> DataFrame:
     dtype = df.schema[column].dataType
     kinds = {"number": "Number", "date": "Date", "boolean": "Boolean"}
     if target_type == "text":
-        return df.withColumn(column, to_text(column, dtype))
+        return columns_to_text(df, [column])
     if target_type not in kinds:
         return df
     return df.withColumn(column, column_expression(column, dtype, kinds[target_type]))
 
 
+def columns_to_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns as text, in place.
+
+    A floating point value's text is bound to a lambda's variable, so that it is made
+    once. Written out for several columns, the expression would make one compiled
+    method too large for the JVM to optimise, which costs far more."""
+    def text(name: str, kind: T.DataType) -> Column:
+        if not isinstance(kind, (T.DoubleType, T.FloatType)):
+            return to_text(name, kind)
+        both = F.struct(column(name).alias("value"), column(name).cast("string").alias("text"))
+        return F.get(F.transform(F.array(both), lambda x: plain_text(x["value"], x["text"])), F.lit(0))
+
+    names = [resolve(df.columns, c) or c for c in columns]
+    return df.withColumns({n: text(n, df.schema[n].dataType) for n in names}) if names else df
+
+
 def select_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Keep the named columns in the given order."""
     found = [resolve(df.columns, c) for c in columns]
@@ -107,6 +126,18 @@ def dedupe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.dropDuplicates(select_columns(df, columns).columns)
 
 
+# Names of the staged parts of an amount's text, behind the column's own name.
+KEPT, SIGN = "\ue000kept", "\ue000sign"
+
+
+def _amounts_staged(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
+    """``df`` with the digits and signs of its text amounts in columns of their own: the parser names them many times."""
+    names = {resolve(df.columns, s.name) for s in specs if s.type == "Number"} - {None}
+    parts = {n: amount_parts(n) for n in names if isinstance(df.schema[n].dataType, T.StringType)}
+    return df.withColumns({**{f"{n}{KEPT}": kept for n, (kept, _) in parts.items()},
+                           **{f"{n}{SIGN}": sign for n, (_, sign) in parts.items()}}) if parts else df
+
+
 def clean_table(df: DataFrame, specs: list[ColumnSpec | dict], on_error: str = "raise") -> DataFrame:
     """Apply the specs and keep the included columns in spec order.
 
@@ -119,6 +150,7 @@ def clean_table(df: DataFrame, specs: list[ColumnSpec | dict], on_error: str = "
     if not included:
         raise ValueError("at least one column must be included")
     cleaned, formats = [], {}
+    df = _amounts_staged(df, included)
     for spec in included:
         name = resolve(df.columns, spec.name)
         if name is None:
@@ -128,6 +160,8 @@ def clean_table(df: DataFrame, specs: list[ColumnSpec | dict], on_error: str = "
         try:
             # a DATE or timestamp column that gets a format needs no text in between
             expr = column(name) if typed_date else column_expression(name, dtype, spec.type)
+            if spec.type == "Number" and f"{name}{KEPT}" in df.columns:
+                expr = parse_amount(column(f"{name}{KEPT}"), column(f"{name}{SIGN}"))
             wanted = (spec.type, spec.format, dtype) if spec.format and spec.type in ("Number", "Date") else None
             formatted(df.select(expr.alias(name)), {name: wanted} if wanted else {}).schema  # analysis errors surface here
         except (ValueError, TypeError, AnalysisException):

@@ -113,30 +113,47 @@ def _is_time(kind: T.DataType) -> bool:
     return isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
+def _digits(kind: T.DataType) -> tuple[int, int]:
+    """Digits before and behind the point of a whole or decimal type."""
+    if isinstance(kind, T.DecimalType):
+        return kind.precision - kind.scale, kind.scale
+    return {"tinyint": 3, "smallint": 5, "int": 10}.get(kind.simpleString(), 19), 0
+
+
 def comparable(a: Column, type_a: T.DataType, b: Column, type_b: T.DataType) -> tuple[Column, Column]:
     """Both sides of an equality in one type, as the ledger SQL compares them.
 
     Numbers meet in their common numeric type (whole numbers and decimals
-    exactly, DOUBLE if either side is floating). Text against a number is read
-    as a number (``'01'`` equals 1), text against a date as a date; text that is
-    neither equals nothing. A date against a timestamp counts as its midnight.
-    Any other pair of types is compared as text."""
+    exactly, DOUBLE if either side is floating). Text against a number is read in
+    that number's own type, rounded half away from zero (``'01'`` equals 1,
+    ``'1.5'`` equals 2 but not the DECIMAL 2.0), text against a date as a date;
+    text that is neither, or out of the type's range, equals nothing. A date
+    against a timestamp counts as its midnight. Any other pair of types is
+    compared as text."""
     text = T.StringType()
     if type_a == type_b:
         return a, b
     if isinstance(type_a, T.NumericType) and isinstance(type_b, T.NumericType):
         floating = isinstance(type_a, (T.FloatType, T.DoubleType)) or isinstance(type_b, (T.FloatType, T.DoubleType))
-        whole = isinstance(type_a, T.IntegralType) and isinstance(type_b, T.IntegralType)
-        kind = "double" if floating else "bigint" if whole else "decimal(38,10)"
-        return a.cast(kind), b.cast(kind)
+        if floating:
+            return a.cast("double"), b.cast("double")
+        if isinstance(type_a, T.IntegralType) and isinstance(type_b, T.IntegralType):
+            return a.cast("bigint"), b.cast("bigint")
+        (digits_a, scale_a), (digits_b, scale_b) = _digits(type_a), _digits(type_b)
+        scale = max(scale_a, scale_b)
+        # the side with this scale always fits; a value of the other one that does not has no equal there
+        common = T.DecimalType(min(38, max(digits_a, digits_b) + scale), scale)
+        return a.try_cast(common), b.try_cast(common)
     if type_b == text and type_a != text:
         right, left = comparable(b, type_b, a, type_a)
         return left, right
     if type_a == text and isinstance(type_b, (T.FloatType, T.DoubleType)):
         return safe_double(a), b.cast("double")
-    if type_a == text and isinstance(type_b, T.NumericType):
-        exact = T.DecimalType(38, 10)
-        return F.when(a.rlike(NUMBER_TEXT), a.try_cast(exact)), b.cast(exact)
+    if type_a == text and isinstance(type_b, T.IntegralType):
+        whole = F.when(a.rlike(NUMBER_TEXT), F.trim(a).try_cast(T.DecimalType(38, 0)))
+        return whole.try_cast(type_b), b
+    if type_a == text and isinstance(type_b, T.DecimalType):
+        return F.when(a.rlike(NUMBER_TEXT), F.trim(a).try_cast(type_b)), b
     if type_a == text and isinstance(type_b, T.DateType):
         return parse_date(a), b
     if type_a == text and _is_time(type_b):

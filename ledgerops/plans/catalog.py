@@ -137,6 +137,7 @@ def recon_export(spark, sf_dir):
 
 def _mixed_keys_sql() -> str:
     cases = {"whole and floating": ("ledger_a", "float_b"), "whole and text": ("ledger_a", "text_b"),
+             "whole and decimal text": ("ledger_a", "halves_b"), "whole and large decimal": ("ledger_a", "large_b"),
              "date and timestamp": ("day_a", "day_b")}
     return " UNION ALL ".join(f"SELECT '{c}' AS keys, * FROM ({S.summary_sql(I.MIXED_KEYS_SQL, a, b, TOL)})"
                               for c, (a, b) in cases.items())
@@ -331,9 +332,7 @@ def cast_text_magnitudes(spark, sf_dir):
     df = I.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", (q / 1e5).alias("small"), (q / 1e8).alias("tiny"), (-q * 1e9).alias("large"),
         (q * 1e15).alias("huge"), (q * 1e300).alias("vast"))
-    for name in ("small", "tiny", "large", "huge", "vast"):
-        df = cl.transform_column(df, name, "text")
-    return df
+    return cl.columns_to_text(df, ["small", "tiny", "large", "huge", "vast"])
 
 
 @register("clean_skip_errors", """

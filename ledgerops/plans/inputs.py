@@ -353,15 +353,20 @@ def lineitem_parts(spark: SparkSession, sf_dir: str) -> list[str]:
 
 def mixed_key_sources(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
     """The two ledgers with unlike key types: whole numbers against floating ones, against zero-padded text
-    (and texts that are no number), and dates against timestamps."""
+    (and texts that are no number), against text with digits behind the point and against decimals of up to 38 digits,
+    and dates against timestamps."""
     a, b = ledger_a(spark, sf_dir), ledger_b(spark, sf_dir)
     k = F.col("k")
     padded = F.when(k % 13 == 0, F.concat(F.lit("no "), k.cast("string"))).when(k < 0, k.cast("string")) \
         .otherwise(F.lpad(k.cast("string"), 10, "0"))
+    halves = F.concat(k.cast("string"), F.when(F.pmod(k, F.lit(3)) == 0, ".4").when(F.pmod(k, F.lit(3)) == 1, ".5").otherwise(""))
+    large = F.concat(k.cast("string"), F.when(F.pmod(k, F.lit(17)) == 0, "0" * 20).otherwise("")).cast("decimal(38,0)")
     day = lambda df: df.groupBy("d").agg(F.min("k").cast("double").alias("amt"))  # noqa: E731 - one row per day
     return {
         "whole and floating": (a, b.withColumn("k", k.cast("double"))),
         "whole and text": (a, b.withColumn("k", padded)),
+        "whole and decimal text": (a, b.withColumn("k", halves)),
+        "whole and large decimal": (a, b.withColumn("k", large)),
         "date and timestamp": (day(a).select(F.col("d").alias("k"), "d", "amt", F.lit("x").alias("memo")),
                                day(b).select(F.col("d").cast("timestamp_ntz").alias("k"), "d", "amt", F.lit("x").alias("memo"))),
     }
@@ -372,6 +377,10 @@ float_b AS (SELECT CAST(k AS DOUBLE) AS k, d, amt FROM ledger_b),
 text_b AS (
   SELECT TRY_CAST(CASE WHEN k % 13 = 0 THEN 'no ' || k WHEN k < 0 THEN CAST(k AS VARCHAR)
                   ELSE lpad(CAST(k AS VARCHAR), 10, '0') END AS BIGINT) AS k, d, amt FROM ledger_b),
+halves_b AS (
+  SELECT CAST(k || CASE ((k % 3) + 3) % 3 WHEN 0 THEN '.4' WHEN 1 THEN '.5' ELSE '' END AS BIGINT) AS k, d, amt FROM ledger_b),
+large_b AS (
+  SELECT CAST(k || CASE WHEN k % 17 = 0 THEN '00000000000000000000' ELSE '' END AS DECIMAL(38,0)) AS k, d, amt FROM ledger_b),
 day_a AS (SELECT d AS k, d, CAST(min(k) AS DOUBLE) AS amt FROM ledger_a GROUP BY d),
 day_b AS (SELECT CAST(d AS TIMESTAMP) AS k, d, CAST(min(k) AS DOUBLE) AS amt FROM ledger_b GROUP BY d)
 """

@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import NUMBER_TEXT, parse_date, to_text
+from ..functions.cleaning import NUMBER_TEXT, parse_date
 from ..functions.names import column
 from ..operators import reconciliation as rc
 from ..operators.aggregation import check_same_columns, union_all
+from ..operators.clean import columns_to_text
 from ..operators.reconciliation import RESULT_FILE_NAMES, Reconciliation
 from ..session import checkpoint_dir
 
@@ -299,15 +300,9 @@ def load_files(spark: SparkSession, paths: list[str], fmt: str | None = None, by
 def as_csv_text(df: DataFrame) -> DataFrame:
     """Render values whose CSV text would differ from the ledger SQL's: FLOAT and
     DOUBLE in plain notation, local timestamps as ``yyyy-MM-dd HH:mm:ss[.f]``."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(to_text(column(f.name), f.dataType).alias(f.name))
-        elif isinstance(f.dataType, T.TimestampNTZType):
-            cols.append(column(f.name).cast("string").alias(f.name))
-        else:
-            cols.append(column(f.name))
-    return df.select(*cols)
+    plain = columns_to_text(df, [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))])
+    local = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+    return plain.withColumns({n: column(n).cast("string") for n in local}) if local else plain
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite",

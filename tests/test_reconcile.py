@@ -1,7 +1,9 @@
 """Reconcile: NULL and duplicate rows, layouts, invariants, plan shape (FIXTURES.md §2)."""
 
 import datetime as dt
+from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +73,7 @@ def test_text_amounts_are_refused_until_cleaned(spark):
 
 
 @pytest.mark.parametrize("kind, keys", [
-    ("double", [1.0, 2.5, 3.0]), ("string", ["01", " 2.5", "3.0"]), ("decimal(10,1)", [1, 2.5, 3]), ("string", ["1", "x", "+3"])])
+    ("double", [1.0, 2.5, 3.0]), ("string", ["01", " 3.5", "3.0"]), ("decimal(10,1)", [1, 2.5, 3]), ("string", ["1", "x", "+3"])])
 def test_unlike_key_types_meet(spark, kind, keys):
     a = spark.createDataFrame([(k, "d", 1.0) for k in (1, 2, 3)], "k long, d string, amt double")
     b = spark.createDataFrame([(str(k), "d", 1.0) for k in keys], "k string, d string, amt double").withColumn(
@@ -84,6 +86,39 @@ def test_unlike_key_types_meet(spark, kind, keys):
     assert back.summary().first()["exact_matches"] == 2 and back.exact_matches.schema["match_key"].dataType == b.schema["k"].dataType
 
 
+NUMBER_TEXTS = ["1.5", " 2.5", "2.5", "-1.5", "0.49999999999999999", "1e3", "1.5e0", "+3", "2.4999", "1234.5e-1", "3.0", ".5", "-0.5",
+                "9223372036854775807.4", "1.96", "123.45", "007"]
+
+
+@pytest.mark.parametrize("kind", ["BIGINT", "INTEGER", "DECIMAL(10,1)", "DECIMAL(38,0)", "DOUBLE"])
+def test_text_keys_against_numbers_as_the_ledger_sql_compares_them(spark, kind):
+    """Every text against every value that any of them could round to, beside DuckDB's own comparison."""
+    numbers = ["2", "3", "-2", "0", "1000", "1", "-1", "123", "7", "1.5", "2.5", "-1.5", "2.0", "1.9", "123.5", "123.45", "9223372036854775807"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?::VARCHAR[]) AS x", [NUMBER_TEXTS])
+    con.execute(f"CREATE TABLE n AS SELECT DISTINCT v FROM (SELECT TRY_CAST(unnest(?::VARCHAR[]) AS {kind}) AS v) WHERE v IS NOT NULL", [numbers])
+    want = con.execute(f"SELECT x, CAST(v AS VARCHAR) FROM t, n WHERE TRY_CAST(x AS {kind}) = v").fetchall()
+    spark_kind = kind.lower()
+    texts = spark.createDataFrame([(x, "d", 1.0) for x in NUMBER_TEXTS], "k string, d string, amt double")
+    values = [r[0] for r in con.execute("SELECT CAST(v AS VARCHAR) FROM n").fetchall()]
+    typed = spark.createDataFrame([(v, "d", 1.0, v) for v in values], "k string, d string, amt double, shown string").withColumn(
+        "k", F.col("k").cast(spark_kind))
+    cfg = rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt", "shown"))
+    got = [(r["match_key"], r["description_b"]) for r in rc.reconcile(texts, typed, cfg).exact_matches.collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_decimal_keys_of_any_size(spark):
+    big = Decimal("1234567890123456789012345678901")
+    a = spark.createDataFrame([(big, "d", 1.0), (Decimal(5), "d", 1.0), (None, "d", 1.0)], "k decimal(38,0), d string, amt double")
+    cfg = rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"))
+    for kind, keys in (("long", [5, 6]), ("decimal(38,10)", [Decimal("5"), Decimal("5.5")]), ("decimal(5,2)", [Decimal("5"), Decimal("5.01")])):
+        b = spark.createDataFrame([(k, "d", 1.0) for k in keys], f"k {kind}, d string, amt double")
+        s = rc.reconcile(a, b, cfg).summary().first()
+        assert (s["exact_matches"], s["missing_in_b"], s["missing_in_a"]) == (1, 2, 1), kind
+        assert rc.reconcile(a, b, cfg).missing_in_b.count() == 2 and rc.reconcile(b, a, cfg).missing_in_b.count() == 1
+
+
 def test_column_names_in_another_case(spark, recon):
     cfg = rc.ReconConfig("K", rc.Roles("D", "Amt"), rc.Roles("d", "AMT"), 0.01)
     assert rc.reconcile(recon.a, recon.b, cfg).summary().first() == recon.summary().first()
