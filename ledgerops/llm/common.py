@@ -34,6 +34,32 @@ def written(df: DataFrame, name: str, row_group_bytes: int | None = None) -> Dat
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def co_located(df: DataFrame, key: str, parts: int, name: str, row_group_bytes: int) -> DataFrame:
+    """``df``, already dealt into ``parts`` by ``key``, written to the shared folder as a table bucketed by ``key``.
+
+    Later joins on the key (``with_mail``) read it without shuffling it."""
+    path = scratch_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    (df.write.format("parquet").option("path", path).option("parquet.block.size", row_group_bytes)
+     .bucketBy(parts, key).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
+def with_mail(table: DataFrame, key: str, mail: DataFrame, parts: int) -> DataFrame:
+    """Every row of a table of ``co_located`` (in ``parts``) with the rows (kind, source, target, payload) for it as a column ``mail``."""
+    sent = (mail.repartition(parts, "target").groupBy(F.col("target").alias(key))
+            .agg(F.collect_list(F.struct("kind", "source", "payload")).alias("mail")))
+    return table.join(sent.hint("shuffle_hash"), key, "left")
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that no later job reads."""
+    files = df.inputFiles()
+    if files:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker (tasks of one worker share it)."""
     module = sys.modules.setdefault("_ledgerops_worker_cache", types.ModuleType("_ledgerops_worker_cache"))

@@ -1,29 +1,35 @@
 """Language-model scores by a hierarchical Pitman-Yor model over word pairs.
 
-The probability of a word depends on the whole word before it: a restaurant for
-every preceding word (known by its ending and 52 bits of its hash), whose parent is
-the restaurant of that word's ending (its last byte and three bits of the byte
-before, 2048), whose parent is the one without a context; the base is uniform over
-the known words and one unknown word. Customers are seated by the
-Chinese-restaurant process: in each sweep the customers of every (context, word)
-cell are reseated given the parents and the totals of the last sweep (blocked Gibbs
-sampling; long rows of customers in blocks of a sixteenth). Probabilities are
-averaged over the sweeps after the burn-in.
-
-All cells of a word lie in one bucket, so parents and root need no exchange. The
-totals of the word restaurants grow with the vocabulary and are a distributed
-table: after a sweep every bucket sends its tables per context, summed, to the
-context's bucket, which answers with the totals. A sweep reads the cells with their
-contexts numbered within the bucket, the last seating and these totals. Only the
-4096 totals of the endings and a few figures reach the driver.
-
-Texts are counted in batches. A batch sends, per bucket of word hashes, its
-distinct words and cells; the bucket answers with counts and probabilities, and
-the batch adds them up per document. No word list reaches the driver.
+The probability of a word depends on the whole word before it (at a text's start:
+its end mark). Every preceding word has a restaurant of its own, all of them share
+one parent, the restaurant of single words, whose base is uniform over the known
+words and one unknown word. Seating is sampled by Gibbs: the number of tables of a
+(context, word) cell is drawn from its exact conditional distribution (generalised
+Stirling numbers) given the other tables of its restaurant and the parent. A
+restaurant's first cells are reseated one after the other, later ones in blocks of
+a sixteenth; cells of more than 64 customers sit down one by one. Probabilities are
+averaged over the rounds after the burn-in.
+
+Cells live in buckets by their context, so a restaurant's totals are at hand; single
+words live in homes by ranges of their hashes. A cell with one customer always has
+one table, so only cells of two or more customers, and only the words in them, are
+sent between buckets and homes: in a round every bucket makes LOCAL_SWEEPS sweeps
+against the parent as it last heard of it and its own changes, sends its tables per
+word to the homes, and hears the words' new totals. Contexts with more tokens than a
+bucket is made for (found in a sample of the rows, which steers nothing but this) are
+cut by the following word; their totals go through the driver, at most one figure a
+bucket's worth of text.
+
+Buckets and homes are tables bucketed by their number, so rounds read them without
+shuffling them. Texts are counted in batches: a batch sends, per bucket, its distinct
+cells, and hears their probabilities at the end, when its texts are read once more (a
+check sum tells whether the rows came in the same batches). No word list reaches the
+driver. Words are known by 52 bits of their XXH3 hash.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,538 +39,673 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, text_bytes, written
+from .common import co_located, discard, read_table, text_bytes, with_mail, written
 
-ENDING_BITS = 3
-PARENTS = 256 << ENDING_BITS
-LOW_BITS = 52           # bits of a word's hash in its context, below its ending
-BATCH_BYTES = 6 << 20
-BUCKET_BYTES = 4 << 20  # text per bucket of words
-ROW_GROUP_BYTES = 4 << 20
-BURN_IN, SAMPLES = 2, 2
+HASH_BITS = 52
+BATCH_BYTES = 16 << 20
+SLICE_BYTES = 1 << 20
+BUCKET_BYTES = 16 << 20  # text per bucket of contexts
+HOME_BYTES = 128 << 20   # text per home of words
+SAMPLED = 1 / 256        # of the rows, to find contexts that are cut
+ROW_GROUP_BYTES = 16 << 20
+BURN_IN, SAMPLES, LOCAL_SWEEPS = 2, 3, 3
 STRENGTH = 1.0
+EXACT = 64               # customers of a cell whose tables are drawn from the exact conditional
+CLASSES = (1, 2, 4, 8, 16, EXACT)
 END = b""                # the end of a text; no word is empty
-WORDS, ANSWER, CELLS, LINK, PART, CUSTOMERS, SEATS, TOTALS, DENSE = 0, 0, 0, 1, 2, 3, 4, 5, 6
-REQUEST, TEXTS = 1000, 1001
-ROWS = "kind int, batch long, bucket int, payload binary"
+SPACE = re.compile(rb"[ \t-\r]")
+SEATS, PART, HOT, ROOT, REPLY, FIGURES, ANSWER, TEXTS = range(8)
+MAIL = "kind int, source int, target int, payload binary"
+BATCHES = "kind int, bucket int, batch long, payload binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes, byte plane by byte plane, so that small numbers compress."""
+    """Arrays as compressed bytes, byte plane by byte plane; whole numbers in as few planes as they need."""
     out = [np.array([len(arrays)], "<i8").tobytes()]
+    narrow = []
     for a in arrays:
+        if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
+            a = a.astype(f"<u{next((w for w in (1, 2, 4) if a.max() < 1 << 8 * w), 8)}")
+        narrow.append(a)
         out.append(np.array([len(a), a.dtype.itemsize, "iuf".index(a.dtype.kind)], "<i8").tobytes())
-    for a in arrays:
+    for a in narrow:
         out.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
-    return b"".join(out)
+    plain = b"".join(out)
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays of ``pack``; whole numbers as int64."""
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     n = int(np.frombuffer(data, "<i8", 1)[0])
     heads = np.frombuffer(data, "<i8", 3 * n, 8).reshape(n, 3).tolist()
     at, out = 8 + 24 * n, []
     for size, width, kind in heads:
         planes = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size)
-        out.append(np.ascontiguousarray(planes.T).view(f"<{'iuf'[kind]}{width}").reshape(size))
+        one = np.ascontiguousarray(planes.T).view(f"<{'iuf'[kind]}{width}").reshape(size)
+        out.append(one if kind == 2 else one.astype(np.int64))
         at += size * width
     return out
 
 
-def context_of(word: bytes) -> int:
-    """Context of whatever follows ``word`` (0: nothing precedes): its ending, then bits of its hash."""
-    if not word:
-        return 0
-    ending = word[-1] << ENDING_BITS | (word[-2] if len(word) > 1 else 0) & ((1 << ENDING_BITS) - 1)
-    return ending << LOW_BITS | xxhash.xxh3_64_intdigest(word) >> (64 - LOW_BITS)
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of numbers in ascending order; ``np.cumsum`` gives them back."""
+    return np.diff(ascending, prepend=0)
 
 
-def is_held_out(doc_id: int | None) -> bool:
-    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 10 == 0
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)],
+                                      names=[name for name, _ in fields])
 
 
-def count_batches(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of ROWS: a batch's requests per bucket (word hashes, cells per word, contexts, training counts) and its
-    texts (doc_ids, their nulls, held out, tokens per text, cell of every token)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = count(TaskContext.get().partitionId() << 32)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            sizes = pc.binary_length(texts).fill_null(0).to_pylist()
-            at = 0
-            while at < len(sizes):
-                stop, size = at, 0
-                while stop < len(sizes) and size < BATCH_BYTES:
-                    size += sizes[stop]
-                    stop += 1
-                yield count_texts(next(number), ids[at:stop], text_bytes(texts.slice(at, stop - at)))
-                at = stop
-
-    def count_texts(batch: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
-        vocabulary: dict[bytes, int] = defaultdict(count().__next__)
-        end = vocabulary[END]
-        parts, sizes = [], []
-        for i in range(len(texts)):
-            words = texts[i].lower().split()
-            texts[i] = b""
-            parts.append(np.fromiter(chain(map(vocabulary.__getitem__, words), (end,)), np.int32, len(words) + 1))
-            sizes.append(len(words) + 1)
-        token, sizes = np.concatenate(parts), np.array(sizes, np.int64)
-        del parts
-        words = list(vocabulary)
-        digest = xxhash.xxh3_64_intdigest
-        hashes = np.fromiter(map(digest, words), np.uint64, len(words))
-        context = np.fromiter(map(context_of, words), np.int64, len(words))
-        by_context = np.argsort(context, kind="stable")
-        context_rank = np.empty(len(words), np.int64)
-        context_rank[by_context] = np.arange(len(words))
-        # words in the order of (bucket, hash), so that a bucket's cells are one range
-        bucket = (hashes >> np.uint64(8)) % np.uint64(buckets)
-        order = np.lexsort((hashes, bucket))
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
-        before = np.empty_like(token)
-        before[0], before[1:] = end, token[:-1]
-        before[np.cumsum(sizes)[:-1]] = end
-        cells, cell = np.unique(rank[token] * len(words) + context_rank[before], return_inverse=True)
-        del token, before
-        cell = cell.astype(np.int32)
-        held = np.array([is_held_out(i) for i in ids])
-        counts = np.bincount(cell, np.repeat(~held, sizes), len(cells)).astype(np.int64)
-        word, contexts = cells // len(words), context[by_context][cells % len(words)]
-        per_word = np.bincount(word, minlength=len(words))
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
-        cell_edges = np.searchsorted(word, edges)
-        rows = []
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            w, c = slice(edges[b], edges[b + 1]), slice(cell_edges[b], cell_edges[b + 1])
-            rows.append((REQUEST, b, pack(hashes[order][w], per_word[w].astype(np.int32),
-                                          contexts[c], counts[c])))
-        rows.append((TEXTS, -1, pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]).astype(np.uint8),
-                                     held.astype(np.uint8), sizes, cell)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()),
-             pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
-            names=["kind", "batch", "bucket", "payload"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-                       ).mapInArrow(run, ROWS)
-
-
-class Cells:
-    """The words and cells of one bucket with their training counts, and their seating."""
-
-    def __init__(self, bucket: int, hashes: np.ndarray, per_word: np.ndarray, contexts: np.ndarray, counts: np.ndarray,
-                 context_keys: np.ndarray | None = None):
-        self.bucket, self.hashes, self.per_word, self.count = bucket, hashes, per_word, counts
-        self.word = np.repeat(np.arange(len(hashes)), per_word)
-        self.contexts, self.context = np.unique(contexts, return_inverse=True)  # and every cell's place among them
-        group = self.word * PARENTS + (contexts >> LOW_BITS)  # (word, parent context)
-        self.first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.array([], np.int64)
-        self.group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if len(group) else group
-        self.parent = contexts[self.first] >> LOW_BITS
-        # draws depend on these, so that they are the same in any number of buckets
-        self.word_key = hashes.astype(np.uint64) & np.uint64(0xFFFF)
-        self.context_key = (self.contexts & 0xFFFF if context_keys is None else context_keys).astype(np.uint64)
-        self.group_word = self.word[self.first]
-        self.word_first = np.searchsorted(self.group_word, np.arange(len(hashes)))
-        self.word_count = np.add.reduceat(counts, np.cumsum(per_word) - per_word) if len(hashes) else counts
-        # one table per occupied cell to begin with
-        self.tables = (counts > 0).astype(np.int64)
-        self._seat_parents(lambda c: (c > 0).astype(np.int64), lambda c: (c > 0).astype(np.int64))
-
-    def places(self, word: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """The cells of given words and contexts."""
-        n = len(self.contexts)
-        return np.searchsorted(self.word * n + self.context, word * n + np.searchsorted(self.contexts, contexts))
-
-    def seating(self) -> list[np.ndarray]:
-        return [t.astype(np.uint32 if t.max(initial=0) < 1 << 32 else np.int64) for t in (self.tables, self.tables1, self.tables0)]
-
-    def take_seats(self, tables: np.ndarray, tables1: np.ndarray, tables0: np.ndarray) -> None:
-        self.tables = tables.astype(np.int64)
-        self._seat_parents(lambda c: tables1.astype(np.int64), lambda c: tables0.astype(np.int64))
-
-    def _seat_parents(self, seat1, seat0) -> None:
-        self.count1 = np.add.reduceat(self.tables, self.first) if len(self.first) else self.first
-        self.tables1 = seat1(self.count1)
-        self.count0 = np.add.reduceat(self.tables1, self.word_first) if len(self.word_first) else self.word_first
-        self.tables0 = seat0(self.count0)
-
-    def per_context(self, value: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context, value, len(self.contexts)).astype(np.int64)
-
-    def dense(self) -> np.ndarray:
-        """Customers and tables of the endings' restaurants, those of the root, known words and tokens, and occupancy
-        figures for the discounts."""
-        def by(value):
-            return np.bincount(self.parent, value, PARENTS)
-        figures = [f(c) for c in (self.count, self.count1, self.count0)
-                   for f in (lambda c: (c == 1).sum(), lambda c: (c == 2).sum())]
-        return np.concatenate([by(self.count1), by(self.tables1), [
-            self.count0.sum(), self.tables0.sum(), (self.word_count > 0).sum(), self.count.sum(), *figures]])
-
-    def totals(self) -> tuple[np.ndarray, ...]:
-        """Contexts, their customers and tables, and the dense totals."""
-        return self.contexts, self.per_context(self.count), self.per_context(self.tables), self.dense()
-
-    def sweep(self, model: Model, number: int) -> None:
-        rng = np.random.default_rng((self.bucket, number))
-        p0 = model.root(self.count0, self.tables0)
-        g = self.group
-        # the parent without the cell's own tables
-        rest = self.count1[g] - self.tables
-        p1 = model.middle(rest, np.minimum(self.tables1[g], rest), self.parent[g], p0[self.word])
-        # a cell's own tables count as they are set up, those of the last sweep do not
-        discount2, discount1, discount0 = model.discount
-        key2 = self.word_key[self.word] << np.uint64(16) | self.context_key[self.context]
-        key1 = self.word_key[self.group_word] << np.uint64(16) | self.parent.astype(np.uint64)
-        self.tables = seat(self.count, (model.open2.values[self.context] - discount2 * self.tables) * p1, discount2, rng,
-                           discount2 * p1, draws(key2, number, 2))
-        mass1 = (model.open1[self.parent] - discount1 * self.tables1) * p0[self.group_word]
-        self._seat_parents(
-            lambda c: seat(c, mass1, discount1, rng, discount1 * p0[self.group_word], draws(key1, number, 1)),
-            lambda c: seat(c, np.full(len(c), model.open0 * model.base), discount0, rng, None, draws(self.word_key, number, 0)))
-
-    def probabilities(self, model: Model) -> np.ndarray:
-        p0 = model.root(self.count0, self.tables0)
-        p1 = model.middle(self.count1, self.tables1, self.parent, p0[self.group_word])
-        return ((self.count - model.discount[0] * self.tables + model.open2.values[self.context] * p1[self.group])
-                / (STRENGTH + model.total2.values[self.context]))
-
-
-class PerContext:
-    """Numbers by context; ``values`` in the order of the contexts."""
-
-    def __init__(self, contexts: np.ndarray, values: np.ndarray):
-        self.contexts, self.values = contexts, values
-
-    def __getitem__(self, context):
-        return self.values[np.searchsorted(self.contexts, context)]
-
-
-class Model:
-    """Discounts and restaurant totals after a sweep; those of the words' restaurants for one bucket's contexts."""
-
-    def __init__(self, totals: tuple[np.ndarray, ...], discount: tuple[float, float, float] | None = None):
-        contexts, customers2, tables2, dense = totals
-        self.total1, tables1, rest = np.split(dense, [PARENTS, 2 * PARENTS])
-        self.total0, tables0, self.words, self.tokens = rest[:4]
-        if discount is None:  # from the shares of cells with one and two customers
-            discount = tuple(min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
-                             for one, two in rest[4:].reshape(3, 2).tolist())
-        self.discount = discount
-        self.total2 = PerContext(contexts, customers2)
-        self.open2 = PerContext(contexts, STRENGTH + discount[0] * tables2)
-        self.open1 = STRENGTH + discount[1] * tables1
-        self.open0 = STRENGTH + discount[2] * tables0
-        self.base = 1 / (self.words + 1)
-
-    def root(self, customers, tables):
-        return (customers - self.discount[2] * tables + self.open0 * self.base) / (STRENGTH + self.total0)
-
-    def middle(self, customers, tables, parent, p0):
-        return (customers - self.discount[1] * tables + self.open1[parent] * p0) / (STRENGTH + self.total1[parent])
-
-
-def draws(keys: np.ndarray, number: int, level: int):
-    """Uniform numbers by key, sweep, level and customer."""
-    def single(active: np.ndarray, seated: int) -> np.ndarray:
-        x = keys[active] + np.uint64(((number * 3 + level << 20) + seated) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        return ((x ^ x >> np.uint64(31)) >> np.uint64(11)) * 2.0 ** -53
-
-    return single
-
-
-def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng, growth: np.ndarray | None = None, single=None) -> np.ndarray:
-    """Tables of every cell after its customers sat down one by one; ``mass`` is the weight of a new table, which every
-    table of the cell raises by ``growth``. ``single`` draws for single customers in place of ``rng``."""
-    tables = (customers > 0).astype(np.int64)
-    seated = 1
-    active = np.flatnonzero(customers > 1)
-    while len(active):
-        block = max(1, seated // 16)
-        opening = mass[active] if growth is None else mass[active] + growth[active] * tables[active]
-        chance = opening / (opening + seated - discount * tables[active])
-        if block == 1:
-            tables[active] += (rng.random(len(active)) if single is None else single(active, seated)) < chance
-        else:
-            tables[active] += rng.binomial(np.minimum(block, customers[active] - seated), chance)
-        seated += block
-        active = active[customers[active] > seated]
-    return tables
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> (64 - HASH_BITS)
 
 
-def _merged(bucket: int, parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Word hashes, cells per word, contexts and counts of several requests as one."""
-    hashes = np.unique(np.concatenate([p[0] for p in parts]))
-    contexts, at = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-    word = np.concatenate([np.repeat(np.searchsorted(hashes, p[0]), p[1]) for p in parts])
-    cells, place = np.unique(word * len(contexts) + at, return_inverse=True)
-    counts = np.bincount(place, np.concatenate([p[3] for p in parts]), len(cells)).astype(np.int64)
-    return [hashes, np.bincount(cells // len(contexts), minlength=len(hashes)).astype(np.int32),
-            contexts[cells % len(contexts)], counts]
+def is_held_out(doc_id: int | None) -> bool:
+    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-def _rows(kind: int, batch: int, bucket: int, payload: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([batch], pa.int64()),
-                                       pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())],
-                                      names=["kind", "batch", "bucket", "payload"])
+def home_of(hashes: np.ndarray, homes: int) -> np.ndarray:
+    """Homes are ranges of hashes, so that words in order are in the order of their homes."""
+    return (hashes >> (HASH_BITS - 32)) * homes >> 32
+
+
+class Deal:
+    """The bucket of a cell: that of its context, and for contexts that are cut one of several by the word."""
+
+    def __init__(self, buckets: int, hot: dict[int, int]):
+        self.buckets = buckets
+        self.hot = np.array(sorted(hot), np.int64)
+        self.parts = np.array([hot[h] for h in self.hot.tolist()], np.int64)
+
+    def is_hot(self, contexts: np.ndarray) -> np.ndarray:
+        return np.isin(contexts, self.hot)
+
+    def __call__(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        shift = 0
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
+            shift = words % np.where(self.hot[at] == contexts, self.parts[at], 1)
+        return (contexts + shift) % self.buckets
+
+
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a slice of it at a time."""
+    at = 0
+    while at < len(text):
+        found = SPACE.search(text, at + SLICE_BYTES)
+        stop = found.start() if found else len(text)
+        yield text[at:stop].lower().split()
+        at = stop
+
+
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, every token and the one before it as places among them, tokens per text."""
+    vocabulary: dict[bytes, int] = defaultdict(count().__next__)
+    end = vocabulary[END]
+    parts, sizes = [], []
+    for i, text in enumerate(texts):
+        texts[i], size = b"", 1
+        for words in _words(text):
+            parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
+            size += len(words)
+        parts.append(np.array([end], np.int32))
+        sizes.append(size)
+    hashes, place = np.unique(np.fromiter(map(hash_of, vocabulary), np.int64, len(vocabulary)), return_inverse=True)
+    token = place[np.concatenate(parts)]
+    return hashes, token, np.concatenate([place[[end]], token[:-1]]), np.array(sizes, np.int64)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
+    """(number, doc_ids, texts) of whole documents, about BATCH_BYTES of text each."""
+    number = None
+    for batch in batches:
+        if number is None and batch.num_rows:
+            number = count(batch.column(2)[0].as_py() << 32)
+        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        sizes = pc.binary_length(texts).fill_null(0).to_pylist()
+        at = 0
+        while at < len(sizes):
+            stop, size = at, 0
+            while stop < len(sizes) and size < BATCH_BYTES:
+                size += sizes[stop]
+                stop += 1
+            yield next(number), ids[at:stop], text_bytes(texts.slice(at, stop - at))
+            at = stop
 
 
-def word_cells(requests: DataFrame) -> DataFrame:
-    """One row per bucket: all its words and cells with their counts over all batches."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts, size = None, [], 0
-        for batch in batches:
-            for bucket, payload in zip(batch.column(2).to_pylist(), batch.column(3)):
-                if bucket != current and parts:
-                    yield _rows(WORDS, -1, current, pack(*_merged(current, parts)))
-                    parts, size = [], 0
-                current = bucket
-                parts.append(unpack(payload.as_py()))
-                size += len(parts[-1][3])
-                if size > 1 << 19 and len(parts) > 1:  # requests of many batches shrink as they come
-                    parts = [_merged(bucket, parts)]
-                    size = -len(parts[0][3])  # the next merge when as many have come again
-        if parts:
-            yield _rows(WORDS, -1, current, pack(*_merged(current, parts)))
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.spark_partition_id().alias("part"))
 
-    return requests.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ROWS)
 
+def _mark(hashes: np.ndarray, token: np.ndarray) -> int:
+    return zlib.crc32(token.astype(np.int32).tobytes(), zlib.crc32(hashes.tobytes()))
 
-def _cells(bucket: int, payload: bytes) -> Cells:
-    hashes, per_word, contexts, counts = unpack(payload)
-    return Cells(bucket, hashes, per_word.astype(np.int64), contexts.astype(np.int64), counts)
 
+def hot_contexts(docs: DataFrame, total: int, buckets: int) -> dict[int, int]:
+    """Contexts that hold more tokens than a bucket is made for, with the number of buckets they are cut into."""
+    share = min(1.0, max(SAMPLED, (64 << 20) * SAMPLED * 16 / max(1, total)))
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, list[np.ndarray]]]]]:
-    """The rows of one bucket after the other: (kind, batch, arrays)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in _batches(batches):
+            hashes, token, _, _ = tokens_of(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.bincount(token, minlength=len(hashes)))],
+                                             names=["hash", "n"])
+
+    seen = written(_read(docs).sample(share, 7).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")),
+                   "lm-sample")
+    tokens = seen.agg(F.sum("n")).first()[0] or 0
+    most = max(1, tokens / buckets / 2)
+    hot = {r["hash"]: min(buckets, int(r["n"] / most) + 1) for r in seen.where(F.col("n") > most).collect()}
+    discard(seen)
+    return hot
+
+
+def count_batches(docs: DataFrame, deal: Deal) -> DataFrame:
+    """Rows of BATCHES: a batch's distinct cells of one bucket (check sum, contexts, cells per context, words, word of
+    every cell, training counts)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, ids, texts in _batches(batches):
+            hashes, token, before, sizes = tokens_of(texts)
+            mark, n = _mark(hashes, token), len(hashes)
+            key = before * n + token
+            trained = np.repeat([not is_held_out(i) for i in ids], sizes)
+            del token, before
+            cells, (learned, seen) = np.unique(key), np.unique(key[trained], return_counts=True)
+            del key, trained
+            counts = np.zeros(len(cells), np.int64)
+            counts[np.searchsorted(cells, learned)] = seen
+            bucket = deal(hashes[cells // n], hashes[cells % n])
+            order = np.argsort(bucket, kind="stable")
+            cells, counts, bucket = cells[order], counts[order], bucket[order]
+            found, first = np.unique(bucket, return_index=True)
+            for b, at, stop in zip(found.tolist(), first, [*first[1:], len(cells)]):
+                context, word = np.divmod(cells[at:stop], n)
+                contexts, per_context = np.unique(context, return_counts=True)
+                words, place = np.unique(word, return_inverse=True)
+                yield _rows([(ANSWER, b, number, pack(np.array([mark]), steps(hashes[contexts]), per_context,
+                                                      steps(hashes[words]), place, counts[at:stop]))], BATCHES)
+
+    return _read(docs).mapInArrow(run, BATCHES)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, list[np.ndarray]]]]]:
+    """(group, [(source, arrays)]) of rows (group, source, payload) that come group by group."""
     current, rows = None, []
     for batch in batches:
-        for kind, number, bucket, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-            if bucket != current and rows:
+        for group, source, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if group != current and rows:
                 yield current, rows
                 rows = []
-            current = bucket
-            rows.append((kind, number, unpack(payload.as_py())))
+            current = group
+            rows.append((source, unpack(payload.as_py())))
     if rows:
         yield current, rows
 
 
-def _in_order(rows: DataFrame) -> DataFrame:
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "batch")
+BUCKET = "bucket int, words binary, cells binary, open binary, maps binary"
+
+
+def context_buckets(requests: DataFrame, deal: Deal, parts: int) -> DataFrame:
+    """One row per bucket: its words, its cells with their counts, those of two or more customers, and the places of
+    every batch's cells. Bucketed by ``bucket``."""
+    def merged(bucket: int, rows: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
+        arrays = [a for _, a in rows]
+        contexts, context = np.unique(np.concatenate([np.cumsum(a[1]) for a in arrays]), return_inverse=True)
+        context = np.repeat(context, np.concatenate([a[2] for a in arrays]))
+        words, place = np.unique(np.concatenate([np.cumsum(a[3]) for a in arrays]), return_inverse=True)
+        at = np.cumsum([0] + [len(a[3]) for a in arrays])
+        word = place[np.concatenate([a[4] + start for a, start in zip(arrays, at)])]
+        cells, place = np.unique(context * len(words) + word, return_inverse=True)
+        counts = np.bincount(place, np.concatenate([a[5] for a in arrays]), len(cells)).astype(np.int64)
+        sizes = np.array([len(a[4]) for a in arrays])
+        maps = pack(np.array([batch for batch, _ in rows]), np.array([a[0][0] for a in arrays]), sizes,
+                    np.concatenate([steps(p) for p in np.split(place, np.cumsum(sizes)[:-1])]))
+        context, word = np.divmod(cells, len(words))
+        n, open_cell = len(contexts), counts > 1
+        singles = np.bincount(context, counts == 1, n).astype(np.int64)
+        opened = np.bincount(word, open_cell, len(words)).astype(np.int64)
+        per_open = np.bincount(context, open_cell, n).astype(np.int64)
+        hot = deal.is_hot(contexts)
+        kept = np.flatnonzero((per_open > 0) | hot)
+        number = np.cumsum(opened > 0) - 1
+        customers = np.bincount(context, counts, n).astype(np.int64)
+        return _rows([(bucket,
+                       pack(steps(words), np.bincount(word, counts, len(words)).astype(np.int64),
+                            np.bincount(word, counts == 1, len(words)).astype(np.int64), opened),
+                       pack(np.bincount(context, minlength=n), word, counts),
+                       pack(steps(kept), per_open[kept], number[word[open_cell]], counts[open_cell], singles[kept],
+                            np.flatnonzero(hot[kept]), contexts[hot], customers[hot]),
+                       maps)], BUCKET)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _grouped(batches):
+            yield merged(bucket, rows)
 
-def _context_buckets(contexts: np.ndarray, buckets: int) -> np.ndarray:
-    return ((contexts & ((1 << LOW_BITS) - 1)) % buckets).astype(np.int32)
+    dealt = requests.select("bucket", "batch", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket", "batch")
+    return co_located(dealt.mapInArrow(run, BUCKET), "bucket", parts, "lm-buckets", ROW_GROUP_BYTES)
 
 
-def _sent(bucket: int, homes: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows PART with numbers per context, one for each bucket of contexts."""
-    order = np.argsort(homes, kind="stable")
-    found, start = np.unique(homes[order], return_index=True)
-    for home, at in zip(found.tolist(), np.split(order, start[1:])):
-        yield _rows(PART, bucket, home, pack(*(v[at] for v in values)))
+def _split(homes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(home, start, stop) of words in order."""
+    found, first = np.unique(homes, return_index=True)
+    return list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(homes)]))
 
 
-def _received(homes: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
-    """Numbers per context from the answers of the buckets of contexts, in order."""
-    out = np.empty(len(homes), np.int64)
-    out[np.argsort(homes, kind="stable")] = np.concatenate(parts)
-    return out
+def introductions(buckets: DataFrame, homes: int) -> DataFrame:
+    """Rows PART (words, training counts, single cells, open cells) for every home, HOT and FIGURES of a bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, words, opened in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                arrays = unpack(words.as_py())
+                hashes = np.cumsum(arrays[0])
+                for home, at, stop in _split(home_of(hashes, homes)):
+                    yield _rows([(PART, bucket, home, pack(steps(hashes[at:stop]), *(a[at:stop] for a in arrays[1:])))], MAIL)
+                _, per_open, _, counts, singles, hot_at, hot, customers = unpack(opened.as_py())
+                figures = np.array([arrays[2].sum(), (counts == 2).sum()], float)
+                yield _rows([(HOT, bucket, -1, pack(hot, customers, (singles + per_open)[hot_at])),
+                             (FIGURES, bucket, -1, pack(figures))], MAIL)
+
+    return buckets.select("bucket", "words", "open").mapInArrow(run, MAIL)
 
 
-def first_seating(words: DataFrame, buckets: int) -> DataFrame:
-    """Rows CELLS (contexts as numbers within the bucket, without hashes), PART (contexts, customers, tables), DENSE."""
+HOME = "home int, words binary, links binary, open_links binary, figures binary"
+
+
+def word_homes(introduced: DataFrame, parts: int) -> DataFrame:
+    """One row per home: training counts, single cells and first customers of its words, the places of every bucket's
+    words and of those in open cells. Bucketed by ``home``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, rows in _grouped(batches):
+            words, place = np.unique(np.concatenate([np.cumsum(a[0]) for _, a in rows]), return_inverse=True)
+            counts, singles, opened = (np.bincount(place, np.concatenate([a[i] for _, a in rows]), len(words)).astype(np.int64)
+                                       for i in (1, 2, 3))
+            source, sizes = np.array([s for s, _ in rows]), np.array([len(a[0]) for _, a in rows])
+            each = np.split(place, np.cumsum(sizes)[:-1])
+            in_open = [p[a[3] > 0] for p, (_, a) in zip(each, rows)]
+            customers = singles + opened
+            figures = np.array([(counts > 0).sum(), counts.sum(), (customers > 0).sum(), (customers == 1).sum(),
+                                (customers == 2).sum()], float)
+            yield _rows([(home, pack(counts, singles, customers),
+                          pack(source, sizes, np.concatenate([steps(p) for p in each])),
+                          pack(source, np.array([len(p) for p in in_open]), np.concatenate([steps(p) for p in in_open])),
+                          pack(figures))], HOME)
+
+    dealt = (introduced.where(f"kind = {PART}").select(F.col("target").alias("home"), "source", "payload")
+             .repartition(parts, "home").sortWithinPartitions("home", "source"))
+    return co_located(dealt.mapInArrow(run, HOME), "home", parts, "lm-homes", ROW_GROUP_BYTES)
+
+
+def _places(links: bytes) -> list[tuple[int, np.ndarray]]:
+    """(bucket, places of its words) of a home."""
+    source, sizes, moves = unpack(links)
+    return [(s, np.cumsum(m)) for s, m in zip(source.tolist(), np.split(moves, np.cumsum(sizes)[:-1]))]
+
+
+def sums(payloads: DataFrame, width: int) -> np.ndarray:
+    """The sum of packed figures, ``width`` of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
         for batch in batches:
-            for bucket, payload in zip(batch.column(2).to_pylist(), batch.column(3)):
-                cells = _cells(bucket, payload.as_py())
-                homes = _context_buckets(cells.contexts, buckets)
-                yield _rows(CELLS, -1, bucket, pack(
-                    cells.per_word.astype(np.int32), np.diff(cells.context, prepend=0).astype(np.int32),
-                    (cells.contexts >> LOW_BITS).astype(np.uint16), homes, cells.count,
-                    cells.word_key.astype(np.uint16), cells.context_key.astype(np.uint16)))
-                yield from _sent(bucket, homes, *cells.totals()[:3])
-                yield _rows(DENSE, -1, bucket, pack(cells.dense()))
+            for payload in batch.column(0):
+                total += unpack(payload.as_py())[0]
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int64()), pa.array(total)], names=["at", "value"])
 
-    return words.mapInArrow(run, ROWS)
+    out = np.zeros(width)
+    for r in payloads.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        out[r["at"]] = r["value"]
+    return out
 
 
-def first_totals(parts: DataFrame) -> DataFrame:
-    """Rows CUSTOMERS and TOTALS for the buckets that sent a PART, and LINK: the places of its contexts here."""
+def hot_totals(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts that are cut, their customers and tables over all buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for home, rows in _by_bucket(batches):
-            contexts, at = np.unique(np.concatenate([r[2][0] for r in rows]), return_inverse=True)
-            customers, tables = (np.bincount(at, np.concatenate([r[2][i] for r in rows])).astype(np.int64) for i in (1, 2))
-            edges = np.cumsum([len(r[2][0]) for r in rows])[:-1]
-            for (_, bucket, _), place in zip(rows, np.split(at, edges)):
-                yield _rows(LINK, bucket, home, pack(np.diff(place, prepend=0).astype(np.int32)))
-                yield _rows(CUSTOMERS, home, bucket, pack(customers[place]))
-                yield _rows(TOTALS, home, bucket, pack(tables[place]))
+        for batch in batches:
+            for payload in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in unpack(payload.as_py())], names=["hash", "c", "t"])
+
+    found = (rows.where(f"kind = {HOT}").select("payload").mapInArrow(run, "hash long, c long, t long")
+             .groupBy("hash").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).orderBy("hash").collect())
+    return tuple(np.array([r[i] for r in found], np.int64) for i in range(3))
+
+
+def stirling(discount: float) -> np.ndarray:
+    """Logs of the generalised Stirling numbers of up to EXACT customers: ways to sit at so many tables."""
+    out = np.full((EXACT + 1, EXACT), -np.inf)
+    out[1, 0] = 0
+    tables = np.arange(1, EXACT + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(1, EXACT):
+            stay = out[c] + np.log(np.where(tables <= c, c - discount * tables, 1))
+            out[c + 1] = np.logaddexp(stay, np.concatenate([[-np.inf], out[c, :-1]]))
+    return out
 
-    return _in_order(parts).mapInArrow(run, ROWS)
 
+def draw_tables(customers: np.ndarray, opening: np.ndarray, growth: np.ndarray, numbers: np.ndarray, rng) -> np.ndarray:
+    """Tables of cells of 2 to EXACT customers from their conditional distribution: a cell's first table has the weight
+    ``opening``, each further one ``growth`` more."""
+    tables = np.ones(len(customers), np.int64)
+    for low, high in zip(CLASSES, CLASSES[1:]):
+        at = np.flatnonzero((customers > low) & (customers <= high))
+        if len(at):
+            weight = np.cumsum(np.log(opening[at, None] + growth[at, None] * np.arange(high)), axis=1)
+            weight += numbers[customers[at], :high]
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            tables[at] += (weight < rng.random((len(at), 1)) * weight[:, -1:]).sum(axis=1)
+    return np.minimum(tables, customers)
+
+
+def seat(customers: np.ndarray, opening: np.ndarray, growth: np.ndarray, discount: float, rng) -> np.ndarray:
+    """Tables of cells after their customers sat down one by one, later ones in blocks of a sixteenth."""
+    tables = np.ones(len(customers), np.int64)
+    seated, active = 1, np.flatnonzero(customers > 1)
+    while len(active):
+        block = max(1, seated // 16)
+        new = opening[active] + growth[active] * tables[active]
+        tables[active] += rng.binomial(np.minimum(block, customers[active] - seated), new / (new + seated - discount * tables[active]))
+        seated += block
+        active = active[customers[active] > seated]
+    return tables
 
-def next_totals(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows TOTALS for the buckets that sent a PART of tables."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for home, rows in _by_bucket(batches):
-            places = {bucket: np.cumsum(arrays[0]) for kind, bucket, arrays in rows if kind == LINK}
-            tables = np.zeros(max(int(p[-1]) for p in places.values()) + 1, np.int64)
-            for kind, bucket, arrays in rows:
-                if kind == PART:
-                    tables[places[bucket]] += arrays[0]
-            for bucket, place in places.items():
-                yield _rows(TOTALS, home, bucket, pack(tables[place]))
 
-    return _in_order(parts.unionByName(links)).mapInArrow(run, ROWS)
+class Root:
+    """Discounts and totals of the parent restaurant."""
 
+    def __init__(self, words: float, discounts: tuple[float, float], customers: float, tables: float):
+        self.words, self.discounts, self.customers, self.tables = words, discounts, customers, tables
+        self.base = 1 / (words + 1)
 
-def next_seating(rows: DataFrame, dense: np.ndarray, discount: tuple[float, float, float], number: int) -> DataFrame:
-    """Rows SEATS, PART (tables) and DENSE after a sweep over CELLS under the TOTALS, from the SEATS before (none: the first)."""
+    def probability(self, customers, tables):
+        open_ = (STRENGTH + self.discounts[1] * self.tables) * self.base
+        return (customers - self.discounts[1] * tables + open_) / (STRENGTH + self.customers)
+
+
+def seat_words(customers: np.ndarray, tables: np.ndarray, root: Root, rng) -> np.ndarray:
+    """Tables of the words in the parent restaurant, given the totals of the others."""
+    discount = root.discounts[1]
+    opening, growth = (STRENGTH + discount * (root.tables - tables)) * root.base, np.full(len(customers), discount * root.base)
+    out = (customers > 0).astype(np.int64)
+    few, many = (customers > 1) & (customers <= EXACT), customers > EXACT
+    out[few] = draw_tables(customers[few], opening[few], growth[few], stirling(discount), rng)
+    out[many] = seat(customers[many], opening[many], growth[many], discount, rng)
+    return out
+
+
+class OpenCells:
+    """The cells of a bucket with two or more customers, and their seating."""
+
+    def __init__(self, payload: bytes):
+        _, per_context, self.word, self.count, self.singles, self.hot_at, self.hot, self.customers = unpack(payload)
+        self.context = np.repeat(np.arange(len(per_context)), per_context)
+        self.tables = np.ones(len(self.count), np.int64)
+        rank = np.arange(len(self.count)) - np.repeat(np.cumsum(per_context) - per_context, per_context)
+        step = np.where(rank < 32, rank, 32 + (16 * np.log2(np.maximum(rank, 32) / 32)).astype(np.int64))
+        step[self.count > EXACT] = -1
+        order = np.argsort(step, kind="stable")
+        self.turns = np.split(order, np.flatnonzero(np.diff(step[order])) + 1) if len(order) else []
+
+    def per_context(self, tables: np.ndarray) -> np.ndarray:
+        return self.singles + np.bincount(self.context, tables, len(self.singles)).astype(np.int64)
+
+    def per_word(self, words: int) -> np.ndarray:
+        return np.bincount(self.word, self.tables, words).astype(np.int64)
+
+    def elsewhere(self, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Tables that contexts which are cut have in other buckets."""
+        out = np.zeros(len(self.singles), np.int64)
+        if len(self.hot):
+            out[self.hot_at] = hot[2][np.searchsorted(hot[0], self.hot)] - self.per_context(self.tables)[self.hot_at]
+        return out
+
+    def sweep(self, root: Root, customers: np.ndarray, tables: np.ndarray, elsewhere: np.ndarray, numbers: np.ndarray, rng) -> None:
+        """Every cell once, given the words' customers and tables in the parent restaurant."""
+        discount = root.discounts[0]
+        total = self.per_context(self.tables) + elsewhere
+        for cells in self.turns:
+            c, k, own = self.count[cells], self.context[cells], self.tables[cells]
+            rest = customers[self.word[cells]] - own
+            p0 = root.probability(rest, np.minimum(tables[self.word[cells]], rest))
+            opening, growth = (STRENGTH + discount * (total[k] - own)) * p0, discount * p0
+            new = (seat(c, opening, growth, discount, rng) if c[0] > EXACT else draw_tables(c, opening, growth, numbers, rng))
+            self.tables[cells] = new
+            np.add.at(total, k, new - own)
+
+
+def _mail(column: pa.Array) -> list[list[tuple[int, int, bytes]]]:
+    """(kind, source, payload) of every row's mail, by kind and source."""
+    return [sorted(((m["kind"], m["source"], m["payload"]) for m in mail or ()), key=lambda m: m[:2]) for mail in column.to_pylist()]
+
+
+def root_pass(homes: DataFrame, mail: DataFrame | None, root: Root, number: int, parts: int) -> DataFrame:
+    """Rows ROOT (customers and tables of a home's words), REPLY (those of a bucket's words in open cells), FIGURES."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, found in _by_bucket(batches):
-            per_word, steps, endings, homes, counts, word_key, context_key = found[0][2]
-            context = np.cumsum(steps, dtype=np.int64)
-            cells = Cells(bucket, word_key, per_word.astype(np.int64), endings.astype(np.int64)[context] << LOW_BITS | context,
-                          counts, context_key)
-            for kind, _, arrays in found[1:]:
-                if kind == SEATS:
-                    cells.take_seats(*arrays)
-            totals = _received(homes, [arrays[0] for kind, _, arrays in found if kind == TOTALS])
-            cells.sweep(Model((cells.contexts, totals, totals, dense), discount), number)
-            yield _rows(SEATS, -1, bucket, pack(*cells.seating()))
-            yield from _sent(bucket, homes, cells.per_context(cells.tables))
-            yield _rows(DENSE, -1, bucket, pack(cells.dense()))
-
-    return _in_order(rows).mapInArrow(run, ROWS)
-
-
-def dense_totals(rows: DataFrame) -> np.ndarray:
-    """The sum of the rows DENSE."""
+        for batch in batches:
+            letters = _mail(batch.column(3)) if batch.num_columns > 3 else [[]] * batch.num_rows
+            for home, words, links, post in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), letters):
+                _, singles, customers = unpack(words.as_py())
+                places = _places(links.as_py())
+                tables = (customers > 0).astype(np.int64)
+                if post:
+                    customers, place_of = singles.copy(), dict(places)
+                    for kind, source, payload in post:
+                        if kind == PART:
+                            customers[place_of[source]] += unpack(payload)[0]
+                        else:
+                            tables = np.minimum(unpack(payload)[1], customers)
+                tables = seat_words(customers, tables, root, np.random.default_rng((1, home, number)))
+                yield _rows([(ROOT, home, home, pack(customers, tables)),
+                             (FIGURES, home, -1, pack(np.array([customers.sum(), tables.sum()], float)))], MAIL)
+                for bucket, at in places:
+                    if len(at):
+                        yield _rows([(REPLY, home, bucket, pack(customers[at], tables[at]))], MAIL)
+
+    found = homes.select("home", "words", F.col("open_links").alias("links"))
+    return (with_mail(found, "home", mail, parts) if mail is not None else found).mapInArrow(run, MAIL)
+
+
+def bucket_pass(buckets: DataFrame, mail: DataFrame, root: Root, hot: tuple[np.ndarray, ...], number: int,
+                parts: int) -> DataFrame:
+    """Rows SEATS, PART (tables per word for a home) and HOT after LOCAL_SWEEPS sweeps."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        numbers = stirling(root.discounts[0])
         for batch in batches:
-            for payload in batch.column(3):
-                one = unpack(payload.as_py())[0]
-                total = one if total is None else total + one
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "value"])
-
-    out = np.zeros(2 * PARENTS + 10)
-    found = rows.where(f"kind = {DENSE}").mapInArrow(run, "at long, value double")
-    for r in found.groupBy("at").agg(F.sum("value").alias("value")).collect():
-        out[r["at"]] = r["value"]
+            for bucket, opened, post in zip(batch.column(0).to_pylist(), batch.column(1), _mail(batch.column(2))):
+                cells, rng = OpenCells(opened.as_py()), np.random.default_rng((2, bucket, number))
+                replies = [(home, unpack(payload)) for kind, home, payload in post if kind == REPLY]
+                for kind, _, payload in post:
+                    if kind == SEATS:
+                        cells.tables = unpack(payload)[0]
+                if replies:
+                    customers, tables = (np.concatenate([a[i] for _, a in replies]) for i in (0, 1))
+                    before, elsewhere = cells.per_word(len(customers)), cells.elsewhere(hot)
+                    for _ in range(LOCAL_SWEEPS):
+                        now = customers - before + cells.per_word(len(customers))
+                        cells.sweep(root, now, np.minimum(tables, now), elsewhere, numbers, rng)
+                    after = cells.per_word(len(customers))
+                    edges = np.cumsum([0] + [len(a[0]) for _, a in replies])
+                    for (home, _), at, stop in zip(replies, edges, edges[1:]):
+                        yield _rows([(PART, bucket, home, pack(after[at:stop]))], MAIL)
+                yield _rows([(SEATS, bucket, bucket, pack(cells.tables)),
+                             (HOT, bucket, -1, pack(cells.hot, cells.customers, cells.per_context(cells.tables)[cells.hot_at]))],
+                            MAIL)
+
+    return with_mail(buckets.select("bucket", "open"), "bucket", mail, parts).mapInArrow(run, MAIL)
+
+
+def _numbered(tables: list[DataFrame], kind: int) -> DataFrame:
+    """Rows of one kind of several samples, the kind replaced by the sample's number."""
+    found = [t.where(f"kind = {kind}").withColumn("kind", F.lit(i)) for i, t in enumerate(tables)]
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
     return out
 
 
-def answers(words: DataFrame, requests: DataFrame, customers: DataFrame, samples: list[tuple[DataFrame, DataFrame, np.ndarray]],
-            discount: tuple[float, float, float], buckets: int) -> DataFrame:
-    """For every request: training count per word, cells per word, and log10 of each cell's probability, averaged over
-    the samples' seatings (rows SEATS) under the totals they led to (rows TOTALS, dense totals)."""
-    n = len(samples)
-    dense = [d for _, _, d in samples]
-    both = words.unionByName(requests).unionByName(customers.withColumn("kind", F.lit(1)))
-    for i, (seats, totals, _) in enumerate(samples):  # kinds 2, 4, .. seats and 3, 5, .. totals
-        both = both.unionByName(seats.withColumn("kind", F.lit(2 + 2 * i))).unionByName(totals.withColumn("kind", F.lit(3 + 2 * i)))
-
-    def average(bucket: int, cells: Cells, given: dict[int, list]) -> np.ndarray:
-        homes = _context_buckets(cells.contexts, buckets)
-        per_context = _received(homes, [p[0] for p in given[1]])
-        mean = 0
-        for i in range(n):
-            cells.take_seats(*given[2 + 2 * i][0])
-            totals = _received(homes, [p[0] for p in given[3 + 2 * i]])
-            mean = mean + cells.probabilities(Model((cells.contexts, per_context, totals, dense[i]), discount))
-        return mean / n
+def last_replies(homes: DataFrame, roots: list[DataFrame], parts: int) -> DataFrame:
+    """Rows REPLY: training counts of all words of a bucket, their customers and tables in every sample."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for home, words, links, post in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), _mail(batch.column(3))):
+                columns = [unpack(words.as_py())[0], *chain.from_iterable(unpack(payload) for _, _, payload in post)]
+                for bucket, at in _places(links.as_py()):
+                    yield _rows([(REPLY + 1000, home, bucket, pack(*(c[at] for c in columns)))], MAIL)
+
+    return with_mail(homes.select("home", "words", "links"), "home", _numbered(roots, ROOT), parts).mapInArrow(run, MAIL)
+
+
+def answers(buckets: DataFrame, mail: DataFrame, roots: list[Root], hots: list[tuple[np.ndarray, ...]],
+            parts: int) -> DataFrame:
+    """Rows of BATCHES: check sum, training counts of the batch's words and log10 probabilities of its cells."""
+    def probabilities(cells: bytes, opened: bytes, post: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        per_context, word, count_ = unpack(cells)
+        n = len(per_context)
+        context = np.repeat(np.arange(n), per_context)
+        columns = [np.concatenate(c) for c in zip(*(unpack(p) for kind, _, p in post if kind >= 1000))]
+        seats = [unpack(p)[0] for kind, _, p in post if kind < 1000]
+        places = np.cumsum(unpack(opened)[0])
+        cut = OpenCells(opened)
+        customers = np.bincount(context, count_, n)
+        singles, open_cell, mean = np.bincount(context, count_ == 1, n), count_ > 1, 0
+        for i, (root, hot) in enumerate(zip(roots, hots)):
+            tables = np.minimum(count_, 1)
+            tables[open_cell] = seats[i]
+            total = singles + np.bincount(context, np.where(open_cell, tables, 0), n)
+            if len(cut.hot):
+                at = np.searchsorted(hot[0], cut.hot)
+                customers[places[cut.hot_at]], total[places[cut.hot_at]] = hot[1][at], hot[2][at]
+            p0 = root.probability(columns[1 + 2 * i], columns[2 + 2 * i])[word]
+            discount = root.discounts[0]
+            mean = mean + ((count_ - discount * tables + (STRENGTH + discount * total[context]) * p0)
+                           / (STRENGTH + customers[context]))
+        return np.log10(mean / len(roots)).astype(np.float32), columns[0], word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = mean = None
-        given: dict[int, list] = {}
         for batch in batches:
-            for kind, number, bucket, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-                if kind == WORDS:
-                    cells, mean, given = _cells(bucket, payload.as_py()), None, defaultdict(list)
-                    continue
-                if kind != REQUEST:
-                    given[kind].append(unpack(payload.as_py()))
-                    continue
-                if mean is None:
-                    mean, given = average(bucket, cells, given), {}
-                hashes, per_word, contexts, _ = unpack(payload.as_py())
-                word = np.searchsorted(cells.hashes, hashes)
-                at = cells.places(np.repeat(word, per_word), contexts)
-                yield _rows(ANSWER, number, bucket, pack(cells.word_count[word], per_word, np.log10(mean[at]).astype(np.float32)))
-
-    return _in_order(both).mapInArrow(run, ROWS)
+            for bucket, cells, opened, maps, post in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2),
+                                                         batch.column(3), _mail(batch.column(4))):
+                log_p, counts, word = probabilities(cells.as_py(), opened.as_py(), post)
+                numbers, marks, sizes, moves = unpack(maps.as_py())
+                for number, mark, move in zip(numbers.tolist(), marks, np.split(moves, np.cumsum(sizes)[:-1])):
+                    at = np.cumsum(move)
+                    yield _rows([(ANSWER, bucket, number, pack(np.array([mark]), counts[np.unique(word[at])], log_p[at]))], BATCHES)
+
+    found = with_mail(buckets.select("bucket", "cells", "open", "maps"), "bucket", mail, parts)
+    return found.mapInArrow(run, BATCHES)
+
+
+def read_again(docs: DataFrame, deal: Deal) -> DataFrame:
+    """Rows TEXTS of every batch: check sum, doc_ids, their nulls, held out, tokens per text, the cell of every token,
+    the word of every cell among its bucket's in the batch, counted on from bucket to bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, ids, texts in _batches(batches):
+            hashes, token, before, sizes = tokens_of(texts)
+            n, mark = len(hashes), _mark(hashes, token)
+            cells, cell = np.unique(before * n + token, return_inverse=True)
+            del before
+            word = cells % n
+            bucket = deal(hashes[cells // n], hashes[word])
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            # a word of a token, in each bucket once: any of the bucket's answers tells its training count
+            asked, first = np.unique(bucket * n + word, return_index=True)
+            known = np.full(n, -1)
+            known[asked % n] = np.arange(len(asked))
+            yield _rows([(TEXTS, -1, number, pack(
+                np.array([mark]), np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]).astype(np.uint8),
+                np.array([is_held_out(i) for i in ids]).astype(np.uint8), sizes, place[cell], known[token]))], BATCHES)
+
+    return _read(docs).mapInArrow(run, BATCHES)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def add_up(answered: DataFrame, texts: DataFrame, model: Model) -> DataFrame:
+def add_up(answered: DataFrame, texts: DataFrame, tokens: int, words: int) -> DataFrame:
     """The documents' scores from their batch's answers; a group is one batch, of bounded size."""
-    tokens, words = int(model.tokens), int(model.words)
     names = [part.split()[0] for part in SCORES.split(", ")]
 
     def run(group: pa.Table) -> pa.Table:
-        answers, body = [], None
-        for kind, bucket, payload in zip(group.column("kind").to_pylist(), group.column("bucket").to_pylist(),
-                                         group.column("payload")):
+        found, body = [], None
+        for kind, bucket, payload in zip(*(group.column(c).to_pylist() for c in ("kind", "bucket", "payload"))):
             if kind == ANSWER:
-                answers.append((bucket, unpack(payload.as_py())))
+                found.append((bucket, unpack(payload)))
             else:
-                body = unpack(payload.as_py())
-        answers.sort(key=lambda a: a[0])
-        count = np.concatenate([np.repeat(p[0], p[1]) for _, p in answers])
-        log_p = np.concatenate([p[2] for _, p in answers])
-        ids, null, held, sizes, cell = body
+                body = unpack(payload)
+        found.sort(key=lambda a: a[0])
+        if body is None or any(a[0][0] != body[0][0] for _, a in found):
+            raise RuntimeError("the documents came in other batches when they were read again: write them to a table first")
+        mark, ids, null, held, sizes, cell, word = body
+        count_ = np.concatenate([a[1] for _, a in found])[word]
+        log_p = np.concatenate([a[2] for _, a in found])[cell].astype(np.float64)
         first = np.cumsum(sizes) - sizes
-        base = np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))
+        base = np.log10((count_ + 0.1) / (tokens + 0.1 * (words + 1)))
         return pa.table([
             pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(sizes),
-            pa.array(np.add.reduceat((count > 0)[cell], first, dtype=np.int64)), pa.array(np.full(len(ids), tokens)),
-            pa.array(np.add.reduceat(base[cell], first)), pa.array(np.add.reduceat(log_p[cell], first, dtype=np.float64))],
+            pa.array(np.add.reduceat((count_ > 0), first, dtype=np.int64)), pa.array(np.full(len(ids), tokens)),
+            pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(log_p, first))],
             names=names)
 
     return answered.unionByName(texts).groupBy("batch").applyInArrow(run, SCORES)
 
 
+def _discount(one: float, two: float) -> float:
+    return min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
+
+
 def score_documents(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     The model learns from rows whose crc32(doc_id as text) mod 10 is not 0; rows
-    with a null doc_id are held out. A null text is empty: one token, its end.
-    Repeated rows are learned and scored each on its own. Without training rows
-    all words are unknown."""
+    with a null doc_id are held out. A null text is empty: one token, its end; so is
+    a text of blanks. Texts of any length are read in slices and counted whole.
+    Repeated rows are learned and scored each on its own; ties cannot arise. Without
+    training rows all words are unknown, and an empty table gives no rows. Only the
+    columns doc_id and text are read, so others may have any name. ``burn_in`` and
+    ``samples`` are rounds of LOCAL_SWEEPS Gibbs sweeps. ``docs`` is read twice and
+    must come in the same partitions and order, as a table does; else an error says so."""
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    buckets = max(8, -(-total // BUCKET_BYTES))
-    counted = written(count_batches(docs, buckets), "lm-batches", ROW_GROUP_BYTES)
-    requests, texts = counted.where(f"kind = {REQUEST}"), counted.where(f"kind = {TEXTS}")
-    words = written(word_cells(requests), "lm-words", ROW_GROUP_BYTES)
-    first = written(first_seating(words, buckets), "lm-cells", ROW_GROUP_BYTES)
-    met = written(first_totals(first.where(f"kind = {PART}")), "lm-links", ROW_GROUP_BYTES)
-    cells, links = first.where(f"kind = {CELLS}"), met.where(f"kind = {LINK}")
-    totals, dense = met.where(f"kind = {TOTALS}"), dense_totals(first)
-    nothing = np.array([], np.int64)
-    model = Model((nothing, nothing, nothing, dense))
-    kept, before = [], cells
-    for number in range(burn_in + samples):
-        swept = written(next_seating(before.unionByName(totals), dense, model.discount, number), "lm-seats", ROW_GROUP_BYTES)
-        totals = written(next_totals(swept.where(f"kind = {PART}"), links), "lm-totals", ROW_GROUP_BYTES)
-        seats, dense = swept.where(f"kind = {SEATS}"), dense_totals(swept)
-        before = cells.unionByName(seats)
-        if number >= burn_in:
-            kept.append((seats, totals, dense))
-    answered = answers(words, requests, met.where(f"kind = {CUSTOMERS}"), kept, model.discount, buckets)
-    return add_up(answered, texts, model)
+    buckets, homes = max(6, -(-total // BUCKET_BYTES)), max(6, -(-total // HOME_BYTES))
+    deal = Deal(buckets, hot_contexts(docs, total, buckets))
+    table = context_buckets(count_batches(docs, deal), deal, 2 * buckets)
+    met = written(introductions(table, homes), "lm-words", ROW_GROUP_BYTES)
+    home_table = word_homes(met, 2 * homes)
+    cell_discount = _discount(*sums(met.where(f"kind = {FIGURES}").select("payload"), 2))
+    hot = hot_totals(met)
+    discard(met)
+    words, tokens, guests, one, two = sums(home_table.select("figures"), 5)
+    root = Root(words, (cell_discount, _discount(one, two)), 0, guests)
+    heard = written(root_pass(home_table, None, root, 0, 2 * homes), "lm-root", ROW_GROUP_BYTES)
+
+    def totals(rows: DataFrame) -> Root:
+        return Root(words, root.discounts, *sums(rows.where(f"kind = {FIGURES}").select("payload"), 2))
+
+    root, seats = totals(heard), None
+    kept = []
+    for number in range(1, burn_in + samples + 1):
+        mail = heard.where(f"kind = {REPLY}")
+        if seats is not None:
+            mail = mail.unionByName(seats.where(f"kind = {SEATS}"))
+        new = written(bucket_pass(table, mail, root, hot, number, 2 * buckets), "lm-seats", ROW_GROUP_BYTES)
+        hot = hot_totals(new)
+        mail = new.where(f"kind = {PART}").unionByName(heard.where(f"kind = {ROOT}"))
+        told = written(root_pass(home_table, mail, root, number, 2 * homes), "lm-root", ROW_GROUP_BYTES)
+        for old in (heard, seats):
+            if old is not None and all(old is not t for pair in kept for t in pair[:2]):
+                discard(old)
+        heard, seats, root = told, new, totals(told)
+        if number > burn_in:
+            kept.append((seats, heard, root, hot))
+    mail = last_replies(home_table, [k[1] for k in kept], 2 * homes).unionByName(_numbered([k[0] for k in kept], SEATS))
+    answered = answers(table, mail, [k[2] for k in kept], [k[3] for k in kept], 2 * buckets)
+    return add_up(answered, read_again(docs, deal), int(tokens), int(words))
 
 
 def op8_pitman_yor_scores(spark, sf_dir: str) -> DataFrame:
