@@ -10,6 +10,7 @@ from .aggregation import (
     input_totals,
     top_groups,
     union_all,
+    with_place,
 )
 from .analysis import Analysis, analyze, column_stats, safe_total
 from .clean import ColumnSpec, clean_table, select_columns, transform_column
@@ -22,5 +23,5 @@ __all__ = [
     "aggregate", "aggregate_tables", "analyze", "check_same_columns", "clean_sources", "clean_table",
     "column_profile", "column_stats", "detect_column", "detect_roles", "filter_rows", "grand_total",
     "group_columns", "guess_type", "input_totals", "key_candidates", "reconcile", "reconcile_sources",
-    "safe_total", "select_columns", "source_totals", "top_groups", "transform_column", "union_all",
+    "safe_total", "select_columns", "source_totals", "top_groups", "transform_column", "union_all", "with_place",
 ]

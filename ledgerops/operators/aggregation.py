@@ -9,6 +9,7 @@ grouped rows in the same job instead of a second scan of the input.
 from __future__ import annotations
 
 import functools
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -133,6 +134,25 @@ def input_totals(df: DataFrame, sum_col: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_records"), F.sum(column(sum_col)).alias("grand_total"))
 
 
+def with_place(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Rows of a sorted table numbered from 1 in their order, as the column ``name``.
+
+    The sort's range partitions stay as they are: every row gets its partition and
+    its number there in a checkpointed pass, rows per partition are counted, and
+    the rows before each partition (one number per partition, on the driver) are
+    added. No task sees more than its partition. Ties keep the order of the sort;
+    an empty table stays empty."""
+    checkpoint_dir(ordered.sparkSession)
+    at = F.col("_row_at")
+    rows = ordered.withColumn("_row_at", F.monotonically_increasing_id()).checkpoint()
+    sizes = sorted(tuple(r) for r in rows.groupBy(F.shiftright(at, 33).alias("part")).count().collect())
+    before = list(zip((part for part, _ in sizes), itertools.accumulate((n for _, n in sizes), initial=0)))
+    starts = ordered.sparkSession.createDataFrame(before, "_part long, _before long")
+    return (rows.join(F.broadcast(starts), F.shiftright(at, 33) == F.col("_part"))
+            .withColumn(name, (F.col("_before") + at.bitwiseAND(F.lit((1 << 33) - 1)) + 1))
+            .drop("_row_at", "_part", "_before"))
+
+
 def top_groups(grouped: DataFrame, k: int, sort_by: str | list[tuple[str, str]] = SORT_BY_TOTAL,
                group_cols: list[str] | None = None) -> DataFrame:
     """First ``k`` groups in sort order (planned as TakeOrderedAndProject: no full sort)."""

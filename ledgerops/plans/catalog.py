@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as fc
@@ -454,8 +454,7 @@ def _parts(spark, sf_dir) -> list[DataFrame]:
 
 def _ranked(groups: DataFrame) -> DataFrame:
     """Sorted groups with their place, which makes the order part of the compared values."""
-    placed = groups.withColumn("_place", F.monotonically_increasing_id())
-    return placed.withColumn("place", F.row_number().over(Window.orderBy("_place"))).drop("_place")
+    return agg.with_place(groups).withColumn("place", F.col("place").cast("int"))
 
 
 @register("union_all", "SELECT * FROM lineitem")

@@ -89,3 +89,25 @@ def test_caller_order_and_empty_totals(spark):
     assert [r["g"] for r in rows] == ["c", "a", "b"]
     empty = agg.grand_total(agg.aggregate(df.where("v > 10"), ["g"], "v", sort_by=None)).first()
     assert (empty["row_count"], empty["total_records"], empty["grand_total"]) == (0, 0, None)
+
+
+def test_places_without_one_task(spark):
+    """Every row's place over many range partitions, ties in the order of the sort, no single-partition exchange."""
+    rows = spark.range(0, 5000, 1, 7).selectExpr("id", "id * 7919 % 613 as total_amount")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps the partitions of the sort
+    try:
+        placed = agg.with_place(rows.orderBy("total_amount", "id"))
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        got = placed.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    want = sorted((i * 7919 % 613, i) for i in range(5000))
+    assert [(r["total_amount"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == want
+    assert sorted(r["place"] for r in got) == list(range(1, 5001))
+    assert "SinglePartition" not in plan and "Window" not in plan
+    assert placed.columns == ["id", "total_amount", "place"]
+
+
+def test_places_of_no_rows(spark):
+    assert agg.with_place(spark.createDataFrame([], "a long").orderBy("a")).collect() == []
