@@ -485,6 +485,33 @@ def load_files_mixed(spark, sf_dir):
     return typed.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
 
 
+@register("load_files_typed", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_returnflag = 'R' AS returned,
+       CAST(l_shipdate AS DATE) AS l_shipdate, CAST(l_shipdate - INTERVAL 10 DAY AS DATE) AS due,
+       CAST(CAST(l_shipdate AS DATE) + INTERVAL 5 DAY AS TIMESTAMP) AS received,
+       CASE WHEN l_linenumber > 1 THEN l_suppkey END AS l_suppkey,
+       CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE CAST(l_partkey AS VARCHAR) END AS l_partkey
+FROM lineitem""")
+def load_files_typed(spark, sf_dir):
+    """CSV files of two layouts whose types are found from all values together: prices without their cents in some
+    files, dates that tell day from month only here and there, receipts with a time in some files only, blank
+    numbers, and a column that one text keeps from being a number."""
+    shipped, price, key = F.to_date("l_shipdate"), F.col("l_extendedprice"), F.col("l_partkey").cast("string")
+    text = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity").cast("decimal(18,0)").alias("l_quantity"),
+            F.when(price == F.floor(price), price.cast("bigint").cast("string")).otherwise(price.cast("decimal(18,2)").cast("string")).alias("l_extendedprice"),
+            "l_returnflag", (F.col("l_returnflag") == "R").alias("returned"), F.date_format(shipped, "dd/MM/yyyy").alias("l_shipdate"),
+            F.date_format(F.date_sub(shipped, 10), "M-d-yyyy").alias("due"), F.date_add(shipped, 5).alias("received"), F.when(F.col("l_linenumber") > 1, F.col("l_suppkey")).alias("l_suppkey"),
+            F.when(F.col("l_linenumber") == 7, F.lit("n/a")).otherwise(key).alias("l_partkey")]
+    paths = I.lineitem_parts(spark, sf_dir)
+    out = []
+    for i, (sep, receipt) in enumerate(((",", "yyyy-MM-dd"), (";", "yyyy-MM-dd HH:mm:ss"))):
+        out.append(scratch_path(spark, f"lineitem-typed-{i}"))
+        rows = io.load_files(spark, paths[i::2], fmt="parquet").select(*text).withColumn("received", F.date_format("received", receipt))
+        io.write_csv(rows.select(*(rows.columns if i else reversed(rows.columns))), out[-1], sep=sep)
+    back = io.load_files(spark, out, fmt="csv", infer_schema=True)
+    return back.withColumns({"l_quantity": F.col("l_quantity").cast("double"), "l_linenumber": F.col("l_linenumber").cast("int")})
+
+
 @register("aggregate_by_total", """
 SELECT *, row_number() OVER (ORDER BY total_amount DESC NULLS LAST, l_returnflag NULLS LAST, l_linestatus NULLS LAST)::INTEGER AS place
 FROM (SELECT l_returnflag, l_linestatus, count(*) AS record_count, sum(l_quantity) AS total_amount

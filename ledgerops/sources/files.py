@@ -34,6 +34,7 @@ from ..operators.aggregation import check_same_columns, union_all
 from ..operators.clean import columns_to_text
 from ..operators.reconciliation import RESULT_FILE_NAMES, Reconciliation
 from ..session import checkpoint_dir
+from .types import infer_types
 
 # CSV text conventions of the written files (header, comma,
 # NULL as an empty field, an empty string as "", quotes doubled, blanks kept).
@@ -206,15 +207,12 @@ def _records(spark: SparkSession, files: list[str], header: bool) -> DataFrame:
     return records.select(F.regexp_replace(F.ltrim(F.col("value"), F.lit("\ufeff")), "\r$", "").alias("value"))
 
 
-def _read_layout(spark: SparkSession, files: list[str], layout: Layout, schema, infer_schema: bool, keep_rejected: bool) -> DataFrame:
+def _read_layout(spark: SparkSession, files: list[str], layout: Layout, schema, keep_rejected: bool) -> DataFrame:
     options = {"sep": layout.sep, "quote": '"', "escape": '"', "nullValue": NO_VALUE}
     paths = _literal(files)
     reader = (spark.read.options(**options).option("header", str(layout.header).lower())
               .option("multiLine", str(layout.multi_line).lower()).option("enforceSchema", "false").option("columnPruning", "false"))
-    if infer_schema:
-        kinds = reader.option("inferSchema", "true").csv(paths).schema
-        fields = [T.StructField(n, k.dataType) for n, k in zip(layout.names, kinds.fields)]
-    elif schema is not None:
+    if schema is not None:
         given = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         by_name = {f.name.lower(): f for f in given.fields}
         if layout.header and {n.lower() for n in layout.names} != set(by_name):
@@ -248,6 +246,10 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     breaks inside quotes. Any path will do: blanks, ``%``, ``#`` and the signs of
     globs in the names of files found are taken as they are.
 
+    With ``infer_schema`` each column gets the narrowest type that all its values
+    in all files can be (see ``types.kinds``): one more pass over the files, and
+    blank texts are NULL in columns that are not text. A ``schema`` goes first.
+
     A record with more or fewer fields than its file's header stops the read,
     with the record in the message. With ``keep_rejected`` it is kept instead,
     its text in the column ``_rejected`` (NULL in good rows).
@@ -260,9 +262,10 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     groups: dict[Layout, list[str]] = {}
     for f, layout in layouts.items():
         groups.setdefault(layout, []).append(f)
-    frames = [_read_layout(spark, files, layout, schema, infer_schema, keep_rejected) for layout, files in groups.items()]
+    frames = [_read_layout(spark, files, layout, schema, keep_rejected) for layout, files in groups.items()]
     check_same_columns(frames, [files[0] for files in groups.values()])
-    return union_all(frames, validate=False)
+    rows = union_all(frames, validate=False)
+    return infer_types(rows, REJECTED if keep_rejected else None) if infer_schema and schema is None else rows
 
 
 def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = None, **options) -> DataFrame:
@@ -288,13 +291,15 @@ def load_files(spark: SparkSession, paths: list[str], fmt: str | None = None, by
     kind = fmt or ("csv" if paths[0].lower().endswith(".csv") else "parquet")
     if kind == "csv" and by == "name":
         return read_csv(spark, paths, **options)
+    typed = kind == "csv" and options.pop("infer_schema", False) and options.get("schema") is None
     with ThreadPoolExecutor(max_workers=READ_THREADS) as pool:  # one small read of columns each
         frames = list(pool.map(lambda p: read_table(spark, p, kind, **options), paths))
     check_same_columns(frames, paths)
     groups: dict[tuple, list[str]] = {}
     for p, df in zip(paths, frames):
         groups.setdefault(tuple(df.dtypes), []).append(p)
-    return union_all([read_table(spark, group, kind, **options) for group in groups.values()], by=by, validate=False)
+    rows = union_all([read_table(spark, group, kind, **options) for group in groups.values()], by=by, validate=False)
+    return infer_types(rows, REJECTED if options.get("keep_rejected") else None) if typed else rows
 
 
 def as_csv_text(df: DataFrame) -> DataFrame:
