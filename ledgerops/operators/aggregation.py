@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import column, resolve
 from ..session import checkpoint_dir
+from .totals import exact_totals, is_inexact
 
 # Sort choices of the aggregate tool.
 SORT_BY_TOTAL = "total"
@@ -103,16 +104,20 @@ def aggregate(df: DataFrame, group_cols: list[str], sum_col: str,
               sort_by: str | list[tuple[str, str]] | None = SORT_BY_TOTAL) -> DataFrame:
     """GROUP BY ``group_cols``: ``record_count = COUNT(*)``, ``total_amount = SUM(sum_col)``.
 
-    A NULL group key is its own group. ``sort_by=None`` leaves the result
+    A NULL group key is its own group. Sums of doubles are exact and rounded once, so
+    they don't depend on the order of rows or tasks (``totals``). ``sort_by=None`` leaves the result
     unsorted (saves the range-partition shuffle when order does not matter).
     """
     if not group_cols:
         raise ValueError("at least one group column is required")
     sum_col = require_numeric(df, sum_col)
-    grouped = df.groupBy(*[column(g) for g in group_cols]).agg(
-        F.count(F.lit(1)).alias("record_count"),
-        F.sum(column(sum_col)).alias("total_amount"),
-    )
+    if is_inexact(df.schema[sum_col].dataType) and not df.isStreaming:
+        grouped = exact_totals(df, group_cols, {"total_amount": column(sum_col)}, {"record_count": (F.lit(1), "count")})
+    else:
+        grouped = df.groupBy(*[column(g) for g in group_cols]).agg(
+            F.count(F.lit(1)).alias("record_count"),
+            F.sum(column(sum_col)).alias("total_amount"),
+        )
     if sort_by is None:
         return grouped
     return grouped.orderBy(*order_columns(sort_by, group_cols))
@@ -120,7 +125,12 @@ def aggregate(df: DataFrame, group_cols: list[str], sum_col: str,
 
 def grand_total(grouped: DataFrame) -> DataFrame:
     """One row from an ``aggregate`` result: ``row_count`` (groups),
-    ``total_records`` and ``grand_total``, without a second pass over the input."""
+    ``total_records`` and ``grand_total``, without a second pass over the input. Totals that
+    are doubles are added up exactly."""
+    if is_inexact(grouped.schema["total_amount"].dataType) and not grouped.isStreaming:
+        totals = exact_totals(grouped, [], {"grand_total": F.col("total_amount")},
+                              {"row_count": (F.lit(1), "count"), "total_records": (F.col("record_count"), "sum")})
+        return totals.withColumn("total_records", F.coalesce("total_records", F.lit(0)).cast("long"))
     return grouped.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum("record_count"), F.lit(0)).cast("long").alias("total_records"),
@@ -131,6 +141,8 @@ def grand_total(grouped: DataFrame) -> DataFrame:
 def input_totals(df: DataFrame, sum_col: str) -> DataFrame:
     """``COUNT(*)`` and ``SUM(sum_col)`` over the input rows themselves."""
     sum_col = require_numeric(df, sum_col)
+    if is_inexact(df.schema[sum_col].dataType):
+        return exact_totals(df, [], {"grand_total": column(sum_col)}, {"total_records": (F.lit(1), "count")})
     return df.agg(F.count(F.lit(1)).alias("total_records"), F.sum(column(sum_col)).alias("grand_total"))
 
 

@@ -13,6 +13,7 @@ from ..functions.names import column as col
 from ..functions.names import resolve
 from .aggregation import require_numeric
 from .filters import FilterRange, filter_rows
+from .totals import exact_totals, is_inexact
 
 
 def column_stats(df: DataFrame, column: str) -> DataFrame:
@@ -20,9 +21,16 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
     ``minimum``, ``maximum`` of ``column``. Over no rows: count 0, the rest NULL.
 
     Only numeric columns are accepted (text would be summed after a silent cast).
-    One pass with partial aggregation; the result is a single row.
+    One pass with partial aggregation; the result is a single row. The total of
+    doubles is exact and rounded once, the average is it over the number of values.
     """
-    c = col(require_numeric(df, column))
+    name = require_numeric(df, column)
+    c = col(name)
+    if is_inexact(df.schema[name].dataType) and not df.isStreaming:
+        stats = exact_totals(df, [], {"total": c}, {"count": (F.lit(1), "count"), "values": (c, "count"),
+                                                    "minimum": (c, "min"), "maximum": (c, "max")})
+        average = F.when(F.col("values") > 0, F.col("total") / F.col("values"))
+        return stats.select("count", "total", average.alias("average"), "minimum", "maximum")
     return df.agg(
         F.count(F.lit(1)).alias("count"),
         F.sum(c).alias("total"),
@@ -34,8 +42,8 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
 
 def safe_total(df: DataFrame, columns: list[str]) -> DataFrame:
     """``SUM(TRY_CAST(col AS DOUBLE))`` per column in one row (text that does
-    not parse counts as NULL). Output column per input: ``<col>_total``."""
-    return df.agg(*[F.sum(safe_double(col(c), df.schema[c].dataType)).alias(f"{c}_total") for c in columns])
+    not parse counts as NULL), exact and rounded once. Output column per input: ``<col>_total``."""
+    return exact_totals(df, [], {f"{c}_total": safe_double(col(c), df.schema[c].dataType) for c in columns})
 
 
 @dataclass

@@ -43,6 +43,7 @@ from pyspark.sql import types as T
 from ..functions.cleaning import NUMBER_TEXT, amount_parts, clean_date, parse_amount, parse_date, safe_double
 from ..functions.names import column, resolve
 from .nearness import near_counts, reach_of
+from .totals import exact_totals
 
 # Category names, the note text and the export file names.
 EXACT_MATCH = "exact_match"
@@ -337,15 +338,14 @@ def source_totals(a: DataFrame, b: DataFrame, config: ReconConfig) -> DataFrame:
 
     Works on raw sources too: amount text that does not parse as a number
     counts as NULL. Both sources are summed in one aggregation over their
-    union (partial sums per task, one final row).
+    union (partial sums per task, one final row), exactly and rounded once.
     """
     name_a, name_b = _found(a, config.a.amount, "A"), _found(b, config.b.amount, "B")
     amount_a = safe_double(column(name_a), a.schema[name_a].dataType)
     amount_b = safe_double(column(name_b), b.schema[name_b].dataType)
     both = a.select(F.lit("a").alias("side"), amount_a.alias("amt")) \
         .unionByName(b.select(F.lit("b").alias("side"), amount_b.alias("amt")))
-    return both.agg(*[F.sum(F.when(F.col("side") == side, F.col("amt"))).alias(f"total_{side}")
-                      for side in ("a", "b")])
+    return exact_totals(both, [], {f"total_{side}": F.when(F.col("side") == side, F.col("amt")) for side in ("a", "b")})
 
 
 def reconcile(a: DataFrame, b: DataFrame, config: ReconConfig) -> Reconciliation:

@@ -191,14 +191,13 @@ def recon_gaps_missing_in_b(spark, sf_dir):
 
 
 @register("recon_source_totals", f"""WITH {I.LEDGERS_TEXT_SQL.strip()}
-SELECT (SELECT round(sum({S.amount_sql('amt')}), 2) FROM text_a) AS total_a,
-       (SELECT round(sum({S.amount_sql('amt')}), 2) FROM text_b) AS total_b""")
+SELECT (SELECT {S.exact_sum_sql(S.amount_sql('amt'))} FROM text_a) AS total_a,
+       (SELECT {S.exact_sum_sql(S.amount_sql('amt'))} FROM text_b) AS total_b""")
 def recon_source_totals(spark, sf_dir):
     """Amount totals of both text sources after auto-cleaning (shown before a run)."""
     a, b = rc.clean_sources(I.ledger_a_text(spark, sf_dir), I.ledger_b_text(spark, sf_dir), I.LEDGER_CONFIG,
                             clean_dates=False)
-    totals = rc.reconcile(a, b, I.LEDGER_CONFIG).source_totals()
-    return totals.select(*[F.round(c, 2).alias(c) for c in ("total_a", "total_b")])
+    return rc.reconcile(a, b, I.LEDGER_CONFIG).source_totals()
 
 
 @register("recon_orders_vs_lines", S.summary_sql(
@@ -422,24 +421,23 @@ def filter_none(spark, sf_dir):
 
 
 @register("analyze_stats", f"""
-SELECT count(*) AS count, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 6) AS average,
+SELECT count(*) AS count, {S.exact_sum_sql('o_totalprice')} AS total,
+       {S.exact_sum_sql('o_totalprice')} / count(o_totalprice) AS average,
        min(o_totalprice) AS minimum, max(o_totalprice) AS maximum
 FROM orders WHERE {ORDER_FILTERS_SQL.format(op='AND')}""")
 def analyze_stats(spark, sf_dir):
     result = an.analyze(I.table(spark, sf_dir, "orders"), ORDER_FILTERS, "o_totalprice", "AND")
-    return result.stats.select("count", F.round("total", 2).alias("total"), F.round("average", 6).alias("average"),
-                               "minimum", "maximum")
+    return result.stats
 
 
-@register("safe_total", """
+@register("safe_total", f"""
 SELECT sum(TRY_CAST(CAST(l_quantity AS VARCHAR) AS DOUBLE)) AS l_quantity_total,
        sum(TRY_CAST(l_returnflag AS DOUBLE)) AS l_returnflag_total,
-       round(sum(TRY_CAST(l_extendedprice AS DOUBLE)), 2) AS l_extendedprice_total
+       {S.exact_sum_sql('l_extendedprice')} AS l_extendedprice_total
 FROM lineitem""")
 def safe_total(spark, sf_dir):
     li = I.table(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("string"))
-    out = an.safe_total(li, ["l_quantity", "l_returnflag", "l_extendedprice"])
-    return out.withColumn("l_extendedprice_total", F.round("l_extendedprice_total", 2))
+    return an.safe_total(li, ["l_quantity", "l_returnflag", "l_extendedprice"])
 
 
 # -- stacking and aggregation ------------------------------------------------------
@@ -522,14 +520,14 @@ def aggregate_by_total(spark, sf_dir):
     return _ranked(result.groups)
 
 
-@register("aggregate_by_count", """
+@register("aggregate_by_count", f"""
 SELECT *, row_number() OVER (ORDER BY record_count DESC, l_linenumber NULLS LAST, l_returnflag NULLS LAST)::INTEGER AS place
-FROM (SELECT l_linenumber, l_returnflag, count(*) AS record_count, round(sum(l_extendedprice), 2) AS total_amount
+FROM (SELECT l_linenumber, l_returnflag, count(*) AS record_count, {S.exact_sum_sql('l_extendedprice')} AS total_amount
       FROM lineitem GROUP BY l_linenumber, l_returnflag)""")
 def aggregate_by_count(spark, sf_dir):
     li = io.load_files(spark, I.lineitem_parts(spark, sf_dir), fmt="parquet")
     groups = agg.aggregate(li, ["l_linenumber", "l_returnflag"], "l_extendedprice", sort_by=agg.SORT_BY_COUNT)
-    return _ranked(groups.withColumn("total_amount", F.round("total_amount", 2)))
+    return _ranked(groups)
 
 
 @register("aggregate_by_group", """
@@ -552,21 +550,20 @@ def aggregate_caller_order(spark, sf_dir):
                                  sort_by=[("l_returnflag", "desc"), ("record_count", "asc")]))
 
 
-@register("aggregate_by_supplier", """
-SELECT l_suppkey, count(*) AS record_count, round(sum(l_extendedprice), 2) AS total_amount
+@register("aggregate_by_supplier", f"""
+SELECT l_suppkey, count(*) AS record_count, {S.exact_sum_sql('l_extendedprice')} AS total_amount
 FROM lineitem GROUP BY l_suppkey""")
 def aggregate_by_supplier(spark, sf_dir):
-    groups = agg.aggregate(I.table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", sort_by=agg.SORT_BY_COUNT)
-    return groups.withColumn("total_amount", F.round("total_amount", 2))
+    return agg.aggregate(I.table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", sort_by=agg.SORT_BY_COUNT)
 
 
-@register("grand_total", """
-SELECT count(DISTINCT l_returnflag) + max(CASE WHEN l_returnflag IS NULL THEN 1 ELSE 0 END) AS row_count,
-       count(*) AS total_records, round(sum(l_extendedprice), 2) AS grand_total
-FROM lineitem""")
+@register("grand_total", f"""
+SELECT count(*) AS row_count, CAST(sum(record_count) AS BIGINT) AS total_records, {S.exact_sum_sql('total_amount')} AS grand_total
+FROM (SELECT l_returnflag, count(*) AS record_count, {S.exact_sum_sql('l_extendedprice')} AS total_amount
+      FROM lineitem GROUP BY l_returnflag)""")
 def grand_total(spark, sf_dir):
     groups = agg.aggregate(I.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", sort_by=None)
-    return agg.grand_total(groups).withColumn("grand_total", F.round("grand_total", 2))
+    return agg.grand_total(groups)
 
 
 @register("top_groups", """
@@ -581,12 +578,11 @@ def top_groups(spark, sf_dir):
     return top.withColumn("total_amount", F.col("total_amount").cast("double"))
 
 
-@register("events_by_type", """
-SELECT event_type, count(*) AS record_count, round(sum(value), 2) AS total_amount
+@register("events_by_type", f"""
+SELECT event_type, count(*) AS record_count, {S.exact_sum_sql('value')} AS total_amount
 FROM events GROUP BY event_type""")
 def events_by_type(spark, sf_dir):
-    groups = agg.aggregate(I.table(spark, sf_dir, "events"), ["event_type"], "value", sort_by=agg.SORT_BY_TOTAL)
-    return groups.withColumn("total_amount", F.round("total_amount", 2))
+    return agg.aggregate(I.table(spark, sf_dir, "events"), ["event_type"], "value", sort_by=agg.SORT_BY_TOTAL)
 
 
 @register("events_window_filter", """
@@ -602,14 +598,13 @@ def events_window_filter(spark, sf_dir):
 
 @register("events_day_totals", f"""
 SELECT {S.format_date_sql('ts', 'DD/MM/YYYY')} AS day, count(*) AS record_count,
-       round(sum(value), 2) AS total_amount
+       {S.exact_sum_sql('value')} AS total_amount
 FROM events GROUP BY 1""")
 def events_day_totals(spark, sf_dir):
     """Timestamps formatted as days (the date cleaner), then totals per day."""
     ev = I.table(spark, sf_dir, "events")
     days = ev.select(fc.format_date("ts", "DD/MM/YYYY", ev.schema["ts"].dataType).alias("day"), "value")
-    groups = agg.aggregate(days, ["day"], "value", sort_by=agg.SORT_BY_GROUP)
-    return groups.withColumn("total_amount", F.round("total_amount", 2))
+    return agg.aggregate(days, ["day"], "value", sort_by=agg.SORT_BY_GROUP)
 
 
 DOCUMENT_FILTERS = [fl.FilterRange("text", "text", "License"), fl.FilterRange("text", "text", "@")]

@@ -56,6 +56,13 @@ def format_date_sql(x: str, fmt: str) -> str:
     return f"strftime({parse_date_sql(x)}, '{STRFTIME.get(fmt, STRFTIME['YYYY-MM-DD'])}')"
 
 
+def exact_sum_sql(x: str) -> str:
+    """The sum of doubles as a whole number of units of 2^-60, made a double by one addition of two exact parts."""
+    total = f"sum(CAST(CAST({x} AS DOUBLE) * 1152921504606846976 AS HUGEINT))"
+    return (f"((CAST({total} // 1099511627776 AS DOUBLE) * 1099511627776 + CAST({total} % 1099511627776 AS DOUBLE))"
+            " / 1152921504606846976)")
+
+
 def summary_sql(ctes: str, a: str, b: str, tol: float) -> str:
     """Five separate statements' counts, side by side in one row."""
     return f"""

@@ -247,7 +247,7 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     globs in the names of files found are taken as they are.
 
     With ``infer_schema`` each column gets the narrowest type that all its values
-    in all files can be (see ``types.kinds``): one more pass over the files, and
+    in all files can be (see ``types.KINDS``): one more pass over the files, and
     blank texts are NULL in columns that are not text. A ``schema`` goes first.
 
     A record with more or fewer fields than its file's header stops the read,

@@ -8,55 +8,27 @@ Values that are NULL or blank can be of any type.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import NUMBER_TEXT, SPECIAL_NUMBER_TEXT
 from ..functions.names import column
 
-WHOLE_TEXT = r"^[+-]?\d+$"
-ISO_DATE_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}$"
 SLASH_DATE_TEXT = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$"
+ISO_DATE_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}$"
 TIMESTAMP_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?$"
 
+# The types by name, the narrowest first. A column gets the first that all its values can be, else it stays text.
+KINDS = {"boolean": "boolean", "whole": "bigint", "number": "double", "date": "date", "date, day first": "date",
+         "date, month first": "date", "timestamp": "timestamp_ntz"}
+BIT = {kind: 1 << i for i, kind in enumerate(KINDS)}
 
-@dataclass(frozen=True)
-class Kind:
-    """A type that a column of text can have: ``fits`` holds for the trimmed texts that ``value`` reads without loss."""
-
-    name: str
-    sql_type: str
-    fits: Column
-    value: Column
-
-
-def _date(text: Column, iso: str) -> Column:
-    """The date of a text with the year last. A cast of the ISO form fails without the exception a date pattern raises."""
-    return F.regexp_replace(text, SLASH_DATE_TEXT, iso).try_cast("date")
-
-
-def kinds(text: Column) -> list[Kind]:
-    """The types, the narrowest first; a column gets the first one that all its values can be, else stays text.
 
-    A date whose day and month can be told from no value of the column is read with
-    the day first, as the date cleaner does. A whole number can be a number too, a
-    date of the ISO form a timestamp."""
-    whole = text.try_cast("bigint")
-    iso, slashed = text.rlike(ISO_DATE_TEXT), text.rlike(SLASH_DATE_TEXT)
-    stamped = text.rlike(TIMESTAMP_TEXT)
-    day_first, month_first = _date(text, "$4-$3-$1"), _date(text, "$4-$1-$3")
-    return [
-        Kind("boolean", "boolean", F.lower(text).isin("true", "false"), text.try_cast("boolean")),
-        Kind("whole", "bigint", F.when(text.rlike(WHOLE_TEXT), whole.isNotNull()), whole),
-        Kind("number", "double", text.rlike(NUMBER_TEXT) | text.rlike(SPECIAL_NUMBER_TEXT), text.try_cast("double")),
-        Kind("date", "date", F.when(iso, text.try_cast("date").isNotNull()), text.try_cast("date")),
-        Kind("date, day first", "date", F.when(slashed, day_first.isNotNull()), day_first),
-        Kind("date, month first", "date", F.when(slashed, month_first.isNotNull()), month_first),
-        Kind("timestamp", "timestamp_ntz", F.when(iso | stamped, text.try_cast("timestamp_ntz").isNotNull()),
-             text.try_cast("timestamp_ntz")),
-    ]
+def _value(text: Column, kind: str) -> Column:
+    """The text read as a type; NULL if it is none. Casts fail without the exception that a date pattern raises."""
+    if kind in ("date, day first", "date, month first"):
+        text = F.regexp_replace(text, SLASH_DATE_TEXT, "$4-$3-$1" if kind == "date, day first" else "$4-$1-$3")
+    return text.try_cast(KINDS[kind])
 
 
 def _trimmed(c: Column) -> Column:
@@ -65,13 +37,33 @@ def _trimmed(c: Column) -> Column:
 
 
 def _possible(text: Column) -> Column:
-    """The types that a text can be, as bits; NULL where it holds nothing."""
-    bits = [F.when(k.fits, F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(kinds(text))]
-    return F.when(text.isNotNull(), sum(bits[1:], bits[0]).cast("long"))
+    """The types that a text can be, as bits; NULL where it holds nothing.
+
+    A whole number can be a number too, a date of the ISO form a timestamp, and a date
+    with the year last either of two where its day is at most 12. What begins like no
+    number and no date is tried as neither."""
+    def bits(*kinds: str) -> Column:
+        return F.lit(sum(BIT[k] for k in kinds)).cast("long")
+
+    def if_read(kind: str) -> Column:
+        return F.when(_value(text, kind).isNotNull(), bits(kind)).otherwise(bits())
+
+    whole = (F.translate(text, "+-0123456789", "") == "") & _value(text, "whole").isNotNull()
+    begins = F.substring(text, 1, 1)
+    return (F.when(text.isNull(), F.lit(None).cast("long"))
+            .when(begins.between("0", "9") | begins.isin("+", "-", "."), F.when(
+                text.rlike(NUMBER_TEXT), F.when(whole, bits("whole", "number")).otherwise(bits("number")))
+                .when(text.rlike(SLASH_DATE_TEXT), if_read("date, day first") + if_read("date, month first"))
+                .when(text.rlike(ISO_DATE_TEXT), F.when(_value(text, "date").isNotNull(), bits("date", "timestamp")).otherwise(bits()))
+                .when(text.rlike(TIMESTAMP_TEXT), if_read("timestamp"))
+                .when(text.rlike(SPECIAL_NUMBER_TEXT), bits("number")).otherwise(bits()))
+            .when(F.lower(text).isin("true", "false"), bits("boolean"))
+            .when(text.rlike(SPECIAL_NUMBER_TEXT), bits("number")).otherwise(bits()))
 
 
 def column_types(df: DataFrame, names: list[str] | None = None) -> dict[str, str]:
-    """The type of each text column (all, unless ``names``): a name of ``kinds``, or ``text``.
+    """The type of each text column (all, unless ``names``): a name of ``KINDS``, or ``text``. A date
+    whose day and month can be told from no value is read with the day first, as the date cleaner does.
 
     One job over the table, its result a row per column. A column without a value, and
     any column of a table without rows, is text."""
@@ -81,18 +73,15 @@ def column_types(df: DataFrame, names: list[str] | None = None) -> dict[str, str
     # one small expression over (column, text) rows; a wide one, of all columns and types, would be too large to compile
     texts = df.select(F.posexplode(F.array(*[_trimmed(column(n)) for n in names])).alias("at", "text"))
     found = dict(tuple(r) for r in texts.groupBy("at").agg(F.bit_and(_possible(F.col("text")))).collect())  # a row per column
-    order = [k.name for k in kinds(F.lit(""))]
-    return {n: next((k for j, k in enumerate(order) if (found.get(i) or 0) >> j & 1), "text") for i, n in enumerate(names)}
+    return {n: next((k for k in KINDS if (found.get(i) or 0) & BIT[k]), "text") for i, n in enumerate(names)}
 
 
 def with_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Text columns read as the types given for them; blank texts are NULL there, columns of the type ``text`` (and
     those not named) stay as they are, and so does a table's order of columns."""
     def read(name: str) -> Column:
-        if types.get(name, "text") == "text":
-            return column(name)
-        kind = next(k for k in kinds(_trimmed(column(name))) if k.name == types[name])
-        return kind.value.cast(kind.sql_type).alias(name)
+        kind = types.get(name, "text")
+        return column(name) if kind == "text" else _value(_trimmed(column(name)), kind).alias(name)
 
     return df.select(*[read(n) for n in df.columns])
 
