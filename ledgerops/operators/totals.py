@@ -23,37 +23,46 @@ CARRIES = 4               # further digits that a sum's carries can reach
 DOUBLE_BITS = 54          # at least the bits of a double and one
 
 
-def _scaled(x: Column, power: Column) -> Column:
-    """x * BASE**power, in two equal steps of which neither leaves the range of doubles."""
-    step = F.pow(F.lit(2.0), power * (BITS // 2))
-    return x * step * step
+def _scaled(x: str, power: str) -> str:
+    """x * BASE**power as SQL, in two equal steps of which neither leaves the range of doubles."""
+    step = f"pow(2D, ({power}) * {BITS // 2})"
+    return f"({x}) * {step} * {step}"
 
 
 def _with_limbs(rows: DataFrame) -> DataFrame:
     """``x`` cut into the limbs l0 (the lowest) to l3 above BASE**b, with its sign. All steps are exact, and each is made
     once, in a projection of its own. Zeros and values beyond the numbers have neither limbs nor ``b``."""
-    x = F.col("x")
-    usual = (x != 0) & (F.abs(x) < float("inf"))  # NaN is above all numbers here
-    power = F.floor((F.floor(F.log2(F.abs(x))) - DOUBLE_BITS) / BITS).cast("int")
-    rows = rows.withColumn("b", F.when(usual, power)).withColumn("size", _scaled(F.abs(x), -F.col("b")))
-    rows = rows.withColumn("high", F.floor(F.col("size") / float(BASE**2)))
-    rows = rows.withColumn("low", (F.col("size") - F.col("high") * float(BASE**2)).cast("long"))
-    sign = F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)).cast("long")
-    halves = [F.col("low"), F.col("high")]
-    limbs = [sign * limb for half in halves for limb in (half.bitwiseAND(F.lit(BASE - 1)), F.shiftright(half, BITS))]
-    return rows.withColumns({f"l{i}": limb for i, limb in enumerate(limbs)}).drop("size", "low", "high")
-
-
-def _carried(digits: Column) -> Column:
+    usual = "x != 0 AND abs(x) < double('inf')"  # NaN is above all numbers here
+    rows = rows.selectExpr("*", f"CASE WHEN {usual} THEN int(floor((floor(log2(abs(x))) - {DOUBLE_BITS}) / {BITS})) END AS b")
+    rows = rows.selectExpr("*", f"{_scaled('abs(x)', '-b')} AS size", "CASE WHEN x < 0 THEN -1L ELSE 1L END AS sign")
+    rows = rows.selectExpr("*", f"floor(size / {BASE**2}D) AS high")
+    rows = rows.selectExpr("*", f"bigint(size - high * {BASE**2}D) AS low")
+    limbs = [f"sign * {limb}" for half in ("low", "high") for limb in (f"({half} & {BASE - 1}L)", f"shiftright({half}, {BITS})")]
+    return rows.selectExpr("*", *[f"{limb} AS l{i}" for i, limb in enumerate(limbs)])
+
+
+def _carried(digits: str) -> str:
     """Signed sums, the lowest first -> digits from 0 to BASE-1 of the same number, and what is carried out of them."""
-    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("digits"))
+    return (f"aggregate({digits}, named_struct('carry', 0L, 'digits', CAST(array() AS array<bigint>)), (s, d) -> named_struct("
+            f"'carry', shiftright(d + s.carry, {BITS}), 'digits', concat(s.digits, array((d + s.carry) & {BASE - 1}L))))")
 
-    def add(state: Column, digit: Column) -> Column:
-        total = digit + state["carry"]
-        return F.struct(F.shiftright(total, BITS).alias("carry"),
-                        F.concat(state["digits"], F.array(total.bitwiseAND(F.lit(BASE - 1)))).alias("digits"))
 
-    return F.aggregate(digits, start, add)
+def _rounded(merged: DataFrame) -> DataFrame:
+    """``total`` of every row's ``sums`` (struct of a power b and the sums l of its limbs), ``beyond`` and ``n``."""
+    top = CARRIES + LIMBS - 1
+    # one digit for each power from the lowest up, then carries; a negative sum is carried again with its sign turned
+    placed = merged.selectExpr("*", "array_min(transform(sums, s -> s.b)) AS first", f"array_max(transform(sums, s -> s.b)) + {top} AS last").selectExpr(
+        "*", "CASE WHEN first IS NOT NULL THEN transform(sequence(first, last), p -> aggregate(sums, 0L, (t, s) -> t + coalesce(get(s.l, p - s.b), 0L))) END AS digits")
+    carried = placed.selectExpr("*", f"{_carried('digits')} AS up").selectExpr(
+        "*", f"CASE WHEN up.carry < 0 THEN {_carried('transform(digits, d -> -d)')}.digits ELSE up.digits END AS d")
+    found = carried.selectExpr("*", "array_max(transform(d, (x, i) -> CASE WHEN x != 0 THEN i END)) AS top",
+                               "array_min(transform(d, (x, i) -> CASE WHEN x != 0 THEN i END)) AS bottom")
+    at = [f"coalesce(get(d, top - {back}), 0L)" for back in range(LIMBS)]
+    # two exact doubles, the lower one with a last bit for all digits below: their sum is rounded once, the scale is exact
+    upper = f"double({at[0]} * {BASE}L + {at[1]}) * {2 * BASE**2}D"
+    lower = f"double(({at[2]} * {BASE}L + {at[3]}) * 2L + CASE WHEN bottom < top - 3 THEN 1L ELSE 0L END)"
+    size = _scaled(f"({upper} + {lower}) / 2D", "first + top - 3")
+    return found.selectExpr("*", f"CASE WHEN n > 0 THEN coalesce(beyond, CASE WHEN up.carry < 0 THEN -1D ELSE 1D END * {size}, 0D) END AS total")
 
 
 def is_inexact(kind: T.DataType) -> bool:
@@ -92,23 +101,7 @@ def exact_totals(df: DataFrame, groups: list[str], values: dict[str, Column], ot
         F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", F.array(*[f"l{i}" for i in range(LIMBS)]).alias("l")))).alias("sums"),
         F.sum("beyond").alias("beyond"), F.sum("n").alias("n"),
         *[whole[how](f"o{i}").alias(f"o{i}") for i, (_, how) in enumerate(others.values())])
-    # one digit for each power from the lowest up, then carries; a negative sum is carried again with its sign turned
-    low = F.array_min(F.transform("sums", lambda s: s["b"]))
-    high = F.array_max(F.transform("sums", lambda s: s["b"])) + LIMBS - 1 + CARRIES
-    digit = lambda p: F.aggregate(F.col("sums"), F.lit(0).cast("long"), lambda t, s: t + F.coalesce(F.get(s["l"], p - s["b"]), F.lit(0)))
-    placed = merged.withColumn("low", low).withColumn("digits", F.when(F.col("low").isNotNull(), F.transform(F.sequence(F.col("low"), high), digit)))
-    signed = placed.withColumn("up", _carried(F.col("digits"))).withColumn("negative", F.col("up.carry") < 0)
-    turned = signed.withColumn("d", F.when(F.col("negative"), _carried(F.transform("digits", lambda d: -d))["digits"]).otherwise(F.col("up.digits")))
-    filled = F.transform("d", lambda d, i: F.when(d != 0, i))
-    topped = turned.withColumn("top", F.array_max(filled)).withColumn("bottom", F.array_min(filled))
-    at = lambda back: F.coalesce(F.get("d", F.col("top") - back), F.lit(0))
-    # two exact doubles, the lower one with a last bit for all digits below: their sum is rounded once, the scale is exact
-    upper = (at(0) * BASE + at(1)).cast("double") * float(2 * BASE**2)
-    lower = ((at(2) * BASE + at(3)) * 2 + F.when(F.col("bottom") < F.col("top") - 3, F.lit(1)).otherwise(F.lit(0))).cast("double")
-    size = _scaled((upper + lower) / 2, F.col("low") + F.col("top") - 3)
-    exact = F.coalesce(F.when(F.col("negative"), -size).otherwise(size), F.lit(0.0))
-    total = F.when(F.col("n") > 0, F.coalesce(F.col("beyond"), exact))
-    done = topped.select(*names, "v", *[f"o{i}" for i in range(len(others))], total.alias("total"))
+    done = _rounded(merged)
     done = done.groupBy(*names).agg(
         *[F.max(F.when(F.col("v") == i, F.col("total"))).alias(f"t{i}") for i in range(len(values))],
         *[F.max(F.when(F.col("v") == 0, F.col(f"o{i}"))).alias(f"o{i}") for i in range(len(others))]) if len(values) > 1 or not groups \
