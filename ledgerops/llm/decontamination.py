@@ -5,27 +5,35 @@ Every task builds suffix arrays over the words of its documents, shard by shard
 the benchmark in them. A suffix array is sorted eight bytes at a time, and only
 the buckets that some benchmark window falls into are sorted deeper. Neighbouring
 hits on one diagonal join to verbatim matches of any length with their places.
-No document text is shuffled; the benchmark goes to the tasks in blocks of a
-checked size.
+No document text is shuffled. The windows are built in tasks as a written table
+of blocks, places in the block's text instead of copies of it; blocks are of a
+checked size and are sent to the tasks one after the other, each searched over all
+documents before the next is read.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from functools import reduce
+import functools
+import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, text_bytes
+from .common import read_table, text_bytes, written
 
 WINDOW = 10
 SHARD_WORDS = 1 << 21
 SHARD_BYTES = 16 << 20
-BLOCK_BYTES = 32 << 20  # benchmark text per broadcast block
+BLOCK_BYTES = 8 << 20  # benchmark text per broadcast block, about
+PIECE_WORDS = 4096     # of an item, and
+PIECE_BYTES = 1 << 18  # at most, but for ten longer words
+PIECES = pa.schema([("row", pa.int64()), ("item_id", pa.string()), ("first_word", pa.int64()), ("body", pa.binary())])
+ARRAYS = ("start", "length", "words", "first", "item", "item_word")
+BLOCKS = f"block int, body binary, {', '.join(f'`{a}` binary' for a in ARRAYS)}, ids array<string>"
 MATCHES = "array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>"
 
 
@@ -45,25 +53,67 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def item_windows(items: list[tuple[str, bytes]], size: int) -> dict:
-    """Distinct windows (word strings closed by a space) as 8-byte chunks, and where items have them."""
-    places: dict[bytes, dict[int, int]] = defaultdict(dict)
-    for number, (_, text) in enumerate(items):
-        words = words_of(text)
-        for j in range(max(1, len(words) - size + 1) if words else 0):
-            places[b" ".join(words[j:j + size]) + b" "].setdefault(number, j)
-    texts = list(places)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    depth = -(-int(lengths.max(initial=1)) // 8)
-    padded = b"".join(t.ljust(8 * depth, b"\0") for t in texts)
-    return {
-        "size": size, "ids": [i for i, _ in items], "lengths": lengths,
-        "chunks": np.frombuffer(padded, ">u8").astype(np.uint64).reshape(-1, depth),
-        "words": np.array([t.count(b" ") for t in texts], np.int64),
-        "first": np.cumsum([0] + [len(p) for p in places.values()]),
-        "item": np.array([i for p in places.values() for i in p], np.int64),
-        "item_word": np.array([j for p in places.values() for j in p.values()], np.int64),
-    }
+def cut_items(size: int):
+    """mapInArrow function (row, item_id, text) -> PIECES: the words of every item, each closed by a space, cut so that
+    every window stands in exactly one piece."""
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for row, item, text in zip(batch["row"].to_pylist(), batch["item_id"].to_pylist(), text_bytes(batch["text"])):
+                words = words_of(text)
+                start = end = 0
+                while end < len(words):
+                    length = 0
+                    while end < len(words) and (end - start < size or (end - start < PIECE_WORDS and length < PIECE_BYTES)):
+                        length += len(words[end])
+                        end += 1
+                    out.append((row, item or "", start, b" ".join(words[start:end]) + b" "))
+                    start = end - size + 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(PIECES)], schema=PIECES)
+
+    return cut
+
+
+def block_windows(size: int):
+    """applyInPandas function: the pieces of one block -> the block, its distinct windows as places in its text, and the
+    items that have each (with the first place there)."""
+    def build(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values("id")
+        body = b"".join(pieces["body"])
+        rows = {row: i for i, row in enumerate(dict.fromkeys(pieces["row"]))}
+        ids = list(dict(zip(pieces["row"], pieces["item_id"])).values())
+        numbers: dict[bytes, int] = {}
+        seen: set[tuple[int, int]] = set()
+        found, places, base = [], [], 0
+        for row, first_word, piece in zip(pieces["row"], pieces["first_word"], pieces["body"]):
+            ends = np.flatnonzero(np.frombuffer(piece, np.uint8) == 32) + 1
+            starts = [0, *ends[:-1].tolist()]
+            for j in range(max(1, len(ends) - size + 1)):
+                last = min(j + size, len(ends)) - 1
+                lo, hi = starts[j], int(ends[last])
+                number = numbers.setdefault(hashlib.blake2b(piece[lo:hi], digest_size=16).digest(), len(numbers))
+                if number == len(found):
+                    found.append((base + lo, hi - lo, last - j + 1))
+                if (number, rows[row]) not in seen:
+                    seen.add((number, rows[row]))
+                    places.append((number, rows[row], first_word + j))
+            base += len(piece)
+        start, length, words = np.array(found, np.int64).reshape(-1, 3).T
+        number, item, item_word = np.array(places, np.int64).reshape(-1, 3).T
+        order = np.argsort(number, kind="stable")
+        first = np.searchsorted(number[order], np.arange(len(found) + 1))
+        arrays = dict(zip(ARRAYS, (start, length, words, first, item[order], item_word[order])))
+        return pd.DataFrame({"block": [pieces["block"].iloc[0]], "body": [body],
+                             **{a: [x.astype(np.int64).tobytes()] for a, x in arrays.items()}, "ids": [ids]})
+
+    return build
+
+
+def _windows(row) -> dict:
+    """A row of BLOCKS as arrays; without one, a block without windows."""
+    body = bytes(row["body"]) if row else b""
+    arrays = {a: np.frombuffer(bytes(row[a]), np.int64) if row else np.zeros(int(a == "first"), np.int64) for a in ARRAYS}
+    return {**arrays, "text": np.frombuffer(body + bytes(8), np.uint8), "ids": list(row["ids"]) if row else []}
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -72,11 +122,13 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def locate(text: np.ndarray, starts: np.ndarray, chunks: np.ndarray, lengths: np.ndarray):
+def locate(text: np.ndarray, starts: np.ndarray, windows: dict):
     """(window, suffix) for every suffix ``text[starts[i]:]`` that begins with a window.
 
     Sorts the suffixes by their next eight bytes and searches the windows' next
     eight; buckets that hold a longer window are sorted further."""
+    lengths, window_start = windows["length"], windows["start"]
+    window_view = np.ndarray((len(windows["text"]) - 7,), ">u8", windows["text"], strides=(1,))
     view = np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
     place, owner = starts, np.arange(len(starts))
     suffix_group = np.zeros(len(starts), np.int64)
@@ -85,10 +137,10 @@ def locate(text: np.ndarray, starts: np.ndarray, chunks: np.ndarray, lengths: np
     depth, found = 0, []
     while len(query) and len(place):
         key = view[place + 8 * depth].astype(np.uint64)
-        low = chunks[query, depth]
         left = np.minimum(lengths[query] - 8 * depth, 8)
-        high = low | np.where(left < 8, (np.uint64(1) << (8 * (8 - left) % 64).astype(np.uint64)) - np.uint64(1),
-                              np.uint64(0))
+        behind = np.where(left < 8, (np.uint64(1) << (8 * (8 - left) % 64).astype(np.uint64)) - np.uint64(1), np.uint64(0))
+        high = window_view[window_start[query] + 8 * depth].astype(np.uint64) | behind
+        low = high ^ behind
         if depth:
             values, rank = np.unique(np.concatenate([key, low, high]), return_inverse=True)
             rank = rank + np.concatenate([suffix_group, group, group]) * len(values)
@@ -116,13 +168,13 @@ def search(texts: list[bytes], windows: dict) -> tuple[np.ndarray, list[np.ndarr
     word = (raw != 32) & ~ends
     after = np.concatenate([[False], word[:-1]])
     keep = word | ends | after  # words, one space after each, and the ends of texts
-    text = np.concatenate([raw[keep], np.zeros(8 * (windows["chunks"].shape[1] + 2), np.uint8)])
+    text = np.concatenate([raw[keep], np.zeros(int(windows["length"].max(initial=1)) + 24, np.uint8)])
     starts = np.flatnonzero((word & ~after)[keep])
     bounds = np.searchsorted(starts, np.flatnonzero(ends[keep]))  # words up to the end of each text
     counts = np.diff(np.concatenate([[0], bounds]))
     hits = []
     for lo in range(0, len(starts), SHARD_WORDS):
-        window, suffix = locate(text, starts[lo:lo + SHARD_WORDS], windows["chunks"], windows["lengths"])
+        window, suffix = locate(text, starts[lo:lo + SHARD_WORDS], windows)
         hits.append((window, suffix + lo))
     window, at = (np.concatenate([h[i] for h in hits]) if hits else np.array([], np.int64) for i in (0, 1))
     # every item that has the window
@@ -207,18 +259,53 @@ def covered_words():
     return count
 
 
-def benchmark_blocks(benchmark: DataFrame, size: int = WINDOW) -> list:
-    """Broadcast windows of the benchmark, in blocks of at most about BLOCK_BYTES of its text."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def benchmark_blocks(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, int]:
+    """The written table of window blocks, and how many it has. A block is about BLOCK_BYTES of the benchmark's words: pieces
+    of items are far smaller, and are dealt out by their own numbers (repeated items to different blocks)."""
+    items = benchmark.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("string").alias("item_id"),
+                             F.col("text").cast("string").alias("text"))
+    cut = items.mapInArrow(cut_items(size), "row long, item_id string, first_word long, body binary")
+    pieces = written(cut.withColumn("id", F.monotonically_increasing_id()), "decontamination-pieces")
+    total = pieces.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    out = []
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return written(dealt.groupBy("block").applyInPandas(block_windows(size), BLOCKS), "decontamination-blocks", BLOCK_BYTES), blocks
+
+
+def _sent(table: DataFrame, block: int):
+    """One block of windows (of a size checked when it was dealt), broadcast."""
+    rows = table.where(F.col("block") == block).take(1)
+    return table.sparkSession.sparkContext.broadcast(_windows(rows[0] if rows else None))
+
+
+def _digest():
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def _matches_by_block(docs: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
+    """(_id, _digest, _matches): the matches of each distinct (doc_id, text) that has any, one block searched at a time."""
+    rows = docs.select(F.col("doc_id").alias("_id"), _digest().alias("_digest"), F.col("text").cast("string").alias("text"))
+    parts = []
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = [(r[0] or "", (r[1] or "").encode()) for r in part.collect()]
-        out.append(spark.sparkContext.broadcast(item_windows(rows, size)))
-    return out
+        shared = _sent(table, b)
+        found = rows.select("_id", "_digest", matcher(shared)("text")["matches"].alias("_matches")).where(F.size("_matches") > 0)
+        parts.append(written(found.dropDuplicates(["_id", "_digest"]), "decontamination-matches"))
+        shared.destroy()
+    found = functools.reduce(DataFrame.unionByName, parts)
+    return found.groupBy("_id", "_digest").agg(F.flatten(F.collect_list("_matches")).alias("_matches"))
+
+
+def _same_row():
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (_digest() == F.col("_digest"))
+
+
+def word_counts():
+    """Arrow function text -> its number of words."""
+    @F.arrow_udf("int")
+    def count(column: pa.Array) -> pa.Array:
+        return pa.array([len(words_of(t)) for t in text_bytes(column)], pa.int32())
+
+    return count
 
 
 def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -226,23 +313,34 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
     A window is ``window`` consecutive item words, or all words of a shorter
     item; matches are the verbatim runs of such windows (item, word in the item,
-    word in the document, words). Null texts have no words; items without words
+    word in the document, words). A window that an item repeats counts at its first
+    place there; an item so long that it lies in several blocks has such a place, and
+    its runs end, in each. Null texts have no words; items without words
     have no window; items with a null id are reported under an empty id;
-    repeated rows and items stay as they are; an empty benchmark matches nothing."""
+    repeated rows and items stay as they are; an empty benchmark matches nothing, an empty table
+    gives none. Texts and items may be of any length: documents are searched in shards, items are cut into
+    pieces. Other columns of ``docs``, whatever their names, are not looked at.
+
+    A benchmark of one block costs one pass over the texts; each further block is
+    another, whose matches are written and put together by document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = benchmark_blocks(benchmark, window)
-    found = [f"f{i}" for i in range(len(blocks))]
-    rows = rows.select("doc_id", *[matcher(b)("text").alias(c) for b, c in zip(blocks, found)])
-    rows = rows.select("doc_id", F.col("f0.n_words").alias("n_words"),
-                       F.concat(*[F.col(f"{c}.matches") for c in found]).alias("matches"))
+    table, blocks = benchmark_blocks(benchmark, window)
+    if blocks == 1:
+        rows = rows.select("doc_id", matcher(_sent(table, 0))("text").alias("f")).select("doc_id", "f.n_words", "f.matches")
+    else:
+        found = _matches_by_block(rows, table, blocks)
+        rows = rows.join(found, _same_row(), "left").select(
+            "doc_id", word_counts()("text").alias("n_words"), F.coalesce("_matches", F.array().cast(MATCHES)).alias("matches"))
     return rows.select("doc_id", "n_words", covered_words()("matches").alias("n_hit"), "matches")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs."""
-    clean = [F.size(matcher(b)(F.col("text").cast("string"))["matches"]) == 0
-             for b in benchmark_blocks(benchmark, window)]
-    return docs.where(reduce(lambda x, y: x & y, clean))
+    """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns (see ``match_documents``
+    for odd rows)."""
+    table, blocks = benchmark_blocks(benchmark, window)
+    if blocks == 1:
+        return docs.where(F.size(matcher(_sent(table, 0))(F.col("text").cast("string"))["matches"]) == 0)
+    return docs.join(_matches_by_block(docs, table, blocks), _same_row(), "left_anti")
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

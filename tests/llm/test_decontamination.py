@@ -85,6 +85,35 @@ def test_small_shards_and_blocks_give_the_same_result(spark, monkeypatch):
     check(spark, *corpus(3))
 
 
+def test_long_items_in_pieces_and_long_words(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(3 * D.PIECE_WORDS))
+    giant = "g" * 400_000
+    items = [(1, long), (2, f"a {giant} b"), (3, " ".join(["same"] * 5000)), (4, f"{giant}x")]
+    w = long.split()
+    docs = [" ".join(w[D.PIECE_WORDS - 20:D.PIECE_WORDS + 20]), " ".join(w[2 * D.PIECE_WORDS - 30:2 * D.PIECE_WORDS]),
+            f"see a {giant} b", giant, "same " * 40, long, " ".join(w[::-1][:50])]
+    check(spark, docs, items)
+    pieces = [r["body"] for r in D.benchmark_blocks(spark.createDataFrame(items, "item_id long, text string"))[0].collect()]
+    assert sum(map(len, pieces)) < sum(len(t) for _, t in items) + 5000  # places, not copies
+
+
+def test_blocks_are_bounded_and_keep_every_window(spark, monkeypatch):
+    docs, items = corpus(4)
+    monkeypatch.setattr(D, "BLOCK_BYTES", 700)
+    table, blocks = D.benchmark_blocks(spark.createDataFrame(items * 3, "item_id long, text string"))
+    rows = table.collect()
+    assert blocks > 3 and max(len(r["body"]) for r in rows) < 4 * 700
+    found = {bytes(r["body"])[s:s + n] for r in rows for s, n in zip(np.frombuffer(r["start"], np.int64), np.frombuffer(r["length"], np.int64))}
+    want = {" ".join(words(t)[j:j + 10]).encode() + b" " for _, t in items if words(t) for j in range(max(1, len(words(t)) - 9))}
+    assert found == want
+
+
+def test_odd_rows_over_several_blocks(spark, odd_docs, no_docs, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 8)
+    test_odd_rows(spark, odd_docs, no_docs)
+
+
 def test_query_matches_brute_force(spark):
     docs = read_table(spark, SF_SMALL, "documents").orderBy("doc_id").collect()
     items = [(r["item_id"], r["text"]) for r in read_table(spark, SF_SMALL, "benchmark").collect()]
