@@ -19,7 +19,7 @@ Plan shape (Spark-first instead of five separate statements):
   side and replicates the other side's piece (no hand-made salting needed);
 * the missing sets are anti-joins against the *distinct* keys of the other
   side, so the right side of the anti-join is deduplicated map-side and a hot
-  key there is one row;
+  key there is one row; both sides are shuffled, whatever the keys' estimated size;
 * rows with a NULL key skip the anti-join (they are missing by definition), so
   they never meet in one partition;
 * the summary counts pairs without forming them: both sides are stacked and
@@ -252,7 +252,9 @@ class Reconciliation:
     @staticmethod
     def _missing(df: DataFrame, key: Column, other: DataFrame, other_key: Column) -> DataFrame:
         keys = other.select(other_key.alias("_other_key")).where(F.col("_other_key").isNotNull()).distinct()
-        keyed = df.where(key.isNotNull()).join(keys, key == F.col("_other_key"), "left_anti")
+        # Both sides are always dealt out by key, and each task holds its own share of the distinct keys. The keys of a
+        # compressed file are estimated small: a broadcast would hold all keys of the other source in every executor.
+        keyed = df.where(key.isNotNull()).join(keys.hint("shuffle_hash"), key == F.col("_other_key"), "left_anti")
         return keyed.unionAll(df.where(key.isNull()))
 
     @property

@@ -85,3 +85,14 @@ def test_null_keys_do_not_meet_in_one_partition(spark):
         plan = missing._jdf.queryExecution().optimizedPlan().toString()
     joined = plan.split("LeftAnti", 1)[1].split("Filter isnull")[0]
     assert "isnotnull(k" in joined or "NOT (id" in joined
+
+
+def test_missing_rows_never_broadcast_all_keys(spark):
+    """However small the keys are estimated, each task of the anti-join holds only its share of them."""
+    a = spark.range(0, 5000).select(F.col("id").alias("k"), F.lit("x").alias("d"), F.lit(1.0).alias("amt"))
+    b = a.where("k % 5 <> 0").unionByName(a.select((F.lit(-1) - F.col("k")).alias("k"), "d", "amt"))
+    with conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}):
+        recon = rc.reconcile(a, b, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.01))
+        for missing, n in ((recon.missing_in_b, 1000), (recon.missing_in_a, 5000)):
+            assert len(missing.collect()) == n
+            assert "Broadcast" not in missing._jdf.queryExecution().executedPlan().toString()
