@@ -28,6 +28,11 @@ from pyspark.sql import types as T
 
 # Where an event stands among events of the same amount: before the rows, a row, behind the rows.
 BEFORE, ROW, BEHIND = 0, 1, 2
+# The place is held in steps of STEP, with flags of the row below it.
+STEP, DATED, KNOWN = 4, 2, 1
+# A sort's share of a source's estimated (compressed) bytes: its events take some hundred times as much memory.
+SHARE_BYTES = 512 << 10
+MOST_SHARES = 4000
 
 
 @dataclass(frozen=True)
@@ -121,45 +126,70 @@ def near_counts(rows: DataFrame, reach: Reach | None) -> DataFrame:
     base = rows.select("k", "d", F.when(finite, amount).alias("x"), F.col("amt").isNotNull().alias("known"), "n_a", "n_b")
     events = _events(base, reach)
     # one task's share of the order each, cut inside a group where need be
-    placed = events.repartitionByRange("of_date", "k", "day", "x", "place").withColumn("part", F.spark_partition_id())
-    group = ["of_date", "k", "day"]
-    until = Window.partitionBy("part", *group).orderBy("x", "place").rowsBetween(Window.unboundedPreceding, 0)
-    is_row, dated = F.col("place") == ROW, F.col("dated")
+    placed = events.repartitionByRange("k", "day", "x", "place").withColumn("part", F.spark_partition_id())
+    # the key first, wherever rows are sorted: its leading bytes tell most rows apart
+    group = ["k", "day"]
+    shares = _shares(rows)
+    if shares:
+        placed = placed.repartition(shares, *group, "part")
+    until = Window.partitionBy(*group, "part").orderBy("x", "place").rowsBetween(Window.unboundedPreceding, 0)
+    has, dated, known = F.col("x").isNotNull(), F.col("place").bitwiseAND(DATED) != 0, F.col("place").bitwiseAND(KNOWN) != 0
+    is_row = F.col("place").between(ROW * STEP, BEHIND * STEP - 1)
     counted = placed.select(
-        "part", *group, "place", "n", "m", "dated", "known",
+        "part", *group, "place", "n", "m", has.alias("has"),
         *[F.coalesce(F.sum(F.when(counts, F.col("n"))).over(until), F.lit(0)).alias(name)
-          for name, counts in (("w", is_row & F.col("x").isNotNull()), ("wd", is_row & F.col("x").isNotNull() & dated))],
-        F.col("x").isNotNull().alias("has"))
+          for name, counts in (("w", is_row & has), ("wd", is_row & has & dated))])
 
     def total(value: Column, condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
 
     n, m = F.col("n"), F.col("m")
-    parts = counted.groupBy("part", *group).agg(
+    parts = counted.groupBy(*group, "part").agg(
         total(n * F.col("w"), ~is_row).alias("near"), total(n * F.col("wd"), ~is_row & dated).alias("near_dated"),
         total(n, is_row & F.col("has")).alias("w"), total(n, is_row & F.col("has") & dated).alias("wd"),
         total(n, ~is_row).alias("q"), total(n, ~is_row & dated).alias("qd"),
         total(n, is_row).alias("rows_a"), total(m, is_row).alias("rows_b"),
-        total(n, is_row & F.col("known")).alias("known_a"), total(m, is_row & F.col("known")).alias("known_b"))
+        total(n, is_row & known).alias("known_a"), total(m, is_row & known).alias("known_b"))
+    if shares:
+        parts = parts.repartition(shares, *group)
     earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.withColumns({
         "near": F.col("near") + F.col("q") * F.coalesce(F.sum("w").over(earlier), F.lit(0)),
         "near_dated": F.col("near_dated") + F.col("qd") * F.coalesce(F.sum("wd").over(earlier), F.lit(0))})
     sums = ("rows_a", "rows_b", "known_a", "known_b", "near", "near_dated")
-    return carried.groupBy(*group).agg(*[F.sum(c).alias(c) for c in sums]).select("k", "of_date", *sums)
+    return carried.groupBy(*group).agg(*[F.sum(c).alias(c) for c in sums]).select(
+        "k", F.col("day").isNotNull().alias("of_date"), *sums)
+
+
+def _shares(rows: DataFrame) -> int | None:
+    """The number of partitions that a large table's events are dealt into; None where the session's will do.
+
+    AQE joins partitions, but never makes more than ``spark.sql.shuffle.partitions``: for a table that has grown
+    beyond them the number follows Spark's estimate of its size (no job runs for it), so that a task's share
+    stays the same."""
+    plan = getattr(rows, "_jdf", None)  # none on a Spark Connect session
+    if plan is None:
+        return None
+    wanted = int(plan.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARE_BYTES
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(wanted, MOST_SHARES) if usual < min(wanted, MOST_SHARES) else None
 
 
 def _events(base: DataFrame, reach: Reach | None) -> DataFrame:
-    """(of_date, k, day, x, place, n, m, dated, known): rows and range ends, by key and again by key and date."""
+    """(k, day, x, place, n, m): rows and range ends, by key (no day) and again by key and date.
+
+    place holds the place among events of one amount in steps of STEP, with the flags DATED and KNOWN of the row."""
     day_type, dated = base.schema["d"].dataType, F.col("d").isNotNull()
     has_x = F.col("x").isNotNull()
     zero = F.lit(0).cast("long")
+    flags = F.when(dated, DATED).otherwise(0) + F.when(F.col("known"), KNOWN).otherwise(0)
 
     def event(of_date: bool, x: Column, place: Column, n: Column, m: Column) -> Column:
         day = F.col("d") if of_date else F.lit(None).cast(day_type)
-        return F.struct(F.lit(of_date).alias("of_date"), day.alias("day"), x.alias("x"), place.cast("int").alias("place"),
+        return F.struct(day.alias("day"), x.alias("x"), (place * STEP + F.col("flags")).cast("int").alias("place"),
                         n.cast("long").alias("n"), m.cast("long").alias("m"))
 
+    base = base.withColumn("flags", flags)
     made = [event(False, F.col("x"), F.lit(ROW), F.col("n_a"), F.col("n_b")),
             F.when(has_x & dated & (F.col("n_a") > 0), event(True, F.col("x"), F.lit(ROW), F.col("n_a"), zero))]
     if reach is not None:
@@ -169,5 +199,5 @@ def _events(base: DataFrame, reach: Reach | None) -> DataFrame:
             asks = has_x & (F.col("n_b") > 0) & (dated if of_date else F.lit(True))
             made += [F.when(asks, event(of_date, F.col("high"), F.col("high_place"), F.col("n_b"), zero)),
                      F.when(asks, event(of_date, F.col("low"), F.col("low_place"), -F.col("n_b"), zero))]
-    return base.select("k", dated.alias("dated"), "known", F.explode(F.array(*made)).alias("e")).where("e IS NOT NULL").select(
-        "e.of_date", "k", "e.day", "e.x", "e.place", "e.n", "e.m", "dated", "known")
+    return base.select("k", F.explode(F.array(*made)).alias("e")).where("e IS NOT NULL").select(
+        "k", "e.day", "e.x", "e.place", "e.n", "e.m")

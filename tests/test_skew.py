@@ -96,3 +96,20 @@ def test_missing_rows_never_broadcast_all_keys(spark):
         for missing, n in ((recon.missing_in_b, 1000), (recon.missing_in_a, 5000)):
             assert len(missing.collect()) == n
             assert "Broadcast" not in missing._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_tables_get_more_partitions_than_the_session_has(spark):
+    """A task's share of the sorted events does not grow with the table once the session's partitions are used up."""
+    a = spark.range(60000).select((F.col("id") % 20000).alias("k"), (F.col("id") % 7).cast("string").alias("d"),
+                                  (F.col("id") % 11 / 100).alias("amt"))
+    b = a.select("k", "d", (F.col("amt") + F.lit(0.004)).alias("amt"))
+    for partitions, dealt in (("2", True), ("200", False)):
+        with conf(spark, {"spark.sql.shuffle.partitions": partitions}):
+            recon = rc.reconcile(a, b, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.01))
+            summary = recon.summary()
+            assert ("REPARTITION_BY_NUM" in summary._jdf.queryExecution().executedPlan().toString()) == dealt
+            row = summary.first()
+            found = {r["category"]: r["n"] for r in recon.pairs.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}
+            assert [row[f"{c}es"] if c == rc.EXACT_MATCH else row["matches_with_date_note"] if c == rc.MATCH_WITH_DATE_NOTE
+                    else row["amount_variances"] for c in rc.CATEGORIES[:3]] == [found.get(c, 0) for c in rc.CATEGORIES[:3]]
+            assert row["rows_a"] == row["rows_b"] == 60000
