@@ -33,6 +33,7 @@ STEP, DATED, KNOWN = 4, 2, 1
 # A sort's share of a source's estimated (compressed) bytes: its events take some hundred times as much memory.
 SHARE_BYTES = 512 << 10
 MOST_SHARES = 4000
+UNKNOWN_BYTES = 1 << 50  # an estimate beyond it stands for an unknown size, as rows from Python have
 
 
 @dataclass(frozen=True)
@@ -170,7 +171,10 @@ def _shares(rows: DataFrame) -> int | None:
     plan = getattr(rows, "_jdf", None)  # none on a Spark Connect session
     if plan is None:
         return None
-    wanted = int(plan.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARE_BYTES
+    size = int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN_BYTES:
+        return None
+    wanted = size // SHARE_BYTES
     usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return min(wanted, MOST_SHARES) if usual < min(wanted, MOST_SHARES) else None
 
