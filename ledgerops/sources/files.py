@@ -106,6 +106,15 @@ def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
         (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
 
 
+def _heads(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, head, broken): the first line of every file that is not blank, and whether any line has an odd number of quotes."""
+    odd, filled = F.col("quotes") % 2 == 1, F.ltrim("value", F.lit(" \ufeff\r\t")) != ""
+    # the least struct alone would sort all lines by their file; beside a collected set it is held in a hash table
+    return _lines(spark, files).where(filled).groupBy("file").agg(
+        F.min(F.struct(F.struct("block", "id").alias("at"), "value", odd.alias("open"))).alias("head"),
+        F.array_contains(F.collect_set(odd), True).alias("broken"))
+
+
 def _first_records(spark: SparkSession, files: list[str]) -> dict[str, tuple[str, bool]]:
     """The first record of every file that has one, and whether any of its quotes runs over a line break.
 
@@ -114,12 +123,9 @@ def _first_records(spark: SparkSession, files: list[str]) -> dict[str, tuple[str
     open, the record goes on to the next such line: two more passes for those files."""
     if not files:
         return {}
-    at, odd, filled = F.struct("block", "id"), F.col("quotes") % 2 == 1, F.trim(F.translate("value", "\ufeff\r\t", "")) != ""
-    lines = _lines(spark, files)
-    heads = lines.where(filled).groupBy("file").agg(F.min(F.struct(at.alias("at"), "value", odd.alias("open"))).alias("head"),
-                                                    F.bool_or(odd).alias("broken"))
+    at, odd = F.struct("block", "id"), F.col("quotes") % 2 == 1
     out, open_heads = {}, []
-    for file, head, broken in heads.collect():  # one row per file, as in the listing
+    for file, head, broken in _heads(spark, files).collect():  # one row per file, as in the listing
         out[_path(file)] = (head["value"], broken)
         if head["open"]:
             open_heads.append((file, head["at"]["block"], head["at"]["id"]))

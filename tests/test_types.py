@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerops.sources import files as io
 from ledgerops.sources import types
@@ -94,3 +95,46 @@ def test_one_job_finds_the_types_of_all_columns(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(tracker.getJobIdsForGroup(group)) <= 2  # with adaptive execution a stage of its own is a job
+
+
+ODD_TEXTS = ["0", "007", "+3", "-20", "+", "-", ".", "+-5", "9" * 18, "9" * 19, "9" * 20, "12\n", "1.5", ".5", "5.", "1e3", "123e-5", "12.34567",
+             "1.2.2024", "12.11.2024", "13.12.2024", "12/13/2024", "13/13/2024", "31/12/2024", "31/2/2024", "29-2-2023", "29-2-2024", "30/2/2024",
+             "0/1/2024", "1/0/2024", "00/01/2024", "1/2-2024", "01/02/0000", "5-6-2024\n", "1/2/24", "2024-1-2", "2024-02-30", "2024-2-29", "2024-01-02\n",
+             "2024-1-2 3:04", "2024-01-02T03:04:05.123456", "2024-01-02 25:00", "2024-13-01 01:00", "NaN", "-inf", "+Infinity", "infinite", "true",
+             "FALSE", "t", "x", "\u0661\u0662", "1\u00a0", "\t5", "5\t", "", "  ", None]
+
+
+def possible_by_rule(c):
+    """The types of a text from its whole pattern and its value, one after the other."""
+    b = types.BIT
+    day_first, month_first = (F.when(types._value(c, k).isNotNull(), b[k]).otherwise(0) for k in ("date, day first", "date, month first"))
+    whole = c.rlike(r"^[+-]?[0-9]+\z") & c.try_cast("bigint").isNotNull()
+    return (F.when(c.isNull(), None).when(c.startswith("\t"), 0)
+            .when(c.rlike(types.NUMBER_TEXT) | c.rlike(types.SPECIAL_NUMBER_TEXT), b["number"] + F.when(whole, b["whole"]).otherwise(0))
+            .when(c.rlike(types.SLASH_DATE_TEXT), day_first + month_first)
+            .when(c.rlike(types.ISO_DATE_TEXT), F.when(c.try_cast("date").isNotNull(), b["date"] + b["timestamp"]).otherwise(0))
+            .when(c.rlike(types.TIMESTAMP_TEXT), F.when(c.try_cast("timestamp_ntz").isNotNull(), b["timestamp"]).otherwise(0))
+            .when(F.lower(c).isin("true", "false"), b["boolean"]).otherwise(0))
+
+
+def test_types_of_odd_texts_and_of_every_day_and_month(spark):
+    days = [f"{d}{sep}{m:02d}{sep}2023" for d in range(33) for m in range(14) for sep in "/-."]
+    df = table(spark, c=ODD_TEXTS + days).select(types._trimmed(F.col("c")).alias("c"))
+    unlike = df.select("c", types._possible(F.col("c")).alias("is"), possible_by_rule(F.col("c")).cast("long").alias("wanted"))
+    assert unlike.where(~F.col("is").eqNullSafe(F.col("wanted"))).collect() == []
+
+
+def test_each_text_is_tested_once(spark):
+    """The aggregate names its argument three times; the patterns must stand in a projection below it."""
+    plan = types._column_bits(table(spark, a=["1", "x"], b=["1/2/2024", None]), ["a", "b"])._jdf.queryExecution().executedPlan()
+    lines = plan.toString().splitlines()
+    assert any("RLIKE" in line for line in lines)
+    assert [line for line in lines if "Aggregate" in line and "RLIKE" in line] == []
+
+
+def test_first_records_sort_no_lines(spark, tmp_dir):
+    paths = files(tmp_dir, "\ufeff\r\n \t\nid,a\n1,2\n", 'id,a\n1,"x\ny"\n', "\n\n")
+    heads = io._heads(spark, paths)
+    assert "SortAggregate" not in heads._jdf.queryExecution().executedPlan().toString()
+    assert sorted((os.path.basename(r["file"]), r["head"]["value"], r["broken"]) for r in heads.collect()) == [
+        ("typed-0.csv", "id,a", False), ("typed-1.csv", "id,a", True)]
