@@ -254,7 +254,11 @@ class Reconciliation:
         keys = other.select(other_key.alias("_other_key")).where(F.col("_other_key").isNotNull()).distinct()
         # Both sides are always dealt out by key, and each task holds its own share of the distinct keys. The keys of a
         # compressed file are estimated small: a broadcast would hold all keys of the other source in every executor.
-        keyed = df.where(key.isNotNull()).join(keys.hint("shuffle_hash"), key == F.col("_other_key"), "left_anti")
+        # A source that is a union is joined as one: Spark would push the join into each of its branches, hold the keys once
+        # for each, and deal a small branch, whose few bytes ask for few partitions, against all keys in a task or two. A
+        # condition that is not deterministic (and always true) stays above the union, and the join above it.
+        rows = df.where(key.isNotNull()).where(F.monotonically_increasing_id() >= 0)
+        keyed = rows.join(keys.hint("shuffle_hash"), key == F.col("_other_key"), "left_anti")
         return keyed.unionAll(df.where(key.isNull()))
 
     @property

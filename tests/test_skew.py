@@ -98,6 +98,19 @@ def test_missing_rows_never_broadcast_all_keys(spark):
             assert "Broadcast" not in missing._jdf.queryExecution().executedPlan().toString()
 
 
+def test_missing_rows_of_a_union_hold_the_keys_once(spark):
+    """The anti-join is not pushed into the branches, where a small one would meet all keys in few tasks."""
+    a = spark.range(0, 5000).select(F.col("id").alias("k"), F.lit("x").alias("d"), F.lit(1.0).alias("amt"))
+    few = a.where("k % 100 = 0").select((F.lit(-1) - F.col("k")).alias("k"), "d", "amt")
+    nulls = a.where("k < 3").select(F.lit(None).cast("long").alias("k"), "d", "amt")
+    b = a.where("k % 5 <> 0").unionByName(few).unionByName(nulls)
+    recon = rc.reconcile(a, b, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.01))
+    missing = recon.missing_in_a
+    assert sorted(r["k"] for r in missing.where("k IS NOT NULL").collect()) == sorted(-1 - k for k in range(0, 5000, 100))
+    assert missing.count() == 53
+    assert missing._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti") == 1
+
+
 def test_large_tables_get_more_partitions_than_the_session_has(spark):
     """A task's share of the sorted events does not grow with the table once the session's partitions are used up."""
     a = spark.range(60000).select((F.col("id") % 20000).alias("k"), (F.col("id") % 7).cast("string").alias("d"),
