@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs. All but the last return the
-columns of documents.
+columns of documents. A stage that runs Python sets the session's bound on the
+bytes of an Arrow batch, for its result too: that is computed when it is written.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from ledgerops.llm.decontamination import remove_contaminated
 from ledgerops.llm.lines import LONG_WORDS, drop_repeated_lines
 from ledgerops.llm.simhash import keep_one_per_component
 from ledgerops.llm.toxicity import keep_accepted
+from ledgerops.session import small_arrow_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of being toxic is over one half go."""
+    small_arrow_batches(spark)
     return keep_accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -38,17 +41,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: the one with the smallest doc_id (null last). Rows are told
     apart by doc_id and text, so another text under the same doc_id stays."""
+    small_arrow_batches(spark)
     return keep_one_per_component(docs, shingle=3, max_bits=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of ten benchmark words go."""
+    small_arrow_batches(spark)
     return remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every row that is left: the ids, and the digest of the text that they
     decode to. Null texts are empty."""
+    small_arrow_batches(spark)
     encoded = encode_documents(docs, public_tokenizers.path(TOKENIZER), decoded=True)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 

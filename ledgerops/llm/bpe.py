@@ -16,7 +16,6 @@ import mmap
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import accumulate, chain, islice
@@ -29,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import read_table, worker_cache, written
+from .common import bounded_counts, read_table, worker_cache, written
 
 LEXICON_WORDS = 32768
-CACHE_PIECES = 600_000
+CACHE_PIECES = 150_000  # of either kind that a worker keeps
+COUNTED_PIECES = 100_000  # that a task counts before it hands the counts on
 LONG_WORD = 64
 MARKS = ".,;:!?"  # marks that are a word of their own after letters
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 MET_MASK = (1 << 22) - 1
 # Fixed value: the pre-tokenizer pattern of byte-level BPE vocabularies.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -499,14 +499,12 @@ def _parts(column: pa.Array) -> Iterator[list[str]]:
 
 
 def piece_counts(docs: DataFrame) -> DataFrame:
-    """(piece, n): how often each piece between spaces occurs in all texts, combined per batch before the shuffle."""
+    """(piece, n): how often each piece between spaces occurs in all texts, combined before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
-            for text in _texts(batch.column(0)):
-                found.update(text.split(" "))
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())],
-                                             names=["piece", "n"])
+            for found in bounded_counts((text.split(" ") for text in _texts(batch.column(0))), COUNTED_PIECES):
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())],
+                                                 names=["piece", "n"])
 
     return (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "piece string, n long")
             .groupBy("piece").agg(F.sum("n").alias("n")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 import types
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +73,25 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def each_text(column: pa.Array) -> Iterator[bytes]:
+    """``text_bytes`` one by one: an Arrow batch of long texts is not held a second time as Python objects."""
+    for b in column.cast(pa.binary()):
+        yield b.as_py() or b""
+
+
+def bounded_counts(items: Iterator[Iterable], most: int) -> Iterator[Counter]:
+    """Counts of all members of ``items``, given out whenever there are ``most`` or more different ones, so that what
+    a task holds does not grow with its Arrow batches. A member may be in several of the results."""
+    found: Counter = Counter()
+    for members in items:
+        found.update(members)
+        if len(found) >= most:
+            yield found
+            found = Counter()
+    if found:
+        yield found
+
+
 def empty_batch(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -23,11 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, text_bytes, written
+from .common import each_text, read_table, text_bytes, written
 
 WINDOW = 10
 SHARD_WORDS = 1 << 21
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 2 << 20  # of texts searched at a time, or as many as the block's text has if that is more
 BLOCK_BYTES = 8 << 20  # benchmark text per broadcast block, about
 PIECE_WORDS = 4096     # of an item, and
 PIECE_BYTES = 1 << 18  # at most, but for ten longer words
@@ -209,11 +210,12 @@ def hit_words(doc: np.ndarray, start: np.ndarray, words: np.ndarray, n: int) ->
     return out
 
 
-def _parts(texts: list[bytes]):
-    """Runs of texts of at most about SHARD_BYTES (a longer text is a run of its own)."""
+def _parts(texts: Iterable[bytes], least: int = 0):
+    """Runs of texts of at most about SHARD_BYTES, or ``least`` if that is more (a longer text is a run of its own)."""
+    most = max(SHARD_BYTES, least)
     part, size = [], 0
     for t in texts:
-        if part and size + len(t) > SHARD_BYTES:
+        if part and size + len(t) > most:
             yield part
             part, size = [], 0
         part.append(t)
@@ -229,7 +231,7 @@ def matcher(shared):
         windows = shared.value
         ids = np.array(windows["ids"], object)
         words, each, base = [], [], 0
-        for part in _parts(text_bytes(column)):
+        for part in _parts(each_text(column), len(windows["text"])):
             counts, matches = search(part, windows)
             words.append(counts)
             each.append([matches[0] + base, *matches[1:]])
@@ -303,7 +305,7 @@ def word_counts():
     """Arrow function text -> its number of words."""
     @F.arrow_udf("int")
     def count(column: pa.Array) -> pa.Array:
-        return pa.array([len(words_of(t)) for t in text_bytes(column)], pa.int32())
+        return pa.array([len(words_of(t)) for t in each_text(column)], pa.int32())
 
     return count
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import component_labels, connected_components, empty_batch, text_bytes, written
+from .common import component_labels, connected_components, each_text, empty_batch, written
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (lowest bit, width)
 # Fixed value: generator polynomial of the (23,12) Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -143,7 +143,7 @@ def _with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(batch.num_columns - 1))], np.uint64)
+            fps = np.array([fingerprint(t, shingle) for t in each_text(batch.column(batch.num_columns - 1))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))],
                                              names=[*batch.schema.names[:-1], "fp"])
 

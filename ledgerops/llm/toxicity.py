@@ -11,7 +11,6 @@ documents; scoring is one narrow pass over all whole texts.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -21,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded_counts, read_table
 
 MAX_ROWS = 16_000       # labelled documents that the fit may use
 MAX_FEATURES = 4096
 MIN_DOCS = 3            # a feature counts from so many toxic documents on
 MIN_SCORE = 5.0         # standard errors between the two shares
 AFFIXES = (4, 5, 6, 7)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000   # that a task keeps
+COUNTED_FEATURES = 100_000  # that a task counts before it hands the counts on
 EDGES = ".,;:!?()[]{}\"'|*-_/«»¿¡…“”„"
 
 
@@ -96,13 +96,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = (Counter(), Counter())
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found[toxic > 0].update(text_features(text))
-            for toxic, counts in enumerate(found):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(counts.keys(), pa.string()), pa.array([toxic] * len(counts), pa.int32()),
-                     pa.array(counts.values(), pa.int64())], names=["feature", "toxic", "n"])
+            grades = np.array(batch.column(1).to_pylist(), np.int64) > 0
+            for toxic in (0, 1):
+                texts = batch.column(0).take(pa.array(np.flatnonzero(grades == toxic)))
+                for counts in bounded_counts((text_features(t.as_py()) for t in texts), COUNTED_FEATURES):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(counts.keys(), pa.string()), pa.array([toxic] * len(counts), pa.int32()),
+                         pa.array(counts.values(), pa.int64())], names=["feature", "toxic", "n"])
 
     size = rows.groupBy((F.col("_toxic") > 0).alias("t")).count().collect()
     n1, n0 = (sum(r["count"] for r in size if r["t"] == t) for t in (True, False))
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(index[f] for f in text_features(t) & index.keys()) for t in batch.column(0).to_pylist()]
+            found = [sorted(index[f] for f in text_features(t) & index.keys()) for t in (x.as_py() for x in batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))],
                                              names=["toxic", "found"])
 
@@ -133,10 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
 def severity(model: ToxicityModel):
     """Arrow function text -> (p_toxic, p_severe): the chances that the grade exceeds 0 and 1. Null is empty text."""
     weights, thresholds = model.weights, model.thresholds
+    kept: dict[str, tuple[str, ...]] = {}  # of the task: empty when the function is sent
 
     @F.arrow_udf("struct<p_toxic:double,p_severe:double>")
     def score(column: pa.Array) -> pa.Array:
-        kept: dict[str, tuple[str, ...]] = {}
         eta = np.empty(len(column))
         for i, text in enumerate(column):
             found: set[str] = set()

@@ -35,6 +35,19 @@ SCALE_CONF = {
 }
 
 
+# An Arrow batch of long texts (10,000 rows, up to 64 MB by default) stands in buffers of the executor's JVM and of
+# the Python worker at once, for each running task.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+ARROW_BATCH_DEFAULT = "67108864b"
+
+
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches, unless the caller has set a bound of their own."""
+    key, most = ARROW_BATCH
+    if spark.conf.get(key, ARROW_BATCH_DEFAULT) == ARROW_BATCH_DEFAULT:
+        spark.conf.set(key, most)
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "ledgerops",
