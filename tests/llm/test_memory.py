@@ -68,6 +68,7 @@ def test_python_stages_get_arrow_batches_of_bounded_bytes(spark, tmp_path, name,
 
 
 def test_the_callers_own_bound_stays(spark):
+    spark.conf.unset(ARROW_BATCH[0])  # an earlier pipeline in this session may have set it
     assert spark.conf.get(ARROW_BATCH[0]) == ARROW_BATCH_DEFAULT
     spark.conf.set(ARROW_BATCH[0], "1m")
     try:
