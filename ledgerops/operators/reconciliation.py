@@ -26,8 +26,8 @@ Plan shape (Spark-first instead of five separate statements):
   reduced once to ``(key, date, amount) -> rows of A, rows of B``; sizes, missing
   rows and the number of pairs are sums and products by key, and *near* pairs
   (amounts within the tolerance) are differences of running totals over the sorted
-  amounts, in range partitions that cut a hot key by its amounts. Variances and
-  unclassified pairs follow by subtraction.
+  amounts, in one task for a key of moderate size and in range partitions that cut a
+  hot key by its amounts. Variances and unclassified pairs follow by subtraction.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ from ..operators import profile as pr
 from ..operators import reconciliation as rc
 from ..sources import files as io
 from ..sources import inspect as ins
-from ..session import scratch_path
+from ..session import computed, scratch_path
 from .. import streaming as st
 from . import inputs as I
 from . import oracle_sql as S
@@ -145,8 +145,8 @@ def _mixed_keys_sql() -> str:
 
 @register("recon_mixed_keys", _mixed_keys_sql())
 def recon_mixed_keys(spark, sf_dir):
-    """Sources whose keys have unlike types."""
-    cases = [rc.reconcile(a, b, I.LEDGER_CONFIG).summary().select(F.lit(name).alias("keys"), "*")
+    """Sources whose keys have unlike types. One case is computed at a time, so that only its shuffle files are on disk."""
+    cases = [computed(rc.reconcile(a, b, I.LEDGER_CONFIG).summary().select(F.lit(name).alias("keys"), "*"))
              for name, (a, b) in I.mixed_key_sources(spark, sf_dir).items()]
     return agg.union_all(cases)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale. AQE re-plans at run time: it coalesces small
 # shuffle partitions, converts a join to broadcast only when the measured side
@@ -48,6 +48,26 @@ def small_arrow_batches(spark: SparkSession) -> None:
         spark.conf.set(key, most)
 
 
+# Spark 4.1 and later: a query deletes its shuffle files when it ends. Otherwise they stay until the driver's garbage
+# collector finds them unused.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def computed(df: DataFrame) -> DataFrame:
+    """A small result, computed now: for results that are brought together but need not hold their shuffle files at once."""
+    spark = df.sparkSession
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        rows = df.select("*").collect()  # a query of its own, made under the setting
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.createDataFrame(rows, df.schema).coalesce(1)
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "ledgerops",

@@ -1,15 +1,21 @@
 """Counting pairs within a tolerance against counting them one by one."""
 
 import math
+import os
 import random
+import time
 from decimal import Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
+from ledgerops.operators import nearness
 from ledgerops.operators import reconciliation as rc
 from ledgerops.operators.nearness import near_counts, reach_of
+from ledgerops.plans import QUERIES
+from ledgerops.session import SHUFFLE_CLEANUP, computed
 
 KEYS = "k long, d string, amt {}, n_a long, n_b long"
 
@@ -88,3 +94,59 @@ def test_hot_key_within_the_tolerance(spark):
     plan = summary._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
     assert "rangepartitioning" in plan
+
+
+@pytest.mark.parametrize("most", [0, 30, 10**9])
+@pytest.mark.parametrize("kind", ["long", "double", "decimal(38,0)"])
+def test_keys_of_full_buckets_and_others_side_by_side(spark, monkeypatch, most, kind):
+    """Keys counted in one task and keys cut by amount give the same counts, NULL keys are only counted."""
+    monkeypatch.setattr(nearness, "MOST_ROWS", most)
+    pick = random.Random(7)
+    rows = {(pick.choice([1, 1, 1, *range(2, 12), None]), pick.choice(["x", "y", None]), pick.choice([i / 64, None])) for i in range(600)}
+    rows = [(*key, pick.randint(0, 2), pick.randint(0, 2)) for key in sorted(rows, key=str)]
+    df = spark.createDataFrame(rows, KEYS.format("double")).withColumn("k", F.col("k").cast(kind))
+    found = near_counts(df, reach_of(0.5, df.schema["amt"].dataType)).where("not of_date").groupBy("k").agg(
+        *[F.sum(c) for c in ("rows_a", "rows_b", "known_a", "known_b", "near", "near_dated")]).collect()
+    want = {}
+    for key in {r[0] for r in rows}:
+        of_key = [r for r in rows if r[0] == key]
+        want[key] = (*[sum(r[i] for r in of_key) for i in (3, 4)], *[sum(r[i] for r in of_key if r[2] is not None) for i in (3, 4)],
+                     *brute(of_key, 0.5)[:2])
+    assert {r[0]: tuple(r)[1:] for r in found} == want
+
+
+def _shuffled_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    paths = [files.apply(i).getPath() for i in range(files.size())]
+    return {p: os.path.getsize(p) for p in paths if p.endswith(".data") and os.path.exists(p)}
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string"])
+def test_a_summary_shuffles_rows_and_not_their_events(spark, kind):
+    """Both sources go to disk once, and once more reduced: some 40 bytes a row, where shuffled events took several hundred."""
+    n = 20_000
+    a = spark.range(n).select(F.col("id").cast(kind).alias("k"), F.lit("x").alias("d"), F.rand(1).alias("amt"))
+    before = _shuffled_files(spark)
+    s = rc.reconcile(a, a, rc.ReconConfig("k", rc.Roles("d", "amt"), rc.Roles("d", "amt"), 0.01)).summary().first()
+    assert (s["exact_matches"], s["rows_a"], s["rows_b"]) == (n, n, n)
+    assert sum(size for p, size in _shuffled_files(spark).items() if p not in before) < 100 * n
+
+
+def test_a_case_leaves_no_shuffle_files_to_the_next(spark):
+    before = _shuffled_files(spark)
+    assert len(QUERIES["recon_mixed_keys"](spark, SF_SMALL).collect()) == 5
+    until = time.monotonic() + 20  # files are deleted in the background
+    while (left := set(_shuffled_files(spark)) - set(before)) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left
+
+
+def test_a_computed_result_is_the_same_and_leaves_the_settings(spark):
+    df = spark.range(100).groupBy((F.col("id") % 3).alias("k")).agg(F.sum("id").cast("decimal(20,1)").alias("x"))
+    for value in (None, "false"):
+        spark.conf.unset(SHUFFLE_CLEANUP) if value is None else spark.conf.set(SHUFFLE_CLEANUP, value)
+        found = computed(df)
+        assert spark.conf.get(SHUFFLE_CLEANUP, None) == value
+        assert found.schema == df.schema and sorted(found.collect()) == sorted(df.collect())
+    spark.conf.unset(SHUFFLE_CLEANUP)
